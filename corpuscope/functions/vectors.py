@@ -12,32 +12,31 @@ from corpuscope.schemas import EMBEDDING_DIM
 _CACHE_TOKENS = 500_000
 
 
-class _TokenSlots(dict):
-    """token -> its four dimensions; a miss hashes the token once."""
+class _TokenBytes(dict):
+    """token -> the four digest bytes that name its dimensions; a miss hashes the token once."""
 
     def __missing__(self, token):
         import hashlib
 
+        if not token:
+            return b""
         if len(self) >= _CACHE_TOKENS:
             self.clear()
-        digest = hashlib.sha256(token).digest()
-        slots = self[token] = [b % EMBEDDING_DIM for b in digest[3:16:4]]
-        return slots
+        named = self[token] = hashlib.sha256(token).digest()[3:16:4]
+        return named
 
 
 def _embed_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    import itertools
-
     import numpy as np
 
     to_blank = bytes.maketrans(EMBED_DELIMITERS.encode(), b" " * len(EMBED_DELIMITERS))
-    cache = _TokenSlots()
+    digest_bytes = _TokenBytes().__getitem__
     for texts in batches:
-        counts = np.zeros((len(texts), EMBEDDING_DIM))
-        for row, text in zip(counts, texts):
+        counts = np.empty((len(texts), EMBEDDING_DIM))
+        for row, text in enumerate(texts):
             tokens = (text.as_py() or b"").translate(to_blank).split(b" ")
-            slots = itertools.chain.from_iterable(cache[t] for t in tokens if t)
-            row += np.bincount(np.fromiter(slots, np.intp), minlength=EMBEDDING_DIM)
+            named = np.frombuffer(b"".join(map(digest_bytes, tokens)), np.uint8)
+            counts[row] = np.bincount(named % EMBEDDING_DIM, minlength=EMBEDDING_DIM)
         norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         vectors = counts / np.where(norms > 0, norms, 1.0)
         offsets = np.arange(len(texts) + 1, dtype=np.int32) * EMBEDDING_DIM

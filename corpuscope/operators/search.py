@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from corpuscope.functions.text import query_words, search_tokens
 from corpuscope.functions.vectors import cosine, embed_text, has_embedding
 from corpuscope.schemas import DEFAULT_SID, EMBEDDING_DIM
-from corpuscope.session import rows_if_at_most
+from corpuscope.session import rows_if_at_most, staged
 
 FILE_THRESHOLD = 0.01
 DECISION_THRESHOLD = 0.1
@@ -94,24 +94,35 @@ def in_session(hits: DataFrame, snapshots: DataFrame, sid: str) -> DataFrame:
 def text_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, file_path, sid) where a file holds every word of a plain query.
 
-    A word of several tokens (`a_b`) has to appear as a phrase. Queries that are not plain
-    word lists hit nothing, as they would be rejected (see `query_words`)."""
+    Starts from the rarest token of each query: only files with that token are candidates,
+    and only for them are the other words looked up. A word of several tokens (`a_b`) has to
+    appear as a phrase. Queries that are not plain word lists hit nothing, as they would be
+    rejected (see `query_words`)."""
     words = queries.select("query_id", F.col("sid").alias("query_sid"), F.posexplode(F.filter(
         F.transform(query_words(F.col("query_text")), search_tokens), lambda t: F.size(t) > 0),
     ).alias("word_no", "tokens"))
     tokens = words.select("query_id", "query_sid", "word_no", F.size("tokens").alias("n_tokens"),
                           F.posexplode("tokens").alias("token_no", "token"))
-    n_words = words.groupBy("query_id").agg(F.count("*").alias("n_words"))
-    joined = postings.join(tokens, "token").where(
-        F.col("query_sid").isNull() | (F.col("query_sid") == F.col("sid")))
+    # Only tokens that some query asks for; written once, for the three uses below.
+    asked = staged(postings.join(tokens.select("token").distinct(), "token", "left_semi"), "asked-postings")
+
+    frequency = asked.groupBy("token").agg(F.count("*").alias("n"))
+    rarest = tokens.join(frequency, "token", "left").groupBy("query_id", "query_sid").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)), "token"))["token"].alias("token"))
+    in_session = F.col("query_sid").isNull() | (F.col("query_sid") == F.col("sid"))
+    candidates = asked.join(rarest, "token").where(in_session).select("query_id", "file_path", "sid").distinct()
+
+    wanted = candidates.join(tokens.drop("query_sid"), "query_id")
     single = F.col("n_tokens") == 1
-    starts = joined.groupBy(
-        "query_id", "file_path", "sid", "word_no", "n_tokens",
-        F.when(~single, F.col("field")).alias("field"),
-        F.when(~single, F.col("pos") - F.col("token_no")).alias("start")).count()
-    found = starts.where(single | (F.col("count") == F.col("n_tokens"))).groupBy(
-        "query_id", "file_path", "sid").agg(F.count_distinct("word_no").alias("found"))
-    return found.join(n_words, "query_id").where(F.col("found") == F.col("n_words")).select(
+    found = wanted.where(single).join(asked.select("file_path", "token"), ["file_path", "token"], "left_semi").select(
+        "query_id", "file_path", "sid", "word_no")
+    phrases = wanted.where(~single).join(asked.select("file_path", "token", "field", "pos"), ["file_path", "token"])
+    starts = phrases.groupBy("query_id", "file_path", "sid", "word_no", "n_tokens", "field",
+                             (F.col("pos") - F.col("token_no")).alias("start")).count()
+    found = found.unionByName(starts.where(F.col("count") == F.col("n_tokens")).select(*found.columns))
+    n_words = words.groupBy("query_id").agg(F.count("*").alias("n_words"))
+    per_file = found.groupBy("query_id", "file_path", "sid").agg(F.count_distinct("word_no").alias("found"))
+    return per_file.join(n_words, "query_id").where(F.col("found") == F.col("n_words")).select(
         "query_id", "file_path", "sid")
 
 
@@ -139,11 +150,15 @@ def _batch_top_k(table, q_ids, q_sids, q_vectors, tie, k, threshold):
     before anything is shuffled."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    table = table.sort_by([("sid", "ascending"), (tie, "ascending")])
+    width = q_vectors.shape[1]
+    # Rows without a vector of the right width take no part. The test is made here: as a
+    # filter on the column it would make Spark run an embedding function twice.
+    table = table.filter(pc.equal(pc.list_value_length(table.column("embedding")), width))
     if table.num_rows == 0:
         return None
-    width = q_vectors.shape[1]
+    table = table.sort_by([("sid", "ascending"), (tie, "ascending")])
     embedding = table.column("embedding").combine_chunks()
     vectors = embedding.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
     vectors, norms = _unit_rows(vectors)
@@ -194,7 +209,7 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, tie: str, k: int, thresh
     pair of blocks meets in one task by an equi-join on both block numbers."""
     spark = corpus.sparkSession
     carried = [c for c in corpus.columns if c != "embedding"]
-    corpus = corpus.where(has_embedding(F.col("embedding"), width)).select(*carried, "embedding")
+    corpus = corpus.select(*carried, "embedding")
     schema = T.StructType([corpus.schema[c] for c in carried] + [
         T.StructField("query_id", T.LongType()), T.StructField("score", T.DoubleType())])
     asked = _embedded(queries).select("query_id", "sid", "embedding")
@@ -259,7 +274,8 @@ def similar_files(snapshots: DataFrame, postings: DataFrame, queries: DataFrame,
 
     A file in both lists keeps its cosine score; a file found by text alone scores 0.99.
     The merged best k are the best of (cosine best k, text-only hits), so the full cosine
-    list is never formed: only text hits are checked against the threshold."""
+    list is never formed: only text hits are checked against the threshold. `snapshots` is
+    read twice: give a stored table, not one that embeds on the fly."""
     asked = _embedded(queries)
     by_vector = similar_files_by_vector(snapshots, asked, k, threshold, **plan).drop("rank")
     hits = text_hits(postings, asked).select("query_id", "file_path")

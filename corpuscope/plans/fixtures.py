@@ -4,6 +4,8 @@ Each text is run by Spark and, in `plans.oracle`, by DuckDB."""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpuscope.session import read_spread
+
 # A synthetic source tree: one file per document.
 FILES = """
 select doc_id, lang as sid,
@@ -91,7 +93,7 @@ select 2000000 + min(doc_id), upper(source) from {documents} group by source
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_spread(spark, f"{sf_dir}/{name}.parquet")
 
 
 def files(spark, sf_dir) -> DataFrame:

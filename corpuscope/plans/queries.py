@@ -7,7 +7,7 @@ from corpuscope.operators import changes, ledger, logs, packages, patterns, repo
 from corpuscope.plans import fixtures
 from corpuscope.sources.texts import default_rules, rules_from_texts
 from corpuscope.session import scratch_path, staged
-from corpuscope.streaming.watch import watch_changes
+from corpuscope.streaming.watch import watch
 
 # The time at which the queries "run".
 NOW = 1_800_000_000
@@ -113,7 +113,8 @@ def similar_files_topk_blocks(spark, sf):
 @query
 def similar_files_hybrid(spark, sf):
     files = _files(spark, sf)
-    return _ranks(search.similar_files(_snapshots(spark, sf), search.build_postings(files), fixtures.queries(spark, sf)))
+    stored = staged(_snapshots(spark, sf).select("sid", "file_path", "embedding"), "snapshots")
+    return _ranks(search.similar_files(stored, search.build_postings(files), fixtures.queries(spark, sf)))
 
 
 @query
@@ -410,8 +411,9 @@ def changed_files_stream(spark, sf):
     """The change feed as a stream: each scan arrives as new files, then a trigger runs."""
     scans = staged(fixtures.scans(spark, sf), "scans")
     arrived, out, state = [scratch_path(spark, n) for n in ("scan-feed", "changes", "watch-state")]
+    keep = lambda found, batch_id: found.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
     for scan_no in (1, 2, 3):
         scans.where(F.col("scan_no") == scan_no).write.mode("append").parquet(arrived)
-        stream = watch_changes(spark.readStream.schema(scans.schema).parquet(arrived))
-        stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.parquet(out)
+        stream = spark.readStream.schema(scans.schema).parquet(arrived)
+        watch(stream, keep, state, availableNow=True).awaitTermination()
+    return spark.read.parquet(out).drop("batch")

@@ -50,6 +50,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table, spread over all cores where it is stored in fewer pieces than there
+    are cores (a large table never is, and is read as it lies)."""
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def rows_if_at_most(df: DataFrame, limit: int):
     """The rows of `df` when there are at most `limit` of them, else None.
 

@@ -1,16 +1,15 @@
 """Change feed with Structured Streaming."""
 
 import time
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuscope.functions.text import is_hidden, is_source_file
 from corpuscope.operators import ledger
+from corpuscope.operators.changes import changed_files
+from corpuscope.session import staged
 from corpuscope.sources.tree import _list_folders, read_listed
 
 SCANS = T.StructType([
@@ -19,8 +18,6 @@ SCANS = T.StructType([
     T.StructField("mtime", T.LongType()),
 ])
 
-CHANGES = T.StructType(SCANS.fields + [T.StructField("previous_mtime", T.LongType())])
-
 # Fixed value: seconds between two scans.
 SCAN_SECONDS = 2
 
@@ -64,33 +61,55 @@ class _FolderScanReader(DataSourceStreamReader):
                     yield scan_no, row["file_path"], row["mtime"]
 
 
-def _compare(emit_new: bool):
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """State of a path: the last mtime (one bigint, kept for ever)."""
-        # only scan number and mtime are held, and only of one path within one micro-batch
-        seen = pd.concat([b[["scan_no", "mtime", "first_batch"]] for b in batches]).sort_values("scan_no")
-        start = state.get[0] if state.exists else None
-        previous = seen["mtime"].shift(1).astype("Int64")
-        previous.iloc[0] = pd.NA if start is None else start
-        state.update((int(seen["mtime"].iloc[-1]),))
-        changed = (seen["mtime"] != previous).fillna(emit_new and not bool(seen["first_batch"].iloc[0]))
-        out = seen[changed.astype(bool)]
-        if len(out):
-            yield pd.DataFrame({"scan_no": out["scan_no"], "file_path": key[0], "mtime": out["mtime"],
-                                "previous_mtime": previous[changed.astype(bool)]})
+def _finished(spark: SparkSession, state_dir: str):
+    """Numbers of the micro-batches whose state is complete, ascending."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(state_dir)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    done = [f.getPath() for f in system.listStatus(folder)
+            if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName()) for p in done)
+
+
+def _forget(spark: SparkSession, state_dir: str, batch_id: int) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{state_dir}/{batch_id}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def compare_batch(state_dir: str, on_changes, emit_new: bool = False):
+    """The `foreachBatch` function of a change feed: `on_changes(changes, batch_id)`.
+
+    State is a table with the last mtime of every path, written anew per micro-batch under
+    the number of the batch. A scan lists every path, so reading and writing that table is
+    of the order of the scan itself, and stays in Spark's own operators; keyed state would
+    call Python once per path and scan. A batch reads only the state of earlier batches,
+    so a batch that is run again after a failure gives the same changes."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        scans = staged(batch.select(*[F.col(f.name).cast(f.dataType) for f in SCANS]), "scan")
+        earlier = [n for n in _finished(spark, state_dir) if n < batch_id]
+        history = scans
+        if earlier:
+            known = spark.read.parquet(f"{state_dir}/{earlier[-1]}")
+            history = known.select(F.lit(-1).cast("long").alias("scan_no"), "file_path", "mtime").unionByName(scans)
+        on_changes(changed_files(history, emit_new), batch_id)
+        last = ledger.latest(history, ["file_path"], ["scan_no"]).select("file_path", "mtime")
+        last.write.mode("overwrite").parquet(f"{state_dir}/{batch_id}")
+        for old in earlier[:-1]:
+            _forget(spark, state_dir, old)
 
     return step
 
 
-def watch_changes(scans: DataFrame, emit_new: bool = False, baseline_scan: int | None = None) -> DataFrame:
-    """Streaming form of `operators.changes.changed_files` over a stream of scan rows.
+def watch(scans: DataFrame, on_changes, checkpoint: str, emit_new: bool = False, **trigger) -> StreamingQuery:
+    """Run `on_changes(changes, batch_id)` for every micro-batch of a stream of scan rows.
 
-    With `emit_new`, paths first seen after scan `baseline_scan` count as changed."""
-    first = F.lit(False) if baseline_scan is None else F.col("scan_no") <= baseline_scan
-    rows = scans.select(*[F.col(f.name).cast(f.dataType) for f in SCANS], first.alias("first_batch"))
-    return rows.groupBy("file_path").applyInPandasWithState(
-        _compare(emit_new), CHANGES, T.StructType([T.StructField("mtime", T.LongType())]), "append",
-        GroupStateTimeout.NoTimeout)
+    The changes are those of `operators.changes.changed_files` over all scans so far: the
+    first batch registers, deletions are never emitted. With `emit_new`, paths first seen
+    after the first scan count as changed."""
+    return (scans.writeStream.foreachBatch(compare_batch(f"{checkpoint}/last-seen", on_changes, emit_new))
+            .option("checkpointLocation", f"{checkpoint}/stream").trigger(**trigger).start())
 
 
 def folder_scans(spark: SparkSession, *folders: str) -> DataFrame:
@@ -105,7 +124,6 @@ def reindex_batch(workspace, rules: DataFrame, sid: str):
     """The `foreachBatch` function of a watch: re-index changed paths and log each change."""
     def write(changes: DataFrame, batch_id: int) -> None:
         from corpuscope.operators.snapshots import snapshot_files
-        from corpuscope.session import staged
 
         paths = staged(changes.groupBy("file_path").agg(F.max("mtime").alias("mtime")), "changed")
         if paths.isEmpty():
@@ -123,7 +141,5 @@ def reindex_batch(workspace, rules: DataFrame, sid: str):
 def start_watch(workspace, rules: DataFrame, sid: str, folders, checkpoint: str, emit_new: bool = False,
                 seconds: int = SCAN_SECONDS) -> StreamingQuery:
     """Watch folders: changed files are re-indexed into the workspace every few seconds."""
-    baseline = time.time_ns() // 1_000_000 if emit_new else None
-    changes = watch_changes(folder_scans(workspace.spark, *folders), emit_new, baseline)
-    return (changes.writeStream.foreachBatch(reindex_batch(workspace, rules, sid))
-            .option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start())
+    return watch(folder_scans(workspace.spark, *folders), reindex_batch(workspace, rules, sid), checkpoint, emit_new,
+                 processingTime=f"{seconds} seconds")
