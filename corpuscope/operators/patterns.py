@@ -34,11 +34,14 @@ def _running_sum(values: Column) -> Column:
     ).otherwise(F.array().cast("array<int>")))
 
 
-def _matches_with_lines(content: Column, regex: Column) -> Column:
+def matches_with_lines(content: Column, regex: Column) -> Column:
     """array<struct<matched_text, line_number>> of all non-overlapping matches.
 
+    Lines end at `\\n` only, and `^` matches at every line start; Java does not let it match
+    in an empty text, so there it stands for the start of the text.
     The text between matches (`split`) and the matches themselves alternate, so the
     newlines before match i are those of the gaps up to i plus those of earlier matches."""
+    regex = F.concat(F.when(content == "", "(?d)").otherwise("(?md)"), regex)
     matches = F.regexp_extract_all(content, regex, F.lit(0))
     gaps = F.split(content, regex, -1)
 
@@ -86,10 +89,9 @@ def extract_patterns(files: DataFrame, rules: DataFrame) -> DataFrame:
     with_language = files.select(
         F.coalesce("sid", F.lit(DEFAULT_SID)).alias("sid"), "file_path", "content",
         language(F.col("file_path")).alias("language"))
-    regex = F.concat(F.lit("(?md)"), F.col("regex"))
     found = applicable_rules(with_language, rules).select(
         "sid", "file_path", "pattern_name", "log_key", "action",
-        _matches_with_lines(F.col("content"), regex).alias("found"))
+        matches_with_lines(F.col("content"), F.col("regex")).alias("found"))
     return found.select(
         "sid", "file_path", "pattern_name", "log_key", "action", F.posexplode("found").alias("match_no", "m"),
     ).select("*", "m.matched_text", "m.line_number").select(*PATTERNS.names)

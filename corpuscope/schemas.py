@@ -110,3 +110,32 @@ PACKAGE_BODY = T.StructType([
         T.StructField("source", T.StringType()),
     ])),
 ])
+
+PACKAGES = T.StructType([
+    T.StructField("package_id", T.StringType()),
+    T.StructField("sid", T.StringType()),
+    T.StructField("version", T.StringType()),
+    T.StructField("assumptions", T.ArrayType(ASSUMPTION)),
+    T.StructField("invariants", T.ArrayType(INVARIANT)),
+    T.StructField("metadata", PACKAGE_BODY["metadata"].dataType),
+    T.StructField("timestamp", T.LongType()),
+    T.StructField("preamble", T.StringType()),
+    T.StructField("package", T.StringType()),
+    T.StructField("export", T.StringType()),
+])
+
+POSTINGS = T.StructType([
+    T.StructField("token", T.StringType()),
+    T.StructField("file_path", T.StringType()),
+    T.StructField("field", T.StringType()),
+    T.StructField("pos", T.IntegerType()),
+    T.StructField("sid", T.StringType()),
+])
+
+REPORTS = T.StructType([
+    T.StructField("report_id", T.StringType()),
+    T.StructField("sid", T.StringType()),
+    T.StructField("generated_at", T.LongType()),
+    T.StructField("report_text", T.StringType()),
+    T.StructField("metrics", T.StringType()),
+])

@@ -1,6 +1,6 @@
 """A folder of parquet tables with keyed writes."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corpuscope import schemas
 from corpuscope.operators import ledger, logs, reports
@@ -15,6 +15,18 @@ KEYS = {
     "packages": (["package_id"], ["timestamp"]),
 }
 
+_VECTOR = [T.StructField("embedding", T.ArrayType(T.DoubleType()))]
+TABLES = {
+    "decisions": T.StructType(schemas.DECISIONS.fields + _VECTOR),
+    "snapshots": schemas.SNAPSHOTS,
+    "sessions": T.StructType(schemas.SESSIONS.fields + _VECTOR),
+    "errors": schemas.ERRORS,
+    "packages": schemas.PACKAGES,
+    "patterns": schemas.PATTERNS,
+    "postings": schemas.POSTINGS,
+    "reports": schemas.REPORTS,
+}
+
 
 class Workspace:
     """Tables under `root`, each in folders by a hash bucket of its key.
@@ -30,51 +42,70 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def _folder(self, *parts: str):
+        """A path below the root and the file system it lies in."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _stored(self, name: str) -> DataFrame:
+        path, system = self._folder(name)
+        schema = T.StructType(TABLES[name].fields + [T.StructField("bucket", T.IntegerType())])
+        if not system.exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path(name))
 
     def read(self, name: str, sid: str | None = None) -> DataFrame:
-        rows = self.spark.read.parquet(self.path(name)).drop("bucket")
+        """A table; empty if nothing was written to it yet."""
+        rows = self._stored(name).drop("bucket")
         return rows if sid is None else rows.where(F.col("sid") == sid)
 
     def append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self.path(name))
 
-    def _bucketed(self, rows: DataFrame, keys) -> DataFrame:
-        return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int"))
+    def _bucketed(self, name: str, rows: DataFrame, keys) -> DataFrame:
+        return rows.select(*TABLES[name].names).withColumn(
+            "bucket", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int"))
 
-    def _rewrite(self, name: str, rows: DataFrame, keys) -> None:
-        # `keys` spread the rows of one bucket evenly; the bucket alone would be one task
-        (rows.repartition("bucket", F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(8)))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    @staticmethod
+    def _buckets_of(rows: DataFrame):
+        return [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most `buckets`
+
+    def _rewrite(self, name: str, rows: DataFrame) -> None:
+        # the second term splits a bucket over tasks; the bucket alone would be one task
+        spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "bucket"]), F.lit(8))
+        (rows.repartition("bucket", spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket").parquet(self.path(name)))
 
+    def _drop_buckets(self, name: str, buckets) -> None:
+        """Remove buckets that a write left without rows; an overwrite by bucket passes over them."""
+        for bucket in buckets:
+            path, system = self._folder(name, f"bucket={bucket}")
+            system.delete(path, True)
+
     def write_keyed(self, name: str, incoming: DataFrame, ignore_existing: bool = False) -> None:
         """Insert-or-replace, or insert-or-ignore, by the key of the table."""
         keys, order = KEYS[name]
         pick = ledger.earliest if ignore_existing else ledger.latest
-        new = self._bucketed(staged(pick(incoming, keys, order), name), keys)
-        if self.exists(name):
-            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets`
-            old = self.spark.read.parquet(self.path(name)).where(F.col("bucket").isin(touched))
-            merge = ledger.insert_ignore if ignore_existing else ledger.replace_into
-            new = self._bucketed(merge(old.drop("bucket"), new.drop("bucket"), keys, order), keys)
-        self._rewrite(name, new, keys)
+        merge = ledger.insert_ignore if ignore_existing else ledger.replace_into
+        new = self._bucketed(name, staged(pick(incoming, keys, order), name), keys)
+        old = self._stored(name).where(F.col("bucket").isin(self._buckets_of(new)))
+        self._rewrite(name, merge(old, new, keys, order))
 
     def write_errors(self, errors: DataFrame) -> None:
         self.write_keyed("errors", errors, ignore_existing=True)
 
-    def write_derived(self, name: str, rows: DataFrame, changed_paths: DataFrame | None = None) -> None:
+    def write_derived(self, name: str, rows: DataFrame, changed_paths: DataFrame) -> None:
         """Patterns or postings: rows of re-indexed files replace all earlier rows of those files."""
         keys = ["file_path"]
-        new = self._bucketed(staged(rows, name), keys)
-        if changed_paths is not None and self.exists(name):
-            paths = self._bucketed(changed_paths.select("file_path").distinct(), keys)
-            touched = [r["bucket"] for r in paths.select("bucket").distinct().collect()]
-            old = self.spark.read.parquet(self.path(name)).where(F.col("bucket").isin(touched))
-            new = old.join(paths.select("file_path"), "file_path", "left_anti").unionByName(new)
-        self._rewrite(name, new, [c for c in new.columns if c != "bucket"])
+        new = self._bucketed(name, staged(rows, name), keys)
+        paths = changed_paths.select("file_path").distinct().withColumn(
+            "bucket", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int"))
+        touched = self._buckets_of(paths)
+        old = self._stored(name).where(F.col("bucket").isin(touched))
+        merged = old.join(paths.select("file_path"), "file_path", "left_anti").unionByName(new)
+        filled = self._buckets_of(merged)
+        self._rewrite(name, merged)
+        self._drop_buckets(name, set(touched) - set(filled))
 
     def index(self, files: DataFrame, rules: DataFrame, now: int, root: str = "") -> None:
         """Snapshots, patterns, postings and pattern decisions of `files`."""
@@ -107,17 +138,18 @@ class Workspace:
         left, deleted = reports.clear_errors(self.read("errors"), self.read("sessions"), sid)
         gone = deleted.first()["deleted"]
         if gone:
-            keys = KEYS["errors"][0]
-            kept = self._bucketed(staged(left, "errors"), keys)
-            kept.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self.path("errors"))
+            kept = self._bucketed("errors", staged(left, "errors"), KEYS["errors"][0])
+            before, after = self._buckets_of(self._stored("errors")), self._buckets_of(kept)
+            self._rewrite("errors", kept)
+            self._drop_buckets("errors", set(before) - set(after))
         return gone
 
     def report(self, now: int) -> DataFrame:
         rows = staged(reports.session_report(
             *(self.read(t) for t in ("snapshots", "patterns", "errors", "sessions")), now=now), "reports")
-        self.append("reports", rows)
+        self.append("reports", rows.select(*schemas.REPORTS.names))
         return rows
 
     def status(self) -> DataFrame:
         names = ["snapshots", "patterns", "decisions", "sessions", "errors", "packages"]
-        return reports.status(**{n: self.read(n) for n in names if self.exists(n)})
+        return reports.status(**{n: self.read(n) for n in names})
