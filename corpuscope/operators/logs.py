@@ -108,6 +108,11 @@ def session_rows(logs: DataFrame) -> DataFrame:
     return latest(log_sessions(logs), ["session_id"], ["timestamp"])
 
 
+def session_names(logs: DataFrame) -> DataFrame:
+    """(session_id, sid) of the same sessions, for reports: no log text is shuffled."""
+    return log_sessions(logs).select("session_id", "sid").distinct()
+
+
 def with_session_embedding(sessions: DataFrame) -> DataFrame:
     return sessions.withColumn("embedding", embed_text(F.concat_ws(" ", "command", "output")))
 

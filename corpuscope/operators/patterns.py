@@ -89,9 +89,9 @@ def extract_patterns(files: DataFrame, rules: DataFrame) -> DataFrame:
     with_language = files.select(
         F.coalesce("sid", F.lit(DEFAULT_SID)).alias("sid"), "file_path", "content",
         language(F.col("file_path")).alias("language"))
+    # The expression stays inside the explode: on a column of its own, Spark would derive a
+    # filter from the explode and match every text twice.
     found = applicable_rules(with_language, rules).select(
         "sid", "file_path", "pattern_name", "log_key", "action",
-        matches_with_lines(F.col("content"), F.col("regex")).alias("found"))
-    return found.select(
-        "sid", "file_path", "pattern_name", "log_key", "action", F.posexplode("found").alias("match_no", "m"),
-    ).select("*", "m.matched_text", "m.line_number").select(*PATTERNS.names)
+        F.posexplode(matches_with_lines(F.col("content"), F.col("regex"))).alias("match_no", "m"))
+    return found.select("*", "m.matched_text", "m.line_number").select(*PATTERNS.names)

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpuscope.functions.vectors import embed_text
 from corpuscope.operators import changes, ledger, logs, packages, patterns, reports, search, snapshots
 from corpuscope.plans import fixtures
-from corpuscope.sources.texts import default_rules, rules_from_texts
+from corpuscope.sources.texts import default_rules, read_packages, rules_from_texts, write_packages
 from corpuscope.session import scratch_path, staged
 from corpuscope.streaming.watch import watch
 
@@ -39,8 +39,10 @@ def _sessions(spark, sf) -> DataFrame:
     return logs.log_sessions(fixtures.logs(spark, sf))
 
 
-def _stored_logs(spark, sf):
-    return logs.parse_logs(fixtures.logs(spark, sf))
+def _errors(spark, sf):
+    """(session names, errors) of all logs."""
+    raw = fixtures.logs(spark, sf)
+    return logs.session_names(raw), logs.parse_logs(raw)[1]
 
 
 def _human(spark, sf) -> DataFrame:
@@ -217,7 +219,7 @@ def pattern_decisions(spark, sf):
 
 @query
 def log_sessions(spark, sf):
-    sessions, _ = _stored_logs(spark, sf)
+    sessions, _ = logs.parse_logs(fixtures.logs(spark, sf))
     return sessions.select("session_id", "sid", "command", "output",
                            F.col("exit_code").cast("long").alias("exit_code"), "timestamp")
 
@@ -225,7 +227,7 @@ def log_sessions(spark, sf):
 @query
 def session_vectors(spark, sf):
     """How many dimensions of each session's vector are set, and their total."""
-    sessions, _ = _stored_logs(spark, sf)
+    sessions, _ = logs.parse_logs(fixtures.logs(spark, sf))
     vectors = logs.with_session_embedding(sessions)
     return vectors.select(
         "session_id", F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("dims"),
@@ -251,21 +253,21 @@ def generic_failures(spark, sf):
 
 @query
 def parse_logs(spark, sf):
-    _, errors = _stored_logs(spark, sf)
+    _, errors = _errors(spark, sf)
     return _error_columns(errors)
 
 
 @query
 def errors_reparsed(spark, sf):
     """Writing the errors of the same logs a second time, later, changes nothing."""
-    _, errors = _stored_logs(spark, sf)
+    _, errors = _errors(spark, sf)
     again = errors.withColumn("timestamp", F.col("timestamp") + 1000).withColumn("error_type", F.lit("later"))
     return _error_columns(ledger.insert_ignore(errors, again, logs.ERROR_KEY, ["timestamp", "ordinal"]))
 
 
 @query
 def errors_by_session(spark, sf):
-    sessions, errors = _stored_logs(spark, sf)
+    sessions, errors = _errors(spark, sf)
     listed = reports.list_errors(errors, sessions)
     return listed.select("sid", "session_id", "error_type", "file_path", *_unset("line_number", "column_number"),
                          "message", "timestamp", "logged_at")
@@ -273,7 +275,7 @@ def errors_by_session(spark, sf):
 
 @query
 def recent_distinct_errors(spark, sf):
-    sessions, errors = _stored_logs(spark, sf)
+    sessions, errors = _errors(spark, sf)
     return packages.recent_distinct_errors(errors, sessions).select(
         "sid", F.col("position").cast("long").alias("position"), "error_type", "file_path",
         *_unset("line_number"), "message", "timestamp")
@@ -281,14 +283,14 @@ def recent_distinct_errors(spark, sf):
 
 @query
 def clear_errors(spark, sf):
-    sessions, errors = _stored_logs(spark, sf)
+    sessions, errors = _errors(spark, sf)
     left, _ = reports.clear_errors(errors, sessions, "u10")
     return _error_columns(left)
 
 
 @query
 def clear_errors_count(spark, sf):
-    sessions, errors = _stored_logs(spark, sf)
+    sessions, errors = _errors(spark, sf)
     return reports.clear_errors(errors, sessions, "u10")[1]
 
 
@@ -307,7 +309,7 @@ def upsert_decisions_per_session(spark, sf):
 @query
 def decision_ledger(spark, sf):
     """The ledger after the four producers that these tables feed."""
-    _, errors = _stored_logs(spark, sf)
+    _, errors = _errors(spark, sf)
     return _decision_columns(ledger.merge_decisions(
         _human(spark, sf), ledger.error_decisions(errors), ledger.pattern_decisions(_patterns(spark, sf), NOW),
         ledger.change_decisions(_snapshots(spark, sf), NOW)))
@@ -332,13 +334,13 @@ def snapshot_takeover(spark, sf):
 
 @query
 def session_report(spark, sf):
-    sessions, errors = _stored_logs(spark, sf)
+    sessions, errors = _errors(spark, sf)
     return reports.session_report(_snapshots(spark, sf), _patterns(spark, sf), errors, sessions, NOW)
 
 
 @query
 def status(spark, sf):
-    sessions, errors = _stored_logs(spark, sf)
+    sessions, errors = _errors(spark, sf)
     return reports.status(files=_snapshots(spark, sf), patterns=_patterns(spark, sf), decisions=_ledger(spark, sf),
                           sessions=sessions, errors=errors)
 
@@ -346,7 +348,7 @@ def status(spark, sf):
 # --- packages ----------------------------------------------------------------------------
 
 def _packages(spark, sf) -> DataFrame:
-    sessions, errors = _stored_logs(spark, sf)
+    sessions, errors = _errors(spark, sf)
     return packages.build_package(_ledger(spark, sf), errors, sessions, _snapshots(spark, sf), NOW)
 
 
@@ -358,7 +360,7 @@ def package_assumptions(spark, sf):
 
 @query
 def package_invariants(spark, sf):
-    sessions, errors = _stored_logs(spark, sf)
+    sessions, errors = _errors(spark, sf)
     return packages.package_invariants(errors, sessions).select(
         "sid", F.col("position").cast("long").alias("position"), "name", "condition")
 
@@ -370,9 +372,10 @@ def package_preamble(spark, sf):
 
 @query
 def package_round_trip(spark, sf):
-    """Packages built, turned to text, and read back from the text around them."""
-    texts = _packages(spark, sf).select("sid", F.col("export").alias("text"))
-    parsed = packages.parse_package(texts)
+    """Packages built, written as text, and read back."""
+    path = scratch_path(spark, "packages")
+    write_packages(_packages(spark, sf), path)
+    parsed = packages.parse_package(read_packages(spark, path, one_per_line=True)).withColumn("sid", F.col("metadata.sid"))
     assumptions = parsed.select("sid", F.posexplode("assumptions").alias("i", "a")).select(
         "sid", F.lit("assumption").alias("kind"), F.col("i").cast("long") + 1, "a.name", "a.value", "a.constraint")
     invariants = parsed.select("sid", F.posexplode("invariants").alias("i", "v")).select(
