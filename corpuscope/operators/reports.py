@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from corpuscope.functions.text import epoch_text
+from corpuscope.operators.skew import salted_join
 
 # Report metric -> log key of the patterns it counts.
 PATTERN_METRICS = {"functions": "function.declared", "queries": "database.query", "api_calls": "api.called"}
@@ -12,15 +13,16 @@ METRICS = ["files", *PATTERN_METRICS, "errors"]
 
 
 def with_sid(errors: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Errors whose session exists, with the session's sid.
-
-    Sessions are unique by id and pass as two narrow columns; a session with very many
-    errors is split by adaptive skew-join handling, since only the error side repeats."""
-    return errors.drop("sid").join(sessions.select("session_id", "sid"), "session_id")
+    """Errors whose session exists, with the session's sid. Sessions are unique by id."""
+    return salted_join(errors.drop("sid"), sessions.select("session_id", "sid"), "session_id", "inner")
 
 
 def errors_of(errors: DataFrame, sessions: DataFrame, sid: str) -> DataFrame:
-    return errors.join(sessions.where(F.col("sid") == sid).select("session_id"), "session_id", "left_semi")
+    return salted_join(errors, _ids_of(sessions, sid), "session_id", "left_semi")
+
+
+def _ids_of(sessions: DataFrame, sid: str) -> DataFrame:
+    return sessions.where(F.col("sid") == sid).select("session_id")
 
 
 def list_errors(errors: DataFrame, sessions: DataFrame, sid: str | None = None) -> DataFrame:
@@ -33,9 +35,8 @@ def list_errors(errors: DataFrame, sessions: DataFrame, sid: str | None = None)
 
 def clear_errors(errors: DataFrame, sessions: DataFrame, sid: str):
     """(errors left, number deleted as a one-row DataFrame) for one session name."""
-    ids = sessions.where(F.col("sid") == sid).select("session_id")
-    deleted = errors.join(ids, "session_id", "left_semi").agg(F.count("*").alias("deleted"))
-    return errors.join(ids, "session_id", "left_anti"), deleted
+    deleted = errors_of(errors, sessions, sid).agg(F.count("*").alias("deleted"))
+    return salted_join(errors, _ids_of(sessions, sid), "session_id", "left_anti"), deleted
 
 
 def session_metrics(snapshots: DataFrame, patterns: DataFrame, errors: DataFrame,
@@ -56,7 +57,7 @@ def session_metrics(snapshots: DataFrame, patterns: DataFrame, errors: DataFrame
         part(patterns.groupBy("sid").agg(*[
             F.count_if(F.col("log_key") == key).alias(m) for m, key in PATTERN_METRICS.items()]),
             **{m: F.col(m) for m in PATTERN_METRICS}),
-        part(with_sid(per_session, sessions), errors=F.col("n")),
+        part(per_session.join(sessions.select("session_id", "sid"), "session_id"), errors=F.col("n")),
     ]
     return reduce(DataFrame.unionByName, parts).groupBy("sid").agg(*[F.sum(m).alias(m) for m in METRICS])
 

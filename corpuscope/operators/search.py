@@ -98,13 +98,14 @@ def text_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
     and only for them are the other words looked up. A word of several tokens (`a_b`) has to
     appear as a phrase. Queries that are not plain word lists hit nothing, as they would be
     rejected (see `query_words`)."""
-    words = queries.select("query_id", F.col("sid").alias("query_sid"), F.posexplode(F.filter(
-        F.transform(query_words(F.col("query_text")), search_tokens), lambda t: F.size(t) > 0),
-    ).alias("word_no", "tokens"))
-    tokens = words.select("query_id", "query_sid", "word_no", F.size("tokens").alias("n_tokens"),
+    words = queries.select("query_id", F.col("sid").alias("query_sid"), F.filter(
+        F.transform(query_words(F.col("query_text")), search_tokens), lambda t: F.size(t) > 0).alias("words"))
+    words = words.select("query_id", "query_sid", F.size("words").alias("n_words"),
+                         F.posexplode("words").alias("word_no", "tokens"))
+    tokens = words.select("query_id", "query_sid", "n_words", "word_no", F.size("tokens").alias("n_tokens"),
                           F.posexplode("tokens").alias("token_no", "token"))
     # Only tokens that some query asks for; written once, for the three uses below.
-    asked = staged(postings.join(tokens.select("token").distinct(), "token", "left_semi"), "asked-postings")
+    asked = staged(postings.join(tokens.select("token"), "token", "left_semi"), "asked-postings")
 
     frequency = asked.groupBy("token").agg(F.count("*").alias("n"))
     rarest = tokens.join(frequency, "token", "left").groupBy("query_id", "query_sid").agg(
@@ -114,16 +115,14 @@ def text_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
 
     wanted = candidates.join(tokens.drop("query_sid"), "query_id")
     single = F.col("n_tokens") == 1
-    found = wanted.where(single).join(asked.select("file_path", "token"), ["file_path", "token"], "left_semi").select(
-        "query_id", "file_path", "sid", "word_no")
+    word = ["query_id", "file_path", "sid", "n_words", "word_no"]
+    found = wanted.where(single).join(
+        asked.select("file_path", "token"), ["file_path", "token"], "left_semi").select(*word)
     phrases = wanted.where(~single).join(asked.select("file_path", "token", "field", "pos"), ["file_path", "token"])
-    starts = phrases.groupBy("query_id", "file_path", "sid", "word_no", "n_tokens", "field",
-                             (F.col("pos") - F.col("token_no")).alias("start")).count()
-    found = found.unionByName(starts.where(F.col("count") == F.col("n_tokens")).select(*found.columns))
-    n_words = words.groupBy("query_id").agg(F.count("*").alias("n_words"))
-    per_file = found.groupBy("query_id", "file_path", "sid").agg(F.count_distinct("word_no").alias("found"))
-    return per_file.join(n_words, "query_id").where(F.col("found") == F.col("n_words")).select(
-        "query_id", "file_path", "sid")
+    starts = phrases.groupBy(*word, "n_tokens", "field", (F.col("pos") - F.col("token_no")).alias("start")).count()
+    found = found.unionByName(starts.where(F.col("count") == F.col("n_tokens")).select(*word))
+    per_file = found.groupBy("query_id", "file_path", "sid", "n_words").agg(F.count_distinct("word_no").alias("found"))
+    return per_file.where(F.col("found") == F.col("n_words")).select("query_id", "file_path", "sid")
 
 
 # --- cosine top-k ------------------------------------------------------------------------

@@ -1,0 +1,16 @@
+"""Joins whose large side may have one key in a large part of its rows."""
+
+from pyspark.sql import DataFrame, functions as F
+
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, narrow: DataFrame, key: str, how: str, salts: int = SALTS) -> DataFrame:
+    """Join `rows` with a narrow table that has each key once.
+
+    The rows of one key spread over `salts` tasks by a hash of their content, and the narrow
+    side is repeated for each. Adaptive skew handling does this only where a shuffle comes
+    directly before the join, which it does not after a `distinct` on the same key."""
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    repeated = narrow.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", salt).join(repeated, [key, "salt"], how).drop("salt")

@@ -107,12 +107,12 @@ class Workspace:
         self._rewrite(name, merged)
         self._drop_buckets(name, set(touched) - set(filled))
 
-    def index(self, files: DataFrame, rules: DataFrame, now: int, root: str = "") -> None:
+    def index(self, files: DataFrame, rules: DataFrame, now: int) -> None:
         """Snapshots, patterns, postings and pattern decisions of `files`."""
         from corpuscope.operators.snapshots import index_corpus
 
         files = staged(files.select(*schemas.FILES.names), "files")
-        snapshots, patterns, postings = index_corpus(files, rules, root)
+        snapshots, patterns, postings = index_corpus(files, rules)
         paths = snapshots.select("file_path")
         self.write_keyed("snapshots", snapshots)
         self.write_derived("patterns", patterns, paths)

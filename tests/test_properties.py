@@ -225,3 +225,24 @@ def test_changed_files_equals_brute_force(spark, block, emit_new):
 def test_results_do_not_depend_on_partitions(spark, files):
     runs = [search.build_postings(files.repartition(n)).groupBy("token").count() for n in (1, 7)]
     assert len({frozenset(map(tuple, r.collect())) for r in runs}) == 1
+
+
+def test_hot_session_join_is_split(spark):
+    """A session with a third of all errors is joined by several tasks, and nothing is lost."""
+    errors = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("i"), F.col("id") % 999)).alias("session_id"),
+        F.col("id").alias("ordinal"))
+    sessions = errors.select("session_id").distinct().withColumn("sid", F.lit("s"))
+    threshold = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    for t in threshold:
+        spark.conf.set(t, "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = reports.with_sid(errors, sessions)
+        sizes = joined.where("session_id = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+        assert joined.count() == 30_000 and len(sizes) == 4 and max(r[1] for r in sizes) < 6_000
+        assert reports.errors_of(errors, sessions, "s").count() == 30_000
+        assert reports.clear_errors(errors, sessions, "s")[0].count() == 0
+    finally:
+        for t in (*threshold, "spark.sql.adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(t)

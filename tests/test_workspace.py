@@ -67,19 +67,19 @@ def test_workspace(spark, source, tmp_path):
     ws, rules = Workspace(spark, str(tmp_path / "ws"), buckets=4), texts.default_rules(spark)
     files = tree.read_tree(spark, source, "s")
     for _ in range(2):
-        ws.index(files, rules, now=100, root=source)
+        ws.index(files, rules, now=100)
     counts = lambda: {r.metric: r.n for r in ws.status().collect()}
     none = {"sessions": 0, "errors": 0, "packages": 0}
     assert counts() == {"snapshots": 5, "patterns": 3, "decisions": 2} | none
     # one file changes, and belongs to another session from then on
-    ws.index(spark.createDataFrame([("t", f"{source}/m.c", 9, "int g(int b) {\nint h() {\n")], files.drop("read_error").schema), rules, 200, source)
+    ws.index(spark.createDataFrame([("t", f"{source}/m.c", 9, "int g(int b) {\nint h() {\n")], files.drop("read_error").schema), rules, 200)
     assert counts() == {"snapshots": 5, "patterns": 4, "decisions": 4} | none
     assert ws.read("snapshots", "t").first().file_path == f"{source}/m.c"
     assert {r.matched_text for r in ws.read("patterns", "t").collect()} == {"int g(int b) {", "int h() {"}
     assert ws.read("postings").where("token = 'f'").count() == 0
 
     # a file without matches any more leaves no old ones behind
-    ws.index(spark.createDataFrame([("s", f"{source}/sub/_x/deep.PY", 9, "pass")], files.drop("read_error").schema), rules, 200, source)
+    ws.index(spark.createDataFrame([("s", f"{source}/sub/_x/deep.PY", 9, "pass")], files.drop("read_error").schema), rules, 200)
     assert counts()["patterns"] == 3 and ws.read("patterns").where("file_path like '%deep.PY'").count() == 0
 
     logs = spark.createDataFrame([("s", "$ make\na.c:1:2: error: x\nb.c:3:4: note: y\n", 5)], "sid string, output string, timestamp long")
