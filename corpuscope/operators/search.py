@@ -1,6 +1,7 @@
 """Full-text search over postings, cosine top-k, and their merged ranking."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from corpuscope.functions.text import query_words, search_tokens
 from corpuscope.functions.vectors import cosine, embed_text, has_embedding
@@ -132,8 +133,7 @@ def _embedded(queries: DataFrame) -> DataFrame:
     sid = F.col("sid") if "sid" in queries.columns else F.lit(None).cast("string")
     vector = F.col("embedding") if "embedding" in queries.columns else embed_text(F.col("query_text"))
     text = F.col("query_text") if "query_text" in queries.columns else F.lit(None).cast("string")
-    return queries.select(F.col("query_id").cast("long").alias("query_id"), sid.alias("sid"),
-                          text.alias("query_text"), vector.alias("embedding"))
+    return queries.select("query_id", sid.alias("sid"), text.alias("query_text"), vector.alias("embedding"))
 
 
 def _unit_rows(vectors):
@@ -184,7 +184,7 @@ def _batch_top_k(table, q_ids, q_sids, q_vectors, tie, k, threshold):
             scores.append(part[picked, column])
     rows, queries, scores = map(np.concatenate, (rows, queries, scores))
     out = table.drop_columns(["embedding"]).take(pa.array(rows))
-    out = out.append_column("query_id", pa.array(np.asarray(q_ids, dtype=np.int64)[queries]))
+    out = out.append_column("query_id", q_ids.take(pa.array(queries)))
     return out.append_column("score", pa.array(scores, pa.float64()))
 
 
@@ -210,7 +210,8 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, tie: str, k: int, thresh
     carried = [c for c in corpus.columns if c != "embedding"]
     corpus = corpus.select(*carried, "embedding")
     schema = T.StructType([corpus.schema[c] for c in carried] + [
-        T.StructField("query_id", T.LongType()), T.StructField("score", T.DoubleType())])
+        queries.schema["query_id"], T.StructField("score", T.DoubleType())])
+    id_type = to_arrow_type(queries.schema["query_id"].dataType)
     asked = _embedded(queries).select("query_id", "sid", "embedding")
     small = rows_if_at_most(asked, max_broadcast)
     if small is not None:
@@ -226,6 +227,7 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, tie: str, k: int, thresh
             import pyarrow as pa
 
             ids, sids, vectors = packed.value
+            ids = pa.array(ids, id_type)
             for batch in batches:
                 best = _batch_top_k(pa.Table.from_batches([batch]), ids, sids, vectors, tie, k, threshold)
                 if best is not None:
@@ -240,14 +242,9 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, tie: str, k: int, thresh
         vectors = queries_here.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
         best = None
         if left.num_rows and right.num_rows:
-            best = _batch_top_k(left.drop_columns(["q_block", "c_block"]), right.column("query_id").to_pylist(),
+            best = _batch_top_k(left.drop_columns(["q_block", "c_block"]), right.column("query_id").combine_chunks(),
                                 right.column("sid").to_pylist(), vectors, tie, k, threshold)
-        return best.select(schema.names) if best is not None else schema_table()
-
-    def schema_table():
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        return to_arrow_schema(schema).empty_table()
+        return best.select(schema.names) if best is not None else to_arrow_schema(schema).empty_table()
 
     q_blocks = -(-asked.count() * 2 // max_broadcast)
     c_blocks = max(1, -(-corpus.count() * 2 // block_rows))

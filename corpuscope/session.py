@@ -22,24 +22,37 @@ def local_session(cores="*", shuffle_partitions=8, memory="8g"):
     return spark
 
 
+_local_dirs = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`.
 
     Where it is unset, local mode gets a temporary folder; a cluster is refused,
-    since a folder on one machine would lose data with that machine.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    since a folder on one machine would lose data with that machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="corpuscope-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="corpuscope-")
+    return _local_dirs[app]
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/corpuscope/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpuscope/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the tables this application staged; DataFrames made from them end here."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -50,12 +63,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# A table in at most this many pieces (2 GB at the default split size) may be spread.
+FEW_PIECES = 16
+
+
 def read_spread(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table, spread over all cores where it is stored in fewer pieces than there
-    are cores (a large table never is, and is read as it lies)."""
+    """A parquet table; one stored in a few pieces, fewer than there are cores, is spread over
+    all cores. A large table is read as it lies."""
     rows = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    cores, pieces = spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
+    return rows.repartition(cores) if pieces < cores and pieces <= FEW_PIECES else rows
 
 
 def rows_if_at_most(df: DataFrame, limit: int):

@@ -15,6 +15,9 @@ KEYS = {
     "packages": (["package_id"], ["timestamp"]),
 }
 
+# table -> the column its files are sorted by, so that parquet statistics skip other values
+SORTED_BY = {"postings": "token"}
+
 _VECTOR = [T.StructField("embedding", T.ArrayType(T.DoubleType()))]
 TABLES = {
     "decisions": T.StructType(schemas.DECISIONS.fields + _VECTOR),
@@ -73,7 +76,8 @@ class Workspace:
     def _rewrite(self, name: str, rows: DataFrame) -> None:
         # the second term splits a bucket over tasks; the bucket alone would be one task
         spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "bucket"]), F.lit(8))
-        (rows.repartition("bucket", spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (rows.repartition("bucket", spread).sortWithinPartitions("bucket", SORTED_BY.get(name, "sid"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket").parquet(self.path(name)))
 
     def _drop_buckets(self, name: str, buckets) -> None:
