@@ -114,7 +114,8 @@ def text_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
     in_session = F.col("query_sid").isNull() | (F.col("query_sid") == F.col("sid"))
     candidates = asked.join(rarest, "token").where(in_session).select("query_id", "file_path", "sid").distinct()
 
-    wanted = candidates.join(tokens.drop("query_sid"), "query_id")
+    # one query may ask several sessions, in a row for each
+    wanted = candidates.join(tokens.drop("query_sid").distinct(), "query_id")
     single = F.col("n_tokens") == 1
     word = ["query_id", "file_path", "sid", "n_words", "word_no"]
     found = wanted.where(single).join(
@@ -129,7 +130,8 @@ def text_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
 # --- cosine top-k ------------------------------------------------------------------------
 
 def _embedded(queries: DataFrame) -> DataFrame:
-    """Queries (query_id, query_text[, sid]) with vectors; a NULL sid asks every session."""
+    """Queries (query_id, query_text[, sid]) with vectors; a NULL sid asks every session, and
+    a query may have a row for each of several sessions."""
     sid = F.col("sid") if "sid" in queries.columns else F.lit(None).cast("string")
     vector = F.col("embedding") if "embedding" in queries.columns else embed_text(F.col("query_text"))
     text = F.col("query_text") if "query_text" in queries.columns else F.lit(None).cast("string")
@@ -275,7 +277,7 @@ def similar_files(snapshots: DataFrame, postings: DataFrame, queries: DataFrame,
     asked = _embedded(queries)
     by_vector = similar_files_by_vector(snapshots, asked, k, threshold, **plan).drop("rank")
     hits = text_hits(postings, asked).select("query_id", "file_path")
-    vectors = asked.select("query_id", F.col("embedding").alias("query_embedding"))
+    vectors = asked.select("query_id", F.col("embedding").alias("query_embedding")).dropDuplicates(["query_id"])
     text_only = (
         hits.join(snapshots.select("file_path", "sid", "embedding"), "file_path").join(vectors, "query_id")
         .where(~has_embedding(F.col("embedding"))

@@ -263,6 +263,15 @@ select sha256(concat(sid, '_{NOW}')) as report_id, sid, cast({NOW} as bigint) as
     "status": _with(*_PATTERNS, *_ERRORS, *_LEDGER, then=" union all ".join(
         f"select '{m}' as metric, count(*) as n from {t}" for m, t in (
             ("files", "snapshots"), ("patterns", "found"), ("decisions", "decisions"), ("sessions", "sessions"), ("errors", "errors")))),
+    "workspace_status": _with(
+        *_PATTERNS, *_ERRORS, *_fixture("logged"), _HUMAN, _PATTERN_DECISIONS, _ERROR_DECISIONS, then="""
+select 'snapshots' as metric, count(*) as n from snapshots
+union all select 'patterns', count(*) from found
+union all select 'decisions', count(distinct node_id) from (
+  select node_id from human union all select node_id from from_patterns union all select node_id from from_errors)
+union all select 'sessions', count(*) from sessions
+union all select 'errors', count(*) from errors where sid <> 'u10'
+union all select 'packages', 0"""),
     "package_assumptions": _with(*_PACKAGE, then="select sid, position, name, value, \"constraint\" from assumptions"),
     "package_invariants": _with(*_PACKAGE, then="select sid, position, name, condition from invariants"),
     "package_preamble": _with(*_PACKAGE, then=f"""

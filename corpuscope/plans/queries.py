@@ -7,6 +7,7 @@ from corpuscope.operators import changes, ledger, logs, packages, patterns, repo
 from corpuscope.plans import fixtures
 from corpuscope.sources.texts import default_rules, read_packages, rules_from_texts, write_packages
 from corpuscope.session import scratch_path, staged
+from corpuscope.sources.workspace import Workspace
 from corpuscope.streaming.watch import watch
 
 # The time at which the queries "run".
@@ -345,6 +346,19 @@ def status(spark, sf):
                           sessions=sessions, errors=errors)
 
 
+@query
+def workspace_status(spark, sf):
+    """A workspace after indexing, parsing the same logs twice, logging and clearing errors."""
+    ws = Workspace(spark, scratch_path(spark, "workspace"), buckets=2)
+    ws.index(_files(spark, sf), default_rules(spark), NOW)
+    raw = staged(fixtures.logs(spark, sf), "logs")
+    ws.parse(raw)
+    ws.parse(raw)
+    ws.log(fixtures.decisions(spark, sf))
+    ws.clear_errors("u10")
+    return ws.status()
+
+
 # --- packages ----------------------------------------------------------------------------
 
 def _packages(spark, sf) -> DataFrame:

@@ -32,6 +32,7 @@ def _file_system(path):
 def _list_folders(batches):
     """The entries of each folder: hidden names left out, links followed, but not into a
     folder that contains the link (it would never end)."""
+    import itertools
     import os
 
     import pyarrow as pa
@@ -53,9 +54,9 @@ def _list_folders(batches):
     types = [pa.string(), pa.bool_(), pa.int64(), pa.int64()]
     for batch in batches:
         for folder in batch.column(0).to_pylist():
-            found = list(rows(folder))
-            columns = list(zip(*found)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+            entries = rows(folder)
+            while some := list(itertools.islice(entries, 50_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names)
 
 
 def _read_files(batches):

@@ -99,9 +99,11 @@ class Workspace:
         self.write_keyed("errors", errors, ignore_existing=True)
 
     def write_derived(self, name: str, rows: DataFrame, changed_paths: DataFrame) -> None:
-        """Patterns or postings: rows of re-indexed files replace all earlier rows of those files."""
+        """Patterns or postings: rows of re-indexed files replace all earlier rows of those files.
+
+        `rows` is read twice, so it should be a stored table."""
         keys = ["file_path"]
-        new = self._bucketed(name, staged(rows, name), keys)
+        new = self._bucketed(name, rows, keys)
         paths = changed_paths.select("file_path").distinct().withColumn(
             "bucket", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int"))
         touched = self._buckets_of(paths)
@@ -118,6 +120,7 @@ class Workspace:
         files = staged(files.select(*schemas.FILES.names), "files")
         snapshots, patterns, postings = index_corpus(files, rules)
         paths = snapshots.select("file_path")
+        patterns, postings = staged(patterns, "patterns"), staged(postings, "postings")
         self.write_keyed("snapshots", snapshots)
         self.write_derived("patterns", patterns, paths)
         self.write_derived("postings", postings, paths)

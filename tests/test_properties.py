@@ -79,7 +79,7 @@ def vector(spark, texts):
     return {i: np.array(v) for i, v in rows}
 
 
-QUERIES = ["the tree", "A_B", "été", "HOT", "a b", "node OR x1", "tree, node", "zzz", "the the of", "", "_", "naive f7", "S3 zeta"]
+QUERIES = ["the tree", "A_B", "été", "HOT", "a b", "node OR x1", "tree, node", "zzz", "the the of", "", "_", "naive f7", "S3 zeta", "a_b THE", "x1 x1_x1", "A_b src"]
 
 
 def brute_hits(rows, query):
@@ -95,7 +95,7 @@ def brute_hits(rows, query):
 @pytest.mark.parametrize("plan", [{}, {"max_broadcast": 4, "block_rows": 20}])
 def test_similar_files_equals_brute_force(spark, files, plan):
     rows = some_files(90)
-    queries = spark.createDataFrame([(i, q, None if i % 4 else "hot") for i, q in enumerate(QUERIES)],
+    queries = spark.createDataFrame([(i, q, sid) for i, q in enumerate(QUERIES) for sid in ((None,) if i % 4 else ("hot", "s3"))],
                                     "query_id long, query_text string, sid string")
     vectors, asked = vector(spark, [r[2] for r in rows]), vector(spark, QUERIES)
     from corpuscope.operators.snapshots import snapshot_files
@@ -109,7 +109,7 @@ def test_similar_files_equals_brute_force(spark, files, plan):
         hits = brute_hits(rows, query)
         per_sid = defaultdict(list)
         for i, (sid, path, _) in enumerate(rows):
-            if q % 4 == 0 and sid != "hot":
+            if q % 4 == 0 and sid not in ("hot", "s3"):
                 continue
             norm = np.linalg.norm(vectors[i]) * np.linalg.norm(asked[q]) + 1e-8
             score = float(vectors[i] @ asked[q] / norm)
