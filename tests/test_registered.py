@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import TABLES, canonical
+from corpuscope.plans.oracle import SQL
+from corpuscope.plans.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,12 +20,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(REGISTRY) == set(SQL)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(REGISTRY))
 def test_query(spark, con, name):
-    df, sql = queries()[name](spark, SF), con.sql(oracle_sql()[name])
+    df, sql = REGISTRY[name](spark, SF), con.sql(SQL[name])
     assert sorted(df.columns) == sorted(sql.columns)
     rows = [tuple(r) for r in df.collect()]
     assert rows and canonical(df.columns, rows) == canonical(sql.columns, sql.fetchall())
