@@ -1,7 +1,16 @@
 """Cleaning, deduplicating, mixing and packing a corpus: each stage works on what the last one kept."""
 
-from corpuscope.llm import exact_dedup
+import public_tokenizers
+
+from corpuscope.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
 from corpuscope.llm.tables import Staged
+from corpuscope.llm.training import remainder
+
+
+def remove_toxic(spark, docs, sf_dir):
+    """Documents below the toxicity threshold; the model is fitted on the labelled rows that op4 uses."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(remainder(4) != 2)
+    return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
 
 def remove_copies(spark, docs, sf_dir):
@@ -9,14 +18,36 @@ def remove_copies(spark, docs, sf_dir):
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("exact dedup", remove_copies)]
+def remove_near_copies(spark, docs, sf_dir):
+    """Of linked documents the row with the smallest doc_id."""
+    return jaccard_join.keep_first(docs)
+
+
+def mix_sources(spark, docs, sf_dir):
+    """Each document as often as the mix takes its words."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark, docs, sf_dir):
+    """The pieces of all documents in sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("exact dedup", remove_copies),
+    ("n-gram Jaccard join", remove_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
+# Models and tokenizers have no SQL; tests compare the stages with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     """All stages over `documents`, each written as Parquet and read again."""
     tables, docs = Staged(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = tables.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for number, (_, stage) in enumerate(STAGES):
+        docs = tables.write(stage(spark, docs, sf_dir), f"stage-{number}")
     return docs

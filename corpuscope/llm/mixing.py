@@ -2,11 +2,12 @@
 
 Each source's documents are laid end to end in a pseudorandom order and cut into blocks of
 `BLOCK` words. Every output shard draws how many of its slots go to each source; the draws are
-multinomial counts conditioned on the totals (slots are dealt by stratified uniforms), so a
-source's total is within one block of its target. Slot q of a source takes block
-perm(q mod blocks) with a permutation of the source's and round's own, and joins it by index."""
+multinomial counts conditioned on the totals: all slots of all sources, each source's number
+fixed by its target, are dealt to the shards by one pseudorandom permutation. A source's total is
+so within one block of its target. Slot q of a source takes block perm(q mod blocks) with a
+permutation of the source's and round's own, and joins it by index."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuscope.llm.tables import Staged, documents
 
@@ -14,16 +15,20 @@ BLOCK = 32
 SHARE = 1.5
 LIMIT = 2.0
 WEIGHTS = (3, 1, 2)
-BUCKETS = 256
+# Slots of one output shard, and slots that one row stands for before they are spread.
+SHARD = 4096
+# Parts of each source's order; a running sum never crosses one.
+BUCKETS = 1024
 ROUNDS = 4
-WORD = r"[^\x20\x09-\x0D]+"
+SEED = 20240229
+WHITE = "\x20\x09\x0A\x0B\x0C\x0D"
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size: the number of words; 0 for null or empty texts."""
-    words = F.size(F.split(F.btrim(F.coalesce("text", F.lit("")), F.lit("\x20\x09\x0A\x0B\x0C\x0D")), r"[\x20\x09-\x0D]+", -1))
-    blank = F.btrim(F.coalesce("text", F.lit("")), F.lit("\x20\x09\x0A\x0B\x0C\x0D")) == ""
-    return docs.select("doc_id", "source", F.when(blank, 0).otherwise(words).cast("long").alias("size"))
+    text = F.btrim(F.coalesce("text", F.lit("")), F.lit(WHITE))
+    words = F.size(F.split(text, r"[\x20\x09-\x0D]+", -1))
+    return docs.select("doc_id", "source", F.when(text == "", 0).otherwise(words).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
@@ -43,25 +48,108 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: floa
     wanted = F.sum("source_size").over(everything) * F.lit(share)
     rest = wanted - F.coalesce(F.sum(F.col("source_size") * F.lit(limit)).over(before), F.lit(0.0))
     weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    factor = ranked.withColumn("factor", rest / weight_left)
+    factor = ranked.withColumn("factor", F.try_divide(rest, weight_left))
     # the first source in filling order that is not full sets the factor of all that follow
     open_factor = F.min(F.when(F.col("factor") < F.col("full"), F.struct("full", "factor"))).over(everything)["factor"]
     target = F.when(open_factor.isNull(), F.col("source_size") * F.lit(limit)).otherwise(
         F.least(F.col("source_size") * F.lit(limit), open_factor * F.col("weight")))
-    return factor.select("source", "source_size", target.cast("double").alias("target"))
+    return factor.select("source", "source_size", target.cast("double").alias("target"), F.row_number().over(order).alias("number"))
 
 
 def permuted(index: Column, size: Column, seed: Column) -> Column:
-    """A bijection on 0 .. size - 1: in each round the largest power of two that fits is mixed by
-    odd multiplication and a shift (both reversible), then everything is rotated by half the size."""
+    """A bijection on 0 .. size - 1 that `seed` chooses. In each round the values below the largest
+    power of two that fits are mixed by odd multiplication and a shift (both reversible), then all
+    are rotated by half the size."""
     bits = F.floor(F.log2(size.cast("double") + 0.5)).cast("int")
-    for r in range(ROUNDS):
-        key = F.xxhash64(seed, F.lit(r))
-        odd = F.pmod(key, F.lit(1 << 20)).bitwiseOR(F.lit(1))
-        low = F.expr("1L") * F.pow(F.lit(2.0), bits).cast("long")
-        mask = low - 1
-        mixed = (index * odd).bitwiseAND(mask)
-        mixed = mixed.bitwiseXOR(F.call_function("shiftright", mixed, F.greatest(F.lit(1), F.floor((bits + 1) / 2).cast("int"))))
-        mixed = (mixed + F.pmod(F.xxhash64(seed, F.lit(r), F.lit("shift")), low)).bitwiseAND(mask)
-        index = F.pmod(F.when(index < low, mixed).otherwise(index) + F.floor(size / 2) + 1, size)
-    return index
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), bits)
+    half = F.greatest(F.lit(1), F.floor((bits + 1) / 2).cast("int"))
+
+    def turn(x, r):
+        odd = F.pmod(F.xxhash64(seed, r), F.lit(1 << 20)).bitwiseOR(F.lit(1))
+        shift = F.pmod(F.xxhash64(seed, r + ROUNDS), low)
+        folded = F.transform(F.array((x * odd).bitwiseAND(low - 1)), lambda m: m.bitwiseXOR(F.call_function("shiftright", m, half)))
+        mixed = (folded[0] + shift).bitwiseAND(low - 1)
+        return F.pmod(F.when(x < low, mixed).otherwise(x) + F.floor(size / 2).cast("long") + 1, size)
+
+    return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), index, turn)
+
+
+def plan(sources: DataFrame) -> DataFrame:
+    """The sources with n_blocks, n_slots and first_slot (the slots of all sources before it)."""
+    blocks = F.ceil(F.col("source_size") / BLOCK).cast("long")
+    # in blocks of the source's own mean length, as its last block may be short
+    slots = F.coalesce(F.round(F.try_divide(F.col("target") * F.col("n_blocks"), F.col("source_size"))), F.lit(0.0)).cast("long")
+    before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    return (sources.withColumn("n_blocks", blocks).withColumn("n_slots", slots)
+            .withColumn("first_slot", F.coalesce(F.sum("n_slots").over(before), F.lit(0)))
+            .withColumn("all_slots", F.sum("n_slots").over(Window.partitionBy())))
+
+
+def slots(planned: DataFrame, shard_slots: int = SHARD) -> DataFrame:
+    """The mix: one row per slot with number (of the source), block, shard and place in the shard."""
+    parts = (planned.filter("n_slots > 0")
+             .select("number", "n_blocks", "n_slots", "first_slot", "all_slots",
+                     F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(shard_slots).cast("long"))).alias("from")))
+    # a row stands for `shard_slots` slots: spread them before they are written out
+    spread = parts.repartition(F.col("number"), F.col("from"))
+    rows = spread.withColumn("q", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + shard_slots, F.col("n_slots")) - 1)))
+    turn, within = F.floor(F.try_divide("q", "n_blocks")).cast("long"), F.pmod(F.col("q"), F.col("n_blocks"))
+    rows = rows.withColumn("block", permuted(within, F.col("n_blocks"), F.xxhash64(F.lit(SEED), "number", turn)))
+    rows = rows.withColumn("dealt", permuted(F.col("first_slot") + F.col("q"), F.col("all_slots"), F.lit(SEED).cast("long")))
+    return rows.select("number", "block", F.floor(F.col("dealt") / shard_slots).cast("long").alias("shard"),
+                       F.pmod(F.col("dealt"), F.lit(shard_slots)).alias("place"))
+
+
+def laid_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:
+    """`sizes` with number and start: the words of its source before the document."""
+    known = sources.select(F.col("source").alias("_source"), "number", "source_size", "target")
+    rows = sizes.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = rows.withColumn("draw", F.xxhash64(F.lit(SEED), "doc_id")).withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)))
+    sums = rows.groupBy("number", "bucket").agg(F.sum("size").alias("bucket_size"))
+    before = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("number", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("bucket_start"))
+    within = (Window.partitionBy("number", "bucket").orderBy("draw", F.col("doc_id").asc_nulls_last(), "size")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    return (placed.join(sums, ["number", "bucket"])
+            .withColumn("start", F.col("bucket_start") + F.col("before")).drop("bucket", "bucket_start", "before"))
+
+
+def mixed(docs: DataFrame, tables: Staged) -> DataFrame:
+    """One row per row of `docs`: doc_id, source, size, source_size, target, taken.
+
+    `taken` counts the words of the document in all slots, repeats included: at most LIMIT times its
+    size. Null or empty texts have size 0 and are never taken; null sources are one source, the
+    last. Rows that repeat a doc_id stand one after the other. Other columns are not looked at."""
+    sizes = tables.write(sized(docs), "sizes")
+    planned = tables.write(plan(targets(sizes)), "sources")
+    placed = laid_out(sizes, planned)
+    times = slots(planned).groupBy("number", "block").agg(F.count("*").alias("times"))
+    end = F.col("start") + F.col("size")
+    pieces = placed.filter("size > 0").withColumn(
+        "block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK).cast("long"), F.floor((end - 1) / BLOCK).cast("long"))))
+    share = F.least(end, (F.col("block") + 1) * BLOCK) - F.greatest(F.col("start"), F.col("block") * BLOCK)
+    keys = ["doc_id", "source", "size", "source_size", "target", "number", "start", "draw"]
+    taken = (pieces.join(times, ["number", "block"], "left")
+             .groupBy(*keys).agg(F.sum(share * F.coalesce("times", F.lit(0))).cast("long").alias("taken")))
+    empty = placed.filter("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
+    return taken.unionByName(empty).drop("number", "start")
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """`docs` in the mix: each row as often as its words are taken, 0 to LIMIT times.
+
+    The mean number of times its words are taken is rounded up or down by a draw of the
+    document's own, so each source keeps its share. Rows without words are not in the mix."""
+    tables = Staged(docs.sparkSession)
+    uniform = F.pmod(F.xxhash64(F.lit(SEED + 1), "draw"), F.lit(1 << 30)) / (1 << 30)
+    copies = mixed(docs, tables).filter("taken > 0").select(
+        F.col("doc_id").alias("_id"), F.floor(F.coalesce(F.try_divide("taken", "size"), F.lit(0.0)) + uniform).cast("int").alias("_copies"))
+    # rows of one id share their draw; their numbers are handed out in order of size
+    counts = copies.filter("_copies > 0").groupBy("_id").agg(F.max("_copies").alias("_copies"))
+    return (docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")))
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns))
+
+
+def op10_mixing(spark, sf_dir):
+    return mixed(documents(spark, sf_dir), Staged(spark)).select("doc_id", "size", "source_size", "target", "taken")
