@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpuscope.llm.tables import Staged, documents
+from corpuscope.llm.tables import Staged, content_order, documents, unused
 
 FAN = 4
 WHITE = r"[\x20\x09-\x0D]+"
@@ -66,11 +66,12 @@ def exact_groups(docs: DataFrame, tables: Staged) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with their columns: of equal texts the smallest doc_id, once."""
     tables = Staged(docs.sparkSession)
-    kept = exact_groups(docs, tables).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    rows = docs.withColumn("_digest0", F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)))
-    stay = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest0") == F.col("_digest")))
-    order = Window.partitionBy("_id", "_digest").orderBy(*[F.xxhash64(c) for c in docs.columns])
-    return stay.withColumn("_copy", F.row_number().over(order)).filter("_copy = 1").select(*docs.columns)
+    doc, digest, own, copy = (unused(docs, n) for n in ("_id", "_digest", "_own", "_copy"))
+    kept = exact_groups(docs, tables).filter("kept").select(F.col("doc_id").alias(doc), F.col("digest").alias(digest))
+    rows = docs.withColumn(own, F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)))
+    stay = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(digest)))
+    order = Window.partitionBy(doc, digest).orderBy(*content_order(docs))
+    return stay.withColumn(copy, F.row_number().over(order)).filter(F.col(copy) == 1).drop(doc, digest, own, copy)
 
 
 def op6_exact_dedup(spark, sf_dir):

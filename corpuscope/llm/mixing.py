@@ -9,7 +9,7 @@ permutation of the source's and round's own, and joins it by index."""
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpuscope.llm.tables import Staged, documents
+from corpuscope.llm.tables import Staged, documents, unused
 
 BLOCK = 32
 SHARE = 1.5
@@ -143,12 +143,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     document's own, so each source keeps its share. Rows without words are not in the mix."""
     tables = Staged(docs.sparkSession)
     uniform = F.pmod(F.xxhash64(F.lit(SEED + 1), "draw"), F.lit(1 << 30)) / (1 << 30)
-    copies = mixed(docs, tables).filter("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.floor(F.coalesce(F.try_divide("taken", "size"), F.lit(0.0)) + uniform).cast("int").alias("_copies"))
-    # rows of one id share their draw; their numbers are handed out in order of size
-    counts = copies.filter("_copies > 0").groupBy("_id").agg(F.max("_copies").alias("_copies"))
-    return (docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns))
+    doc, times, copy = (unused(docs, n) for n in ("_id", "_times", "_copy"))
+    counts = (mixed(docs, tables).filter("taken > 0")
+              .select(F.col("doc_id").alias(doc), F.floor(F.coalesce(F.try_divide("taken", "size"), F.lit(0.0)) + uniform).cast("int").alias(times))
+              # rows that repeat an id have one draw and, here, one number
+              .groupBy(doc).agg(F.max(times).alias(times)).filter(F.col(times) > 0))
+    return (docs.join(counts, F.col("doc_id").eqNullSafe(F.col(doc)))
+            .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(doc, times, copy))
 
 
 def op10_mixing(spark, sf_dir):

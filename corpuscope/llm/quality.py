@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuscope.llm.rolling import FOLDED_VALUES, IS_SEPARATOR, Rolling, word_spans
 from corpuscope.llm.tables import documents
-from corpuscope.llm.training import SAMPLE, remainder, summed, training_rows
+from corpuscope.llm.training import SAMPLE, packed, remainder, summed, training_rows, unpacked
 
 THRESHOLD = 0.3
 BUCKETS = 1 << 14
@@ -100,7 +100,7 @@ def _vectors(batches):
         flush()
     table = np.concatenate((sums, counts[:, None]), 1).astype(np.float32)
     for chunk, rows in enumerate(np.array_split(table, CHUNKS)):
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part], pa.int64()), pa.array([rows.tobytes()], pa.binary())],
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part], pa.int64()), pa.array([packed(rows)], pa.binary())],
                                          names=["chunk", "part", "data"])
 
 
@@ -108,7 +108,9 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """The vector of every symbol, from all texts: SYMBOLS x WIDTH numbers (2 MB) whatever the corpus."""
     parts = docs.select(F.col("text").cast("binary").alias("data")).mapInArrow(_vectors, "chunk int, part long, data binary")
     rows = sorted(summed(parts, np.float32).collect(), key=lambda r: r["chunk"])
-    table = np.concatenate([np.frombuffer(r["data"], np.float32) for r in rows]).reshape(SYMBOLS, WIDTH + 1).astype(float)
+    if not rows:
+        return np.zeros((SYMBOLS, WIDTH), np.float32)
+    table = np.concatenate([unpacked(r["data"], np.float32) for r in rows]).reshape(SYMBOLS, WIDTH + 1).astype(float)
     sums, counts = table[:, :-1], table[:, -1:]
     mean = sums.sum(0) / max(counts.sum(), 1)
     vectors = sums / np.maximum(counts, 1) - mean

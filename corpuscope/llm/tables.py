@@ -14,6 +14,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or with as many underscores before it as keep it apart from the columns of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def content_order(df: DataFrame) -> list[Column]:
+    """An order of rows by what they hold, for choosing one of several (maps have no hash and are passed over)."""
+    return [F.xxhash64(df[f"`{f.name}`"]) for f in df.schema if "map<" not in f.dataType.simpleString()]
+
+
 class Staged:
     """Tables of one operator in the shared folder; those no longer needed can be dropped."""
 

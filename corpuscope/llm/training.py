@@ -1,5 +1,7 @@
 """Labelled rows for fitting, and sums of numpy arrays over all tasks of a corpus."""
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -31,22 +33,30 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int =
     return rows, weights
 
 
+def packed(values) -> bytes:
+    return zlib.compress(values.tobytes(), 1)
+
+
+def unpacked(data: bytes, dtype):
+    return np.frombuffer(zlib.decompress(data), dtype)
+
+
 def _add(dtype):
     def run(frames):
         sums = {}
         for frame in frames:
             for chunk, data in zip(frame["chunk"], frame["data"]):
-                values = np.frombuffer(data, dtype)
+                values = unpacked(data, dtype)
                 if chunk in sums:
                     sums[chunk] += values
                 else:
                     sums[chunk] = values.copy()
-        yield pd.DataFrame({"chunk": list(sums), "data": [v.tobytes() for v in sums.values()]})
+        yield pd.DataFrame({"chunk": list(sums), "data": [packed(v) for v in sums.values()]})
     return run
 
 
 def summed(parts: DataFrame, dtype) -> DataFrame:
-    """Rows (chunk, part, data) to (chunk, data): the sum of all arrays of a chunk, added in two steps
+    """Rows (chunk, part, packed data) to (chunk, packed data): the sum of all arrays of a chunk, added in two steps
     so that no task reads the arrays of all tasks; a task holds one array per chunk."""
     step = lambda rows, *keys: rows.repartition(SALTS * 4 if len(keys) > 1 else SALTS, *keys).select("chunk", "data").mapInPandas(
         _add(dtype), "chunk int, data binary")
