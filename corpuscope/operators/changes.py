@@ -2,32 +2,21 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-# Scans of one path are compared within blocks of this many scan numbers, so that no task
-# holds the whole history of a path.
-BLOCK_SCANS = 10_000
 
-
-def changed_files(scans: DataFrame, emit_new: bool = False, block_scans: int = BLOCK_SCANS) -> DataFrame:
+def changed_files(scans: DataFrame, emit_new: bool = False, baseline_done: bool = False) -> DataFrame:
     """(scan_no, file_path, mtime, previous_mtime) where the mtime differs from the last one seen.
 
-    The first sight of a path only registers it, unless `emit_new`: then paths first seen
-    after the first scan count as changed. Deletions are never emitted."""
-    rows = scans.select("file_path", "scan_no", "mtime",
-                        F.floor(F.col("scan_no") / block_scans).alias("block"))
-    in_block = Window.partitionBy("file_path", "block").orderBy("scan_no")
-    compared = rows.withColumn("in_block", F.lag("mtime").over(in_block)).withColumn(
-        "first", F.row_number().over(in_block) == 1)
-    tails = rows.groupBy("file_path", "block").agg(F.max(F.struct("scan_no", "mtime")).alias("tail"))
-    carried = tails.select("file_path", "block", F.lag("tail.mtime").over(
-        Window.partitionBy("file_path").orderBy("block")).alias("before_block"))
-    previous = F.when(F.col("first"), F.col("before_block")).otherwise(F.col("in_block"))
-    seen = compared.join(carried, ["file_path", "block"], "left").select(
-        "scan_no", "file_path", "mtime", previous.alias("previous_mtime"))
+    The first sight of a path only registers it, unless `emit_new`: then paths first seen after
+    the first scan count as changed. `baseline_done` says that the first scan lies before these,
+    as in a feed. Deletions are never emitted. One exchange by path; rows are three small columns."""
+    rows = scans.select("file_path", "scan_no", "mtime")
+    seen = rows.withColumn("previous_mtime", F.lag("mtime").over(Window.partitionBy("file_path").orderBy("scan_no")))
     wanted = F.col("mtime") != F.col("previous_mtime")
     if emit_new:
-        first_scan = scans.agg(F.min("scan_no")).scalar()
-        wanted = wanted | (F.col("previous_mtime").isNull() & (F.col("scan_no") > first_scan))
-    return seen.where(wanted)
+        new = F.col("previous_mtime").isNull()
+        first_scan = None if baseline_done else scans.agg(F.min("scan_no")).first()[0]
+        wanted = wanted | (new if first_scan is None else new & (F.col("scan_no") > first_scan))
+    return seen.where(wanted).select("scan_no", "file_path", "mtime", "previous_mtime")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, value: str = "content_hash") -> DataFrame:

@@ -10,6 +10,14 @@ from corpuscope.schemas import (
     DECISIONS, DEFAULT_SID, SOURCE_AUTONOMOUS, SOURCE_HUMAN, SOURCE_IMPORT, SOURCE_TERMINAL_PARSE)
 
 
+# The actions of the five producers and the wording of their rationales.
+HUMAN, TERMINAL_ERROR, PATTERN, CHANGE, IMPORT = (
+    "human_decision", "terminal_error", "pattern_detected", "file_changed", "sid_import")
+ERROR_IN, PATTERN_IN, FILE_CHANGED, IMPORTED = "Error in ", "Pattern '", "File ", "Imported from SID: "
+# Characters of a value in the short column of a listing; the whole value stands beside it.
+VALUE_SHOWN = 63
+
+
 def _one_per_key(rows: DataFrame, keys, order, pick) -> DataFrame:
     """The row with the greatest / least order per key.
 
@@ -79,22 +87,22 @@ def human_decisions(rows: DataFrame) -> DataFrame:
     """Logged by hand: (sid, key, value, rationale, timestamp[, ordinal]); a missing
     rationale is the value itself."""
     ordinal = F.col("ordinal") if "ordinal" in rows.columns else None
-    return _decisions(rows, "human_decision", F.col("key"), F.col("value"),
+    return _decisions(rows, HUMAN, F.col("key"), F.col("value"),
                       F.coalesce("rationale", "value"), 1.0, "human", SOURCE_HUMAN, ordinal=ordinal)
 
 
 def error_decisions(errors: DataFrame) -> DataFrame:
     place = F.concat(_text("file_path"), F.lit(":"), F.coalesce("line_number", F.lit(0)).cast("string"))
-    return _decisions(errors, "terminal_error", _text("error_type"), place,
-                      F.concat(F.lit("Error in "), place, F.lit(" — "), _text("message")),
+    return _decisions(errors, TERMINAL_ERROR, _text("error_type"), place,
+                      F.concat(F.lit(ERROR_IN), place, F.lit(" — "), _text("message")),
                       1.0, "terminal_parser", SOURCE_TERMINAL_PARSE, ordinal=F.col("ordinal"))
 
 
 def pattern_decisions(patterns: DataFrame, now: int) -> DataFrame:
     """Matches of rules whose action is `log`."""
-    why = F.concat(F.lit("Pattern '"), "pattern_name", F.lit("' in "), "file_path", F.lit(":"),
+    why = F.concat(F.lit(PATTERN_IN), "pattern_name", F.lit("' in "), "file_path", F.lit(":"),
                    F.col("line_number").cast("string"))
-    return _decisions(patterns.where(F.col("action") == "log"), "pattern_detected", F.col("log_key"),
+    return _decisions(patterns.where(F.col("action") == "log"), PATTERN, F.col("log_key"),
                       F.col("matched_text"), why, 0.95, "pattern_engine", SOURCE_AUTONOMOUS,
                       timestamp=F.lit(now), ordinal=F.col("match_no"))
 
@@ -102,9 +110,9 @@ def pattern_decisions(patterns: DataFrame, now: int) -> DataFrame:
 def change_decisions(snapshots: DataFrame, now: int) -> DataFrame:
     """One decision per re-indexed file, named by its last path part."""
     name = F.substring_index("file_path", "/", -1)
-    why = F.concat(F.lit("File "), name, F.lit(" changed ("), F.col("lines_of_code").cast("string"),
+    why = F.concat(F.lit(FILE_CHANGED), name, F.lit(" changed ("), F.col("lines_of_code").cast("string"),
                    F.lit(" lines)"))
-    return _decisions(snapshots, "file_changed", F.lit("file.modified"), name, why, 1.0,
+    return _decisions(snapshots, CHANGE, F.lit("file.modified"), name, why, 1.0,
                       "file_watcher", SOURCE_AUTONOMOUS, timestamp=F.lit(now))
 
 
@@ -112,8 +120,8 @@ def import_decisions(parsed: DataFrame, now: int) -> DataFrame:
     """Assumptions of parsed packages (`operators.packages.parse_package`) as decisions."""
     rows = parsed.where(F.col("problem").isNull()).select(
         "sid", F.posexplode("assumptions").alias("ordinal", "a"))
-    return _decisions(rows, "sid_import", F.coalesce("a.name", F.lit("")), F.coalesce("a.value", F.lit("")),
-                      F.concat(F.lit("Imported from SID: "), F.coalesce("a.constraint", F.lit(""))),
+    return _decisions(rows, IMPORT, F.coalesce("a.name", F.lit("")), F.coalesce("a.value", F.lit("")),
+                      F.concat(F.lit(IMPORTED), F.coalesce("a.constraint", F.lit(""))),
                       0.95, "sid_import", SOURCE_IMPORT, timestamp=F.lit(now), ordinal=F.col("ordinal"))
 
 
@@ -141,6 +149,6 @@ def list_decisions(decisions: DataFrame, sid: str | None = None) -> DataFrame:
     return rows.select(
         "sid", "node_id", "key", "action", "confidence",
         F.round(F.col("confidence") * 100).cast("int").alias("confidence_percent"),
-        F.substring(F.coalesce("value", F.lit("?")), 1, 63).alias("value_short"),
+        F.substring(F.coalesce("value", F.lit("?")), 1, VALUE_SHOWN).alias("value_short"), "value",
         "timestamp", epoch_text(F.col("timestamp")).alias("logged_at"),
     ).orderBy("sid", F.desc("timestamp"), "node_id")

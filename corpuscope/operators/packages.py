@@ -3,32 +3,36 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpuscope.functions.text import unwrapped_base64
-from corpuscope.operators.reports import with_sid
+from corpuscope.operators.reports import of_sessions
 from corpuscope.schemas import DEFAULT_SID, PACKAGE_BODY, PACKAGE_VERSION
 
-MAX_ASSUMPTIONS = 256
-MAX_INVARIANTS = 20
-PREAMBLE_ERRORS = 10
-PREAMBLE_DECISIONS = 8
+# Entries of one package text. A session with more is written as several, numbered from 0, so that
+# no row grows with a session and nothing is left out.
+PART_ENTRIES = 10_000
 
+# Headings of the text that stands before a package.
+TITLE = "=== SESSION RESUME (v%s) ===\nSession: %s\nDecisions: %d  |  Errors: %d  |  Files: %d\n\n"
+ERRORS_HEADING = "--- ERRORS TO FIX ---\n"
+DECISIONS_HEADING = "--- KEY DECISIONS ---\n"
+BLOB_HEADING = "\n--- BASE64 BLOB (paste to AI) ---\n"
 
-def _first_per_sid(rows: DataFrame, order, limit: int) -> DataFrame:
-    """The first rows of each session; Spark limits each task to `limit` per session
-    before the shuffle, so a hot session sends a bounded number of rows per task."""
+
+def _numbered(rows: DataFrame, order, limit: int | None) -> DataFrame:
+    """Rows with their position in their session; with a limit, the first rows of each (Spark then
+    limits each task to `limit` per session before the shuffle)."""
     ranked = rows.withColumn("position", F.row_number().over(Window.partitionBy("sid").orderBy(*order)))
-    return ranked.where(F.col("position") <= limit)
+    return ranked if limit is None else ranked.where(F.col("position") <= limit)
 
 
-def recent_distinct_errors(errors: DataFrame, sessions: DataFrame, limit: int = MAX_INVARIANTS) -> DataFrame:
-    """Per session the newest distinct (type, message, file, line), at most `limit`."""
+def recent_distinct_errors(errors: DataFrame, sessions: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Per session the distinct (type, message, file, line), newest first; all unless limited."""
     what = ["error_type", "message", "file_path", "line_number"]
-    per_session = errors.groupBy("session_id", *what).agg(F.max("timestamp").alias("timestamp"))
-    distinct = with_sid(per_session, sessions).groupBy("sid", *what).agg(F.max("timestamp").alias("timestamp"))
-    return _first_per_sid(distinct, [F.desc("timestamp"), *what], limit)
+    distinct = of_sessions(errors, sessions).groupBy("sid", *what).agg(F.max("timestamp").alias("timestamp"))
+    return _numbered(distinct, [F.desc("timestamp"), *what], limit)
 
 
-def package_assumptions(decisions: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """(sid, position, name, value, constraint): newest decisions first, then files fill up."""
+def package_assumptions(decisions: DataFrame, snapshots: DataFrame, limit: int | None = None) -> DataFrame:
+    """(sid, position, name, value, constraint): newest decisions first, then files; all unless limited."""
     from_decisions = decisions.select(
         "sid", F.lit(0).alias("kind"), (-F.col("timestamp")).alias("age"), F.col("node_id").alias("tie"),
         F.coalesce("key", F.lit("")).alias("name"), F.coalesce("value", F.lit("")).alias("value"),
@@ -40,17 +44,14 @@ def package_assumptions(decisions: DataFrame, snapshots: DataFrame) -> DataFrame
                     F.coalesce("lines_of_code", F.lit(0)).cast("string"),
                     F.coalesce("language", F.lit("?"))).alias("value"),
         F.lit("").alias("constraint"))
-    # each side is cut before the union, so the union is small for every session
-    first = [_first_per_sid(side, ["age", "tie"], MAX_ASSUMPTIONS).drop("position")
-             for side in (from_decisions, from_files)]
-    return _first_per_sid(first[0].unionByName(first[1]), ["kind", "age", "tie"], MAX_ASSUMPTIONS).select(
+    return _numbered(from_decisions.unionByName(from_files), ["kind", "age", "tie"], limit).select(
         "sid", "position", "kind", "name", "value", "constraint")
 
 
-def package_invariants(errors: DataFrame, sessions: DataFrame) -> DataFrame:
+def package_invariants(errors: DataFrame, sessions: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """(sid, position, name, condition): what has to be fixed."""
     kind = F.col("error_type")
-    return recent_distinct_errors(errors, sessions).select(
+    return recent_distinct_errors(errors, sessions, limit).select(
         "sid", "position",
         F.concat(F.lit("fix_"), F.coalesce(kind, F.lit("unknown"))).alias("name"),
         F.concat(F.coalesce(kind, F.lit("?")), F.lit(" at "), F.coalesce("file_path", F.lit("?")), F.lit(":"),
@@ -58,55 +59,63 @@ def package_invariants(errors: DataFrame, sessions: DataFrame) -> DataFrame:
                  F.coalesce("message", F.lit("?"))).alias("condition"))
 
 
-def build_package(decisions: DataFrame, errors: DataFrame, sessions: DataFrame, snapshots: DataFrame,
-                  now: int, version: str = PACKAGE_VERSION) -> DataFrame:
-    """One package per session: arrays, preamble, `SID:` text and the full export text.
+def build_package(decisions: DataFrame, errors: DataFrame, snapshots: DataFrame, now: int,
+                  version: str = PACKAGE_VERSION, sessions: DataFrame | None = None, limit: int | None = None,
+                  shown: int | None = None, part_entries: int = PART_ENTRIES) -> DataFrame:
+    """One package per session, or several parts of at most `part_entries` assumptions and as many
+    invariants: arrays, preamble, `SID:` text and the full export text.
+
+    Totals count the whole session. The preamble lists the entries of its part, or the first
+    `shown` of each kind."""
+    part = F.floor((F.col("position") - 1) / part_entries).cast("int").alias("part")
 
-    All groups are bounded by the package limits before they are collected."""
-    def collected(rows, fields, name, *counts):
-        return rows.groupBy("sid").agg(F.transform(
+    def collected(rows, fields, name):
+        # a part has at most `part_entries` rows
+        return rows.groupBy("sid", part).agg(F.transform(
             F.sort_array(F.collect_list(F.struct("position", *fields))),
-            lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias(name), *counts)
+            lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias(name))
+
+    def counted(rows, name):
+        return rows.groupBy("sid").agg(F.count("*").alias(name))
 
-    assumptions = collected(
-        package_assumptions(decisions, snapshots), ["name", "value", "constraint"], "assumptions",
-        F.count_if(F.col("kind") == 0).alias("n_decisions"), F.count_if(F.col("kind") == 1).alias("n_files"))
-    invariants = collected(package_invariants(errors, sessions), ["name", "condition"], "invariants")
-    body = assumptions.join(invariants, "sid", "full_outer")
+    assumptions = collected(package_assumptions(decisions, snapshots, limit), ["name", "value", "constraint"], "assumptions")
+    invariants = package_invariants(errors, sessions, limit)
+    body = assumptions.join(collected(invariants, ["name", "condition"], "invariants"), ["sid", "part"], "full_outer")
+    totals = (counted(decisions, "n_decisions").join(counted(snapshots, "n_files"), "sid", "full_outer")
+              .join(counted(package_invariants(errors, sessions), "n_errors"), "sid", "full_outer"))
     sid = F.col("sid")
+    # the first part has no number, so a session of one part reads as it always did
+    number = F.when(F.col("part") > 0, F.col("part"))
     metadata = F.struct(
         F.lit(version).alias("version"), sid.alias("sid"), F.lit(now).cast("long").alias("generated_at"),
-        F.lit("resume").alias("source"))
-    rows = body.select(
-        sid, F.lit(version).alias("version"),
+        F.lit("resume").alias("source"), number.alias("part"))
+    rows = body.join(totals, "sid").select(
+        sid, F.lit(version).alias("version"), "part",
         *[F.coalesce(F.col(f), F.from_json(F.lit("[]"), PACKAGE_BODY[f].dataType)).alias(f)
           for f in ("assumptions", "invariants")],
         metadata.alias("metadata"),
-        *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_decisions", "n_files")])
+        *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_decisions", "n_files", "n_errors")])
 
     def lines(items, line):
-        return F.array_join(F.transform(items, line), "")
+        return F.array_join(F.transform(items if shown is None else F.slice(items, 1, shown), line), "")
 
-    shown_errors = F.slice("invariants", 1, PREAMBLE_ERRORS)
-    shown_decisions = F.slice(F.filter("assumptions", lambda a: ~F.startswith(a["name"], F.lit("file."))),
-                              1, PREAMBLE_DECISIONS)
+    before = F.col("part") * part_entries
+    shown_decisions = F.filter("assumptions", lambda a: ~F.startswith(a["name"], F.lit("file.")))
     preamble = F.concat(
-        F.format_string("=== SESSION RESUME (v%s) ===\nSession: %s\nDecisions: %d  |  Errors: %d  |  Files: %d\n\n",
-                        "version", "sid", "n_decisions", F.size("invariants"), "n_files"),
+        F.format_string(TITLE, "version", "sid", "n_decisions", "n_errors", "n_files"),
         F.when(F.size("invariants") > 0, F.concat(
-            F.lit("--- ERRORS TO FIX ---\n"),
-            lines(shown_errors, lambda e, i: F.format_string("  [%d] %s\n", i + 1, e["condition"])),
+            F.lit(ERRORS_HEADING),
+            lines(F.col("invariants"), lambda e, i: F.format_string("  [%d] %s\n", before + i + 1, e["condition"])),
             F.lit("\n"))).otherwise(""),
-        F.lit("--- KEY DECISIONS ---\n"),
+        F.lit(DECISIONS_HEADING),
         lines(shown_decisions, lambda a: F.format_string("  %s = %s\n", a["name"], a["value"])))
     package = F.concat(F.lit("SID:"), "version", F.lit(":"), unwrapped_base64(
         F.to_json(F.struct("assumptions", "invariants", "metadata")).cast("binary")))
     return rows.select(
-        F.sha2(F.concat_ws("_", "sid", "version", F.lit(str(now))), 256).alias("package_id"),
+        F.sha2(F.concat_ws("_", "sid", "version", F.lit(str(now)), number.cast("string")), 256).alias("package_id"),
         "sid", "version", "assumptions", "invariants", "metadata", F.lit(now).cast("long").alias("timestamp"),
         preamble.alias("preamble"), package.alias("package"),
-    ).withColumn("export", F.concat(
-        "preamble", F.lit("\n--- BASE64 BLOB (paste to AI) ---\n"), "package", F.lit("\n")))
+    ).withColumn("export", F.concat("preamble", F.lit(BLOB_HEADING), "package", F.lit("\n")))
 
 
 def parse_package(texts: DataFrame) -> DataFrame:

@@ -1,41 +1,14 @@
 """Rule-driven regex extraction with line numbers."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from corpuscope.functions.text import language, let, newlines
 from corpuscope.schemas import DEFAULT_SID, PATTERNS
-from corpuscope.session import rows_if_at_most
 
-# Rules are broadcast up to this many; more go through a plain join.
-MAX_BROADCAST_RULES = 10_000
 
-
-def _running_sum(values: Column) -> Column:
-    """Inclusive running sums of an int array in n * sqrt(n) steps.
-
-    Cut into about sqrt(n) blocks: each element adds up its own block only, on top of
-    the total of the blocks before it."""
-    def total(xs):
-        return F.aggregate(xs, F.lit(0), lambda s, x: s + x)
-
-    def over_blocks(blocks):
-        return let(F.transform(blocks, total), lambda totals: F.flatten(F.transform(
-            blocks,
-            lambda block, b: let(total(F.slice(totals, 1, b)), lambda before: F.transform(
-                block, lambda _, i: before + total(F.slice(block, 1, i + 1)))))))
-
-    def with_width(xs, width):
-        starts = F.sequence(F.lit(1), F.size(xs), width)
-        return let(F.transform(starts, lambda s: F.slice(xs, s, width)), over_blocks)
-
-    return let(values, lambda xs: F.when(
-        F.size(xs) > 0,
-        let(F.ceil(F.sqrt(F.size(xs))).cast("int"), lambda w: with_width(xs, w)),
-    ).otherwise(F.array().cast("array<int>")))
-
-
-def matches_with_lines(content: Column, regex: Column) -> Column:
-    """array<struct<matched_text, line_number>> of all non-overlapping matches.
+def matches_with_steps(content: Column, regex: Column) -> Column:
+    """array<struct<matched_text, step>> of all non-overlapping matches; the running sum of the
+    steps is the number of newlines before a match.
 
     Lines end at `\\n` only, and `^` matches at every line start; Java does not let it match
     in an empty text, so there it stands for the start of the text.
@@ -49,13 +22,11 @@ def matches_with_lines(content: Column, regex: Column) -> Column:
         # `split` leaves out the empty gap before an empty match at the very start
         aligned = let(gaps, lambda g: F.when(F.size(g) > F.size(found), g).otherwise(
             F.concat(F.array(F.lit("")), g)))
-        return let(aligned, lambda g: F.slice(with_lines(found, g), 1, counted(found, g)))
+        return let(aligned, lambda g: F.slice(with_steps(found, g), 1, counted(found, g)))
 
-    def with_lines(found, g):
-        steps = F.transform(found, lambda _, i: newlines(F.get(g, i)) + F.when(
-            i > 0, newlines(F.get(found, i - 1))).otherwise(0))
-        return F.zip_with(found, _running_sum(steps), lambda m, n: F.struct(
-            m.alias("matched_text"), (n + 1).alias("line_number")))
+    def with_steps(found, g):
+        return F.transform(found, lambda m, i: F.struct(m.alias("matched_text"), (newlines(F.get(g, i)) + F.when(
+            i > 0, newlines(F.get(found, i - 1))).otherwise(0)).alias("step")))
 
     def counted(found, g):
         # An empty match at the end of the text counts only if the search before it
@@ -68,30 +39,50 @@ def matches_with_lines(content: Column, regex: Column) -> Column:
     return let(matches, lambda found: F.when(F.size(found) > 0, number(found)))
 
 
+def checked_rules(rules: DataFrame):
+    """(usable, refused): rules whose regex Java compiles, and the others with a `reason`.
+
+    Rules come from hand-written files; they are brought to the driver to be compiled."""
+    spark, usable, refused = rules.sparkSession, [], []
+    for rule in rules.collect():
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(rule["regex"] or "")
+            usable.append(tuple(rule))
+        except Exception as problem:
+            refused.append((*rule, str(problem).split("\n")[0]))
+    return (spark.createDataFrame(usable, rules.schema),
+            spark.createDataFrame(refused, T.StructType([*rules.schema, T.StructField("reason", T.StringType())])))
+
+
 def applicable_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files joined with the rules of their language and the rules for any language.
 
-    A file looks up two keys, its language and '', so the "equal or any" condition is an
-    equi-join; each rule key is met once per file."""
-    rules = rules.where((F.col("regex") != "") & F.col("regex").isNotNull()).select(
+    A file looks up two keys, its language and '' (where there are rules for any), so the "equal or
+    any" condition is an equi-join. The rules have been through the driver, and so can be broadcast."""
+    known = rules.where((F.col("regex") != "") & F.col("regex").isNotNull()).select(
         F.coalesce("language", F.lit("")).alias("rule_language"),
-        "pattern_name", "action", "log_key", "regex")
-    if rows_if_at_most(rules, MAX_BROADCAST_RULES) is not None:
-        rules = F.broadcast(rules)
-    keyed = files.withColumn("rule_language", F.explode(F.array("language", F.lit(""))))
-    return keyed.join(rules, "rule_language")
+        "pattern_name", "action", "log_key", "regex", F.xxhash64(*rules.columns).alias("rule_no"))
+    any_rules = not known.where("rule_language = ''").isEmpty()
+    keys = F.array("language", F.lit("")) if any_rules else F.array("language")
+    return files.withColumn("rule_language", F.explode(keys)).join(F.broadcast(known), "rule_language")
 
 
-def extract_patterns(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """All matches of all applicable rules, one row each, without a shuffle.
+def extract_patterns(files: DataFrame, rules: DataFrame, now: int) -> DataFrame:
+    """All matches of all applicable rules, one row each.
 
-    Regexes are Java's in multi-line mode with `\\n` as the only line end."""
+    Regexes are Java's in multi-line mode with `\\n` as the only line end; a rule that Java refuses
+    has no match (`checked_rules` names it). Contents are not shuffled; line numbers are a running
+    sum over the match rows of a file and rule, which spills where they are very many."""
+    usable, _ = checked_rules(rules)
     with_language = files.select(
         F.coalesce("sid", F.lit(DEFAULT_SID)).alias("sid"), "file_path", "content",
         language(F.col("file_path")).alias("language"))
     # The expression stays inside the explode: on a column of its own, Spark would derive a
     # filter from the explode and match every text twice.
-    found = applicable_rules(with_language, rules).select(
-        "sid", "file_path", "pattern_name", "log_key", "action",
-        F.posexplode(matches_with_lines(F.col("content"), F.col("regex"))).alias("match_no", "m"))
-    return found.select("*", "m.matched_text", "m.line_number").select(*PATTERNS.names)
+    found = applicable_rules(with_language, usable).select(
+        "sid", "file_path", "pattern_name", "log_key", "action", "rule_no",
+        F.posexplode(matches_with_steps(F.col("content"), F.col("regex"))).alias("match_no", "m"))
+    so_far = Window.partitionBy("file_path", "sid", "rule_no").orderBy("match_no").rowsBetween(Window.unboundedPreceding, 0)
+    return found.select("*", F.col("m.matched_text").alias("matched_text"),
+                        (F.sum("m.step").over(so_far) + 1).cast("int").alias("line_number"),
+                        F.lit(now).cast("long").alias("timestamp")).select(*PATTERNS.names)

@@ -5,67 +5,57 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from corpuscope.functions.text import epoch_text
-from corpuscope.operators.skew import salted_join
 
 # Report metric -> log key of the patterns it counts.
 PATTERN_METRICS = {"functions": "function.declared", "queries": "database.query", "api_calls": "api.called"}
 METRICS = ["files", *PATTERN_METRICS, "errors"]
 
 
-def with_sid(errors: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Errors whose session exists, with the session's sid. Sessions are unique by id."""
-    return salted_join(errors.drop("sid"), sessions.select("session_id", "sid"), "session_id", "inner")
+def of_sessions(errors: DataFrame, sessions: DataFrame | None) -> DataFrame:
+    """Errors whose session is among `sessions`; all where none are given.
 
+    An error carries the sid of its session, so no join is needed to know it. A semi-join of two
+    plain tables on the id is split by adaptive execution where one session has very many errors."""
+    return errors if sessions is None else errors.join(sessions.select("session_id"), "session_id", "left_semi")
 
-def errors_of(errors: DataFrame, sessions: DataFrame, sid: str) -> DataFrame:
-    return salted_join(errors, _ids_of(sessions, sid), "session_id", "left_semi")
 
-
-def _ids_of(sessions: DataFrame, sid: str) -> DataFrame:
-    return sessions.where(F.col("sid") == sid).select("session_id")
-
-
-def list_errors(errors: DataFrame, sessions: DataFrame, sid: str | None = None) -> DataFrame:
-    rows = with_sid(errors, sessions if sid is None else sessions.where(F.col("sid") == sid))
-    return rows.select(
+def list_errors(errors: DataFrame, sessions: DataFrame | None = None, sid: str | None = None) -> DataFrame:
+    rows = errors if sid is None else errors.where(F.col("sid") == sid)
+    return of_sessions(rows, sessions).select(
         "sid", "session_id", "error_type", "file_path", "line_number", "column_number", "message",
         "timestamp", epoch_text(F.col("timestamp")).alias("logged_at"), "ordinal",
     ).orderBy("sid", F.desc("timestamp"), "session_id", "ordinal")
 
 
-def clear_errors(errors: DataFrame, sessions: DataFrame, sid: str):
+def clear_errors(errors: DataFrame, sid: str):
     """(errors left, number deleted as a one-row DataFrame) for one session name."""
-    deleted = errors_of(errors, sessions, sid).agg(F.count("*").alias("deleted"))
-    return salted_join(errors, _ids_of(sessions, sid), "session_id", "left_anti"), deleted
+    return (errors.where(~F.col("sid").eqNullSafe(F.lit(sid))),
+            errors.where(F.col("sid") == sid).agg(F.count("*").alias("deleted")))
 
 
-def session_metrics(snapshots: DataFrame, patterns: DataFrame, errors: DataFrame,
-                    sessions: DataFrame) -> DataFrame:
+def session_metrics(snapshots: DataFrame, patterns: DataFrame, errors: DataFrame) -> DataFrame:
     """Five counts per session.
 
-    Each table is counted by its own key before the shuffle; errors are counted per
-    session id before they meet the sessions table. The union of the small results is
+    Each table is counted by its sid before the shuffle. The union of the small results is
     added up by sid, which takes the place of three outer joins."""
     zero = F.lit(0).cast("long")
 
     def part(counts, **metrics):
         return counts.select("sid", *[metrics.get(m, zero).alias(m) for m in METRICS])
 
-    per_session = errors.groupBy("session_id").agg(F.count("*").alias("n"))
     parts = [
         part(snapshots.groupBy("sid").agg(F.count("*").alias("n")), files=F.col("n")),
         part(patterns.groupBy("sid").agg(*[
             F.count_if(F.col("log_key") == key).alias(m) for m, key in PATTERN_METRICS.items()]),
             **{m: F.col(m) for m in PATTERN_METRICS}),
-        part(per_session.join(sessions.select("session_id", "sid"), "session_id"), errors=F.col("n")),
+        part(errors.groupBy("sid").agg(F.count("*").alias("n")), errors=F.col("n")),
     ]
     return reduce(DataFrame.unionByName, parts).groupBy("sid").agg(*[F.sum(m).alias(m) for m in METRICS])
 
 
-def session_report(snapshots: DataFrame, patterns: DataFrame, errors: DataFrame, sessions: DataFrame,
-                   now: int) -> DataFrame:
+def session_report(snapshots: DataFrame, patterns: DataFrame, errors: DataFrame, now: int) -> DataFrame:
     """Report rows (report_id, sid, generated_at, report_text, metrics as JSON and as columns)."""
-    counts = session_metrics(snapshots, patterns, errors, sessions)
+    counts = session_metrics(snapshots, patterns, errors)
     return counts.select(
         F.sha2(F.concat_ws("_", "sid", F.lit(str(now))), 256).alias("report_id"), "sid",
         F.lit(now).cast("long").alias("generated_at"),

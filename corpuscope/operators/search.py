@@ -6,7 +6,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from corpuscope.functions.text import query_words, search_tokens
 from corpuscope.functions.vectors import cosine, embed_text, has_embedding
 from corpuscope.schemas import DEFAULT_SID, EMBEDDING_DIM
-from corpuscope.session import rows_if_at_most, staged
+from corpuscope.session import rows_if_at_most
 
 FILE_THRESHOLD = 0.01
 DECISION_THRESHOLD = 0.1
@@ -105,22 +105,21 @@ def text_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
                          F.posexplode("words").alias("word_no", "tokens"))
     tokens = words.select("query_id", "query_sid", "n_words", "word_no", F.size("tokens").alias("n_tokens"),
                           F.posexplode("tokens").alias("token_no", "token"))
-    # Only tokens that some query asks for; written once, for the three uses below.
-    asked = staged(postings.join(tokens.select("token"), "token", "left_semi"), "asked-postings")
-
-    frequency = asked.groupBy("token").agg(F.count("*").alias("n"))
+    # one counting pass over the asked tokens; only the rarest of each query is read for candidates
+    asked_tokens = tokens.select("token").distinct()
+    frequency = postings.join(asked_tokens, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     rarest = tokens.join(frequency, "token", "left").groupBy("query_id", "query_sid").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)), "token"))["token"].alias("token"))
     in_session = F.col("query_sid").isNull() | (F.col("query_sid") == F.col("sid"))
-    candidates = asked.join(rarest, "token").where(in_session).select("query_id", "file_path", "sid").distinct()
+    candidates = postings.join(rarest, "token").where(in_session).select("query_id", "file_path", "sid").distinct()
 
     # one query may ask several sessions, in a row for each
     wanted = candidates.join(tokens.drop("query_sid").distinct(), "query_id")
     single = F.col("n_tokens") == 1
     word = ["query_id", "file_path", "sid", "n_words", "word_no"]
     found = wanted.where(single).join(
-        asked.select("file_path", "token"), ["file_path", "token"], "left_semi").select(*word)
-    phrases = wanted.where(~single).join(asked.select("file_path", "token", "field", "pos"), ["file_path", "token"])
+        postings.select("file_path", "token"), ["file_path", "token"], "left_semi").select(*word)
+    phrases = wanted.where(~single).join(postings.select("file_path", "token", "field", "pos"), ["file_path", "token"])
     starts = phrases.groupBy(*word, "n_tokens", "field", (F.col("pos") - F.col("token_no")).alias("start")).count()
     found = found.unionByName(starts.where(F.col("count") == F.col("n_tokens")).select(*word))
     per_file = found.groupBy("query_id", "file_path", "sid", "n_words").agg(F.count_distinct("word_no").alias("found"))
@@ -130,7 +129,7 @@ def text_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
 # --- cosine top-k ------------------------------------------------------------------------
 
 def _embedded(queries: DataFrame) -> DataFrame:
-    """Queries (query_id, query_text[, sid]) with vectors; a NULL sid asks every session, and
+    """Queries (query_id, query_text[, sid]) with vectors; a NULL sid asks the whole corpus, and
     a query may have a row for each of several sessions."""
     sid = F.col("sid") if "sid" in queries.columns else F.lit(None).cast("string")
     vector = F.col("embedding") if "embedding" in queries.columns else embed_text(F.col("query_text"))
@@ -145,7 +144,7 @@ def _unit_rows(vectors):
 
 
 def _batch_top_k(table, q_ids, q_sids, q_vectors, tie, k, threshold):
-    """Best `k` rows per (query, session) of one Arrow table.
+    """Best `k` rows per ranking (a query, or a query in one session) of one Arrow table.
 
     The best of the whole are among the best of its parts, so a part drops the rest
     before anything is shuffled."""
@@ -159,47 +158,47 @@ def _batch_top_k(table, q_ids, q_sids, q_vectors, tie, k, threshold):
     table = table.filter(pc.equal(pc.list_value_length(table.column("embedding")), width))
     if table.num_rows == 0:
         return None
-    table = table.sort_by([("sid", "ascending"), (tie, "ascending")])
+    table = table.sort_by([(tie, "ascending")])
     embedding = table.column("embedding").combine_chunks()
     vectors = embedding.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
     vectors, norms = _unit_rows(vectors)
     q_vectors, q_norms = _unit_rows(q_vectors)
-    sids = table.column("sid").combine_chunks()
-    runs = sids.dictionary_encode()
-    codes = runs.indices.to_numpy(zero_copy_only=False)
-    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-    ends = np.r_[starts[1:], len(codes)]
+    names = {s: i for i, s in enumerate(sorted({s for s in q_sids if s is not None}))}
+    # numbers of the asked sessions: -1 asks the whole corpus, -2 is asked by nobody
+    asked = np.array([names.get(s, -1) for s in q_sids])
+    own = np.array([names.get(s, -2) for s in table.column("sid").to_pylist()])
     rows, queries, scores = [], [], []
-    for q0 in range(0, len(q_ids), 512):
-        qv, qn = q_vectors[q0:q0 + 512], q_norms[q0:q0 + 512]
-        sims = vectors @ qv.T / (np.outer(norms, qn) + 1e-8)
-        rounded = np.round(sims, SCORE_DIGITS)
-        for start, end in zip(starts, ends):
-            sid = sids[int(start)].as_py()
-            asked = np.array([s is None or s == sid for s in q_sids[q0:q0 + 512]])
-            part = np.where((sims[start:end] > threshold) & asked, rounded[start:end], -np.inf)
-            best = np.argsort(-part, axis=0, kind="stable")[:k]
-            kept, column = np.nonzero(np.take_along_axis(part, best, axis=0) > -np.inf)
-            picked = best[kept, column]
-            rows.append(picked + start)
-            queries.append(column + q0)
-            scores.append(part[picked, column])
+    for q0 in range(0, len(q_ids), 512):  # bounds the matrix of scores
+        part = slice(q0, q0 + 512)
+        sims = vectors @ q_vectors[part].T / (np.outer(norms, q_norms[part]) + 1e-8)
+        takes = (sims > threshold) & ((asked[part] == -1) | (asked[part] == own[:, None]))
+        rounded = np.where(takes, np.round(sims, SCORE_DIGITS), -np.inf)
+        best = np.argsort(-rounded, axis=0, kind="stable")[:k]
+        kept, column = np.nonzero(np.take_along_axis(rounded, best, axis=0) > -np.inf)
+        picked = best[kept, column]
+        rows.append(picked)
+        queries.append(column + q0)
+        scores.append(rounded[picked, column])
     rows, queries, scores = map(np.concatenate, (rows, queries, scores))
     out = table.drop_columns(["embedding"]).take(pa.array(rows))
     out = out.append_column("query_id", q_ids.take(pa.array(queries)))
+    out = out.append_column("asked_sid", pa.array(q_sids, pa.string()).take(pa.array(queries)))
     return out.append_column("score", pa.array(scores, pa.float64()))
 
 
 def _ranked(candidates: DataFrame, tie: str, k: int) -> DataFrame:
-    """Rank per (query, session); Spark limits each task to k rows per group first."""
-    order = Window.partitionBy("query_id", "sid").orderBy(F.desc("score"), F.asc(tie))
-    return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """Rank per query, or per query and session it names; Spark limits each task to k rows per group first."""
+    order = Window.partitionBy("query_id", "asked_sid").orderBy(F.desc("score"), F.asc(tie))
+    return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("asked_sid")
 
 
 def cosine_top_k(corpus: DataFrame, queries: DataFrame, tie: str, k: int, threshold: float,
                  width: int = EMBEDDING_DIM, max_broadcast: int = MAX_BROADCAST_QUERIES,
                  block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The k best corpus rows per (query, session) with cosine above `threshold`.
+    """The k best corpus rows per query with cosine above `threshold`.
+
+    A query without a session has one ranking over the corpus; a row of a query that names a
+    session has its own ranking over that session.
 
     `corpus` has `sid`, a unique column `tie`, `embedding` and any columns to carry along.
     Scores are rounded to `SCORE_DIGITS`; equal scores are ordered by `tie`.
@@ -207,14 +206,17 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, tie: str, k: int, thresh
     A query batch of checked size is broadcast as a matrix: one pass over the corpus, one
     matrix product per Arrow batch, and only each batch's best rows are shuffled. A larger
     batch is cut into query blocks and the corpus into row blocks of bounded size; each
-    pair of blocks meets in one task by an equi-join on both block numbers."""
+    pair of blocks meets in one task by an equi-join on both block numbers. That is still every
+    query against every row, and the corpus is sent once per query block: carry only narrow
+    columns, and join texts to the ranked rows."""
     spark = corpus.sparkSession
     carried = [c for c in corpus.columns if c != "embedding"]
     corpus = corpus.select(*carried, "embedding")
     schema = T.StructType([corpus.schema[c] for c in carried] + [
-        queries.schema["query_id"], T.StructField("score", T.DoubleType())])
+        queries.schema["query_id"], T.StructField("asked_sid", T.StringType()), T.StructField("score", T.DoubleType())])
     id_type = to_arrow_type(queries.schema["query_id"].dataType)
-    asked = _embedded(queries).select("query_id", "sid", "embedding")
+    # vectors of another width ask for nothing, in either plan
+    asked = _embedded(queries).select("query_id", "sid", "embedding").where(F.size("embedding") == width)
     small = rows_if_at_most(asked, max_broadcast)
     if small is not None:
         import numpy as np
@@ -268,14 +270,16 @@ def similar_files_by_vector(snapshots: DataFrame, queries: DataFrame, k: int = 1
 
 def similar_files(snapshots: DataFrame, postings: DataFrame, queries: DataFrame, k: int = 10,
                   threshold: float = FILE_THRESHOLD, **plan) -> DataFrame:
-    """Cosine hits merged with text hits, best k per (query, session).
+    """Cosine hits merged with text hits, best k per ranking (see `cosine_top_k`).
 
     A file in both lists keeps its cosine score; a file found by text alone scores 0.99.
     The merged best k are the best of (cosine best k, text-only hits), so the full cosine
     list is never formed: only text hits are checked against the threshold. `snapshots` is
     read twice: give a stored table, not one that embeds on the fly."""
     asked = _embedded(queries)
-    by_vector = similar_files_by_vector(snapshots, asked, k, threshold, **plan).drop("rank")
+    named = asked.groupBy("query_id").agg(F.bool_and(F.col("sid").isNotNull()).alias("named"))
+    ranking = lambda rows: rows.join(named, "query_id").withColumn("asked_sid", F.when(F.col("named"), F.col("sid"))).drop("named")
+    by_vector = ranking(similar_files_by_vector(snapshots, asked, k, threshold, **plan).drop("rank"))
     hits = text_hits(postings, asked).select("query_id", "file_path")
     vectors = asked.select("query_id", F.col("embedding").alias("query_embedding")).dropDuplicates(["query_id"])
     text_only = (
@@ -283,14 +287,18 @@ def similar_files(snapshots: DataFrame, postings: DataFrame, queries: DataFrame,
         .where(~has_embedding(F.col("embedding"))
                | (cosine(F.col("embedding"), F.col("query_embedding")) <= threshold))
         .select("query_id", "sid", "file_path", F.lit(TEXT_HIT_SCORE).alias("score")))
-    return _ranked(by_vector.unionByName(text_only), "file_path", k)
+    return _ranked(by_vector.unionByName(ranking(text_only)), "file_path", k)
 
 
 def search_decisions(decisions: DataFrame, queries: DataFrame, k: int = 20,
                      threshold: float = DECISION_THRESHOLD, **plan) -> DataFrame:
-    """Best decisions per (query, session) over the embedding of key, value and rationale."""
-    corpus = decisions.select("sid", "node_id", "key", "value", "embedding")
-    return cosine_top_k(corpus, queries, "node_id", k, threshold, **plan).select(
+    """Best decisions per ranking over the embedding of key, value and rationale.
+
+    Only ids and vectors are ranked; texts are joined to the few ranked rows. `decisions` is read
+    twice, the second time without vectors."""
+    found = cosine_top_k(decisions.select("sid", "node_id", "embedding"), queries, "node_id", k, threshold, **plan)
+    texts = decisions.select(F.col("sid").alias("_sid"), "node_id", "key", "value")
+    return found.join(texts, ["node_id"]).where(F.col("sid").eqNullSafe(F.col("_sid"))).select(
         "query_id", "sid", "node_id", "key", "value", "score", "rank")
 
 

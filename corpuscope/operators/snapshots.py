@@ -29,14 +29,14 @@ def snapshot_files(files: DataFrame) -> DataFrame:
     )
 
 
-def index_corpus(files: DataFrame, rules: DataFrame):
-    """(snapshots, patterns, postings) of a files DataFrame, all lazy and shuffle-free.
+def index_corpus(files: DataFrame, rules: DataFrame, now: int):
+    """(snapshots, patterns, postings) of a files DataFrame, all lazy; no contents are shuffled.
 
     `files` is taken as given: `sources.tree` selects source files while it lists; a table of
     files goes through `source_files` first. Each output scans `files` once. Where that scan
     is slow (many small files), pass `staged(files, ...)`: three scans of a columnar copy beat
     holding a corpus in executor memory."""
-    return snapshot_files(files), extract_patterns(files, rules), build_postings(files)
+    return snapshot_files(files), extract_patterns(files, rules, now), build_postings(files)
 
 
 def language_counts(snapshots: DataFrame) -> DataFrame:

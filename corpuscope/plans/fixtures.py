@@ -62,13 +62,10 @@ select concat('u', cast(user_id as string)) as sid, cast(ts as date) as log_day,
 from {events}
 """
 
-# One log per session name, day and run of at most RUN_EVENTS events, so that no log (and
-# no group that builds one) grows with a hot session name.
-RUN_EVENTS = 5000
+# One log per session name and day.
 LOGS = """
-select sid, log_day, cast(floor(event_id / 5000) as bigint) as run, 1700000000 + min(event_id) as timestamp,
-  concat('$ make ', sid, chr(10), {concatenated}) as output
-from {log_lines} group by sid, log_day, cast(floor(event_id / 5000) as bigint)
+select sid, log_day, 1700000000 + min(event_id) as timestamp, concat('$ make ', sid, chr(10), {concatenated}) as output
+from {log_lines} group by sid, log_day
 """
 
 DECISIONS = """

@@ -56,26 +56,26 @@ _PASSAGE_VECTORS = _vectors("query_vectors", "benchmark", "item_id", "text")
 
 # --- logs
 _LINES = """
-select sid, log_day, cast(floor(event_id / 5000) as bigint) as run, event_id, user_id, event_type, line,
+select sid, log_day, event_id, user_id, event_type, line,
   case when user_id % 5 = 0 and event_type = 'error' then 'traceback'
        when event_type in ('error', 'view', 'click') then 'compiler' else 'other' end as kind from log_lines"""
 _SESSIONS = _fixture("log_lines", "logs") + [("kinds", _LINES), ("sessions", """
 select *, sha256(concat(sid, '_', command, '_', cast(timestamp as varchar))) as session_id from (
-  select sid, log_day, run, timestamp, output, concat('make ', sid) as command,
+  select sid, log_day, timestamp, output, concat('make ', sid) as command,
     case when contains(output, 'error:') or contains(output, 'Error:') or contains(output, 'ERROR:')
            or contains(output, 'Traceback') then 1 else 0 end as exit_code from logs)""")]
 _FOUND = _SESSIONS + [("tracebacks", """
 select s.session_id, s.sid, 'ValueError' as error_type, concat('b_', cast(k.user_id as varchar), '.py') as file_path,
   k.event_id % 70 + 1 as line_number, cast(-1 as bigint) as column_number,
   concat('bad: ', cast(k.event_id % 50 as varchar)) as message, s.timestamp, k.event_id as ordinal
-from kinds k join sessions s using (sid, log_day, run) where k.kind = 'traceback'"""), ("compiled", """
+from kinds k join sessions s using (sid, log_day) where k.kind = 'traceback'"""), ("compiled", """
 select session_id, sid,
   case when starts_with(p[4], ' error') then 'compile_error' when starts_with(p[4], ' warning') then 'compile_warning'
        else 'compile_note' end as error_type,
   p[1] as file_path, cast(p[2] as bigint) as line_number, cast(p[3] as bigint) as column_number,
   substr(line, length(p[1]) + length(p[2]) + length(p[3]) + length(p[4]) + 6) as message, timestamp, event_id as ordinal
 from (select s.session_id, s.sid, s.timestamp, k.event_id, k.line, string_split(k.line, ':') as p
-      from kinds k join sessions s using (sid, log_day, run) where k.kind = 'compiler')"""), ("generic", """
+      from kinds k join sessions s using (sid, log_day) where k.kind = 'compiler')"""), ("generic", """
 select session_id, sid, 'generic_error' as error_type, cast(null as varchar) as file_path, cast(-1 as bigint) as line_number,
   cast(-1 as bigint) as column_number, 'Command failed (non-zero exit)' as message, timestamp, cast(0 as bigint) as ordinal, command,
   cast(exit_code as bigint) as exit_code
@@ -92,24 +92,25 @@ _RECENT = ("recent", """
 select * from (
   select *, row_number() over (partition by sid order by timestamp desc, error_type, message, file_path nulls first, line_number) as position
   from (select sid, error_type, message, file_path, line_number, max(timestamp) as timestamp from errors
-        group by sid, error_type, message, file_path, line_number)) where position <= 20""")
+        group by sid, error_type, message, file_path, line_number))""")
 
 # --- patterns
+# The default rules once more, so that the check does not rest on the rule reader.
 _RULES = [
-    ("c", "[pattern:function]", r'^[a-zA-Z_][a-zA-Z0-9_]*\s+[a-zA-Z_][a-zA-Z0-9_]*\s*\([^)]*\)\s*\{', "function.declared", "log"),
-    ("c", "[pattern:sql_query]", r'(mysql_query|sqlite3_exec|PQexec|pg_query)\s*\([^,]*,\s*"([^"]+)"', "database.query", "report"),
-    ("c", "[pattern:api_call]", r'(curl_easy_init|http_get|fetch|request)\s*\(', "api.called", "log"),
-    ("python", "[pattern:function]", r'^def\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\(', "function.declared", "log"),
-    ("python", "[pattern:sql_query]", r'(cursor\.execute|db\.query|session\.query)\s*\(', "database.query", "report"),
+    ("c", "pattern:function", r'^[a-zA-Z_][a-zA-Z0-9_]*\s+[a-zA-Z_][a-zA-Z0-9_]*\s*\([^)]*\)\s*\{', "function.declared", "log"),
+    ("c", "pattern:sql_query", r'(mysql_query|sqlite3_exec|PQexec|pg_query)\s*\([^,]*,\s*"([^"]+)"', "database.query", "report"),
+    ("c", "pattern:api_call", r'(curl_easy_init|http_get|fetch|request)\s*\(', "api.called", "log"),
+    ("python", "pattern:function", r'^def\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\(', "function.declared", "log"),
+    ("python", "pattern:sql_query", r'(cursor\.execute|db\.query|session\.query)\s*\(', "database.query", "report"),
 ]
 _PATTERNS = _SNAPSHOTS + [
     ("lines", """select sid, file_path, language, unnest(string_split(content, chr(10))) as line,
   generate_subscripts(string_split(content, chr(10)), 1) as line_number from snapshots"""),
     ("rules", "select * from (values " + ",\n".join(
-        f"('{lang}', '{name[1:-1]}', '{key}', '{action}')" for lang, name, _, key, action in _RULES)
+        f"('{lang}', '{name}', '{key}', '{action}')" for lang, name, _, key, action in _RULES)
      + ") r(language, pattern_name, log_key, action)"),
     ("found", "\nunion all\n".join(
-        f"select sid, file_path, '{name[1:-1]}' as pattern_name, unnest(regexp_extract_all(line, '{rx}', 0)) as matched_text, "
+        f"select sid, file_path, '{name}' as pattern_name, unnest(regexp_extract_all(line, '{rx}', 0)) as matched_text, "
         f"line_number, '{key}' as log_key, '{action}' as action from lines where language = '{lang}'"
         for lang, name, rx, key, action in _RULES))]
 
@@ -147,7 +148,7 @@ select sid, position, kind, name, value, "constraint" from (
     select sid, 0 as kind, -timestamp as age, node_id as tie, key as name, value, rationale as "constraint" from decisions
     union all
     select sid, 1, 0, file_path, concat('file.', file_path),
-      concat(content_hash, ':', cast(lines_of_code as varchar), ':', language), '' from snapshots)) where position <= 256""")
+      concat(content_hash, ':', cast(lines_of_code as varchar), ':', language), '' from snapshots))""")
 _INVARIANTS = ("invariants", """
 select sid, position, concat('fix_', error_type) as name,
   concat(error_type, ' at ', coalesce(file_path, '?'), ':', cast(greatest(line_number, 0) as varchar), ' — ', message) as condition
@@ -181,7 +182,7 @@ _CHANGED = _fixture("scans") + [("seen", """
 select *, lag(mtime) over (partition by file_path order by scan_no) as previous_mtime from scans""")]
 _CHANGED_SQL = _with(*_CHANGED, then="select scan_no, file_path, mtime, previous_mtime from seen where mtime <> previous_mtime")
 
-_RANK = "row_number() over (partition by query_id, sid order by score desc, {tie}) as rank"
+_RANK = "row_number() over (partition by query_id order by score desc, {tie}) as rank"
 _FILES_TOPK = _with(*_FILES, _FILE_VECTORS, _PASSAGE_VECTORS, _scores("scores", "file_vectors", "query_vectors", 0.01), then=f"""
 select query_id, sid, file_path, score, rank from (
   select query_id, sid, file_path, score, {_RANK.format(tie='file_path')} from scores join files on file_path = item) where rank <= 10""")
@@ -202,6 +203,8 @@ select cast(query_id as bigint) as query_id, vec_id, score, rank from (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores) where rank <= 10""",
     "similar_files_topk": _FILES_TOPK,
     "similar_files_topk_blocks": _FILES_TOPK,
+    "similar_files_in_sessions": _FILES_TOPK.replace("partition by query_id order", "partition by query_id, sid order").replace(
+        "where rank <= 10", "where rank <= 10 and sid in ('de', 'en')"),
     "similar_files_hybrid": _with(
         *_POSTINGS, *_fixture("questions"), *_HITS, _FILE_VECTORS, _vectors("query_vectors", "questions", "query_id", "query_text"),
         _scores("scores", "file_vectors", "query_vectors", 0.01), then=f"""
@@ -239,6 +242,26 @@ from found group by file_path""",
     "parse_compiler_lines": _with(*_FOUND, then=_ERROR_COLUMNS + "compiled"),
     "generic_failures": _with(*_FOUND, then="select session_id, sid, error_type, message, command, exit_code from generic"),
     "parse_logs": _with(*_ERRORS, then=_ERROR_COLUMNS + "errors"),
+    "parse_log_files": _with(*_ERRORS, then="""
+select concat(s.sid, '-', cast(s.log_day as varchar)) as name, 'make all' as command, cast(s.exit_code as bigint) as exit_code,
+  count(e.session_id) as errors
+from sessions s left join errors e using (session_id) group by s.sid, s.log_day, s.exit_code"""),
+    "rule_files": """
+with s as (select distinct source from documents)
+select 'same' as pattern_name, 'c' as language, '' as action, '' as log_key, source as regex, 1 as usable from s
+union all select 'same', '', '', 'b', concat('(', source), 0 from s
+union all select 'last', '', 'log', '', 'x=y', 1 from s""",
+    "index_tree": _with(*_SNAPSHOTS, then="""
+select file_path, sid, lines_of_code, content_hash, case when doc_id % 3 = 0 then 'unreadable' else '' end as reason
+from snapshots join (select file_path, doc_id from files) using (file_path)"""),
+    "workspace_postings": _with(*_POSTINGS, then="select token, count(distinct file_path) as documents, count(*) as occurrences from postings group by token"),
+    "workspace_reports": _with(
+        *_PATTERNS, *_fixture("logged"), _HUMAN, _PATTERN_DECISIONS, _latest("decided", "(select * from human union all by name select * from from_patterns)"), then="""
+select 'reports' as metric, 2 * count(distinct sid) as n from snapshots
+union all select 'packages', count(distinct sid) from (select sid from decided union all select sid from snapshots)
+union all select 'imported', count(distinct (key, value)) from (
+  select key, value from decided union all
+  select concat('file.', file_path), concat(content_hash, ':', cast(lines_of_code as varchar), ':', language) from snapshots)"""),
     "errors_reparsed": _with(*_ERRORS, then=_ERROR_COLUMNS + "errors"),
     "errors_by_session": _with(*_ERRORS, then="select sid, session_id, error_type, file_path, line_number, column_number, message, timestamp, strftime(to_timestamp(timestamp) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as logged_at from errors"),
     "recent_distinct_errors": _with(*_ERRORS, _RECENT, then="select sid, position, error_type, file_path, line_number, message, timestamp from recent"),
@@ -252,7 +275,7 @@ from found group by file_path""",
         _latest("merged", "produced"), then=_DECISION_COLUMNS + "merged"),
     "list_decisions": _with(*_LEDGER, then="""
 select sid, node_id, key, action, confidence, cast(round(confidence * 100) as bigint) as confidence_percent,
-  substr(value, 1, 63) as value_short, timestamp, strftime(to_timestamp(timestamp) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as logged_at from decisions"""),
+  substr(value, 1, 63) as value_short, value, timestamp, strftime(to_timestamp(timestamp) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as logged_at from decisions"""),
     "snapshot_takeover": _with(*_SNAPSHOTS, ("taken", "select s.* exclude (content, sid), case when f.doc_id in (select doc_id from labels) then 'second' else s.sid end as sid from snapshots s join files f using (file_path)"), then="select * from taken"),
     "session_report": _with(*_PATTERNS, *_ERRORS, _REPORT_METRICS, then=f"""
 select sha256(concat(sid, '_{NOW}')) as report_id, sid, cast({NOW} as bigint) as generated_at,
@@ -281,9 +304,9 @@ select sha256(concat(sid, '_5.0.0_{NOW}')) as package_id, sid, '5.0.0' as versio
     case when e > 0 then concat('--- ERRORS TO FIX ---', chr(10), error_lines, chr(10)) else '' end,
     '--- KEY DECISIONS ---', chr(10), coalesce(decision_lines, '')) as preamble
 from (select sid, count(*) filter (where kind = 0) as d, count(*) filter (where kind = 1) as f,
-        string_agg(concat('  ', name, ' = ', value, chr(10)), '' order by position) filter (where kind = 0 and position <= 8) as decision_lines
+        string_agg(concat('  ', name, ' = ', value, chr(10)), '' order by position) filter (where kind = 0) as decision_lines
       from assumptions group by sid)
-full outer join (select sid, count(*) as e, string_agg(concat('  [', position, '] ', condition, chr(10)), '' order by position) filter (where position <= 10) as error_lines
+full outer join (select sid, count(*) as e, string_agg(concat('  [', position, '] ', condition, chr(10)), '' order by position) as error_lines
       from invariants group by sid) using (sid)"""),
     "package_round_trip": _with(*_PACKAGE, then="""
 select sid, 'assumption' as kind, position, name, value, "constraint" as extra from assumptions
@@ -294,6 +317,7 @@ select {_NODE}, *, cast(1 as int) from (select sid, 'sid_import' as action, name
         _latest("merged", "imported"), then=_DECISION_COLUMNS + "merged"),
     "changed_files": _CHANGED_SQL,
     "changed_files_stream": _CHANGED_SQL,
+    "changed_files_stream_with_new": _with(*_CHANGED, then="select scan_no, file_path, mtime, coalesce(previous_mtime, -1) as previous_mtime from seen where mtime <> previous_mtime or previous_mtime is null"),
     "changed_files_with_new": _with(*_CHANGED, then="select scan_no, file_path, mtime, coalesce(previous_mtime, -1) as previous_mtime from seen where mtime <> previous_mtime or (previous_mtime is null and scan_no > 1)"),
     "snapshot_diff": _with(*_fixture("scans"), then="""
 select file_path, case when a.mtime is null then 'added' when b.mtime is null then 'removed' else 'changed' end as change

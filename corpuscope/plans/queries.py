@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpuscope.functions.vectors import embed_text
 from corpuscope.operators import changes, ledger, logs, packages, patterns, reports, search, snapshots
 from corpuscope.plans import fixtures
-from corpuscope.sources.texts import default_rules, read_packages, rules_from_texts, write_packages
+from corpuscope.sources.texts import default_rules, read_logs, read_packages, rules_from_texts, write_packages
 from corpuscope.session import scratch_path, staged
 from corpuscope.sources.workspace import Workspace
 from corpuscope.streaming.watch import watch
@@ -33,17 +33,15 @@ def _snapshots(spark, sf) -> DataFrame:
 
 
 def _patterns(spark, sf) -> DataFrame:
-    return patterns.extract_patterns(_files(spark, sf), default_rules(spark))
+    return patterns.extract_patterns(_files(spark, sf), default_rules(spark), NOW)
 
 
 def _sessions(spark, sf) -> DataFrame:
     return logs.log_sessions(fixtures.logs(spark, sf))
 
 
-def _errors(spark, sf):
-    """(session names, errors) of all logs."""
-    raw = fixtures.logs(spark, sf)
-    return logs.session_names(raw), logs.parse_logs(raw)[1]
+def _errors(spark, sf) -> DataFrame:
+    return logs.parse_logs(fixtures.logs(spark, sf))[1]
 
 
 def _human(spark, sf) -> DataFrame:
@@ -106,6 +104,13 @@ def similar_files_topk(spark, sf):
     return _ranks(search.similar_files_by_vector(_snapshots(spark, sf), fixtures.passages(spark, sf)))
 
 
+@query
+def similar_files_in_sessions(spark, sf):
+    """Each passage asked of two sessions by name: a ranking of its own for each."""
+    asked = fixtures.passages(spark, sf).withColumn("sid", F.explode(F.array(F.lit("de"), F.lit("en"))))
+    return _ranks(search.similar_files_by_vector(_snapshots(spark, sf), asked))
+
+
 @query
 def similar_files_topk_blocks(spark, sf):
     """The same ranking by the block-by-block plan for query batches too large to broadcast."""
@@ -199,7 +204,7 @@ def pattern_wildcard_rule(spark, sf):
                                  "file string, text string")
     pages = fixtures.table(spark, sf, "pages").select(
         F.lit("web").alias("sid"), F.col("url").alias("file_path"), F.col("html").alias("content"), "page_id")
-    found = patterns.extract_patterns(pages, default_rules(spark).unionByName(rules_from_texts(user)))
+    found = patterns.extract_patterns(pages, default_rules(spark).unionByName(rules_from_texts(user)), NOW)
     return found.groupBy("file_path", "log_key").agg(
         F.count("*").alias("links"), F.sum("line_number").cast("long").alias("line_sum"),
         F.count_distinct("matched_text").alias("distinct_links"))
@@ -216,6 +221,17 @@ def pattern_decisions(spark, sf):
     return _decision_columns(ledger.merge_decisions(ledger.pattern_decisions(_patterns(spark, sf), NOW)))
 
 
+@query
+def rule_files(spark, sf):
+    """Rule files that name the sources of documents: a refused regex, a name used twice, comments."""
+    sources = fixtures.table(spark, sf, "documents").select("source").distinct()
+    text = F.concat(F.lit("# rules of "), "source", F.lit("\n[same]\nregex = "), "source", F.lit("\nlanguage = c\n[same]\nregex = ("),
+                    "source", F.lit("\nkey = a\nkey = b\n#[never]\n[last]\nregex = x=y\naction = log\n"))
+    rules = rules_from_texts(sources.select(F.concat("source", F.lit(".template")).alias("file"), text.alias("text")))
+    usable, refused = patterns.checked_rules(rules)
+    return usable.withColumn("usable", F.lit(1)).unionByName(refused.drop("reason").withColumn("usable", F.lit(0)))
+
+
 # --- logs --------------------------------------------------------------------------------
 
 @query
@@ -254,45 +270,66 @@ def generic_failures(spark, sf):
 
 @query
 def parse_logs(spark, sf):
-    _, errors = _errors(spark, sf)
+    errors = _errors(spark, sf)
     return _error_columns(errors)
 
 
+def _log_files(spark, sf):
+    """The logs written as files, one per log, with equal first lines; read back in bulk."""
+    path = scratch_path(spark, "log-files")
+    raw = fixtures.logs(spark, sf).select(
+        F.concat_ws("-", "sid", F.col("log_day").cast("string")).alias("name"),
+        F.concat(F.lit("$ make all\n"), F.regexp_replace("output", r"^[^\n]*\n", "")).alias("value"))
+    raw.write.partitionBy("name").text(path)
+    read = read_logs(spark, f"{path}/*", sid="bulk")
+    return read.withColumn("output", F.rtrim("output", F.lit("\n")))
+
+
+@query
+def parse_log_files(spark, sf):
+    """Sessions of log files read in bulk: files with equal first lines stay apart."""
+    sessions, errors = logs.parse_logs(_log_files(spark, sf))
+    found = errors.groupBy("session_id").agg(F.count("*").alias("errors"))
+    name = F.regexp_extract("cwd", r"name=([^/]*)$", 1)
+    return sessions.join(found, "session_id", "left").select(
+        name.alias("name"), "command", F.col("exit_code").cast("long").alias("exit_code"), F.coalesce("errors", F.lit(0)).alias("errors"))
+
+
 @query
 def errors_reparsed(spark, sf):
     """Writing the errors of the same logs a second time, later, changes nothing."""
-    _, errors = _errors(spark, sf)
+    errors = _errors(spark, sf)
     again = errors.withColumn("timestamp", F.col("timestamp") + 1000).withColumn("error_type", F.lit("later"))
     return _error_columns(ledger.insert_ignore(errors, again, logs.ERROR_KEY, ["timestamp", "ordinal"]))
 
 
 @query
 def errors_by_session(spark, sf):
-    sessions, errors = _errors(spark, sf)
-    listed = reports.list_errors(errors, sessions)
+    errors = _errors(spark, sf)
+    listed = reports.list_errors(errors)
     return listed.select("sid", "session_id", "error_type", "file_path", *_unset("line_number", "column_number"),
                          "message", "timestamp", "logged_at")
 
 
 @query
 def recent_distinct_errors(spark, sf):
-    sessions, errors = _errors(spark, sf)
-    return packages.recent_distinct_errors(errors, sessions).select(
+    errors = _errors(spark, sf)
+    return packages.recent_distinct_errors(errors).select(
         "sid", F.col("position").cast("long").alias("position"), "error_type", "file_path",
         *_unset("line_number"), "message", "timestamp")
 
 
 @query
 def clear_errors(spark, sf):
-    sessions, errors = _errors(spark, sf)
-    left, _ = reports.clear_errors(errors, sessions, "u10")
+    errors = _errors(spark, sf)
+    left, _ = reports.clear_errors(errors, "u10")
     return _error_columns(left)
 
 
 @query
 def clear_errors_count(spark, sf):
-    sessions, errors = _errors(spark, sf)
-    return reports.clear_errors(errors, sessions, "u10")[1]
+    errors = _errors(spark, sf)
+    return reports.clear_errors(errors, "u10")[1]
 
 
 # --- ledger ------------------------------------------------------------------------------
@@ -310,7 +347,7 @@ def upsert_decisions_per_session(spark, sf):
 @query
 def decision_ledger(spark, sf):
     """The ledger after the four producers that these tables feed."""
-    _, errors = _errors(spark, sf)
+    errors = _errors(spark, sf)
     return _decision_columns(ledger.merge_decisions(
         _human(spark, sf), ledger.error_decisions(errors), ledger.pattern_decisions(_patterns(spark, sf), NOW),
         ledger.change_decisions(_snapshots(spark, sf), NOW)))
@@ -335,15 +372,15 @@ def snapshot_takeover(spark, sf):
 
 @query
 def session_report(spark, sf):
-    sessions, errors = _errors(spark, sf)
-    return reports.session_report(_snapshots(spark, sf), _patterns(spark, sf), errors, sessions, NOW)
+    errors = _errors(spark, sf)
+    return reports.session_report(_snapshots(spark, sf), _patterns(spark, sf), errors, NOW)
 
 
 @query
 def status(spark, sf):
-    sessions, errors = _errors(spark, sf)
+    errors = _errors(spark, sf)
     return reports.status(files=_snapshots(spark, sf), patterns=_patterns(spark, sf), decisions=_ledger(spark, sf),
-                          sessions=sessions, errors=errors)
+                          sessions=logs.log_sessions(fixtures.logs(spark, sf)), errors=errors)
 
 
 @query
@@ -359,11 +396,48 @@ def workspace_status(spark, sf):
     return ws.status()
 
 
+@query
+def index_tree(spark, sf):
+    """Indexed files, some of which then cannot be read: what is stored of them stays, and they are noted."""
+    ws = Workspace(spark, scratch_path(spark, "tree-workspace"), buckets=2)
+    files = staged(_files(spark, sf).withColumn("read_error", F.lit(None).cast("string")), "tree-files")
+    rules = default_rules(spark)
+    ws.index(files, rules, NOW)
+    failed = files.withColumns({"content": F.lit(None).cast("string"), "read_error": F.lit("unreadable")})
+    ws.index(files.where("doc_id % 3 <> 0").unionByName(failed.where("doc_id % 3 = 0")), rules, NOW + 1)
+    skipped = ws.read("skipped").select("file_path", F.col("reason"))
+    return ws.read("snapshots").join(skipped, "file_path", "left").select(
+        "file_path", "sid", "lines_of_code", "content_hash", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+@query
+def workspace_postings(spark, sf):
+    """Documents and occurrences of each token in the postings of a workspace."""
+    ws = Workspace(spark, scratch_path(spark, "postings-workspace"), buckets=2)
+    ws.index(_files(spark, sf), default_rules(spark), NOW)
+    return search.token_counts(ws.read("postings"))
+
+
+@query
+def workspace_reports(spark, sf):
+    """Reports appended twice, and packages stored, imported under another session and counted."""
+    ws = Workspace(spark, scratch_path(spark, "report-workspace"), buckets=2)
+    ws.log(fixtures.decisions(spark, sf))
+    ws.index(_files(spark, sf), default_rules(spark), NOW)
+    ws.report(NOW)
+    ws.report(NOW + 1)
+    texts = ws.resume(NOW).select(F.lit("imported").alias("sid"), F.col("export").alias("text"))
+    stored = ws.read("packages")
+    ws.import_packages(staged(texts, "texts"), NOW)
+    return reports.status(reports=ws.read("reports"), packages=stored,
+                          imported=ws.read("decisions").where("sid = 'imported'").select("key", "value").distinct())
+
+
 # --- packages ----------------------------------------------------------------------------
 
 def _packages(spark, sf) -> DataFrame:
-    sessions, errors = _errors(spark, sf)
-    return packages.build_package(_ledger(spark, sf), errors, sessions, _snapshots(spark, sf), NOW)
+    errors = _errors(spark, sf)
+    return packages.build_package(_ledger(spark, sf), errors, _snapshots(spark, sf), NOW)
 
 
 @query
@@ -374,8 +448,8 @@ def package_assumptions(spark, sf):
 
 @query
 def package_invariants(spark, sf):
-    sessions, errors = _errors(spark, sf)
-    return packages.package_invariants(errors, sessions).select(
+    errors = _errors(spark, sf)
+    return packages.package_invariants(errors).select(
         "sid", F.col("position").cast("long").alias("position"), "name", "condition")
 
 
@@ -413,7 +487,7 @@ def changed_files(spark, sf):
 
 @query
 def changed_files_with_new(spark, sf):
-    found = changes.changed_files(fixtures.scans(spark, sf), emit_new=True, block_scans=2)
+    found = changes.changed_files(fixtures.scans(spark, sf), emit_new=True)
     return found.withColumn("previous_mtime", F.coalesce("previous_mtime", F.lit(-1)))
 
 
@@ -429,8 +503,21 @@ def changed_files_stream(spark, sf):
     scans = staged(fixtures.scans(spark, sf), "scans")
     arrived, out, state = [scratch_path(spark, n) for n in ("scan-feed", "changes", "watch-state")]
     keep = lambda found, batch_id: found.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-    for scan_no in (1, 2, 3):
+    for scan_no in [r["scan_no"] for r in scans.select("scan_no").distinct().orderBy("scan_no").collect()]:
         scans.where(F.col("scan_no") == scan_no).write.mode("append").parquet(arrived)
         stream = spark.readStream.schema(scans.schema).parquet(arrived)
         watch(stream, keep, state, availableNow=True).awaitTermination()
     return spark.read.parquet(out).drop("batch")
+
+
+@query
+def changed_files_stream_with_new(spark, sf):
+    """The feed from an empty first scan on: every file of the second is new."""
+    scans = staged(fixtures.scans(spark, sf), "scans")
+    arrived, out, state = [scratch_path(spark, n) for n in ("scan-feed", "changes", "watch-state")]
+    keep = lambda found, batch_id: found.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    for scan_no in [0] + [r["scan_no"] for r in scans.select("scan_no").distinct().orderBy("scan_no").collect()]:
+        scans.where(F.col("scan_no") == scan_no).coalesce(1).write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(scans.schema).parquet(arrived)
+        watch(stream, keep, state, emit_new=True, availableNow=True).awaitTermination()
+    return spark.read.parquet(out).drop("batch").withColumn("previous_mtime", F.coalesce("previous_mtime", F.lit(-1)))

@@ -41,6 +41,7 @@ PATTERNS = T.StructType([
     T.StructField("log_key", T.StringType()),
     T.StructField("action", T.StringType()),
     T.StructField("match_no", T.IntegerType()),
+    T.StructField("timestamp", T.LongType()),
 ])
 
 DECISIONS = T.StructType([
@@ -108,6 +109,7 @@ PACKAGE_BODY = T.StructType([
         T.StructField("sid", T.StringType()),
         T.StructField("generated_at", T.LongType()),
         T.StructField("source", T.StringType()),
+        T.StructField("part", T.IntegerType()),
     ])),
 ])
 
@@ -132,6 +134,13 @@ POSTINGS = T.StructType([
     T.StructField("sid", T.StringType()),
 ])
 
+SKIPPED = T.StructType([
+    T.StructField("file_path", T.StringType()),
+    T.StructField("sid", T.StringType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("timestamp", T.LongType()),
+])
+
 REPORTS = T.StructType([
     T.StructField("report_id", T.StringType()),
     T.StructField("sid", T.StringType()),

@@ -45,17 +45,22 @@ def _whole_texts(spark: SparkSession, path: str, glob: str | None = None) -> Dat
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
-def read_logs(spark: SparkSession, path: str, now: int, sid: str = DEFAULT_SID) -> DataFrame:
-    """One row (sid, output, timestamp, cwd) per log file; `cwd` is the file's folder."""
-    return _whole_texts(spark, path).select(
-        F.lit(sid).alias("sid"), F.col("text").alias("output"), F.lit(now).cast("long").alias("timestamp"),
-        F.regexp_replace("file", r"/[^/]*$", "").alias("cwd"))
+def read_logs(spark: SparkSession, path: str, now: int | None = None, sid: str = DEFAULT_SID) -> DataFrame:
+    """One row (sid, output, timestamp, cwd, log_id) per log file: when it was last modified (or
+    `now`), its folder and its path."""
+    texts = spark.read.text(path, wholetext=True).select(
+        F.col("value").alias("output"), F.col("_metadata.file_path").alias("log_id"),
+        F.unix_seconds("_metadata.file_modification_time").alias("modified"))
+    return texts.select(
+        F.lit(sid).alias("sid"), "output", (F.col("modified") if now is None else F.lit(now)).cast("long").alias("timestamp"),
+        F.regexp_replace("log_id", r"/[^/]*$", "").alias("cwd"), "log_id")
 
 
 def rules_from_texts(texts: DataFrame) -> DataFrame:
     """Rules of (file, text) rows: `[section]`, then `name = value` lines; `#` comments.
 
-    One rule per section; a value set twice keeps the last."""
+    One rule per section, also where sections of a file have one name; a value set twice in a
+    section keeps the last."""
     line = F.trim(F.col("line"), F.lit(" \t\n\x0b\f\r"))
     lines = texts.select("file", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(
         "file", "pos", line.alias("line")).where((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
@@ -64,17 +69,18 @@ def rules_from_texts(texts: DataFrame) -> DataFrame:
     header = F.when(is_header & F.contains("line", F.lit("]")), F.substring_index(F.substring("line", 2, 2**31 - 1), "]", 1))
     carried = lines.select(
         "file", "pos", "line", is_header.alias("is_header"),
+        F.count(header).over(in_order).alias("section"),
         F.coalesce(F.last(header, ignorenulls=True).over(in_order), F.lit("")).alias("pattern_name"))
     pair = F.split("line", "=", 2)
     pairs = carried.where(~F.col("is_header") & F.contains("line", F.lit("="))).select(
-        "file", "pos", "pattern_name", F.rtrim(F.get(pair, 0), F.lit(" \t\x0b\f\r")).alias("name"),
+        "file", "pos", "section", "pattern_name", F.rtrim(F.get(pair, 0), F.lit(" \t\x0b\f\r")).alias("name"),
         F.ltrim(F.get(pair, 1), F.lit(" \t\x0b\f\r")).alias("value"))
 
     def value_of(name):
         return F.coalesce(F.max_by(F.when(F.col("name") == name, F.col("value")),
                                    F.when(F.col("name") == name, F.col("pos"))), F.lit(""))
 
-    return pairs.groupBy("file", "pattern_name").agg(
+    return pairs.groupBy("file", "section", "pattern_name").agg(
         value_of("language").alias("language"), value_of("action").alias("action"),
         value_of("key").alias("log_key"), value_of("regex").alias("regex")).select(*RULES.names)
 

@@ -15,10 +15,11 @@ LISTING = T.StructType([
     T.StructField("is_dir", T.BooleanType()),
     T.StructField("size", T.LongType()),
     T.StructField("mtime", T.LongType()),
+    T.StructField("real_path", T.StringType()),
 ])
 
-# A file above this size stays in the result with an error instead of its content.
-MAX_FILE_BYTES = 1 << 30
+# A file that no row can hold (2 GB) stays in the result with an error instead of its content.
+MAX_FILE_BYTES = (1 << 31) - (1 << 20)
 # Contents per Arrow batch.
 _BATCH_BYTES = 32 << 20
 
@@ -30,8 +31,7 @@ def _file_system(path):
 
 
 def _list_folders(batches):
-    """The entries of each folder: hidden names left out, links followed, but not into a
-    folder that contains the link (it would never end)."""
+    """The entries of each folder, hidden names left out; folders with the path that links lead to."""
     import itertools
     import os
 
@@ -40,18 +40,16 @@ def _list_folders(batches):
 
     def rows(folder):
         system, inner = _file_system(folder)
-        here = os.path.realpath(folder)
         for info in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
             if info.base_name.startswith(".") or info.type == fs.FileType.NotFound:
                 continue
             path = f"{folder.rstrip('/')}/{info.base_name}"
             is_dir = info.type == fs.FileType.Directory
-            if is_dir and os.path.islink(path) and f"{here}/".startswith(f"{os.path.realpath(path)}/"):
-                continue
-            yield path, is_dir, info.size, int(info.mtime_ns // 10**9) if info.mtime_ns else 0
+            real = (path if "://" in path else os.path.realpath(path)) if is_dir else None
+            yield path, is_dir, info.size, int(info.mtime_ns // 10**9) if info.mtime_ns else 0, real
 
     names = [f.name for f in LISTING]
-    types = [pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+    types = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
     for batch in batches:
         for folder in batch.column(0).to_pylist():
             entries = rows(folder)
@@ -95,15 +93,24 @@ def list_tree(spark: SparkSession, root: str, recursive: bool = True) -> DataFra
     """All files below `root` as (file_path, size, mtime).
 
     Goes level by level: the folders of one level are spread over tasks, so one large
-    subtree does not become one task. Every level is a table in the shared folder."""
+    subtree does not become one task. Every level is a table in the shared folder. A folder that
+    links reach by several paths, or in a circle, is listed once, under the first (the shortest, then
+    the smallest) of its paths."""
+    import os
+
     width = spark.sparkContext.defaultParallelism * 4
     out = scratch_path(spark, "listing")
-    folders, depth = spark.createDataFrame([(root.rstrip("/") or "/",)], "file_path string"), 0
+    start = root.rstrip("/") or "/"
+    seen = spark.createDataFrame([(start if "://" in start else os.path.realpath(start),)], "real_path string")
+    folders, depth = spark.createDataFrame([(start,)], "file_path string"), 0
     while True:
         level = f"{out}/level={depth}"
         folders.repartition(width).mapInArrow(_list_folders, LISTING).write.parquet(level)
-        found = spark.read.schema(LISTING).parquet(level)
-        folders, depth = found.where("is_dir").select("file_path"), depth + 1
+        found = spark.read.schema(LISTING).parquet(level).where("is_dir")
+        fresh = found.groupBy("real_path").agg(F.min("file_path").alias("file_path")).join(seen, "real_path", "left_anti")
+        fresh.write.parquet(f"{out}-folders/level={depth}")
+        fresh = spark.read.schema(fresh.schema).parquet(f"{out}-folders/level={depth}")
+        seen, folders, depth = seen.unionAll(fresh.select("real_path")), fresh.select("file_path"), depth + 1
         if not recursive or folders.isEmpty():
             break
     return spark.read.schema(LISTING).parquet(out).where("not is_dir").select("file_path", "size", "mtime")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corpuscope import schemas
-from corpuscope.operators import ledger, logs, reports
+from corpuscope.operators import ledger, logs, packages, reports, search
 from corpuscope.session import staged
 
 # table -> (key, order) of its keyed writes
@@ -28,6 +28,7 @@ TABLES = {
     "patterns": schemas.PATTERNS,
     "postings": schemas.POSTINGS,
     "reports": schemas.REPORTS,
+    "skipped": schemas.SKIPPED,
 }
 
 
@@ -113,12 +114,22 @@ class Workspace:
         self._rewrite(name, merged)
         self._drop_buckets(name, set(touched) - set(filled))
 
-    def index(self, files: DataFrame, rules: DataFrame, now: int) -> None:
-        """Snapshots, patterns, postings and pattern decisions of `files`."""
+    def index(self, files: DataFrame, rules: DataFrame, now: int) -> int:
+        """Snapshots, patterns, postings and pattern decisions of `files`.
+
+        Files that could not be read (`read_error`) keep what is stored of them, and are appended to
+        the table `skipped` with the reason; returns how many."""
         from corpuscope.operators.snapshots import index_corpus
 
-        files = staged(files.select(*schemas.FILES.names), "files")
-        snapshots, patterns, postings = index_corpus(files, rules)
+        problem = F.col("read_error") if "read_error" in files.columns else F.lit(None).cast("string")
+        read = staged(files.select(*schemas.FILES.names, problem.alias("read_error")), "files")
+        skipped = read.where("read_error is not null").select("file_path", "sid", F.col("read_error").alias("reason"),
+                                                              F.lit(now).cast("long").alias("timestamp"))
+        n_skipped = skipped.count()
+        if n_skipped:
+            self.append("skipped", skipped)
+        files = read.where("read_error is null").drop("read_error")
+        snapshots, patterns, postings = index_corpus(files, rules, now)
         paths = snapshots.select("file_path")
         patterns, postings = staged(patterns, "patterns"), staged(postings, "postings")
         self.write_keyed("snapshots", snapshots)
@@ -126,6 +137,7 @@ class Workspace:
         self.write_derived("postings", postings, paths)
         self.write_keyed("decisions", ledger.with_decision_embedding(ledger.merge_decisions(
             ledger.pattern_decisions(patterns, now))))
+        return n_skipped
 
     def parse(self, log_texts: DataFrame) -> None:
         """Sessions, errors and error decisions of raw logs."""
@@ -142,18 +154,36 @@ class Workspace:
 
     def clear_errors(self, sid: str) -> int:
         """Delete the errors of one session name; returns how many went."""
-        left, deleted = reports.clear_errors(self.read("errors"), self.read("sessions"), sid)
-        gone = deleted.first()["deleted"]
+        stored = self._stored("errors")
+        gone = reports.clear_errors(stored, sid)[1].first()["deleted"]
         if gone:
-            kept = self._bucketed("errors", staged(left, "errors"), KEYS["errors"][0])
-            before, after = self._buckets_of(self._stored("errors")), self._buckets_of(kept)
-            self._rewrite("errors", kept)
-            self._drop_buckets("errors", set(before) - set(after))
+            touched = self._buckets_of(stored.where(F.col("sid") == sid))
+            left = staged(reports.clear_errors(stored.where(F.col("bucket").isin(touched)), sid)[0], "errors")
+            self._rewrite("errors", left)
+            self._drop_buckets("errors", set(touched) - set(self._buckets_of(left)))
         return gone
 
+    def resume(self, now: int, sid: str | None = None) -> DataFrame:
+        """Packages of all sessions, or one; stored, and returned."""
+        tables = [self.read(t, sid) for t in ("decisions", "errors", "snapshots")]
+        built = staged(packages.build_package(*tables, now=now), "packages")
+        self.write_keyed("packages", built)
+        return built
+
+    def import_packages(self, texts: DataFrame, now: int) -> DataFrame:
+        """Decisions of package texts (sid, text); returns the texts that are no packages."""
+        parsed = staged(packages.parse_package(texts), "parsed")
+        self.write_keyed("decisions", ledger.with_decision_embedding(ledger.merge_decisions(
+            ledger.import_decisions(parsed, now))))
+        return parsed.where("problem is not null")
+
+    def search(self, queries: DataFrame, **options) -> DataFrame:
+        """Files for queries (query_id, query_text, sid), by vector and by text."""
+        return search.similar_files(self.read("snapshots"), self.read("postings"), queries, **options)
+
     def report(self, now: int) -> DataFrame:
         rows = staged(reports.session_report(
-            *(self.read(t) for t in ("snapshots", "patterns", "errors", "sessions")), now=now), "reports")
+            *(self.read(t) for t in ("snapshots", "patterns", "errors")), now=now), "reports")
         self.append("reports", rows.select(*schemas.REPORTS.names))
         return rows
 

@@ -83,8 +83,9 @@ def compare_batch(state_dir: str, on_changes, emit_new: bool = False):
     State is a table with the last mtime of every path, written anew per micro-batch under
     the number of the batch. A scan lists every path, so reading and writing that table is
     of the order of the scan itself, and stays in Spark's own operators; keyed state would
-    call Python once per path and scan. A batch reads only the state of earlier batches,
-    so a batch that is run again after a failure gives the same changes."""
+    call Python once per path and scan. A batch reads only the state of earlier batches, so the
+    same rows give the same changes when a batch is run again. A first scan without files is a
+    baseline too. A scan that shows nothing new leaves the state as it is."""
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         scans = staged(batch.select(*[F.col(f.name).cast(f.dataType) for f in SCANS]), "scan")
@@ -93,7 +94,11 @@ def compare_batch(state_dir: str, on_changes, emit_new: bool = False):
         if earlier:
             known = spark.read.parquet(f"{state_dir}/{earlier[-1]}")
             history = known.select(F.lit(-1).cast("long").alias("scan_no"), "file_path", "mtime").unionByName(scans)
-        on_changes(changed_files(history, emit_new), batch_id)
+        # rows of the state (scan -1) are what new rows are compared with, not changes themselves
+        seen_now = lambda emit: changed_files(history, emit, baseline_done=bool(earlier)).where("scan_no >= 0")
+        on_changes(seen_now(emit_new), batch_id)
+        if earlier and seen_now(True).isEmpty():
+            return
         last = ledger.latest(history, ["file_path"], ["scan_no"]).select("file_path", "mtime")
         last.write.mode("overwrite").parquet(f"{state_dir}/{batch_id}")
         for old in earlier[:-1]:
@@ -128,12 +133,11 @@ def reindex_batch(workspace, rules: DataFrame, sid: str):
         paths = staged(changes.groupBy("file_path").agg(F.max("mtime").alias("mtime")), "changed")
         if paths.isEmpty():
             return
-        files = staged(read_listed(paths.withColumn("size", F.lit(None).cast("long")), sid).where(
-            "read_error is null").drop("read_error"), "changed-files")
+        files = staged(read_listed(paths.withColumn("size", F.lit(None).cast("long")), sid), "changed-files")
         now = int(time.time())
         workspace.index(files, rules, now)
         workspace.write_keyed("decisions", ledger.with_decision_embedding(ledger.merge_decisions(
-            ledger.change_decisions(snapshot_files(files), now))))
+            ledger.change_decisions(snapshot_files(files.where("read_error is null")), now))))
 
     return write
 

@@ -56,8 +56,10 @@ def test_embedding(spark):
 
 
 def errors_of(spark, output, parser):
-    df = spark.createDataFrame([(output,)], "output string")
-    return [tuple(e)[:5] for e in df.select(parser(F.col("output"))).first()[0]]
+    sessions = spark.createDataFrame([("i", "s", "make", output, 1, 5)],
+                                     "session_id string, sid string, command string, output string, exit_code int, timestamp long")
+    fields = ["error_type", "file_path", "line_number", "column_number", "message"]
+    return [tuple(r) for r in parser(sessions).orderBy("ordinal").select(*fields).collect()]
 
 
 @pytest.mark.parametrize("line, want", [
@@ -72,12 +74,14 @@ def errors_of(spark, output, parser):
     ("a.c:1:2: error: ", None), ("main.c: In function 'main':", None), ("", None),
 ])
 def test_compiler_line(spark, line, want):
-    assert errors_of(spark, line, logs.compiler_errors) == ([want] if want else [])
+    assert errors_of(spark, line, logs.parse_compiler_lines) == ([want] if want else [])
+    flag = spark.createDataFrame([(f"first\n{line}\nlast",)], "o string").select(logs.has_compiler_line(F.col("o"))).first()[0]
+    assert flag == bool(want)
 
 
 def test_compiler_lines_do_not_run_together(spark):
     out = "main.c: In function 'main':\nmain.c:5:3: error: x undeclared\n"
-    assert errors_of(spark, out, logs.compiler_errors) == [("compile_error", "main.c", 5, 3, "x undeclared")]
+    assert errors_of(spark, out, logs.parse_compiler_lines) == [("compile_error", "main.c", 5, 3, "x undeclared")]
 
 
 TRACEBACK = ('Traceback (most recent call last):\n  File "a.py", line 3, in <module>\n    f()\n'
@@ -96,7 +100,7 @@ TRACEBACK = ('Traceback (most recent call last):\n  File "a.py", line 3, in <mod
     ("nothing", []),
 ])
 def test_traceback(spark, output, want):
-    assert errors_of(spark, output, logs.traceback_errors) == want
+    assert errors_of(spark, output, logs.parse_tracebacks) == want
 
 
 def parsed(spark, *outputs):
@@ -115,7 +119,7 @@ def test_first_parser_that_finds_something_wins(spark):
 
 
 @pytest.mark.parametrize("output, command", [
-    ("$ make all\nx", "make all"), ("~/$ \tls", "ls"), ("\nfoo", ""), ("x" * 255, "x" * 255), ("x" * 256, ""), ("", "")])
+    ("$ make all\nx", "make all"), ("~/$ \tls", "ls"), ("\nfoo", ""), ("x" * 255, "x" * 255), ("x" * 256, "x" * 256), ("", "")])
 def test_command(spark, output, command):
     df = spark.createDataFrame([(output,)], "o string")
     assert df.select(logs.command_of(F.col("o"))).first()[0] == command
@@ -130,7 +134,7 @@ def test_default_rules_on_code(spark):
     c = "int x;\nint main(void) {\n curl_easy_init();\n}\nint f(int a) {\n}\n"
     files = spark.createDataFrame([("s", "a.c", c), ("s", "a.py", "def a():\n  pass\n"), ("s", "a.js", c)],
                                   "sid string, file_path string, content string")
-    found = patterns.extract_patterns(files, default_rules(spark)).collect()
+    found = patterns.extract_patterns(files, default_rules(spark), 1).collect()
     assert sorted((r.file_path, r.log_key, r.line_number, r.matched_text) for r in found) == [
         ("a.c", "api.called", 3, "curl_easy_init("), ("a.c", "function.declared", 2, "int main(void) {"),
         ("a.c", "function.declared", 5, "int f(int a) {"), ("a.py", "function.declared", 1, "def a(")]

@@ -29,7 +29,7 @@ def test_per_row_operators_do_not_shuffle(spark, stored):
     for df in (snapshots.snapshot_files(stored["files"]), search.build_postings(stored["files"]), sessions,
                logs.session_errors(sessions), logs.parse_tracebacks(sessions), logs.generic_failures(sessions)):
         assert "Exchange" not in plan(df)
-    matched = plan(patterns.extract_patterns(stored["files"], default_rules(spark)))
+    matched = plan(patterns.extract_patterns(stored["files"], default_rules(spark), 1))
     assert "BroadcastHashJoin" in matched and "NestedLoop" not in matched and matched.count("regexp_extract_all") == 1
 
 
@@ -42,9 +42,8 @@ def test_embedding_runs_once_and_only_when_asked(spark, stored):
 
 def test_limits_apply_before_the_shuffle(spark, stored):
     decisions = ledger.merge_decisions(ledger.human_decisions(fixtures.decisions(spark, SF)))
-    for df in (packages.package_assumptions(decisions, snapshots.snapshot_files(stored["files"])),
-               packages.recent_distinct_errors(logs.session_errors(logs.log_sessions(stored["logs"])),
-                                               logs.session_names(stored["logs"]))):
+    for df in (packages.package_assumptions(decisions, snapshots.snapshot_files(stored["files"]), limit=5),
+               packages.recent_distinct_errors(logs.session_errors(logs.log_sessions(stored["logs"])), limit=5)):
         assert "Partial" in plan(df) and "Final" in plan(df)
     assert "partial_max(struct" in plan(decisions)
 

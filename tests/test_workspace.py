@@ -54,6 +54,33 @@ def test_large_files_are_reported(spark, source, monkeypatch):
     assert len(rows) == 2 and all(r.content is None and "larger" in r.read_error for r in rows)
 
 
+def test_folders_that_link_to_each_other(spark, tmp_path):
+    for a, b in (("x", "y"), ("y", "x")):
+        (tmp_path / "t" / a).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / a / f"{a}.c").write_text("int a;\n")
+        (tmp_path / "t" / b).mkdir(parents=True, exist_ok=True)
+        os.symlink(tmp_path / "t" / b, tmp_path / "t" / a / "other")
+    assert tree.list_tree(spark, str(tmp_path / "t")).count() == 2
+
+
+def test_bulk_logs_stay_apart(spark, tmp_path):
+    from corpuscope.operators import logs
+
+    (tmp_path / "logs").mkdir()
+    for i in range(3):
+        (tmp_path / "logs" / f"{i}.log").write_text(f"$ make all\na.c:{i + 1}:2: error: x\n")
+        os.utime(tmp_path / "logs" / f"{i}.log", (1000, 1000))
+    sessions, errors = logs.parse_logs(texts.read_logs(spark, str(tmp_path / "logs"), sid="s"))
+    assert sessions.count() == 3 and errors.select("session_id").distinct().count() == 3
+    assert {r.timestamp for r in sessions.collect()} == {1000} and {r.line_number for r in errors.collect()} == {1, 2, 3}
+
+
+def test_sections_of_one_name_are_rules_of_their_own(spark):
+    text = "[f]\nregex = a\nlanguage = c\n# [g]\n[f]\nregex = b\nlanguage = python\n"
+    rules = texts.rules_from_texts(spark.createDataFrame([("x.template", text)], "file string, text string"))
+    assert sorted((r.pattern_name, r.language, r.regex) for r in rules.collect()) == [("f", "c", "a"), ("f", "python", "b")]
+
+
 def test_rules_and_logs_from_files(spark, tmp_path):
     texts.write_default_rules(str(tmp_path / "rules"))
     (tmp_path / "rules" / "other.txt").write_text("[x]\nregex=y\n")
@@ -93,12 +120,20 @@ def test_workspace(spark, source, tmp_path):
     assert report == {"s": (4, 1, 0, 2), "t": (1, 2, 0, 0)}
     assert ws.read("reports").count() == 2
 
-    built = packages.build_package(*(ws.read(t) for t in ("decisions", "errors", "sessions", "snapshots")), now=400)
-    ws.write_keyed("packages", built)
+    ws.resume(400)
     texts.write_packages(ws.read("packages"), str(tmp_path / "packages"))
     parsed = packages.parse_package(texts.read_packages(spark, str(tmp_path / "packages"), "new", one_per_line=True))
     assert parsed.count() == 3 and parsed.where("problem is not null").count() == 0
-    ws.write_keyed("decisions", ledger.with_decision_embedding(ledger.merge_decisions(ledger.import_decisions(parsed, 500))))
+    again = texts.read_packages(spark, str(tmp_path / "packages"), "new", one_per_line=True)
+    refused = ws.import_packages(again.union(spark.createDataFrame([("new", "no package")], again.schema)), 500)
+    assert [r.problem for r in refused.collect()] == ["no SID prefix"]
+    asked = spark.createDataFrame([(1, "int", None)], "query_id long, query_text string, sid string")
+    assert ws.search(asked).count() > 0
+    # a file that cannot be read keeps its snapshot
+    before = ws.read("snapshots").where(f"file_path = '{source}/m.c'").first()
+    gone = spark.createDataFrame([("t", f"{source}/m.c", 10, None, "no such file")], files.schema)
+    assert ws.index(gone, rules, 600) == 1 and ws.read("skipped").first().reason == "no such file"
+    assert ws.read("snapshots").where(f"file_path = '{source}/m.c'").first() == before
     assert ws.read("decisions", "new").count() == 7 + 5
     assert (ws.clear_errors("t"), ws.clear_errors("s"), ws.clear_errors("s")) == (0, 2, 0)
     assert ws.read("errors").count() == 0
