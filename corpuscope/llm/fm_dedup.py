@@ -71,7 +71,8 @@ def suffix_array(symbols, depth):
 
 
 class FMIndex:
-    """Backward search over a sequence of symbols 0 .. alphabet - 1; patterns of at most `depth` symbols."""
+    """Backward search over a sequence of symbols 0 .. alphabet - 1 that ends with symbol 0; patterns
+    have at most `depth` symbols and no 0."""
 
     def __init__(self, symbols, alphabet, depth):
         # one symbol more than a pattern: the order has to hold for what follows its first symbol

@@ -91,7 +91,8 @@ def slots(planned: DataFrame, shard_slots: int = SHARD) -> DataFrame:
              .select("number", "n_blocks", "n_slots", "first_slot", "all_slots",
                      F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(shard_slots).cast("long"))).alias("from")))
     # a row stands for `shard_slots` slots: spread them before they are written out
-    spread = parts.repartition(F.col("number"), F.col("from"))
+    width = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = parts.repartition(width, "number", "from")
     rows = spread.withColumn("q", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + shard_slots, F.col("n_slots")) - 1)))
     turn, within = F.floor(F.try_divide("q", "n_blocks")).cast("long"), F.pmod(F.col("q"), F.col("n_blocks"))
     rows = rows.withColumn("block", permuted(within, F.col("n_blocks"), F.xxhash64(F.lit(SEED), "number", turn)))
@@ -130,7 +131,8 @@ def mixed(docs: DataFrame, tables: Staged) -> DataFrame:
         "block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK).cast("long"), F.floor((end - 1) / BLOCK).cast("long"))))
     share = F.least(end, (F.col("block") + 1) * BLOCK) - F.greatest(F.col("start"), F.col("block") * BLOCK)
     keys = ["doc_id", "source", "size", "source_size", "target", "number", "start", "draw"]
-    taken = (pieces.join(times, ["number", "block"], "left")
+    # the planner takes `times` for as small as the sources it is made from: it must not be broadcast
+    taken = (pieces.join(times.hint("merge"), ["number", "block"], "left")
              .groupBy(*keys).agg(F.sum(share * F.coalesce("times", F.lit(0))).cast("long").alias("taken")))
     empty = placed.filter("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(empty).drop("number", "start")

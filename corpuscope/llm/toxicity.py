@@ -18,9 +18,10 @@ from corpuscope.llm.tables import Staged, documents, long_column
 from corpuscope.llm.training import SAMPLE, remainder, training_rows
 
 THRESHOLD = 0.3
-# Pseudo-count of the prior per token on average, and the z-score of a token that is kept.
+# Pseudo-count of the prior per token on average, and the z-score and log-odds of a token that is kept.
 PRIOR = 0.5
-MIN_Z = 3.0
+MIN_Z = 2.0
+MIN_SCORE = 1.0
 # Tokens of the table at most (those of the largest z-scores), and the cost of any other token.
 TOKENS = 50_000
 OTHER = -0.05
@@ -126,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     """Fit on at most `sample` labelled rows of each class; equal texts count once."""
     chosen, weights = training_rows(docs, labels, label, sample)
     rows = chosen.groupBy("text").agg(F.max("label").alias("label")).select(F.col("text").cast("binary").alias("data"), "label")
-    table = token_table(rows, Staged(docs.sparkSession)).filter(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "token").limit(TOKENS).toPandas()
+    table = token_table(rows, Staged(docs.sparkSession)).filter((F.abs("z") >= MIN_Z) & (F.abs("score") >= MIN_SCORE)).orderBy(F.desc(F.abs("z")), "token").limit(TOKENS).toPandas()
     table = table.assign(key=table["token"].to_numpy().view("uint64")).sort_values("key")
     model = Model(table["key"].to_numpy(), table["score"].to_numpy(float))
     sizes = chosen.select(F.col("text").cast("binary").alias("data"), "label").mapInArrow(
