@@ -91,12 +91,12 @@ def test_given_documents(spark, given, name, operator, columns, contract):
 
 def test_fm_index_finds_every_interval():
     rng = np.random.default_rng(3)
-    symbols = rng.integers(0, 5, 400)
+    symbols = np.append(rng.integers(1, 5, 400), 0)  # the end mark
     index = fm_dedup.FMIndex(symbols, 5, 6)
-    patterns = np.array([[*symbols[i: i + 6]] for i in range(300)] + rng.integers(0, 5, (100, 6)).tolist())
+    patterns = np.array([[*symbols[i: i + 6]] for i in range(300)] + rng.integers(1, 5, (100, 6)).tolist())
     low, high = index.search([patterns[:, k] for k in range(5, -1, -1)])
     for p, a, b in zip(patterns, low, high):
-        want = [i for i in range(395) if (symbols[i: i + 6] == p).all()]
+        want = [i for i in range(396) if (symbols[i: i + 6] == p).all()]
         assert sorted(index.order[a:b].tolist()) == want
 
 
