@@ -18,9 +18,9 @@ from corpuscope.llm.tables import Staged, documents, long_column
 from corpuscope.llm.training import SAMPLE, remainder, training_rows
 
 THRESHOLD = 0.3
-# Pseudo-count of the prior per token on average, and the z-score and log-odds of a token that is kept.
+# Pseudo-count of the prior per token, on average and at least; z-score and log-odds of a token that is kept.
 PRIOR = 0.5
-MIN_Z = 2.0
+MIN_Z = 3.0
 MIN_SCORE = 1.0
 # Tokens of the table at most (those of the largest z-scores), and the cost of any other token.
 TOKENS = 50_000
@@ -117,6 +117,7 @@ def token_table(rows: DataFrame, tables: Staged) -> DataFrame:
     whole = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("kinds")).first()
     prior_all = whole["kinds"] * PRIOR
     prior = (F.col("toxic") + F.col("clean")) * (prior_all / max((whole["toxic"] or 0) + (whole["clean"] or 0), 1))
+    prior = F.greatest(prior, F.lit(PRIOR))
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     rest = lambda seen, x: F.greatest(F.lit((seen or 0) + prior_all) - x, F.lit(1e-9))
     odds = F.log(a / rest(whole["toxic"], a)) - F.log(b / rest(whole["clean"], b))
