@@ -126,6 +126,36 @@ def text_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
     return per_file.where(F.col("found") == F.col("n_words")).select("query_id", "file_path", "sid")
 
 
+def clause_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, file_path, sid) for a batch of queries (query_id, clauses) with
+    clauses array<struct<op, field, tokens>>.
+
+    A file is hit if every clause holds that is not a `not`, and no `not` does: `all` tokens, `any`
+    token, the tokens as a `phrase`, any token beginning with one of them (`prefix`), none of them
+    (`not`). A clause with a `field` looks only there. Tokens are as `search_tokens` makes them. A
+    query of `not` clauses alone hits nothing."""
+    clauses = queries.select("query_id", F.posexplode("clauses").alias("clause", "c")).select(
+        "query_id", "clause", "c.op", "c.field", "c.tokens", F.size("c.tokens").alias("n"))
+    asked = clauses.select("query_id", "clause", "op", F.col("field").alias("in_field"), "n",
+                           F.posexplode("tokens").alias("token_no", "token"))
+    plain = asked.where("op <> 'prefix'")
+    # a prefix becomes the tokens that begin with it; they meet on their first letter
+    begins = asked.where("op = 'prefix'").withColumnRenamed("token", "prefix").withColumn("letter", F.left("prefix", F.lit(1)))
+    known = postings.select("token").distinct().withColumn("letter", F.left("token", F.lit(1)))
+    grown = begins.join(known, "letter").where(F.startswith("token", F.col("prefix"))).select(*plain.columns)
+    found = postings.join(plain.unionByName(grown), "token").where(
+        F.col("in_field").isNull() | (F.col("in_field") == F.col("field")))
+    key = ["query_id", "clause", "op", "n", "file_path", "sid"]
+    loose = found.where("op <> 'phrase'").groupBy(*key).agg(F.count_distinct("token_no").alias("have"))
+    loose = loose.where("op <> 'all' or have = n").select(*key)
+    starts = found.where("op = 'phrase'").groupBy(*key, "field", (F.col("pos") - F.col("token_no")).alias("start")).count()
+    phrases = starts.where("count = n").select(*key).distinct()
+    wanted = clauses.groupBy("query_id").agg(F.count_if(F.col("op") != "not").alias("wanted"))
+    per_file = loose.unionByName(phrases).groupBy("query_id", "file_path", "sid").agg(
+        F.count_if(F.col("op") != "not").alias("held"), F.count_if(F.col("op") == "not").alias("refused"))
+    return per_file.join(wanted, "query_id").where("refused = 0 and held = wanted").select("query_id", "file_path", "sid")
+
+
 # --- cosine top-k ------------------------------------------------------------------------
 
 def _embedded(queries: DataFrame) -> DataFrame:
@@ -272,6 +302,9 @@ def similar_files(snapshots: DataFrame, postings: DataFrame, queries: DataFrame,
                   threshold: float = FILE_THRESHOLD, **plan) -> DataFrame:
     """Cosine hits merged with text hits, best k per ranking (see `cosine_top_k`).
 
+    Text hits are those of the query text as a plain word list (`text_hits`), or, where `queries`
+    has a column `clauses`, of its clauses.
+
     A file in both lists keeps its cosine score; a file found by text alone scores 0.99.
     The merged best k are the best of (cosine best k, text-only hits), so the full cosine
     list is never formed: only text hits are checked against the threshold. `snapshots` is
@@ -280,7 +313,10 @@ def similar_files(snapshots: DataFrame, postings: DataFrame, queries: DataFrame,
     named = asked.groupBy("query_id").agg(F.bool_and(F.col("sid").isNotNull()).alias("named"))
     ranking = lambda rows: rows.join(named, "query_id").withColumn("asked_sid", F.when(F.col("named"), F.col("sid"))).drop("named")
     by_vector = ranking(similar_files_by_vector(snapshots, asked, k, threshold, **plan).drop("rank"))
-    hits = text_hits(postings, asked).select("query_id", "file_path")
+    if "clauses" in queries.columns:
+        hits = clause_hits(postings, queries.select("query_id", "clauses")).select("query_id", "file_path")
+    else:
+        hits = text_hits(postings, asked).select("query_id", "file_path")
     vectors = asked.select("query_id", F.col("embedding").alias("query_embedding")).dropDuplicates(["query_id"])
     text_only = (
         hits.join(snapshots.select("file_path", "sid", "embedding"), "file_path").join(vectors, "query_id")

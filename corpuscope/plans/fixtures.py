@@ -89,6 +89,27 @@ select 2000000 + min(doc_id), upper(source) from {documents} group by source
 """
 
 
+# Three queries by clauses for each source.
+CLAUSES = """
+with s as (select source, min(doc_id) as first from {documents} group by source)
+select 3 * first as query_id, source as query_text, array(
+  named_struct('op', 'any', 'field', cast(null as string), 'tokens', array(source, 'curl')),
+  named_struct('op', 'not', 'field', 'content', 'tokens', array('la', 'der'))) as clauses from s
+union all
+select 3 * first + 1, source, array(
+  named_struct('op', 'phrase', 'field', 'content', 'tokens', array('select', '1')),
+  named_struct('op', 'all', 'field', 'file_path', 'tokens', array('src', source))) from s
+union all
+select 3 * first + 2, source, array(
+  named_struct('op', 'prefix', 'field', cast(null as string), 'tokens', array('cur', 'sqlit')),
+  named_struct('op', 'all', 'field', cast(null as string), 'tokens', array(source, 'the'))) from s
+"""
+
+
+def clause_queries(spark, sf_dir) -> DataFrame:
+    return spark.sql(CLAUSES, documents=table(spark, sf_dir, "documents"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_spread(spark, f"{sf_dir}/{name}.parquet")
 
@@ -101,10 +122,13 @@ def scans(spark, sf_dir) -> DataFrame:
     return spark.sql(SCANS, documents=table(spark, sf_dir, "documents"))
 
 
+def log_lines(spark, sf_dir) -> DataFrame:
+    return spark.sql(LOG_LINES, events=table(spark, sf_dir, "events"))
+
+
 def logs(spark, sf_dir) -> DataFrame:
-    lines = spark.sql(LOG_LINES, events=table(spark, sf_dir, "events"))
     return spark.sql(LOGS.replace("{concatenated}", "listagg(line, chr(10)) within group (order by event_id)"),
-                     log_lines=lines)
+                     log_lines=log_lines(spark, sf_dir))
 
 
 def decisions(spark, sf_dir) -> DataFrame:

@@ -228,6 +228,22 @@ select query_id, sid, node_id, key, value, score, rank, cast(round(score * 100)
     "text_search_field": _with(*_POSTINGS, then="select distinct file_path from postings where field = 'sid' and token = 'en'"),
     "text_search_session": _with(*_POSTINGS, then="select distinct file_path from postings where token in ('cursor', 'curl') and sid = 'de'"),
     "text_search_batch": _with(*_POSTINGS, *_fixture("questions"), *_HITS, then="select query_id, file_path, sid from hits"),
+    "text_search_clauses": _with(*_POSTINGS, ("s", "select source, 3 * min(doc_id) as q from documents group by source"),
+        ("f", "select distinct file_path, sid from postings"), then="""
+select q as query_id, file_path, sid from s cross join f
+where exists (select 1 from postings p where p.file_path = f.file_path and p.token in (s.source, 'curl'))
+  and not exists (select 1 from postings p where p.file_path = f.file_path and p.field = 'content' and p.token in ('la', 'der'))
+union all
+select q + 1, file_path, sid from s cross join f
+where exists (select 1 from postings a join postings b on a.file_path = b.file_path and a.field = b.field and b.pos = a.pos + 1
+              where a.file_path = f.file_path and a.field = 'content' and a.token = 'select' and b.token = '1')
+  and exists (select 1 from postings p where p.file_path = f.file_path and p.field = 'file_path' and p.token = 'src')
+  and exists (select 1 from postings p where p.file_path = f.file_path and p.field = 'file_path' and p.token = s.source)
+union all
+select q + 2, file_path, sid from s cross join f
+where exists (select 1 from postings p where p.file_path = f.file_path and (starts_with(p.token, 'cur') or starts_with(p.token, 'sqlit')))
+  and exists (select 1 from postings p where p.file_path = f.file_path and p.token = s.source)
+  and exists (select 1 from postings p where p.file_path = f.file_path and p.token = 'the')"""),
     "pattern_matches": _with(*_PATTERNS, then="select sid, file_path, pattern_name, matched_text, line_number, log_key from found"),
     "pattern_wildcard_rule": """
 with lines as (select url as file_path, unnest(string_split(html, chr(10))) as line,
@@ -242,10 +258,14 @@ from found group by file_path""",
     "parse_compiler_lines": _with(*_FOUND, then=_ERROR_COLUMNS + "compiled"),
     "generic_failures": _with(*_FOUND, then="select session_id, sid, error_type, message, command, exit_code from generic"),
     "parse_logs": _with(*_ERRORS, then=_ERROR_COLUMNS + "errors"),
-    "parse_log_files": _with(*_ERRORS, then="""
-select concat(s.sid, '-', cast(s.log_day as varchar)) as name, 'make all' as command, cast(s.exit_code as bigint) as exit_code,
-  count(e.session_id) as errors
-from sessions s left join errors e using (session_id) group by s.sid, s.log_day, s.exit_code"""),
+    "parse_log_files": _with(*_fixture("log_lines"), ("kinds", _LINES), ("logs", """
+select sid, count_if(kind = 'traceback') as tracebacks, count_if(kind = 'compiler') as compiled,
+  count(distinct (event_id % 70, event_id % 50)) filter (where kind = 'traceback') as traceback_errors,
+  count(distinct (p[1], p[2], substr(line, length(p[1]) + length(p[2]) + length(p[3]) + 4))) filter (where kind = 'compiler') as compiler_errors,
+  max(cast(contains(line, 'error:') or contains(line, 'Error:') or contains(line, 'Traceback') as bigint)) as exit_code
+from (select *, string_split(line, ':') as p from kinds) group by sid"""), then="""
+select sid as name, 'make all' as command, exit_code,
+  case when tracebacks > 0 then traceback_errors when compiled > 0 then compiler_errors else exit_code end as errors from logs"""),
     "rule_files": """
 with s as (select distinct source from documents)
 select 'same' as pattern_name, 'c' as language, '' as action, '' as log_key, source as regex, 1 as usable from s

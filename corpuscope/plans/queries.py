@@ -185,6 +185,11 @@ def text_search_batch(spark, sf):
         "sid", F.lit(None).cast("string")))
 
 
+@query
+def text_search_clauses(spark, sf):
+    return search.clause_hits(_postings(spark, sf), fixtures.clause_queries(spark, sf))
+
+
 # --- patterns ----------------------------------------------------------------------------
 
 def _pattern_columns(rows):
@@ -275,12 +280,12 @@ def parse_logs(spark, sf):
 
 
 def _log_files(spark, sf):
-    """The logs written as files, one per log, with equal first lines; read back in bulk."""
+    """One log file per session name, all with the same first line; read back in bulk."""
     path = scratch_path(spark, "log-files")
-    raw = fixtures.logs(spark, sf).select(
-        F.concat_ws("-", "sid", F.col("log_day").cast("string")).alias("name"),
-        F.concat(F.lit("$ make all\n"), F.regexp_replace("output", r"^[^\n]*\n", "")).alias("value"))
-    raw.write.partitionBy("name").text(path)
+    lines = fixtures.log_lines(spark, sf).withColumnRenamed("sid", "name")
+    texts = spark.sql("""select name, concat('$ make all', chr(10), listagg(line, chr(10)) within group (order by event_id)) as value
+        from {lines} group by name""", lines=lines)
+    texts.write.partitionBy("name").text(path)
     read = read_logs(spark, f"{path}/*", sid="bulk")
     return read.withColumn("output", F.rtrim("output", F.lit("\n")))
 
