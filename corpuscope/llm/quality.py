@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscope.llm.rolling import FOLDED_VALUES, IS_SEPARATOR, Rolling, word_spans
+from corpuscope.llm.rolling import FOLDED_VALUES, Rolling, pieces, word_spans
 from corpuscope.llm.tables import documents
 from corpuscope.llm.training import SAMPLE, packed, remainder, summed, training_rows, unpacked
 
@@ -46,7 +46,11 @@ _MARK = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 
 def symbols(text):
     """(word bucket, shape) of each word of a text."""
-    data = np.frombuffer(text or b"", np.uint8)
+    parts = [_symbols(part) for part in pieces(np.frombuffer(text or b"", np.uint8))]
+    return tuple(map(np.concatenate, zip(*parts))) if parts else (np.zeros(0, np.int64),) * 2
+
+
+def _symbols(data):
     starts, ends = word_spans(data)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -68,7 +68,8 @@ def word_spans(data, separator=IS_SEPARATOR):
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def _pieces(data, separator):
+def pieces(data, separator=IS_SEPARATOR):
+    """Parts of a text of about PIECE bytes, cut at separators."""
     at = 0
     while at < len(data):
         end = at + PIECE
@@ -83,7 +84,7 @@ def word_hashes(text, values=BYTE_VALUES, separator=IS_SEPARATOR):
     """The 64-bit hash of each word of a text given as bytes, in order."""
     data = np.frombuffer(text or b"", np.uint8)
     out = []
-    for piece in _pieces(data, separator):
+    for piece in pieces(data, separator):
         starts, ends = word_spans(piece, separator)
         if len(starts):
             out.append(Rolling(values[piece]).spans(starts, ends))
