@@ -216,7 +216,7 @@ def test_fingerprints_of_hard_documents(spark):
         fingerprints.containment(F.col("s"), F.col("s")), fingerprints.likeness(F.col("s"), fingerprints.merged(F.col("s"), F.col("s"))))
     assert {tuple(r) for r in both.collect()} == {(1.0, 1.0)}
     only = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
-    assert fingerprints.edited_fingerprints(only).first()["edited_sha256"] == brute.sha(b"a b c d e fa b")[:0] or True
+    assert fingerprints.edited_fingerprints(only).first()["edited_sha256"] == brute.sha(b"a b c d e f a b")
 
 
 def check_mixing(df, docs):
@@ -300,9 +300,8 @@ def test_pipeline_stage_by_stage(spark, hard):
     assert {r["doc_id"] for r in near.collect()} == {d for d, n, c in brute.jaccard(plain) if d == c or n == 0}
     mixed = corpus_pipeline.mix_sources(spark, docs, SF)
     assert mixed.columns == columns
-    texts = dict(plain)
-    assert max(Counter((r["doc_id"], r["_id"]) for r in mixed.collect()).values()) <= 2
-    assert all(r["text"] is not None for r in mixed.collect()) and texts
+    rows = mixed.collect()
+    assert max(Counter((r["doc_id"], r["_id"]) for r in rows).values()) <= 2 and all(r["text"].split() for r in rows)
     clean = corpus_pipeline.remove_toxic(spark, docs, SF)
     assert clean.columns == columns and clean.count() == docs.count()
 
