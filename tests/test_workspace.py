@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscope.operators import ledger, packages
+from corpuscope.operators import packages
 from corpuscope.sources import texts, tree
 from corpuscope.sources.workspace import Workspace
 from corpuscope.streaming.watch import folder_scans, reindex_batch, watch
