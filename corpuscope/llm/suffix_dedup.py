@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscope.llm.repeats import repeated_contexts, with_lists
+from corpuscope.llm.repeats import HOT, in_small_groups, repeated_contexts, with_lists
 from corpuscope.llm.rolling import BYTE_VALUES, Rolling, anchored
 from corpuscope.llm.tables import Staged, documents, long_column, sorted_groups, text_key
 
@@ -102,13 +102,17 @@ def spans_of(flags):
 
 
 def match_groups(window: int):
-    """Arrow batches sorted by trigger to (trigger, digest, lo, hi): repeated starts of each context."""
+    """Arrow batches sorted by trigger to (trigger, digest, at, more): runs of repeated starts of each context."""
     def run(batches):
         rows = []
         for (trigger,), group in sorted_groups(batches, "trigger"):
-            found = repeated_windows([(r["context"], r["trigger_at"], r["starts"], r["times"]) for r in group], window)
-            for r, flags in zip(group, found):
-                rows += [(trigger, r["digest"], int(a), int(b)) for a, b in zip(*spans_of(flags))]
+            if len(group) == 1:  # its windows have different distances
+                r = group[0]
+                rows += [(trigger, r["digest"], 0, r["far"] - r["near"])] * (r["value"] > 1)
+            else:
+                found = repeated_windows([(r["context"], r["far"], r["far"] - r["near"] + 1, r["value"]) for r in group], window)
+                for r, flags in zip(group, found):
+                    rows += [(trigger, r["digest"], int(a), int(b - a)) for a, b in zip(*spans_of(flags))]
             if len(rows) > 10_000:
                 yield _rows(rows)
                 rows = []
@@ -118,7 +122,7 @@ def match_groups(window: int):
 
 
 def _rows(rows):
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["trigger", "digest", "lo", "hi"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["trigger", "digest", "at", "more"])
 
 
 def cut(window: int):
@@ -142,7 +146,7 @@ def cut(window: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """`docs` (doc_id, text) to doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary).
 
     Removes each byte covered by a `window`-byte string that also starts elsewhere in any text,
@@ -167,10 +171,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                .select("w.*", F.expr("substring(data, cast(w.first as int) + 1, cast(w.last - w.first as int) + %d)" % window).alias("context"))
                .withColumn("starts", F.col("last") - F.col("first") + 1).drop("first", "last"))
     context = context.groupBy("trigger", "digest").agg(*[F.first(c).alias(c) for c in ("times", "starts", "context")])
-    located = context.mapInArrow(locate(gram, window), "trigger long, digest long, times long, starts long, trigger_at long, context binary")
+    located = context.mapInArrow(locate(gram, window), "trigger long, digest long, value long, near long, far long, context binary")
+    located = tables.write(located.withColumn("low", F.lit(0).cast("long")).withColumn("high", F.lit(window - gram).cast("long")), "located")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    matched = (located.repartition(parts, "trigger").sortWithinPartitions("trigger")
-               .mapInArrow(match_groups(window), "trigger long, digest long, lo long, hi long"))
+
+    def match(rows):
+        return (rows.select("trigger", "digest", "value", "near", "far", "context").repartition(parts, "trigger").sortWithinPartitions("trigger")
+                .mapInArrow(match_groups(window), "trigger long, digest long, at long, more long"))
+    matched = in_small_groups(located, tables, match, window=window, unit=1, merged=F.sum, hot=hot)
+    matched = matched.select("trigger", "digest", F.col("at").alias("lo"), (F.col("at") + F.col("more")).alias("hi"))
     several_times = words.filter("times > 1").select(
         "trigger", "digest", F.lit(0).cast("long").alias("lo"), (F.col("at.last") - F.col("at.first")).alias("hi"))
     once = words.filter("times = 1").select("trigger", "digest")
@@ -178,7 +187,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     run = F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
     spans = tables.write(hits.join(found, ["trigger", "digest"]).groupBy("key").agg(F.collect_set(run).alias("runs"))
                          .select("key", F.col("runs.lo").alias("los"), F.col("runs.hi").alias("his")), "spans")
-    tables.drop("triggers", "contexts", "dictionary", "wanted", "found")
+    tables.drop(*[n for n in tables.paths if not n.startswith("spans")])
     whole, parted = with_lists(keyed, spans, tables, "spans")
     done = whole.select("doc_id", F.coalesce(F.octet_length("data"), F.lit(0)).cast("long").alias("n_bytes"),
                         F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
@@ -195,9 +204,11 @@ def locate(gram: int, window: int):
             for context in batch.column("context").to_pylist():
                 data = np.frombuffer(context, np.uint8, window)
                 at.append(trigger_place(data, gram))
+            far = np.array(at, np.int64)
+            near = far - batch.column("starts").to_numpy() + 1
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("trigger", "digest", "times", "starts")), pa.array(at, pa.int64()), batch.column("context")],
-                names=["trigger", "digest", "times", "starts", "trigger_at", "context"])
+                [*(batch.column(c) for c in ("trigger", "digest", "times")), pa.array(near), pa.array(far), batch.column("context")],
+                names=["trigger", "digest", "value", "near", "far", "context"])
     return run
 
 

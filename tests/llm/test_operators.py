@@ -111,6 +111,34 @@ def test_repeated_windows_of_one_group():
                 assert flag == (seen[t[i: i + 6]] > 1)
 
 
+@pytest.mark.parametrize("module, solver, operator, contract, size", [
+    (suffix_dedup, "match_groups", suffix_dedup.dedup_substrings, brute.substrings, 8)], ids=["op2_suffix_dedup"])
+def test_no_task_holds_all_contexts_of_a_hot_trigger(spark, monkeypatch, module, solver, operator, contract, size):
+    rng, made = random.Random(12), getattr(module, solver)
+
+    def watched(*args):
+        solve = made(*args)
+
+        def run(batches):
+            def counted():
+                last, n = None, 0
+                for batch in batches:
+                    for trigger in batch.column("trigger").to_pylist():
+                        last, n = trigger, n + 1 if trigger == last else 1
+                        assert n <= size
+                    yield batch
+            yield from solve(counted())
+        return run
+
+    short, long, longest = words(rng, 5), words(rng, 25), words(rng, 70)
+    sides = [words(rng, 90) for _ in range(6)]
+    rows = [(i, f"{rng.choice(sides) if i % 3 else words(rng, 90)} {(short, long, longest)[i % 3]} {rng.choice(sides) if i % 4 else words(rng, 90)}")
+            for i in range(120)] + [(200, f"{sides[0]} {long} {long} {sides[0]}"), (None, f"{long} {longest}")]
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] if size == 8 else ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    monkeypatch.setattr(module, solver, watched)
+    same(operator(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=size), columns, contract(rows))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)]
