@@ -13,13 +13,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscope.llm.repeats import repeated_contexts, with_lists
-from corpuscope.llm.rolling import anchored, word_hashes, word_spans
+from corpuscope.llm.repeats import HOT, in_small_groups, repeated_contexts, with_lists
+from corpuscope.llm.rolling import Rolling, anchored, word_hashes, word_spans
 from corpuscope.llm.tables import Staged, documents, long_column, text_key
 
 WINDOW = 13
 GRAM = 5
-# Words of one shard's index; a trigger whose contexts are longer gets a larger one of its own.
+# Words after which a shard's index is closed, once its last trigger is whole: that has at most HOT contexts.
 SHARD_WORDS = 200_000
 NO_ID = (1 << 63) - 1
 WHITE = "\x20\x09\x0A\x0B\x0C\x0D"
@@ -130,32 +130,42 @@ def contexts_of(window, gram):
     return run
 
 
-def fetch(window):
-    """Arrow batches (data, wanted) to (trigger, digest, doc, words): the asked contexts of each text."""
+def trigger_place(words, gram):
+    """Where the leftmost smallest hash of `gram` words is, as `anchored` chooses it."""
+    grams = Rolling(words).grams(gram)
+    return int((grams & ~np.uint64((1 << 20) - 1) | np.arange(len(grams), dtype=np.uint64)).argmin())
+
+
+def fetch(window, gram):
+    """Arrow batches (data, wanted) to (trigger, digest, value, near, far, context): the asked contexts of
+    each text, with their document and the distances of their starts before the trigger."""
     def run(batches):
         for batch in batches:
             rows = []
             for text, wanted in zip(batch.column("data").to_pylist(), batch.column("wanted").to_pylist()):
                 words = word_hashes(text)
-                rows += [(w["trigger"], w["digest"], w["doc"], words[w["first"]: w["last"] + window].tobytes()) for w in wanted]
+                for w in wanted:
+                    far = trigger_place(words[w["first"]: w["first"] + window], gram)
+                    rows.append((w["trigger"], w["digest"], w["doc"], far - w["last"] + w["first"], far, words[w["first"]: w["last"] + window].tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(),) * 3 + (pa.binary(),))],
-                names=["trigger", "digest", "doc", "words"])
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(),) * 5 + (pa.binary(),))],
+                names=["trigger", "digest", "value", "near", "far", "context"])
     return run
 
 
 def shards(window, shard_words=SHARD_WORDS):
-    """Arrow batches sorted by trigger to (trigger, digest, owners): whole triggers, a shard at a time."""
+    """Arrow batches sorted by trigger to (trigger, digest, at, owners): whole triggers, a shard at a time."""
     def solve(rows):
         found = smallest_owners([np.frombuffer(r[3], np.uint64) for r in rows], [r[2] for r in rows], window)
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-             pa.array([f.tolist() for f in found], pa.list_(pa.int64()))], names=["trigger", "digest", "owners"])
+             pa.array([0] * len(rows), pa.int64()), pa.array([f.tolist() for f in found], pa.list_(pa.int64()))],
+            names=["trigger", "digest", "at", "owners"])
 
     def run(batches):
         held, size, last = [], 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("trigger", "digest", "doc", "words"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("trigger", "digest", "value", "context"))):
                 if size >= shard_words and row[0] != last:
                     yield solve(held)
                     held, size = [], 0
@@ -188,7 +198,7 @@ def cut(window):
     return run
 
 
-def dedup_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """`docs` (doc_id, text) to doc_id, n_words, n_removed, kept_sha256, kept (binary, words joined by a space).
 
     Removes each word covered by a `window`-word sequence that also starts in a document of a smaller
@@ -205,17 +215,21 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         "trigger", "digest", F.col("at.doc").alias("doc"), F.col("at.first").alias("first"), F.col("at.last").alias("last"))).alias("wanted")), "wanted")
     _, texts = with_lists(keyed.select("key", "data"), wanted, tables, "wanted")
     contexts = texts.filter("wanted is not null").select("data", "wanted").mapInArrow(
-        fetch(window), "trigger long, digest long, doc long, words binary")
+        fetch(window, gram), "trigger long, digest long, value long, near long, far long, context binary")
+    contexts = tables.write(contexts.withColumn("low", F.lit(0).cast("long")).withColumn("high", F.lit(window - gram).cast("long")), "located")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    owners = (contexts.repartition(parts, "trigger").sortWithinPartitions("trigger")
-              .mapInArrow(shards(window), "trigger long, digest long, owners array<long>"))
+
+    def match(rows):
+        return (rows.select("trigger", "digest", "value", "context").repartition(parts, "trigger").sortWithinPartitions("trigger")
+                .mapInArrow(shards(window), "trigger long, digest long, at long, owners array<long>"))
+    owners = in_small_groups(contexts, tables, match, window=window, unit=8, merged=F.min, hot=hot)
     # repeated rows fetch a context twice, with the same answer
-    owners = tables.write(owners.groupBy("trigger", "digest").agg(F.first("owners").alias("owners")), "owners")
+    owners = tables.write(owners.groupBy("trigger", "digest", "at").agg(F.first("owners").alias("owners")), "owners")
     starts = (hits.join(owners, ["trigger", "digest"])
-              .select("key", "doc", "first", F.posexplode("owners").alias("k", "owner")).filter("owner < doc")
+              .select("key", "doc", (F.col("first") + F.col("at")).alias("first"), F.posexplode("owners").alias("k", "owner")).filter("owner < doc")
               .groupBy("key").agg(F.collect_set(F.col("first") + F.col("k")).alias("starts")))
     starts = tables.write(starts, "starts")
-    tables.drop("triggers", "contexts", "wanted", "owners")
+    tables.drop(*[n for n in tables.paths if not n.startswith("starts")])
     whole, parted = with_lists(keyed.drop("doc"), starts, tables, "starts")
     kept = F.regexp_replace(F.btrim(F.coalesce(F.col("data").cast("string"), F.lit("")), F.lit(WHITE)), r"[\x20\x09-\x0D]+", " ")
     done = whole.select("doc_id", kept.alias("kept")).select(

@@ -112,7 +112,8 @@ def test_repeated_windows_of_one_group():
 
 
 @pytest.mark.parametrize("module, solver, operator, contract, size", [
-    (suffix_dedup, "match_groups", suffix_dedup.dedup_substrings, brute.substrings, 8)], ids=["op2_suffix_dedup"])
+    (suffix_dedup, "match_groups", suffix_dedup.dedup_substrings, brute.substrings, 8),
+    (fm_dedup, "shards", fm_dedup.dedup_passages, brute.passages, 6)], ids=["op2_suffix_dedup", "op7_fm_dedup"])
 def test_no_task_holds_all_contexts_of_a_hot_trigger(spark, monkeypatch, module, solver, operator, contract, size):
     rng, made = random.Random(12), getattr(module, solver)
 
