@@ -24,7 +24,7 @@ def remove_near_copies(spark, docs, sf_dir):
 
 
 def mix_sources(spark, docs, sf_dir):
-    """Each document as often as the mix takes its words."""
+    """The words that the mix takes of each document, as often as it takes them."""
     return mixing.mixed_documents(docs)
 
 

@@ -7,8 +7,11 @@ fixed by its target, are dealt to the shards by one pseudorandom permutation. A
 so within one block of its target. Slot q of a source takes block perm(q mod blocks) with a
 permutation of the source's and round's own, and joins it by index."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpuscope.llm.rolling import word_spans
 from corpuscope.llm.tables import Staged, documents, unused
 
 BLOCK = 32
@@ -24,11 +27,11 @@ SEED = 20240229
 WHITE = "\x20\x09\x0A\x0B\x0C\x0D"
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: the number of words; 0 for null or empty texts."""
+def sized(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, source, size and `others`: the number of words; 0 for null or empty texts."""
     text = F.btrim(F.coalesce("text", F.lit("")), F.lit(WHITE))
     words = F.size(F.split(text, r"[\x20\x09-\x0D]+", -1))
-    return docs.select("doc_id", "source", F.when(text == "", 0).otherwise(words).cast("long").alias("size"))
+    return docs.select(*others, "doc_id", "source", F.when(text == "", 0).otherwise(words).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
@@ -101,21 +104,34 @@ def slots(planned: DataFrame, shard_slots: int = SHARD) -> DataFrame:
                        F.pmod(F.col("dealt"), F.lit(shard_slots)).alias("place"))
 
 
-def laid_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:
-    """`sizes` with number and start: the words of its source before the document."""
+def laid_out(sizes: DataFrame, sources: DataFrame, *ties: str) -> DataFrame:
+    """`sizes` with number and start: the words of its source before the document. `ties` order equal rows."""
     known = sources.select(F.col("source").alias("_source"), "number", "source_size", "target")
     rows = sizes.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("draw", F.xxhash64(F.lit(SEED), "doc_id")).withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)))
     sums = rows.groupBy("number", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("number", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("bucket_start"))
-    within = (Window.partitionBy("number", "bucket").orderBy("draw", F.col("doc_id").asc_nulls_last(), "size")
+    within = (Window.partitionBy("number", "bucket").orderBy("draw", F.col("doc_id").asc_nulls_last(), "size", *ties)
               .rowsBetween(Window.unboundedPreceding, -1))
     placed = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     return (placed.join(sums, ["number", "bucket"])
             .withColumn("start", F.col("bucket_start") + F.col("before")).drop("bucket", "bucket_start", "before"))
 
 
+def drawn(placed: DataFrame, planned: DataFrame) -> DataFrame:
+    """`placed`, a row for each block that holds words of the document: block, offset (the document's words
+    before them), share (their number) and times (the slots of the block)."""
+    times = slots(planned).groupBy("number", "block").agg(F.count("*").alias("times"))
+    end = F.col("start") + F.col("size")
+    pieces = placed.filter("size > 0").withColumn(
+        "block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK).cast("long"), F.floor((end - 1) / BLOCK).cast("long"))))
+    begin = F.greatest(F.col("start"), F.col("block") * BLOCK)
+    pieces = pieces.withColumn("offset", begin - F.col("start")).withColumn("share", F.least(end, (F.col("block") + 1) * BLOCK) - begin)
+    # the planner takes `times` for as small as the sources it is made from: it must not be broadcast
+    return pieces.join(times.hint("merge"), ["number", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+
+
 def mixed(docs: DataFrame, tables: Staged) -> DataFrame:
     """One row per row of `docs`: doc_id, source, size, source_size, target, taken.
 
@@ -125,33 +141,50 @@ def mixed(docs: DataFrame, tables: Staged) -> DataFrame:
     sizes = tables.write(sized(docs), "sizes")
     planned = tables.write(plan(targets(sizes)), "sources")
     placed = laid_out(sizes, planned)
-    times = slots(planned).groupBy("number", "block").agg(F.count("*").alias("times"))
-    end = F.col("start") + F.col("size")
-    pieces = placed.filter("size > 0").withColumn(
-        "block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK).cast("long"), F.floor((end - 1) / BLOCK).cast("long"))))
-    share = F.least(end, (F.col("block") + 1) * BLOCK) - F.greatest(F.col("start"), F.col("block") * BLOCK)
     keys = ["doc_id", "source", "size", "source_size", "target", "number", "start", "draw"]
-    # the planner takes `times` for as small as the sources it is made from: it must not be broadcast
-    taken = (pieces.join(times.hint("merge"), ["number", "block"], "left")
-             .groupBy(*keys).agg(F.sum(share * F.coalesce("times", F.lit(0))).cast("long").alias("taken")))
+    taken = drawn(placed, planned).groupBy(*keys).agg(F.sum(F.col("share") * F.col("times")).cast("long").alias("taken"))
     empty = placed.filter("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(empty).drop("number", "start")
 
 
+def drawn_texts(texts: pa.Array, drawn: pa.Array) -> pa.Array:
+    """For each text the texts of its first, second, ... round: the words that at least so many slots take."""
+    out = []
+    for data, pieces in zip(texts.to_pylist(), drawn.to_pylist()):
+        begins, ends = word_spans(np.frombuffer(data, np.uint8))
+        times = np.zeros(len(begins) + 2, np.int64)
+        for p in pieces:
+            times[p["offset"] + 1: p["offset"] + p["share"] + 1] = p["times"]
+        rounds = []
+        for number in range(1, int(times.max()) + 1):
+            edge = np.diff((times >= number).view(np.int8))
+            first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+            whole = last[0] - first[0] + 1 == len(begins)
+            rounds.append(data if whole else b"\n".join([data[a:b] for a, b in zip(begins[first].tolist(), ends[last].tolist())]))
+        out.append(rounds)
+    return pa.array(out, pa.list_(pa.binary()))
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """`docs` in the mix: each row as often as its words are taken, 0 to LIMIT times.
+    """`docs` in the mix: the words of all slots, as documents with the columns of `docs`.
 
-    The mean number of times its words are taken is rounded up or down by a draw of the
-    document's own, so each source keeps its share. Rows without words are not in the mix."""
+    A row stands for each round of a document, LIMIT at most: row r has the words that at least r
+    slots take, in the document's order; where words between them are left out, a line ends. So each
+    source has its target within a block or two of words, whatever the sizes of its documents. A column n_chars is
+    counted anew; other columns are the document's. Rows without drawn words are not in the mix."""
     tables = Staged(docs.sparkSession)
-    uniform = F.pmod(F.xxhash64(F.lit(SEED + 1), "draw"), F.lit(1 << 30)) / (1 << 30)
-    doc, times, copy = (unused(docs, n) for n in ("_id", "_times", "_copy"))
-    counts = (mixed(docs, tables).filter("taken > 0")
-              .select(F.col("doc_id").alias(doc), F.floor(F.coalesce(F.try_divide("taken", "size"), F.lit(0.0)) + uniform).cast("int").alias(times))
-              # rows that repeat an id have one draw and, here, one number
-              .groupBy(doc).agg(F.max(times).alias(times)).filter(F.col(times) > 0))
-    return (docs.join(counts, F.col("doc_id").eqNullSafe(F.col(doc)))
-            .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(doc, times, copy))
+    row, pieces = unused(docs, "_row"), unused(docs, "_pieces")
+    # rows may repeat an id: each gets a number that stays
+    kept = tables.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    sizes = tables.write(sized(kept, row), "sizes")
+    planned = tables.write(plan(targets(sizes)), "sources")
+    lists = (drawn(laid_out(sizes, planned, row), planned).filter("times > 0")
+             .groupBy(row).agg(F.collect_list(F.struct("offset", "share", "times")).alias(pieces)))
+    texts = F.arrow_udf(drawn_texts, "array<binary>")(F.col("text").cast("binary"), pieces)
+    out = kept.join(lists, row).withColumn("text", F.explode(texts)).withColumn("text", F.col("text").cast("string"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def op10_mixing(spark, sf_dir):

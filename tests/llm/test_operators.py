@@ -277,6 +277,25 @@ def test_mixing(spark, hard, empty):
     assert max(uses.values()) <= 2
 
 
+def test_each_source_has_its_target_in_the_mix(spark):
+    rng = random.Random(9)
+    sizes = [("s1", n) for n in (900, 5, 40, 333)] + [("s2", 20_000)] + [("s2", 700)] * 9 + [(None, n) for n in range(1, 60)] + [("s3", 0)]
+    rows = [(i // 2 if i > 60 else i, " \n ".join(f"d{i}-{k}" for k in range(n)), s, rng.randrange(9)) for i, (s, n) in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    out = mixing.mixed_documents(docs.repartition(3))
+    assert out.schema.fieldNames() == docs.columns
+    total, uses, target = Counter(), Counter(), brute.mix_targets({s: sum(n for t, n in sizes if t == s) for s, _ in sizes})
+    place = {w: (d, s, k) for d, text, s, _ in rows for k, w in enumerate(text.split())}
+    for r in out.collect():
+        found = [place[w] for w in r["text"].split()]
+        assert {(d, s) for d, s, _ in found} == {(r["doc_id"], r["source"])} and [k for *_, k in found] == sorted({k for *_, k in found})
+        assert r["n_chars"] == len(r["text"])
+        total[r["source"]] += len(found)
+        uses.update(r["text"].split())
+    assert max(uses.values()) <= 2
+    assert all(abs(total[s] - target[s]) <= 1.5 * mixing.BLOCK for s in target), (total, target)
+
+
 @pytest.mark.parametrize("name, label, modulus, rest", [("op4_toxicity", "toxic", 4, 2), ("op5_quality", "quality", 5, 0)])
 def test_classifiers(spark, name, label, modulus, rest):
     sf = "/root/testdata/sf0.01"
