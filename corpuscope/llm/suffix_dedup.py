@@ -1,13 +1,10 @@
-"""Suffix-array dedup by prefix-free parsing.
-
-Rolling-hash triggers (the smallest `GRAM`-byte hash of each window) cut the texts into phrases:
-equal windows have the same trigger at the same distance, so no phrase context of one place is a
-proper part of a match it misses. The dictionary holds each distinct context of a trigger once,
-with its number of occurrences; the parse says where each stands. Only contexts whose trigger
-occurs again are kept. For each trigger the suffix array of the dictionary (the left parts, read
-from the trigger backwards) and that of the parse (what follows the trigger) are made, with their
-longest common prefixes; a window is a pair of an interval of each, and combining both puts the
-windows in corpus order, where equal windows are neighbours."""
+"""Substring dedup by anchor-aligned context sorting (no phrases or parse of the corpus are formed).
+
+Equal windows have the same rolling-hash trigger (the smallest `GRAM`-byte hash of a window) at the
+same distance. Each distinct context of a trigger is held once, with its number of occurrences; only
+contexts whose trigger occurs again are kept, and hot triggers are split. For each trigger the left
+parts (read from the trigger backwards) and the right parts are sorted, with their longest common
+prefixes; a window is a pair of an interval of each, so equal windows have equal pairs."""
 
 import hashlib
 
