@@ -5,8 +5,8 @@ Runs of letters, digits and `+/_-` are given the smallest alphabet that holds th
 symbols, the number of runs above and below the alphabet's middle, and the serial correlation of
 neighbours; Fisher's method combines their p-values. Short words pass such tests for lack of symbols, so
 that alone says little. How random text looks is learned from the corpus: runs of plain words give the mean and
-spread of the evidence against randomness for each symbol of length. Each candidate's p-value under that law
-depends on its length, and goes through Benjamini-Hochberg over all candidates of the corpus. A run is
+spread of the logarithm of the evidence against randomness per symbol, which in text stays the same and in
+random symbols falls with the length. Each candidate's p-value under that law so depends on its length; it goes through Benjamini-Hochberg over all candidates of the corpus. A run is
 reported if randomness is not refused and text is.
 
 All steps are column functions; positions are code points."""
@@ -48,8 +48,8 @@ ALPHABETS = (
     ("base64-url", _UPPER + _LOWER + _DIGITS + "-_", "[A-Za-z0-9_-]+"),
     ("mixed", _UPPER + _LOWER + _DIGITS + "+/-_", "[A-Za-z0-9+/_-]+"),
 )
-# A run of letters between hyphens, strokes or underlines is text whatever its letters.
-PLAIN = "([A-Z]?[a-z]+|[A-Z]+)([/_-]+([A-Z]?[a-z]+|[A-Z]+))*[/_-]*"
+# What a run of plain words, joined by hyphens, strokes or underlines, does not have.
+NOT_PLAIN = "[0-9+]|[a-z][A-Z]|[A-Z]{2}[a-z]"
 # Identifiers and card numbers are decimal; a secret has other symbols too.
 REPORTED = tuple(name for name, _, _ in ALPHABETS if name != "decimal")
 
@@ -57,18 +57,18 @@ REPORTED = tuple(name for name, _, _ in ALPHABETS if name != "decimal")
 REFUSED = 0.001
 # Expected share of text among what is reported.
 FALSE_DISCOVERIES = 0.01
-# The law of text before any was seen: evidence per symbol, its spread, and the symbols that this counts for.
-PRIOR_EVIDENCE, PRIOR_SPREAD, PRIOR_SYMBOLS = 0.8, 1.0, 2000.0
+# The law of text before any was seen: mean and spread, and the runs that this counts for.
+PRIOR_MEAN, PRIOR_SPREAD, PRIOR_RUNS = -0.9, 0.75, 30.0
 # Steps of -log10 p at which the discovery rule is tried; p-values below the last count as it.
 STEP, STEPS = 0.05, 600
 
 
 @dataclass(frozen=True)
 class TextLaw:
-    """Evidence against randomness of a text of n symbols: mean `evidence` * n, variance `spread`^2 * n."""
-    evidence: float
+    """ln((evidence + 1) / symbols) of a text is normal with this mean and spread."""
+    mean: float
     spread: float
-    # the largest -log10 p that is not a discovery
+    # the smallest -log10 p that is a discovery
     threshold: float
 
 
@@ -110,15 +110,14 @@ def base_spans(text: Column) -> dict[str, Column]:
 def upper_tail(z: Column) -> Column:
     """P(Z > z) of a standard normal: continued fraction beyond 2.5, series of odd powers within."""
     def within(x):
-        term, total = x, x
-        for k in range(1, 16):
-            term = term * x * x / F.lit(2.0 * k + 1)
-            total = total + term
-        return F.lit(0.5) - total * F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+        total = F.lit(1.0)
+        for k in range(24, 0, -1):
+            total = 1 + total * x * x / F.lit(2.0 * k + 1)
+        return F.lit(0.5) - total * x * F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
 
     def beyond(x):
         fraction = x + F.lit(0.0)
-        for k in range(12, 0, -1):
+        for k in range(28, 0, -1):
             fraction = x + F.lit(float(k)) / fraction
         return F.exp(-x * x / 2) / math.sqrt(2 * math.pi) / fraction
 
@@ -199,35 +198,37 @@ def battery(run: Column) -> Column:
 
 # --- the law of text, and discoveries --------------------------------------------------------
 
-def _minus_log10(candidate: Column, evidence: float, spread: float) -> Column:
+def _rate(candidate: Column) -> Column:
+    """Evidence against randomness per symbol; of random symbols it is about 1 over all."""
+    return F.log((candidate["evidence"] + 1) / candidate["size"])
+
+
+def _minus_log10(candidate: Column, mean: float, spread: float) -> Column:
     """-log10 of the chance that a text of this length looks as random as the candidate."""
-    n = candidate["size"].cast("double")
-    return -F.log10(F.greatest(upper_tail((n * evidence - candidate["evidence"]) / (F.sqrt(n) * spread)), F.lit(1e-30)))
+    return -F.log10(F.greatest(upper_tail((F.lit(mean) - _rate(candidate)) / F.lit(spread)), F.lit(1e-30)))
 
 
 def text_law(candidates: DataFrame, false_discoveries: float = FALSE_DISCOVERIES) -> TextLaw:
-    """The law of text and the discovery threshold from all candidates (size, evidence, plain, alphabet) of a corpus.
+    """The law of text and the discovery threshold from all candidates (size, evidence, plain) of a corpus.
 
     Of plain runs only sums are gathered, of all runs a histogram of `STEPS` bins. At each step t the rule
     reads: 10^-t times the number of candidates, over those with p <= 10^-t, is at most the allowed share; the
     smallest such t counts (Benjamini-Hochberg on a grid)."""
-    n, w = F.col("size").cast("double"), F.col("evidence")
-    sums = candidates.filter("plain").agg(
-        F.sum(n).alias("n"), F.sum(w).alias("w"), F.sum(w * w / n).alias("ww"), F.count("*").alias("many")).first()
-    seen, many = sums["n"] or 0.0, sums["many"]
-    evidence = (PRIOR_EVIDENCE * PRIOR_SYMBOLS + (sums["w"] or 0.0)) / (PRIOR_SYMBOLS + seen)
-    # sum of (w - evidence n)^2 / n
-    apart = (sums["ww"] or 0.0) - 2 * evidence * (sums["w"] or 0.0) + evidence ** 2 * seen
-    weight = PRIOR_SYMBOLS / LEAST_RUN
-    spread = math.sqrt((PRIOR_SPREAD ** 2 * weight + max(apart, 0.0)) / (weight + many))
-    step = F.least(F.floor(_minus_log10(F.struct("size", "evidence"), evidence, spread) / STEP), F.lit(STEPS)).cast("int")
+    one = F.struct("size", "evidence")
+    sums = candidates.filter("plain").select(_rate(one).alias("r")).agg(
+        F.sum("r").alias("r"), F.sum(F.col("r") * F.col("r")).alias("rr"), F.count("*").alias("many")).first()
+    many, total = sums["many"], sums["r"] or 0.0
+    mean = (PRIOR_MEAN * PRIOR_RUNS + total) / (PRIOR_RUNS + many)
+    apart = (sums["rr"] or 0.0) - 2 * mean * total + mean ** 2 * many
+    spread = math.sqrt((PRIOR_SPREAD ** 2 * PRIOR_RUNS + max(apart, 0.0)) / (PRIOR_RUNS + many))
+    step = F.least(F.floor(_minus_log10(one, mean, spread) / STEP), F.lit(STEPS)).cast("int")
     counts = {r["step"]: r["n"] for r in candidates.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()}
     total, above, threshold = sum(counts.values()), 0, math.inf
     for k in range(STEPS, -1, -1):
         above += counts.get(k, 0)
         if above and total * 10 ** (-k * STEP) <= false_discoveries * above:
             threshold = k * STEP
-    return TextLaw(evidence, spread, threshold)
+    return TextLaw(mean, spread, threshold)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -236,7 +237,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("text"))
     runs_ = F.transform(matches(F.col("text"), RUN), lambda m: F.struct(
         m["start"].alias("start"), m["end"].alias("end"), F.length(m["found"]).alias("size"),
-        m["found"].rlike(f"^({PLAIN})$").alias("plain"), battery(m["found"]).alias("tested")))
+        (~m["found"].rlike(NOT_PLAIN)).alias("plain"), battery(m["found"]).alias("tested")))
     candidates = F.transform(runs_, lambda m: F.struct(m["start"], m["end"], m["size"], m["plain"],
                                                        m["tested"]["alphabet"].alias("alphabet"), m["tested"]["evidence"].alias("evidence")))
     return rows.select("doc_id", *[c.alias(k) for k, c in base_spans(F.col("text")).items()], candidates.alias("candidates"))
@@ -256,12 +257,12 @@ def secret_spans(docs: DataFrame, false_discoveries: float = FALSE_DISCOVERIES)
     order of `KINDS`. Other columns are not looked at. An empty table gives no rows."""
     tables = Staged(docs.sparkSession)
     found = tables.write(scanned(docs), "secret-scan")
-    law = text_law(found.select(F.inline("candidates")).select("size", "evidence", "plain", "alphabet"), false_discoveries)
+    law = text_law(found.select(F.inline("candidates")).select("size", "evidence", "plain"), false_discoveries)
     numbered = lambda kind: F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end")))
     base = F.concat(*[numbered(k) for k in KINDS[:3]])
     def reported(c):
         return ((c["evidence"] <= -math.log(REFUSED)) & ~c["plain"] & c["alphabet"].isin(*REPORTED)
-                & (_minus_log10(c, law.evidence, law.spread) >= F.lit(law.threshold)))
+                & (_minus_log10(c, law.mean, law.spread) >= F.lit(law.threshold)))
     apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     rows = found.withColumn("base", base)
     random = F.transform(F.filter("candidates", lambda c: reported(c) & apart(c)),
