@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpuscope.functions.text import unwrapped_base64
+from corpuscope.operators.numbering import numbered
 from corpuscope.operators.reports import of_sessions
 from corpuscope.schemas import DEFAULT_SID, PACKAGE_BODY, PACKAGE_VERSION
 
@@ -10,6 +11,9 @@ from corpuscope.schemas import DEFAULT_SID, PACKAGE_BODY, PACKAGE_VERSION
 # no row grows with a session and nothing is left out.
 PART_ENTRIES = 10_000
 
+# What makes two errors of a session the same.
+_ERROR = ["error_type", "message", "file_path", "line_number"]
+
 # Headings of the text that stands before a package.
 TITLE = "=== SESSION RESUME (v%s) ===\nSession: %s\nDecisions: %d  |  Errors: %d  |  Files: %d\n\n"
 ERRORS_HEADING = "--- ERRORS TO FIX ---\n"
@@ -20,15 +24,19 @@ BLOB_HEADING = "\n--- BASE64 BLOB (paste to AI) ---\n"
 def _numbered(rows: DataFrame, order, limit: int | None) -> DataFrame:
     """Rows with their position in their session; with a limit, the first rows of each (Spark then
     limits each task to `limit` per session before the shuffle)."""
+    if limit is None:
+        return numbered(rows, ["sid"], order, "position")
     ranked = rows.withColumn("position", F.row_number().over(Window.partitionBy("sid").orderBy(*order)))
-    return ranked if limit is None else ranked.where(F.col("position") <= limit)
+    return ranked.where(F.col("position") <= limit)
+
+
+def _distinct_errors(errors: DataFrame, sessions: DataFrame | None) -> DataFrame:
+    return of_sessions(errors, sessions).groupBy("sid", *_ERROR).agg(F.max("timestamp").alias("timestamp"))
 
 
 def recent_distinct_errors(errors: DataFrame, sessions: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Per session the distinct (type, message, file, line), newest first; all unless limited."""
-    what = ["error_type", "message", "file_path", "line_number"]
-    distinct = of_sessions(errors, sessions).groupBy("sid", *what).agg(F.max("timestamp").alias("timestamp"))
-    return _numbered(distinct, [F.desc("timestamp"), *what], limit)
+    return _numbered(_distinct_errors(errors, sessions), [F.desc("timestamp"), *_ERROR], limit)
 
 
 def package_assumptions(decisions: DataFrame, snapshots: DataFrame, limit: int | None = None) -> DataFrame:
@@ -82,7 +90,7 @@ def build_package(decisions: DataFrame, errors: DataFrame, snapshots: DataFrame,
     invariants = package_invariants(errors, sessions, limit)
     body = assumptions.join(collected(invariants, ["name", "condition"], "invariants"), ["sid", "part"], "full_outer")
     totals = (counted(decisions, "n_decisions").join(counted(snapshots, "n_files"), "sid", "full_outer")
-              .join(counted(package_invariants(errors, sessions), "n_errors"), "sid", "full_outer"))
+              .join(counted(_distinct_errors(errors, sessions), "n_errors"), "sid", "full_outer"))
     sid = F.col("sid")
     # the first part has no number, so a session of one part reads as it always did
     number = F.when(F.col("part") > 0, F.col("part"))

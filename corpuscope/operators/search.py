@@ -1,12 +1,13 @@
 """Full-text search over postings, cosine top-k, and their merged ranking."""
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from corpuscope.functions.text import query_words, search_tokens
 from corpuscope.functions.vectors import cosine, embed_text, has_embedding
 from corpuscope.schemas import DEFAULT_SID, EMBEDDING_DIM
-from corpuscope.session import rows_if_at_most
+from corpuscope.session import rows_if_at_most, staged
+from corpuscope.sources.postings import BLOCK_BITS, opened
 
 FILE_THRESHOLD = 0.01
 DECISION_THRESHOLD = 0.1
@@ -92,59 +93,117 @@ def in_session(hits: DataFrame, snapshots: DataFrame, sid: str) -> DataFrame:
     return hits.join(snapshots.where(F.col("sid") == sid).select("file_path"), "file_path", "left_semi")
 
 
-def text_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, file_path, sid) where a file holds every word of a plain query.
-
-    Starts from the rarest token of each query: only files with that token are candidates,
-    and only for them are the other words looked up. A word of several tokens (`a_b`) has to
-    appear as a phrase. Queries that are not plain word lists hit nothing, as they would be
-    rejected (see `query_words`)."""
+def _query_tokens(queries: DataFrame) -> DataFrame:
+    """(query_id, query_sid, n_words, word_no, n_tokens, token_no, token) of plain queries."""
     words = queries.select("query_id", F.col("sid").alias("query_sid"), F.filter(
         F.transform(query_words(F.col("query_text")), search_tokens), lambda t: F.size(t) > 0).alias("words"))
     words = words.select("query_id", "query_sid", F.size("words").alias("n_words"),
                          F.posexplode("words").alias("word_no", "tokens"))
-    tokens = words.select("query_id", "query_sid", "n_words", "word_no", F.size("tokens").alias("n_tokens"),
-                          F.posexplode("tokens").alias("token_no", "token"))
-    # one counting pass over the asked tokens; only the rarest of each query is read for candidates
-    asked_tokens = tokens.select("token").distinct()
-    frequency = postings.join(asked_tokens, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    rarest = tokens.join(frequency, "token", "left").groupBy("query_id", "query_sid").agg(
+    return words.select("query_id", "query_sid", "n_words", "word_no", F.size("tokens").alias("n_tokens"),
+                        F.posexplode("tokens").alias("token_no", "token"))
+
+
+def _rarest(tokens: DataFrame, frequency: DataFrame) -> DataFrame:
+    """The rarest token of each query, by (token, n)."""
+    return tokens.join(frequency, "token", "left").groupBy("query_id", "query_sid").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)), "token"))["token"].alias("token"))
-    in_session = F.col("query_sid").isNull() | (F.col("query_sid") == F.col("sid"))
-    candidates = postings.join(rarest, "token").where(in_session).select("query_id", "file_path", "sid").distinct()
 
-    # one query may ask several sessions, in a row for each
-    wanted = candidates.join(tokens.drop("query_sid").distinct(), "query_id")
+
+def _in_session() -> Column:
+    return F.col("query_sid").isNull() | (F.col("query_sid") == F.col("sid"))
+
+
+def _holding_all(wanted: DataFrame, occurrences: DataFrame, file: str) -> DataFrame:
+    """(query_id, `file`, sid) where every word of the query was found. `wanted` has the tokens to look up in
+    candidate files; a word of several tokens has to appear as a phrase."""
     single = F.col("n_tokens") == 1
-    word = ["query_id", "file_path", "sid", "n_words", "word_no"]
-    found = wanted.where(single).join(
-        postings.select("file_path", "token"), ["file_path", "token"], "left_semi").select(*word)
-    phrases = wanted.where(~single).join(postings.select("file_path", "token", "field", "pos"), ["file_path", "token"])
+    word = ["query_id", file, "sid", "n_words", "word_no"]
+    found = wanted.where(single).join(occurrences.select(file, "token"), [file, "token"], "left_semi").select(*word)
+    phrases = wanted.where(~single).join(occurrences.select(file, "token", "field", "pos"), [file, "token"])
     starts = phrases.groupBy(*word, "n_tokens", "field", (F.col("pos") - F.col("token_no")).alias("start")).count()
     found = found.unionByName(starts.where(F.col("count") == F.col("n_tokens")).select(*word))
-    per_file = found.groupBy("query_id", "file_path", "sid", "n_words").agg(F.count_distinct("word_no").alias("found"))
-    return per_file.where(F.col("found") == F.col("n_words")).select("query_id", "file_path", "sid")
+    per_file = found.groupBy("query_id", file, "sid", "n_words").agg(F.count_distinct("word_no").alias("found"))
+    return per_file.where(F.col("found") == F.col("n_words")).select("query_id", file, "sid")
 
 
-def clause_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, file_path, sid) for a batch of queries (query_id, clauses) with
-    clauses array<struct<op, field, tokens>>.
+def text_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, file_path, sid) where a file holds every word of a plain query.
 
-    A file is hit if every clause holds that is not a `not`, and no `not` does: `all` tokens, `any`
-    token, the tokens as a `phrase`, any token beginning with one of them (`prefix`), none of them
-    (`not`). A clause with a `field` looks only there. Tokens are as `search_tokens` makes them. A
-    query of `not` clauses alone hits nothing."""
+    One pass over `postings` keeps the rows of the asked tokens, in a table; the rest works on that.
+    Starts from the rarest token of each query: only files with that token are candidates,
+    and only for them are the other words looked up. A word of several tokens (`a_b`) has to
+    appear as a phrase. Queries that are not plain word lists hit nothing, as they would be
+    rejected (see `query_words`)."""
+    tokens = _query_tokens(queries)
+    held = staged(postings.join(tokens.select("token").distinct(), "token", "left_semi"), "asked-postings")
+    rarest = _rarest(tokens, held.groupBy("token").agg(F.count("*").alias("n")))
+    candidates = held.join(rarest, "token").where(_in_session()).select("query_id", "file_path", "sid").distinct()
+    # one query may ask several sessions, in a row for each
+    wanted = candidates.join(tokens.drop("query_sid").distinct(), "query_id")
+    return _holding_all(wanted, held, "file_path")
+
+
+def stored_text_hits(index, queries: DataFrame) -> DataFrame:
+    """`text_hits` from a stored index (`sources.postings.StoredPostings`).
+
+    Of the asked tokens' buckets, the sizes of blocks say which token of a query is rarest. Only its
+    blocks are opened for candidates; of the other tokens, only the blocks with a candidate's number."""
+    tokens = _query_tokens(queries)
+    held = index.blocks(tokens.select("token"))
+    rarest = _rarest(tokens, held.groupBy("token").agg(F.sum("n_occurrences").alias("n")))
+    of_rarest = opened(held.join(rarest, "token"), "query_id", "query_sid")
+    candidates = staged(of_rarest.select("query_id", "query_sid", "file_no").distinct().join(index.files(), "file_no")
+                        .where(_in_session()).select("query_id", "file_no", "file_path", "sid").distinct(), "candidates")
+    wanted = candidates.drop("file_path").join(tokens.drop("query_sid").distinct(), "query_id")
+    asked = wanted.select("token", F.shiftright("file_no", BLOCK_BITS).alias("block")).distinct()
+    hits = _holding_all(wanted, opened(held.join(asked, ["token", "block"], "left_semi")), "file_no")
+    return hits.drop("sid").join(candidates, ["query_id", "file_no"]).select("query_id", "file_path", "sid").distinct()
+
+
+def _asked_clauses(queries: DataFrame):
+    """(clauses, one row per asked token) of queries with `clauses`."""
     clauses = queries.select("query_id", F.posexplode("clauses").alias("clause", "c")).select(
         "query_id", "clause", "c.op", "c.field", "c.tokens", F.size("c.tokens").alias("n"))
     asked = clauses.select("query_id", "clause", "op", F.col("field").alias("in_field"), "n",
                            F.posexplode("tokens").alias("token_no", "token"))
-    plain = asked.where("op <> 'prefix'")
-    # a prefix becomes the tokens that begin with it; they meet on their first letter
+    return clauses, asked
+
+
+def _grown(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """`asked` with each prefix as the tokens of `known` (token) that begin with it; they meet on their first letter."""
     begins = asked.where("op = 'prefix'").withColumnRenamed("token", "prefix").withColumn("letter", F.left("prefix", F.lit(1)))
-    known = postings.select("token").distinct().withColumn("letter", F.left("token", F.lit(1)))
-    grown = begins.join(known, "letter").where(F.startswith("token", F.col("prefix"))).select(*plain.columns)
-    found = postings.join(plain.unionByName(grown), "token").where(
-        F.col("in_field").isNull() | (F.col("in_field") == F.col("field")))
+    grown = begins.join(known.withColumn("letter", F.left("token", F.lit(1))), "letter").where(F.startswith("token", F.col("prefix")))
+    plain = asked.where("op <> 'prefix'")
+    return plain.unionByName(grown.select(*plain.columns))
+
+
+def clause_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, file_path, sid) for a batch of queries (query_id, clauses[, sid]) with
+    clauses array<struct<op, field, tokens>>.
+
+    A file is hit if every clause holds that is not a `not`, and no `not` does: `all` tokens, `any`
+    token, the tokens as a `phrase`, any token beginning with one of them (`prefix`), none of them
+    (`not`). A clause with a `field` looks only there. Tokens are as `search_tokens` makes them. A
+    query of `not` clauses alone hits nothing. With a `sid` only files of that session are hit; a
+    query may have a row for each of several sessions, with the same clauses."""
+    asked_once = queries.select("query_id", "clauses").distinct()
+    clauses, asked = _asked_clauses(asked_once)
+    prefixes = asked.where("op = 'prefix'").select(F.left("token", F.lit(1)).alias("letter")).distinct()
+    # only tokens that begin like a prefix are gathered
+    alike = postings.select("token").withColumn("letter", F.left("token", F.lit(1))).join(prefixes, "letter", "left_semi")
+    return _clauses_in(postings, clauses, _grown(asked, alike.select("token").distinct()), queries)
+
+
+def stored_clause_hits(index, queries: DataFrame) -> DataFrame:
+    """`clause_hits` from a stored index: only the buckets of the asked tokens are opened, and the
+    vocabulary, without any entry, where there are prefixes."""
+    clauses, asked = _asked_clauses(queries.select("query_id", "clauses").distinct())
+    tokens = staged(_grown(asked, index.vocabulary().select("token")), "asked-clauses")
+    return _clauses_in(index.postings(index.blocks(tokens.select("token"))), clauses, tokens, queries)
+
+
+def _clauses_in(postings: DataFrame, clauses: DataFrame, asked: DataFrame, queries: DataFrame) -> DataFrame:
+    found = postings.join(asked, "token").where(F.col("in_field").isNull() | (F.col("in_field") == F.col("field")))
     key = ["query_id", "clause", "op", "n", "file_path", "sid"]
     loose = found.where("op <> 'phrase'").groupBy(*key).agg(F.count_distinct("token_no").alias("have"))
     loose = loose.where("op <> 'all' or have = n").select(*key)
@@ -153,7 +212,12 @@ def clause_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
     wanted = clauses.groupBy("query_id").agg(F.count_if(F.col("op") != "not").alias("wanted"))
     per_file = loose.unionByName(phrases).groupBy("query_id", "file_path", "sid").agg(
         F.count_if(F.col("op") != "not").alias("held"), F.count_if(F.col("op") == "not").alias("refused"))
-    return per_file.join(wanted, "query_id").where("refused = 0 and held = wanted").select("query_id", "file_path", "sid")
+    hits = per_file.join(wanted, "query_id").where("refused = 0 and held = wanted").select("query_id", "file_path", "sid")
+    if "sid" not in queries.columns:
+        return hits
+    # a query that names no session asks all
+    sessions = queries.select("query_id", F.col("sid").alias("query_sid")).distinct()
+    return hits.join(sessions, "query_id").where(_in_session()).select("query_id", "file_path", "sid").distinct()
 
 
 # --- cosine top-k ------------------------------------------------------------------------
@@ -303,20 +367,24 @@ def similar_files(snapshots: DataFrame, postings: DataFrame, queries: DataFrame,
     """Cosine hits merged with text hits, best k per ranking (see `cosine_top_k`).
 
     Text hits are those of the query text as a plain word list (`text_hits`), or, where `queries`
-    has a column `clauses`, of its clauses.
+    has a column `clauses`, of its clauses; either in the sessions that the query names. `postings` are
+    rows of `build_postings` or a stored index.
 
     A file in both lists keeps its cosine score; a file found by text alone scores 0.99.
     The merged best k are the best of (cosine best k, text-only hits), so the full cosine
     list is never formed: only text hits are checked against the threshold. `snapshots` is
     read twice: give a stored table, not one that embeds on the fly."""
+    stored = not isinstance(postings, DataFrame)
+    by_words, by_clauses = (stored_text_hits, stored_clause_hits) if stored else (text_hits, clause_hits)
     asked = _embedded(queries)
     named = asked.groupBy("query_id").agg(F.bool_and(F.col("sid").isNotNull()).alias("named"))
     ranking = lambda rows: rows.join(named, "query_id").withColumn("asked_sid", F.when(F.col("named"), F.col("sid"))).drop("named")
     by_vector = ranking(similar_files_by_vector(snapshots, asked, k, threshold, **plan).drop("rank"))
     if "clauses" in queries.columns:
-        hits = clause_hits(postings, queries.select("query_id", "clauses")).select("query_id", "file_path")
+        hits = by_clauses(postings, asked.select("query_id", "sid").join(queries.select("query_id", "clauses").distinct(), "query_id"))
     else:
-        hits = text_hits(postings, asked).select("query_id", "file_path")
+        hits = by_words(postings, asked)
+    hits = hits.select("query_id", "file_path").distinct()
     vectors = asked.select("query_id", F.col("embedding").alias("query_embedding")).dropDuplicates(["query_id"])
     text_only = (
         hits.join(snapshots.select("file_path", "sid", "embedding"), "file_path").join(vectors, "query_id")

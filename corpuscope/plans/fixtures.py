@@ -68,15 +68,16 @@ select sid, log_day, 1700000000 + min(event_id) as timestamp, concat('$ make ',
 from {log_lines} group by sid, log_day
 """
 
+# Every text is logged whole; those of odd conversations again, later and in another session.
 DECISIONS = """
-select concat('s', cast(conv_id % 10 as string)) as sid, role as key,
-  case when conv_id % 2 = 0 then text else substring(text, 1, 2) end as value,
+select concat('s', cast((conv_id + 3 * again) % 10 as string)) as sid, role as key, text as value,
   concat('turn ', cast(turn % 2 as string)) as rationale,
-  1700000000 + (conv_id % 50) * 100 + turn as timestamp,
+  1700000000 + (conv_id % 50) * 100 + turn + 10000 * again as timestamp,
   cast(case when role = 'user' then 1.0 else 0.95 end as double) as confidence,
   case when role = 'user' then 0 else 2 end as source,
-  conv_id * 1000 + turn as ordinal
-from {conversations}
+  conv_id * 1000 + turn + 500 * again as ordinal
+from (select *, cast(0 as bigint) as again from {conversations}
+      union all select *, cast(1 as bigint) from {conversations} where conv_id % 2 = 1)
 """
 
 # Passages, the same passages as plain word lists, and upper-case folder names.
@@ -89,6 +90,9 @@ select 2000000 + min(doc_id), upper(source) from {documents} group by source
 """
 
 
+# What is added to the id of a query that names sessions.
+NAMED = 10_000_000
+
 # Three queries by clauses for each source.
 CLAUSES = """
 with s as (select source, min(doc_id) as first from {documents} group by source)
@@ -110,6 +114,13 @@ def clause_queries(spark, sf_dir) -> DataFrame:
     return spark.sql(CLAUSES, documents=table(spark, sf_dir, "documents"))
 
 
+def clause_queries_in_sessions(spark, sf_dir) -> DataFrame:
+    """Each of all sessions, and under a second id of two by name."""
+    asked = clause_queries(spark, sf_dir)
+    named = asked.withColumns({"query_id": F.col("query_id") + NAMED, "sid": F.explode(F.array(F.lit("de"), F.lit("en")))})
+    return asked.withColumn("sid", F.lit(None).cast("string")).unionByName(named)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_spread(spark, f"{sf_dir}/{name}.parquet")
 

@@ -187,6 +187,27 @@ _FILES_TOPK = _with(*_FILES, _FILE_VECTORS, _PASSAGE_VECTORS, _scores("scores",
 select query_id, sid, file_path, score, rank from (
   select query_id, sid, file_path, score, {_RANK.format(tie='file_path')} from scores join files on file_path = item) where rank <= 10""")
 
+_COUNTS_SQL = _with(*_POSTINGS, then="select token, count(distinct file_path) as documents, count(*) as occurrences from postings group by token")
+_BATCH_SQL = _with(*_POSTINGS, *_fixture("questions"), *_HITS, then="select query_id, file_path, sid from hits")
+_CLAUSE_CTES = [*_POSTINGS, ("s", "select source, 3 * min(doc_id) as q from documents group by source"),
+                ("f", "select distinct file_path, sid from postings")]
+_CLAUSE_HITS = """
+select q as query_id, file_path, sid from s cross join f
+where exists (select 1 from postings p where p.file_path = f.file_path and p.token in (s.source, 'curl'))
+  and not exists (select 1 from postings p where p.file_path = f.file_path and p.field = 'content' and p.token in ('la', 'der'))
+union all
+select q + 1, file_path, sid from s cross join f
+where exists (select 1 from postings a join postings b on a.file_path = b.file_path and a.field = b.field and b.pos = a.pos + 1
+              where a.file_path = f.file_path and a.field = 'content' and a.token = 'select' and b.token = '1')
+  and exists (select 1 from postings p where p.file_path = f.file_path and p.field = 'file_path' and p.token = 'src')
+  and exists (select 1 from postings p where p.file_path = f.file_path and p.field = 'file_path' and p.token = s.source)
+union all
+select q + 2, file_path, sid from s cross join f
+where exists (select 1 from postings p where p.file_path = f.file_path and (starts_with(p.token, 'cur') or starts_with(p.token, 'sqlit')))
+  and exists (select 1 from postings p where p.file_path = f.file_path and p.token = s.source)
+  and exists (select 1 from postings p where p.file_path = f.file_path and p.token = 'the')"""
+_CLAUSES_SQL = _with(*_CLAUSE_CTES, then=_CLAUSE_HITS)
+
 SQL = {
     "snapshot_files": _with(*_SNAPSHOTS, then="select * exclude (content) from snapshots"),
     "language_counts": _with(*_SNAPSHOTS, then="select sid, language, count(*) as files, cast(sum(lines_of_code) as bigint) as lines_of_code from snapshots group by sid, language"),
@@ -219,7 +240,7 @@ select query_id, sid, file_path, score, rank from (
         _scores("scores", "decision_vectors", "query_vectors", 0.1), then=f"""
 select query_id, sid, node_id, key, value, score, rank, cast(round(score * 100) as bigint) as percent from (
   select query_id, sid, node_id, key, value, score, {_RANK.format(tie='node_id')} from scores join decisions on node_id = item) where rank <= 20"""),
-    "postings_counts": _with(*_POSTINGS, then="select token, count(distinct file_path) as documents, count(*) as occurrences from postings group by token"),
+    "postings_counts": _COUNTS_SQL,
     "text_search_and": _with(*_POSTINGS, then="select file_path from postings where token in ('the', 'execute', 'cursor') group by file_path having count(distinct token) = 3"),
     "text_search_or": _with(*_POSTINGS, then="select distinct file_path from postings where token in ('curl', 'cursor', 'src3')"),
     "text_search_not": _with(*_POSTINGS, then="select distinct file_path from postings where token = 'de' and file_path not in (select file_path from postings where token in ('la', 'the'))"),
@@ -227,23 +248,24 @@ select query_id, sid, node_id, key, value, score, rank, cast(round(score * 100)
     "text_search_prefix": _with(*_POSTINGS, then="select distinct file_path from postings where starts_with(token, 'curl')"),
     "text_search_field": _with(*_POSTINGS, then="select distinct file_path from postings where field = 'sid' and token = 'en'"),
     "text_search_session": _with(*_POSTINGS, then="select distinct file_path from postings where token in ('cursor', 'curl') and sid = 'de'"),
-    "text_search_batch": _with(*_POSTINGS, *_fixture("questions"), *_HITS, then="select query_id, file_path, sid from hits"),
-    "text_search_clauses": _with(*_POSTINGS, ("s", "select source, 3 * min(doc_id) as q from documents group by source"),
-        ("f", "select distinct file_path, sid from postings"), then="""
-select q as query_id, file_path, sid from s cross join f
-where exists (select 1 from postings p where p.file_path = f.file_path and p.token in (s.source, 'curl'))
-  and not exists (select 1 from postings p where p.file_path = f.file_path and p.field = 'content' and p.token in ('la', 'der'))
+    "text_search_batch": _BATCH_SQL,
+    "text_search_clauses": _CLAUSES_SQL,
+    "text_search_stored_batch": _BATCH_SQL,
+    "text_search_stored_clauses": _CLAUSES_SQL,
+    "stored_postings_counts": _COUNTS_SQL,
+    "similar_files_clauses": _with(
+        *_CLAUSE_CTES, ("hits", _CLAUSE_HITS), ("asked", """
+select q + k as query_id, source as query_text from s cross join (values (0), (1), (2)) t(k)"""),
+        _FILE_VECTORS, _vectors("query_vectors", "asked", "query_id", "query_text"),
+        _scores("scores", "file_vectors", "query_vectors", 0.01), ("ranked", """
+select query_id, sid, file_path, score from scores join files on file_path = item
 union all
-select q + 1, file_path, sid from s cross join f
-where exists (select 1 from postings a join postings b on a.file_path = b.file_path and a.field = b.field and b.pos = a.pos + 1
-              where a.file_path = f.file_path and a.field = 'content' and a.token = 'select' and b.token = '1')
-  and exists (select 1 from postings p where p.file_path = f.file_path and p.field = 'file_path' and p.token = 'src')
-  and exists (select 1 from postings p where p.file_path = f.file_path and p.field = 'file_path' and p.token = s.source)
+select query_id, sid, file_path, 0.99 from hits h
+where not exists (select 1 from scores s where s.query_id = h.query_id and s.item = h.file_path)"""), then=f"""
+select query_id, sid, file_path, score, rank from (select *, {_RANK.format(tie='file_path')} from ranked) where rank <= 10
 union all
-select q + 2, file_path, sid from s cross join f
-where exists (select 1 from postings p where p.file_path = f.file_path and (starts_with(p.token, 'cur') or starts_with(p.token, 'sqlit')))
-  and exists (select 1 from postings p where p.file_path = f.file_path and p.token = s.source)
-  and exists (select 1 from postings p where p.file_path = f.file_path and p.token = 'the')"""),
+select query_id + {fixtures.NAMED}, sid, file_path, score, rank from (
+  select *, {_RANK.format(tie='file_path').replace('query_id order', 'query_id, sid order')} from ranked where sid in ('de', 'en')) where rank <= 10"""),
     "pattern_matches": _with(*_PATTERNS, then="select sid, file_path, pattern_name, matched_text, line_number, log_key from found"),
     "pattern_wildcard_rule": """
 with lines as (select url as file_path, unnest(string_split(html, chr(10))) as line,
@@ -274,7 +296,7 @@ union all select 'last', '', 'log', '', 'x=y', 1 from s""",
     "index_tree": _with(*_SNAPSHOTS, then="""
 select file_path, sid, lines_of_code, content_hash, case when doc_id % 3 = 0 then 'unreadable' else '' end as reason
 from snapshots join (select file_path, doc_id from files) using (file_path)"""),
-    "workspace_postings": _with(*_POSTINGS, then="select token, count(distinct file_path) as documents, count(*) as occurrences from postings group by token"),
+    "workspace_postings": _COUNTS_SQL,
     "workspace_reports": _with(
         *_PATTERNS, *_fixture("logged"), _HUMAN, _PATTERN_DECISIONS, _latest("decided", "(select * from human union all by name select * from from_patterns)"), then="""
 select 'reports' as metric, 2 * count(distinct sid) as n from snapshots

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpuscope.functions.vectors import embed_text
 from corpuscope.operators import changes, ledger, logs, packages, patterns, reports, search, snapshots
 from corpuscope.plans import fixtures
+from corpuscope.sources.postings import StoredPostings
 from corpuscope.sources.texts import default_rules, read_logs, read_packages, rules_from_texts, write_packages
 from corpuscope.session import scratch_path, staged
 from corpuscope.sources.workspace import Workspace
@@ -190,6 +191,41 @@ def text_search_clauses(spark, sf):
     return search.clause_hits(_postings(spark, sf), fixtures.clause_queries(spark, sf))
 
 
+def _stored_index(spark, sf) -> StoredPostings:
+    """An index of three writes; the second and third replace files, the third with what they first held."""
+    index = StoredPostings(spark, scratch_path(spark, "stored-postings"), buckets=8)
+    files = staged(_files(spark, sf).select("doc_id", "file_path", "sid", "content"), "index-files")
+    index.write(files)
+    some = files.where("doc_id % 10 = 3")
+    index.write(some.withColumn("content", F.reverse("content")))
+    index.write(some)
+    return index
+
+
+@query
+def text_search_stored_batch(spark, sf):
+    """The batch of plain queries from a stored index."""
+    return search.stored_text_hits(_stored_index(spark, sf), fixtures.queries(spark, sf).withColumn(
+        "sid", F.lit(None).cast("string")))
+
+
+@query
+def text_search_stored_clauses(spark, sf):
+    return search.stored_clause_hits(_stored_index(spark, sf), fixtures.clause_queries(spark, sf))
+
+
+@query
+def stored_postings_counts(spark, sf):
+    return search.token_counts(_stored_index(spark, sf).postings())
+
+
+@query
+def similar_files_clauses(spark, sf):
+    """Clauses in the merged ranking: of all files, and in two sessions by name."""
+    stored = staged(_snapshots(spark, sf).select("sid", "file_path", "embedding"), "snapshots")
+    return _ranks(search.similar_files(stored, _postings(spark, sf), fixtures.clause_queries_in_sessions(spark, sf)))
+
+
 # --- patterns ----------------------------------------------------------------------------
 
 def _pattern_columns(rows):

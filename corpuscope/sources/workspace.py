@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from corpuscope import schemas
 from corpuscope.operators import ledger, logs, packages, reports, search
 from corpuscope.session import staged
+from corpuscope.sources.postings import StoredPostings
 
 # table -> (key, order) of its keyed writes
 KEYS = {
@@ -15,9 +16,6 @@ KEYS = {
     "packages": (["package_id"], ["timestamp"]),
 }
 
-# table -> the column its files are sorted by, so that parquet statistics skip other values
-SORTED_BY = {"postings": "token"}
-
 _VECTOR = [T.StructField("embedding", T.ArrayType(T.DoubleType()))]
 TABLES = {
     "decisions": T.StructType(schemas.DECISIONS.fields + _VECTOR),
@@ -26,7 +24,6 @@ TABLES = {
     "errors": schemas.ERRORS,
     "packages": schemas.PACKAGES,
     "patterns": schemas.PATTERNS,
-    "postings": schemas.POSTINGS,
     "reports": schemas.REPORTS,
     "skipped": schemas.SKIPPED,
 }
@@ -42,6 +39,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.postings = StoredPostings(spark, f"{self.root}/postings", buckets)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -60,7 +58,7 @@ class Workspace:
 
     def read(self, name: str, sid: str | None = None) -> DataFrame:
         """A table; empty if nothing was written to it yet."""
-        rows = self._stored(name).drop("bucket")
+        rows = self.postings.postings() if name == "postings" else self._stored(name).drop("bucket")
         return rows if sid is None else rows.where(F.col("sid") == sid)
 
     def append(self, name: str, rows: DataFrame) -> None:
@@ -77,7 +75,7 @@ class Workspace:
     def _rewrite(self, name: str, rows: DataFrame) -> None:
         # the second term splits a bucket over tasks; the bucket alone would be one task
         spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "bucket"]), F.lit(8))
-        (rows.repartition("bucket", spread).sortWithinPartitions("bucket", SORTED_BY.get(name, "sid"))
+        (rows.repartition("bucket", spread).sortWithinPartitions("bucket", "sid")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket").parquet(self.path(name)))
 
@@ -100,7 +98,7 @@ class Workspace:
         self.write_keyed("errors", errors, ignore_existing=True)
 
     def write_derived(self, name: str, rows: DataFrame, changed_paths: DataFrame) -> None:
-        """Patterns or postings: rows of re-indexed files replace all earlier rows of those files.
+        """Patterns: rows of re-indexed files replace all earlier rows of those files.
 
         `rows` is read twice, so it should be a stored table."""
         keys = ["file_path"]
@@ -129,12 +127,12 @@ class Workspace:
         if n_skipped:
             self.append("skipped", skipped)
         files = read.where("read_error is null").drop("read_error")
-        snapshots, patterns, postings = index_corpus(files, rules, now)
+        snapshots, patterns, _ = index_corpus(files, rules, now)
         paths = snapshots.select("file_path")
-        patterns, postings = staged(patterns, "patterns"), staged(postings, "postings")
+        patterns = staged(patterns, "patterns")
         self.write_keyed("snapshots", snapshots)
         self.write_derived("patterns", patterns, paths)
-        self.write_derived("postings", postings, paths)
+        self.postings.write(files)
         self.write_keyed("decisions", ledger.with_decision_embedding(ledger.merge_decisions(
             ledger.pattern_decisions(patterns, now))))
         return n_skipped
@@ -179,7 +177,7 @@ class Workspace:
 
     def search(self, queries: DataFrame, **options) -> DataFrame:
         """Files for queries (query_id, query_text, sid), by vector and by text."""
-        return search.similar_files(self.read("snapshots"), self.read("postings"), queries, **options)
+        return search.similar_files(self.read("snapshots"), self.postings, queries, **options)
 
     def report(self, now: int) -> DataFrame:
         rows = staged(reports.session_report(
