@@ -16,6 +16,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,9 +24,9 @@ from corpuscope.llm.tables import Staged, documents
 from corpuscope.llm.training import packed, summed, unpacked
 
 # Bytes of text that one batch holds at most (a longer document is a batch of its own).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 # Words that a Python worker keeps from batch to batch, and their bytes.
-CACHED_WORDS, CACHED_BYTES = 600_000, 64 << 20
+CACHED_WORDS, CACHED_BYTES = 150_000, 16 << 20
 # Characters of new words that a tokenizer reads at a time.
 READ_TOGETHER = 8192
 # Vector entries per row while vectors are summed.
@@ -245,8 +246,9 @@ class Aligner:
 
         `texts` are binary, null or empty for none."""
         filled = texts.fill_null(b"")
-        has = np.fromiter((len(t) > 0 for t in filled.to_pylist()), bool, len(filled))
-        spaced = pa.array([b" " + t for t in filled.to_pylist() if t], pa.large_binary())
+        has = pc.greater(pc.binary_length(filled), 0).to_numpy(zero_copy_only=False)
+        filled = filled.cast(pa.large_binary()).filter(pa.array(has))
+        spaced = pc.binary_join_element_wise(pa.scalar(b" ", pa.large_binary()), filled, pa.scalar(b"", pa.large_binary()))
         offsets = np.frombuffer(spaced.buffers()[1], np.int64)[: len(spaced) + 1] if len(spaced) else np.zeros(1, np.int64)
         data = np.frombuffer(spaced.buffers()[2], np.uint8)[: offsets[-1]] if len(spaced) else np.zeros(0, np.uint8)
         starts = self.words(data, offsets[:-1]) if len(spaced) else np.zeros(1, np.int64)
@@ -269,9 +271,9 @@ class Aligner:
         listed = codes.tolist()
         digests = [hashlib.sha256(b";".join([rendered[c] for c in listed[s:e]])).hexdigest() if g else ""
                    for s, e, g in zip(at[:-1].tolist(), at[1:].tolist(), good.tolist())]
-        keep = np.repeat(good, np.diff(at))
-        times = np.bincount(codes[keep], minlength=len(known))
-        codes = codes[keep]
+        groups, a, b = (np.where(good, total(v), 0) for v in (self.n_groups, self.n_a, self.n_b))
+        codes = codes[np.repeat(good, np.diff(at))]
+        times = np.bincount(codes, minlength=len(known))
         n_words = np.where(good, np.diff(at), 0)
         n_links = self.link_at[known + 1] - self.link_at[known]
         place = np.repeat(self.link_at[known] - np.concatenate(([0], np.cumsum(n_links)[:-1])), n_links) + np.arange(int(n_links.sum()))
@@ -285,11 +287,9 @@ class Aligner:
         links = links.copy()
         links[~fast] = which
         many = len(has)
-        fill = lambda values: _spread(np.where(good, values, 0), has, many)
         shas = np.full(many, "", object)
         shas[has] = digests
-        groups, a, b = (fill(total(v)) for v in (self.n_groups, self.n_a, self.n_b))
-        return dict(n_a=a, n_b=b, n_groups=groups, sha=shas, n_words=_spread(n_words, has, many), codes=codes,
+        return dict(n_a=_spread(a, has, many), n_b=_spread(b, has, many), n_groups=_spread(groups, has, many), sha=shas, n_words=_spread(n_words, has, many), codes=codes,
                     n_links=n_links.astype(np.int32), links=links.astype(np.int32), pairs=pairs, counts=counts, single=single)
 
 
@@ -315,7 +315,7 @@ def shared_aligner(path_a: str, path_b: str) -> Aligner:
 
 def _slices(batch):
     """Parts of an Arrow batch of at most `BATCH_BYTES` of text, one document at least."""
-    sizes = np.fromiter((len(t or b"") for t in batch.column("data").to_pylist()), np.int64, batch.num_rows)
+    sizes = pc.binary_length(batch.column("data")).fill_null(0).to_numpy(zero_copy_only=False)
     part = (np.cumsum(sizes) - 1) // BATCH_BYTES if len(sizes) else sizes
     edges = np.flatnonzero(np.diff(part, prepend=-2)).tolist() + [batch.num_rows]
     for first, last in zip(edges, edges[1:]):
