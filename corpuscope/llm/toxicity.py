@@ -10,6 +10,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,12 +19,13 @@ from corpuscope.llm.tables import Staged, documents, long_column
 from corpuscope.llm.training import SAMPLE, remainder, training_rows
 
 THRESHOLD = 0.3
-# Pseudo-count of the prior per token, on average and at least; z-score and log-odds of a token that is kept.
+# Pseudo-count of the prior per token, on average and at least; log-odds of a token that is kept, and the
+# z-scores among which the least of such a token is chosen.
 PRIOR = 0.5
-MIN_Z = 3.0
 MIN_SCORE = 1.0
-# Tokens of the table at most (those of the largest z-scores), and the cost of any other token.
-TOKENS = 50_000
+BOUNDS = (3.0, 2.5, 2.0)
+FOLDS = 4
+# The cost of any other token.
 OTHER = -0.05
 EULER = 0.5772156649
 LETTERS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -54,8 +56,8 @@ def maximal_segments(places, scores, other=OTHER):
     """All maximal scoring segments (first, last, score) in one pass.
 
     `places` are the positions of tokens with scores of their own; every position between costs
-    `other`. Each candidate keeps the sums before and after it; a new one is merged with the last
-    candidate that starts lower and ends lower, as often as that holds."""
+    `other`. Each candidate keeps the sums before and after it, and the last candidate before it that
+    starts lower: those between start no lower than it, so none is looked at twice."""
     found, total, reached = [], 0.0, 0
     for place, score in zip(places, scores):
         total += other * (place - reached)
@@ -63,17 +65,18 @@ def maximal_segments(places, scores, other=OTHER):
         before, total = total, total + score
         if score <= 0:
             continue
-        one = [place, place, before, total]
-        while True:
-            k = len(found) - 1
-            while k >= 0 and found[k][2] >= one[2]:
-                k -= 1
-            if k < 0 or found[k][3] >= one[3]:
-                found.append(one)
-                break
-            one = [found[k][0], one[1], found[k][2], one[3]]
+        first, last, after = place, place, total
+        k = len(found) - 1
+        while k >= 0 and found[k][2] >= before:
+            k = found[k][4]
+        # merged with the last candidate that starts lower and ends lower, as often as that holds
+        while k >= 0 and found[k][3] < after:
+            first, before = found[k][0], found[k][2]
+            lower = found[k][4]
             del found[k:]
-    return [(first, last, after - before) for first, last, before, after in found]
+            k = lower
+        found.append((first, last, before, after, k))
+    return [(first, last, after - before) for first, last, before, after, _ in found]
 
 
 def passages(model: Model, words):
@@ -124,53 +127,92 @@ def token_table(rows: DataFrame, tables: Staged) -> DataFrame:
     return counts.select("token", odds.alias("score"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` labelled rows of each class; equal texts count once."""
-    chosen, weights = training_rows(docs, labels, label, sample)
-    rows = chosen.groupBy("text").agg(F.max("label").alias("label")).select(F.col("text").cast("binary").alias("data"), "label")
-    table = token_table(rows, Staged(docs.sparkSession)).filter((F.abs("z") >= MIN_Z) & (F.abs("score") >= MIN_SCORE)).orderBy(F.desc(F.abs("z")), "token").limit(TOKENS).toPandas()
+def _models(rows: DataFrame, tables: Staged, bounds) -> list[Model]:
+    """A model for each bound of the z-score. Tokens come from the bounded labelled rows only."""
+    table = token_table(rows, tables).filter((F.abs("z") >= min(bounds)) & (F.abs("score") >= MIN_SCORE)).toPandas()
     table = table.assign(key=table["token"].to_numpy().view("uint64")).sort_values("key")
-    model = Model(table["key"].to_numpy(), table["score"].to_numpy(float))
-    sizes = chosen.select(F.col("text").cast("binary").alias("data"), "label").mapInArrow(
-        _measure(model), "label int, n long, best double, segments array<double>").toPandas()
-    _fit_law(model, sizes)
-    _calibrate(model, sizes, weights)
+    z = table["z"].abs().to_numpy()
+    return [Model(table["key"].to_numpy()[z >= b], table["score"].to_numpy(float)[z >= b]) for b in bounds]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, bounds=BOUNDS) -> Model:
+    """Fit on at most `sample` labelled rows of each class; equal texts count once.
+
+    The bound of the z-score is the one of `bounds` whose models tell held-apart rows best, by F1 (the larger
+    of equals): the rows are dealt to `FOLDS` parts by a hash of their text, and each part is judged by a model of the
+    others. The calibration is fitted on the same held-apart statistics."""
+    tables = Staged(docs.sparkSession)
+    chosen, weights = training_rows(docs, labels, label, sample)
+    rows = tables.write(chosen.groupBy("text").agg(F.max("label").alias("label")).select(F.col("text").cast("binary").alias("data"), "label"), "labelled")
+    fold = F.pmod(F.crc32("data"), F.lit(FOLDS))
+    apart = []
+    for part in range(FOLDS):
+        models = _models(rows.filter(fold != part), tables, bounds)
+        held = rows.filter(fold == part)
+        _fit_laws(models, held)
+        apart.append(_measured(held, _statistics, models))
+    apart = pd.concat(apart)
+    judged = [(_best_f1(group["value"], group["label"]), bounds[k], k) for k, group in apart.groupby("model")]
+    best = max(judged)[2] if judged else 0
+    model = _models(rows, tables, [bounds[best]])[0]
+    _fit_laws([model], rows)
+    _calibrate(model, apart[apart["model"] == best], weights)
     return model
 
 
-def _measure(model):
+def _best_f1(scores, labels) -> float:
+    """The largest F1 of any threshold above the least score. Rounded, so that near ties are ties."""
+    x, y = scores.to_numpy(), labels.to_numpy() == 1
+    order = np.argsort(-x, kind="stable")
+    taken, right = np.arange(1, len(x) + 1), np.cumsum(y[order])
+    last = np.append(x[order][1:] < x[order][:-1], False)  # a threshold takes all of equal scores
+    f1 = 2 * right / (taken + max(y.sum(), 1))
+    return round(float(f1[last].max()), 2) if last.any() else 0.0
+
+
+def _segment_scores(model, words):
+    return [s for *_, s in maximal_segments(*(x.tolist() for x in model.hits(words)))]
+
+
+def _bests(model, words):
+    """The best segment."""
+    return max(_segment_scores(model, words), default=0.0)
+
+
+def _statistics(model, words):
+    return statistic(passages(model, words))
+
+
+def _measured(rows: DataFrame, measure, models):
+    """(model, label, n, value) of each row and model: a few numbers, whatever the length of the texts."""
     def run(batches):
         for batch in batches:
             out = []
             for text, label in zip(batch.column("data").to_pylist(), batch.column("label").to_pylist()):
                 words = tokens(text)
-                scores = [s for *_, s in maximal_segments(*(x.tolist() for x in model.hits(words)))]
-                out.append((label, len(words), max(scores, default=0.0), scores))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())))],
-                names=["label", "n", "best", "segments"])
-    return run
+                out += [(k, label, len(words), measure(model, words)) for k, model in enumerate(models)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.float64()))],
+                                             names=["model", "label", "n", "value"])
+
+    return rows.mapInArrow(run, "model int, label int, n long, value double").toPandas()
 
 
-def _fit_law(model, sizes):
+def _fit_laws(models, rows):
     """Gumbel law of the best segment of clean texts, by moments, less the logarithm of the length."""
-    clean = sizes[(sizes["label"] == 0) & (sizes["n"] > 0)]
-    if not len(clean):
-        return
-    best, length = clean["best"].to_numpy(), np.log(clean["n"].to_numpy())
-    spread = max(float(best.std()), 0.25)
-    model.scale = math.pi / (spread * math.sqrt(6))
-    model.size = math.exp(float(np.mean(model.scale * best - length)) - EULER)
+    clean = _measured(rows.filter("label = 0"), _bests, models)
+    for k, group in clean[clean["n"] > 0].groupby("model"):
+        best, length = group["value"].to_numpy(), np.log(group["n"].to_numpy())
+        spread = max(float(best.std()), 0.25)
+        models[k].scale = math.pi / (spread * math.sqrt(6))
+        models[k].size = math.exp(float(np.mean(models[k].scale * best - length)) - EULER)
 
 
-def _calibrate(model, sizes, weights):
+def _calibrate(model, apart, weights):
     """Logistic regression of the label on the statistic, rows weighted to the labelled total."""
-    if not len(sizes):
+    if not len(apart):
         model.slope, model.offset = 1.0, -2.0
         return
-    x = np.array([statistic([(0, 0, s, -math.expm1(-model.size * max(n, 1) * math.exp(-model.scale * s))) for s in scores])
-                  for n, scores in zip(sizes["n"], sizes["segments"])])
-    y = sizes["label"].to_numpy(float)
+    x, y = apart["value"].to_numpy(), apart["label"].to_numpy(float)
     w = np.where(y == 1, weights[1], weights[0])
     design, theta = np.stack((x, np.ones(len(x))), 1), np.zeros(2)
     for _ in range(50):
@@ -212,7 +254,10 @@ def training_model(spark, sf_dir) -> Model:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` whose score is below the threshold, with all their columns."""
+    """The rows of `docs` whose score is below the threshold, with all their columns.
+
+    Null and empty texts have the score of a text without any passage. Rows that repeat an id or a text are
+    judged each; null ids are kept or go like any other. No rows give no rows."""
     def run(batches):
         for batch in batches:
             scores = [_probability(model, passages(model, tokens((t or "").encode()))) for t in batch.column("text").to_pylist()]
