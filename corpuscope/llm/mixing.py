@@ -7,11 +7,8 @@ fixed by its target, are dealt to the shards by one pseudorandom permutation. A
 so within one block of its target. Slot q of a source takes block perm(q mod blocks) with a
 permutation of the source's and round's own, and joins it by index."""
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpuscope.llm.rolling import word_spans
 from corpuscope.llm.tables import Staged, documents, unused
 
 BLOCK = 32
@@ -147,22 +144,31 @@ def mixed(docs: DataFrame, tables: Staged) -> DataFrame:
     return taken.unionByName(empty).drop("number", "start")
 
 
-def drawn_texts(texts: pa.Array, drawn: pa.Array) -> pa.Array:
-    """For each text the texts of its first, second, ... round: the words that at least so many slots take."""
-    out = []
-    for data, pieces in zip(texts.to_pylist(), drawn.to_pylist()):
-        begins, ends = word_spans(np.frombuffer(data, np.uint8))
-        times = np.zeros(len(begins) + 2, np.int64)
-        for p in pieces:
-            times[p["offset"] + 1: p["offset"] + p["share"] + 1] = p["times"]
-        rounds = []
-        for number in range(1, int(times.max()) + 1):
-            edge = np.diff((times >= number).view(np.int8))
-            first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-            whole = last[0] - first[0] + 1 == len(begins)
-            rounds.append(data if whole else b"\n".join([data[a:b] for a, b in zip(begins[first].tolist(), ends[last].tolist())]))
-        out.append(rounds)
-    return pa.array(out, pa.list_(pa.binary()))
+def drawn_texts(text: Column, pieces: Column) -> Column:
+    """The texts of a document's first, second, ... round: the words that at least so many slots take.
+
+    `pieces` are the blocks' parts of the document (offset, share, times) by offset. Words keep the white space that
+    follows them; where words are left out, a line ends. A round that takes every word is the text itself."""
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    end = lambda p: p["offset"] + p["share"]
+
+    def of_round(words, pieces, number):
+        taken = F.filter(pieces, lambda p: p["times"] >= number)
+
+        def joined(taken):
+            def part(p, i):
+                here = F.array_join(F.slice(words, (p["offset"] + 1).cast("int"), p["share"].cast("int")), "")
+                goes_on = F.coalesce(F.get(taken, i + 1)["offset"] == end(p), F.lit(False))
+                return F.when(goes_on, here).otherwise(F.concat(F.rtrim(here, F.lit(WHITE)), F.when(i + 1 < F.size(taken), "\n").otherwise("")))
+
+            size = F.aggregate(taken, F.lit(0).cast("long"), lambda s, p: s + p["share"])
+            return F.when(size == F.size(words), text).otherwise(F.array_join(F.transform(taken, part), ""))
+
+        return F.transform(F.array(taken), joined)[0]
+
+    rounds = F.sequence(F.lit(1), F.array_max(F.transform(pieces, lambda p: p["times"])).cast("int"))
+    # the words are cut once, as the argument of what follows
+    return F.transform(F.array(words), lambda w: F.transform(rounds, lambda number: of_round(w, pieces, number)))[0]
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -179,9 +185,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     sizes = tables.write(sized(kept, row), "sizes")
     planned = tables.write(plan(targets(sizes)), "sources")
     lists = (drawn(laid_out(sizes, planned, row), planned).filter("times > 0")
-             .groupBy(row).agg(F.collect_list(F.struct("offset", "share", "times")).alias(pieces)))
-    texts = F.arrow_udf(drawn_texts, "array<binary>")(F.col("text").cast("binary"), pieces)
-    out = kept.join(lists, row).withColumn("text", F.explode(texts)).withColumn("text", F.col("text").cast("string"))
+             .groupBy(row).agg(F.array_sort(F.collect_list(F.struct("offset", "share", "times"))).alias(pieces)))
+    out = kept.join(lists, row).withColumn("text", F.explode(drawn_texts(F.col("text"), F.col(pieces))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
