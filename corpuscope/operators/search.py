@@ -5,6 +5,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from corpuscope.functions.text import query_words, search_tokens
 from corpuscope.functions.vectors import cosine, embed_text, has_embedding
+from corpuscope.operators.nearest import SCORE_DIGITS, VectorIndex
 from corpuscope.schemas import DEFAULT_SID, EMBEDDING_DIM
 from corpuscope.session import rows_if_at_most, staged
 from corpuscope.sources.postings import BLOCK_BITS, opened
@@ -12,12 +13,8 @@ from corpuscope.sources.postings import BLOCK_BITS, opened
 FILE_THRESHOLD = 0.01
 DECISION_THRESHOLD = 0.1
 TEXT_HIT_SCORE = 0.99
-# A query batch up to this size is broadcast as one matrix (4 MB); more are met block by block.
+# A query batch up to this size is broadcast as one matrix (4 MB); more go through a metric index.
 MAX_BROADCAST_QUERIES = 4096
-# Corpus rows per block in the block-by-block plan.
-BLOCK_ROWS = 65_536
-# Scores are compared at the precision of a single-precision cosine.
-SCORE_DIGITS = 6
 
 
 # --- inverted index ----------------------------------------------------------------------
@@ -287,8 +284,7 @@ def _ranked(candidates: DataFrame, tie: str, k: int) -> DataFrame:
 
 
 def cosine_top_k(corpus: DataFrame, queries: DataFrame, tie: str, k: int, threshold: float,
-                 width: int = EMBEDDING_DIM, max_broadcast: int = MAX_BROADCAST_QUERIES,
-                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+                 width: int = EMBEDDING_DIM, max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """The k best corpus rows per query with cosine above `threshold`.
 
     A query without a session has one ranking over the corpus; a row of a query that names a
@@ -298,11 +294,10 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, tie: str, k: int, thresh
     Scores are rounded to `SCORE_DIGITS`; equal scores are ordered by `tie`.
 
     A query batch of checked size is broadcast as a matrix: one pass over the corpus, one
-    matrix product per Arrow batch, and only each batch's best rows are shuffled. A larger
-    batch is cut into query blocks and the corpus into row blocks of bounded size; each
-    pair of blocks meets in one task by an equi-join on both block numbers. That is still every
-    query against every row, and the corpus is sent once per query block: carry only narrow
-    columns, and join texts to the ranked rows."""
+    matrix product per Arrow batch, and only each batch's best rows are shuffled. For a larger
+    batch the corpus is put in a metric index (`operators.nearest`), and each query meets only the
+    rows that its bounds do not rule out. Carry only narrow columns, and join texts to the
+    ranked rows. A corpus that is searched often is better indexed once."""
     spark = corpus.sparkSession
     carried = [c for c in corpus.columns if c != "embedding"]
     corpus = corpus.select(*carried, "embedding")
@@ -333,26 +328,8 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, tie: str, k: int, thresh
 
         return _ranked(corpus.mapInArrow(score, schema), tie, k)
 
-    def meet(left, right):
-        import numpy as np
-
-        queries_here = right.column("embedding").combine_chunks()
-        vectors = queries_here.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
-        best = None
-        if left.num_rows and right.num_rows:
-            best = _batch_top_k(left.drop_columns(["q_block", "c_block"]), right.column("query_id").combine_chunks(),
-                                right.column("sid").to_pylist(), vectors, tie, k, threshold)
-        return best.select(schema.names) if best is not None else to_arrow_schema(schema).empty_table()
-
-    q_blocks = -(-asked.count() * 2 // max_broadcast)
-    c_blocks = max(1, -(-corpus.count() * 2 // block_rows))
-    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = corpus.withColumn("c_block", F.pmod(F.xxhash64(tie), F.lit(c_blocks)).cast("int")) \
-        .withColumn("q_block", everywhere(q_blocks))
-    right = asked.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")) \
-        .withColumn("c_block", everywhere(c_blocks))
-    pairs = left.groupBy("q_block", "c_block").cogroup(right.groupBy("q_block", "c_block"))
-    return _ranked(pairs.applyInArrow(meet, schema), tie, k)
+    found, _ = VectorIndex(corpus, tie, width).top_k(asked, k, threshold)
+    return _ranked(found.select(*schema.names), tie, k)
 
 
 def similar_files_by_vector(snapshots: DataFrame, queries: DataFrame, k: int = 10,

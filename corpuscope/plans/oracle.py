@@ -221,6 +221,14 @@ dots as (select m.query_id, c.vec_id, sum(m.x * c.x) as dot from means m join ce
 scores as (select query_id, vec_id, round(dot / (n.norm * m.norm + 1e-8), 6) as score
   from dots join norms n using (vec_id) join mean_norms m using (query_id) where dot / (n.norm * m.norm + 1e-8) > 0)
 select cast(query_id as bigint) as query_id, vec_id, score, rank from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores) where rank <= 10""",
+    "cosine_topk_indexed": """
+with cells as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as dim from embeddings),
+norms as (select vec_id, sqrt(sum(x * x)) as norm from cells group by vec_id),
+dots as (select a.vec_id as query_id, b.vec_id, sum(a.x * b.x) as dot from cells a join cells b using (dim) group by a.vec_id, b.vec_id),
+scores as (select query_id, d.vec_id, round(dot / (n.norm * m.norm + 1e-8), 6) as score
+  from dots d join norms n on n.vec_id = d.vec_id join norms m on m.vec_id = query_id where dot / (n.norm * m.norm + 1e-8) > 0)
+select query_id, vec_id, score, rank from (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores) where rank <= 10""",
     "similar_files_topk": _FILES_TOPK,
     "similar_files_topk_blocks": _FILES_TOPK,

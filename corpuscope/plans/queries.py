@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuscope.functions.vectors import embed_text
 from corpuscope.operators import changes, ledger, logs, packages, patterns, reports, search, snapshots
+from corpuscope.operators.nearest import VectorIndex
 from corpuscope.plans import fixtures
 from corpuscope.sources.postings import StoredPostings
 from corpuscope.sources.texts import default_rules, read_logs, read_packages, rules_from_texts, write_packages
@@ -96,6 +97,16 @@ def cosine_topk(spark, sf):
         "query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def cosine_topk_indexed(spark, sf):
+    """Every vector's ten nearest among all, from the metric index."""
+    vectors = fixtures.table(spark, sf, "embeddings").select(
+        F.lit("all").alias("sid"), "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = vectors.select(F.col("vec_id").alias("query_id"), F.lit(None).cast("string").alias("sid"), "embedding")
+    found, _ = VectorIndex(vectors, "vec_id", 64).top_k(asked, 10, 0.0)
+    return found.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def _ranks(found: DataFrame) -> DataFrame:
     return found.withColumn("rank", F.col("rank").cast("long"))
 
@@ -114,9 +125,8 @@ def similar_files_in_sessions(spark, sf):
 
 @query
 def similar_files_topk_blocks(spark, sf):
-    """The same ranking by the block-by-block plan for query batches too large to broadcast."""
-    return _ranks(search.similar_files_by_vector(
-        _snapshots(spark, sf), fixtures.passages(spark, sf), max_broadcast=16, block_rows=400))
+    """The same ranking by the metric index, as for query batches too large to broadcast."""
+    return _ranks(search.similar_files_by_vector(_snapshots(spark, sf), fixtures.passages(spark, sf), max_broadcast=16))
 
 
 @query

@@ -61,5 +61,5 @@ def test_string_query_ids(spark, stored):
     queries = spark.createDataFrame([("q1", "the of"), ("q2", "la de")], "query_id string, query_text string")
     snaps = snapshots.snapshot_files(stored["files"])
     broadcast = search.similar_files_by_vector(snaps, queries).collect()
-    blocks = search.similar_files_by_vector(snaps, queries, max_broadcast=1, block_rows=50).collect()
+    blocks = search.similar_files_by_vector(snaps, queries, max_broadcast=1).collect()
     assert {r.query_id for r in broadcast} == {"q1", "q2"} and sorted(broadcast) == sorted(blocks)

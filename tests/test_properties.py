@@ -98,7 +98,7 @@ def brute_hits(rows, query):
     return {r[1] for r in rows if phrases and all(any(has(f, p) for f in fields(r)) for p in phrases)}
 
 
-@pytest.mark.parametrize("plan", [{}, {"max_broadcast": 4, "block_rows": 20}])
+@pytest.mark.parametrize("plan", [{}, {"max_broadcast": 4}])
 def test_similar_files_equals_brute_force(spark, files, plan):
     rows = some_files(90)
     queries = spark.createDataFrame([(i, q, sid) for i, q in enumerate(QUERIES) for sid in ((None,) if i % 4 else ("hot", "s3"))],
