@@ -288,6 +288,8 @@ from found group by file_path""",
     "parse_compiler_lines": _with(*_FOUND, then=_ERROR_COLUMNS + "compiled"),
     "generic_failures": _with(*_FOUND, then="select session_id, sid, error_type, message, command, exit_code from generic"),
     "parse_logs": _with(*_ERRORS, then=_ERROR_COLUMNS + "errors"),
+    "parse_log_chunks": _with(*_ERRORS, then=_ERROR_COLUMNS + "errors"),
+    "log_chunk_sessions": _with(*_SESSIONS, then="select session_id, sid, command, cast(exit_code as bigint) as exit_code, timestamp from sessions"),
     "parse_log_files": _with(*_fixture("log_lines"), ("kinds", _LINES), ("logs", """
 select sid, count_if(kind = 'traceback') as tracebacks, count_if(kind = 'compiler') as compiled,
   count(distinct (event_id % 70, event_id % 50)) filter (where kind = 'traceback') as traceback_errors,

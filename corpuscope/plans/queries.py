@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from corpuscope.functions.vectors import embed_text
-from corpuscope.operators import changes, ledger, logs, packages, patterns, reports, search, snapshots
+from corpuscope.operators import changes, ledger, log_chunks, logs, packages, patterns, reports, search, snapshots
 from corpuscope.operators.nearest import VectorIndex
 from corpuscope.plans import fixtures
 from corpuscope.sources.postings import StoredPostings
@@ -325,6 +325,28 @@ def parse_logs(spark, sf):
     return _error_columns(errors)
 
 
+def _chunks(spark, sf) -> DataFrame:
+    """The same logs, a chunk per event."""
+    logs_ = fixtures.logs(spark, sf).select("sid", "log_day", "timestamp")
+    lines = fixtures.log_lines(spark, sf).select("sid", "log_day", F.col("event_id").alias("chunk_no"), F.col("line").alias("text"))
+    first = logs_.select("sid", "log_day", F.lit(-1).cast("long").alias("chunk_no"), F.concat(F.lit("$ make "), "sid").alias("text"))
+    none = F.lit(None).cast("string")
+    return lines.unionByName(first).join(logs_, ["sid", "log_day"]).select(
+        none.alias("log_id"), "sid", "timestamp", none.alias("cwd"), "chunk_no", "text")
+
+
+@query
+def parse_log_chunks(spark, sf):
+    """The errors of `parse_logs`, no log being a row."""
+    return _error_columns(log_chunks.parse_log_chunks(_chunks(spark, sf))[1])
+
+
+@query
+def log_chunk_sessions(spark, sf):
+    sessions, _ = log_chunks.parse_log_chunks(_chunks(spark, sf))
+    return sessions.select("session_id", "sid", "command", F.col("exit_code").cast("long").alias("exit_code"), "timestamp")
+
+
 def _log_files(spark, sf):
     """One log file per session name, all with the same first line; read back in bulk."""
     path = scratch_path(spark, "log-files")

@@ -56,6 +56,57 @@ def read_logs(spark: SparkSession, path: str, now: int | None = None, sid: str =
         F.regexp_replace("log_id", r"/[^/]*$", "").alias("cwd"), "log_id")
 
 
+# Characters of one chunk of a log, at least (a longer line is a chunk of its own).
+CHUNK_CHARS = 1 << 20
+
+
+def _chunked(chunk_chars):
+    """Arrow batches of lines (log_id, modified, block, line), in order, to chunks of whole lines."""
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["log_id", "modified", "chunk_no", "text"]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string()]
+        held, size, of, made = [], 0, None, 0
+        out = []
+
+        def close():
+            # a block has more bytes than lines, so these numbers stay below the next block's
+            out.append((of[0], of[1], of[2] + made, "\n".join(held)))
+
+        for batch in batches:
+            for log, modified, block, line in zip(*(batch.column(c).to_pylist() for c in ("log_id", "modified", "block", "line"))):
+                if held and ((log, modified, block) != of or size >= chunk_chars):
+                    close()
+                    made = made + 1 if (log, modified, block) == of else 0
+                    held, size = [], 0
+                of = (log, modified, block)
+                held.append(line)
+                size += len(line) + 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                out = []
+        if held:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    return run
+
+
+def read_log_chunks(spark: SparkSession, path: str, now: int | None = None, sid: str = DEFAULT_SID,
+                    chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """Log files of any size as chunks of whole lines (`operators.log_chunks.CHUNKS`).
+
+    Spark cuts a large file into blocks at line ends, so one file spreads over tasks; a chunk is numbered by where
+    its block starts in the file. A file without any line has no chunk."""
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("log_id"), F.unix_seconds("_metadata.file_modification_time").alias("modified"),
+        F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    chunks = lines.mapInArrow(_chunked(chunk_chars), "log_id string, modified long, chunk_no long, text string")
+    return chunks.select("log_id", F.lit(sid).alias("sid"), (F.col("modified") if now is None else F.lit(now)).cast("long").alias("timestamp"),
+                         F.regexp_replace("log_id", r"/[^/]*$", "").alias("cwd"), "chunk_no", "text")
+
+
 def rules_from_texts(texts: DataFrame) -> DataFrame:
     """Rules of (file, text) rows: `[section]`, then `name = value` lines; `#` comments.
 
