@@ -1,9 +1,13 @@
 """A folder of parquet tables with keyed writes."""
 
+import json
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corpuscope import schemas
-from corpuscope.operators import ledger, logs, packages, reports, search
+from corpuscope.operators import ledger, log_chunks, logs, packages, reports, search
 from corpuscope.session import staged
 from corpuscope.sources.postings import StoredPostings
 
@@ -29,11 +33,16 @@ TABLES = {
 }
 
 
+# tables in buckets; the others are only appended to
+VERSIONED = (*KEYS, "patterns")
+
+
 class Workspace:
     """Tables under `root`, each in folders by a hash bucket of its key.
 
-    A keyed write reads and rewrites only the buckets its keys fall into (dynamic
-    partition overwrite), so a small batch leaves most of a large table alone. The number
+    A keyed write reads only the buckets its keys fall into and writes them anew in a folder of its own; a
+    small file then says which folder of each bucket counts. A write that fails half-way has changed nothing,
+    and of two at a time one is refused. The number
     of buckets is fixed when a workspace is created; choose it so that a bucket fits a few
     tasks (100 TB in 65,536 buckets: 1.6 GB each)."""
 
@@ -49,12 +58,69 @@ class Workspace:
         path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _stored(self, name: str) -> DataFrame:
-        path, system = self._folder(name)
-        schema = T.StructType(TABLES[name].fields + [T.StructField("bucket", T.IntegerType())])
+    def _names(self, pattern: str, *parts: str):
+        """Numbers in the names below a folder."""
+        path, system = self._folder(*parts)
         if not system.exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(name))
+            return []
+        return sorted(int(m[1]) for f in system.listStatus(path) if (m := re.fullmatch(pattern, f.getPath().getName())))
+
+    # --- versions: a write makes new folders, and one small file says which folders count
+
+    def _pointer(self, name: str):
+        """(number, {bucket: version}) of the last write that was published."""
+        numbers = self._names(r"(\d+)\.json", name, "_published")
+        if not numbers:
+            return 0, {}
+        path, system = self._folder(name, "_published", f"{numbers[-1]}.json")
+        stream = system.open(path)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return numbers[-1], {int(b): v for b, v in json.loads(text).items()}
+
+    def _publish(self, name: str, number: int, buckets: dict) -> None:
+        """Make `buckets` count, if `number` is still the last one published."""
+        draft, system = self._folder(name, "_published", f"draft-{uuid.uuid4().hex}")
+        final, _ = self._folder(name, "_published", f"{number + 1}.json")
+        stream = system.create(draft)
+        stream.write(bytearray(json.dumps(buckets).encode()))
+        stream.close()
+        if system.exists(final) or not system.rename(draft, final):
+            system.delete(draft, False)
+            raise RuntimeError(f"{name} was written by someone else meanwhile")
+
+    def vacuum(self) -> int:
+        """Delete the folders that no longer count, and those of failed writes; returns how many. DataFrames made
+        before a write may still read them: call this when none is in use."""
+        gone = 0
+        for name in VERSIONED:
+            number, buckets = self._pointer(name)
+            for version in self._names(r"version=(\d+)", name):
+                for bucket in self._names(r"bucket=(\d+)", name, f"version={version}"):
+                    if buckets.get(bucket) != version:
+                        path, system = self._folder(name, f"version={version}", f"bucket={bucket}")
+                        gone += bool(system.delete(path, True))
+            for old in self._names(r"(\d+)\.json", name, "_published"):
+                if old < number:
+                    path, system = self._folder(name, "_published", f"{old}.json")
+                    system.delete(path, False)
+        return gone
+
+    def _stored(self, name: str) -> DataFrame:
+        schema = TABLES[name]
+        if name in VERSIONED:
+            schema = T.StructType(schema.fields + [T.StructField("bucket", T.IntegerType())])
+            _, buckets = self._pointer(name)
+            paths = [f"{self.path(name)}/version={v}/bucket={b}" for b, v in sorted(buckets.items())]
+            if paths:
+                return self.spark.read.schema(schema).option("basePath", self.path(name)).parquet(*paths).drop("version")
+        else:
+            path, system = self._folder(name)
+            if system.exists(path):
+                return self.spark.read.schema(schema).parquet(self.path(name))
+        return self.spark.createDataFrame([], schema)
 
     def read(self, name: str, sid: str | None = None) -> DataFrame:
         """A table; empty if nothing was written to it yet."""
@@ -72,18 +138,17 @@ class Workspace:
     def _buckets_of(rows: DataFrame):
         return [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most `buckets`
 
-    def _rewrite(self, name: str, rows: DataFrame) -> None:
+    def _rewrite(self, name: str, rows: DataFrame, touched) -> None:
+        """Put `rows` in place of the buckets `touched`. Until the last step, which is one small file, nothing that
+        counts has changed."""
+        number, buckets = self._pointer(name)
+        version = max([number, *self._names(r"version=(\d+)", name)]) + 1
         # the second term splits a bucket over tasks; the bucket alone would be one task
         spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "bucket"]), F.lit(8))
         (rows.repartition("bucket", spread).sortWithinPartitions("bucket", "sid")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("bucket").parquet(self.path(name)))
-
-    def _drop_buckets(self, name: str, buckets) -> None:
-        """Remove buckets that a write left without rows; an overwrite by bucket passes over them."""
-        for bucket in buckets:
-            path, system = self._folder(name, f"bucket={bucket}")
-            system.delete(path, True)
+         .write.partitionBy("bucket").parquet(f"{self.path(name)}/version={version}"))
+        kept = {b: v for b, v in buckets.items() if b not in set(touched)}
+        self._publish(name, number, kept | {b: version for b in self._names(r"bucket=(\d+)", name, f"version={version}")})
 
     def write_keyed(self, name: str, incoming: DataFrame, ignore_existing: bool = False) -> None:
         """Insert-or-replace, or insert-or-ignore, by the key of the table."""
@@ -91,8 +156,9 @@ class Workspace:
         pick = ledger.earliest if ignore_existing else ledger.latest
         merge = ledger.insert_ignore if ignore_existing else ledger.replace_into
         new = self._bucketed(name, staged(pick(incoming, keys, order), name), keys)
-        old = self._stored(name).where(F.col("bucket").isin(self._buckets_of(new)))
-        self._rewrite(name, merge(old, new, keys, order))
+        touched = self._buckets_of(new)
+        old = self._stored(name).where(F.col("bucket").isin(touched))
+        self._rewrite(name, merge(old, new, keys, order), touched)
 
     def write_errors(self, errors: DataFrame) -> None:
         self.write_keyed("errors", errors, ignore_existing=True)
@@ -108,9 +174,7 @@ class Workspace:
         touched = self._buckets_of(paths)
         old = self._stored(name).where(F.col("bucket").isin(touched))
         merged = old.join(paths.select("file_path"), "file_path", "left_anti").unionByName(new)
-        filled = self._buckets_of(merged)
-        self._rewrite(name, merged)
-        self._drop_buckets(name, set(touched) - set(filled))
+        self._rewrite(name, merged, touched)
 
     def index(self, files: DataFrame, rules: DataFrame, now: int) -> int:
         """Snapshots, patterns, postings and pattern decisions of `files`.
@@ -146,6 +210,15 @@ class Workspace:
         self.write_keyed("decisions", ledger.with_decision_embedding(ledger.merge_decisions(
             ledger.error_decisions(errors))))
 
+    def parse_chunks(self, chunks: DataFrame) -> None:
+        """`parse` for logs of any size, given as chunks; their output is not stored with the sessions."""
+        sessions, errors = log_chunks.parse_log_chunks(chunks)
+        errors = staged(errors, "errors")
+        self.write_keyed("sessions", logs.with_session_embedding(sessions))
+        self.write_errors(errors)
+        self.write_keyed("decisions", ledger.with_decision_embedding(ledger.merge_decisions(
+            ledger.error_decisions(errors))))
+
     def log(self, rows: DataFrame) -> None:
         self.write_keyed("decisions", ledger.with_decision_embedding(ledger.merge_decisions(
             ledger.human_decisions(rows))))
@@ -156,9 +229,7 @@ class Workspace:
         gone = reports.clear_errors(stored, sid)[1].first()["deleted"]
         if gone:
             touched = self._buckets_of(stored.where(F.col("sid") == sid))
-            left = staged(reports.clear_errors(stored.where(F.col("bucket").isin(touched)), sid)[0], "errors")
-            self._rewrite("errors", left)
-            self._drop_buckets("errors", set(touched) - set(self._buckets_of(left)))
+            self._rewrite("errors", reports.clear_errors(stored.where(F.col("bucket").isin(touched)), sid)[0], touched)
         return gone
 
     def resume(self, now: int, sid: str | None = None) -> DataFrame:
