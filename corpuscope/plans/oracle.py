@@ -114,6 +114,13 @@ _PATTERNS = _SNAPSHOTS + [
         f"line_number, '{key}' as log_key, '{action}' as action from lines where language = '{lang}'"
         for lang, name, rx, key, action in _RULES))]
 
+_WATCHED_FILES = [(name, text.replace("from all_files)", "from (select * replace (concat(content, chr(10), 'int late(int a) {', chr(10), 'def late(', chr(10)) as content, mtime + 100 as mtime) from all_files where doc_id % 5 = 0 and content is not null))")
+                   if name == "files" else text) for name, text in _PATTERNS]
+_WATCHED = _with(*_WATCHED_FILES, ("matched", "select file_path, count(*) as matches from found group by file_path"), then="""
+select file_path, 'watched' as sid, last_modified, lines_of_code, content_hash, coalesce(matches, 0) as matches,
+  concat('File ', regexp_extract(file_path, '([^/]*)$', 1), ' changed (', cast(lines_of_code as varchar), ' lines)') as rationale
+from snapshots left join matched using (file_path)""")
+
 # --- decisions
 _NODE = "sha256(concat(key, '|', value, '|', rationale)) as node_id"
 _HUMAN = ("human", f"""select {_NODE}, sid, 'human_decision' as action, key, value, rationale, timestamp, cast(1.0 as double) as confidence,
@@ -307,6 +314,13 @@ union all select 'last', '', 'log', '', 'x=y', 1 from s""",
 select file_path, sid, lines_of_code, content_hash, case when doc_id % 3 = 0 then 'unreadable' else '' end as reason
 from snapshots join (select file_path, doc_id from files) using (file_path)"""),
     "workspace_postings": _COUNTS_SQL,
+    "index_folder": _with(*_SNAPSHOTS, then="select file_path, 'folder' as sid, language, last_modified, lines_of_code, content_hash from snapshots where content is not null"),
+    "analyze_file": _with(*_fixture("all_files"), then="""
+select file_path, 'one' as sid, 'unknown' as language, cast(length(content) - length(replace(content, chr(10), '')) as bigint) as lines_of_code,
+  sha256(content) as content_hash from all_files
+where file_path = (select min(file_path) from all_files where doc_id % 14 = 11 and doc_id % 23 <> 0)"""),
+    "workspace_session": _with(*_SNAPSHOTS, then="select * exclude (content) from snapshots where sid = 'de'"),
+    "watched_folders": _WATCHED,
     "workspace_reports": _with(
         *_PATTERNS, *_fixture("logged"), _HUMAN, _PATTERN_DECISIONS, _latest("decided", "(select * from human union all by name select * from from_patterns)"), then="""
 select 'reports' as metric, 2 * count(distinct sid) as n from snapshots

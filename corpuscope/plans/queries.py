@@ -6,11 +6,12 @@ from corpuscope.functions.vectors import embed_text
 from corpuscope.operators import changes, ledger, log_chunks, logs, packages, patterns, reports, search, snapshots
 from corpuscope.operators.nearest import VectorIndex
 from corpuscope.plans import fixtures
+from corpuscope.sources import tree
 from corpuscope.sources.postings import StoredPostings
 from corpuscope.sources.texts import default_rules, read_logs, read_packages, rules_from_texts, write_packages
 from corpuscope.session import scratch_path, staged
 from corpuscope.sources.workspace import Workspace
-from corpuscope.streaming.watch import watch
+from corpuscope.streaming.watch import folder_scans, reindex_batch, watch
 
 # The time at which the queries "run".
 NOW = 1_800_000_000
@@ -483,6 +484,64 @@ def index_tree(spark, sf):
         "file_path", "sid", "lines_of_code", "content_hash", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
+def _tree(spark, sf, name: str) -> str:
+    """The files as a folder tree, hidden and `_` names among them; the path of the tree."""
+    root = scratch_path(spark, name)
+    tree.write_tree(fixtures.files(spark, sf), root)
+    return root
+
+
+def _below(root: str):
+    return F.substring(F.col("file_path"), len(root) + 1, 2**31 - 1).alias("file_path")
+
+
+@query
+def index_folder(spark, sf):
+    """A folder tree, listed and read by tasks, as snapshots."""
+    root = _tree(spark, sf, "folder")
+    return snapshots.snapshot_files(tree.read_tree(spark, root, "folder").where("read_error is null")).select(
+        _below(root), "sid", "language", "last_modified", "lines_of_code", "content_hash")
+
+
+@query
+def analyze_file(spark, sf):
+    """One file of a tree, whatever its extension."""
+    root = _tree(spark, sf, "one-folder")
+    first = fixtures.files(spark, sf).where("doc_id % 14 = 11 and doc_id % 23 <> 0").agg(F.min("file_path")).first()[0]
+    return snapshots.snapshot_files(tree.read_file(spark, root + first, "one")).select(
+        _below(root), "sid", "language", "lines_of_code", "content_hash")
+
+
+@query
+def workspace_session(spark, sf):
+    """The snapshots of one session of a workspace."""
+    ws = Workspace(spark, scratch_path(spark, "session-workspace"), buckets=2)
+    ws.index(_files(spark, sf), default_rules(spark), NOW)
+    return ws.read("snapshots", "de").drop("embedding")
+
+
+@query
+def watched_folders(spark, sf):
+    """Folders watched while some of their files change: what was indexed, matched and decided for each."""
+    root, state = _tree(spark, sf, "watched"), scratch_path(spark, "watch-folders")
+    ws = Workspace(spark, scratch_path(spark, "watch-workspace"), buckets=2)
+    files = fixtures.files(spark, sf)
+    folders = [root.replace("file://", "", 1) + r[0] for r in files.select(F.regexp_extract("file_path", "^(/src/[^/]*)/", 1)).distinct().collect()]
+    scans = folder_scans(spark, *folders, parts=2)
+    run = lambda: watch(scans, reindex_batch(ws, default_rules(spark), "watched"), state, availableNow=True).awaitTermination()
+    run()
+    changed = files.where("doc_id % 5 = 0").withColumns({
+        "content": F.concat("content", F.lit("\nint late(int a) {\ndef late(\n")), "mtime": F.col("mtime") + 100})
+    tree.write_tree(changed, root)
+    run()
+    matched = ws.read("patterns").groupBy("file_path").agg(F.count("*").alias("matches"))
+    name = F.substring_index("file_path", "/", -1)
+    decided = ws.read("decisions").where("action = 'file_changed'").select(F.col("value").alias("name"), "rationale").distinct()
+    found = ws.read("snapshots").join(matched, "file_path", "left").withColumn("name", name).join(decided, "name", "left")
+    return found.select(_below(root.replace("file://", "", 1)), "sid", "last_modified", "lines_of_code", "content_hash",
+                        F.coalesce("matches", F.lit(0)).alias("matches"), "rationale")
+
+
 @query
 def workspace_postings(spark, sf):
     """Documents and occurrences of each token in the postings of a workspace."""

@@ -20,6 +20,8 @@ LISTING = T.StructType([
 
 # A file that no row can hold (2 GB) stays in the result with an error instead of its content.
 MAX_FILE_BYTES = (1 << 31) - (1 << 20)
+# Bytes of files that one task reads, about.
+TASK_BYTES = 128 << 20
 # Contents per Arrow batch.
 _BATCH_BYTES = 32 << 20
 
@@ -119,13 +121,47 @@ def list_tree(spark: SparkSession, root: str, recursive: bool = True) -> DataFra
 def read_listed(listing: DataFrame, sid: str = DEFAULT_SID) -> DataFrame:
     """Contents of listed files, as (sid, file_path, mtime, content, read_error).
 
-    `content` keeps the file's bytes, so its sha256 is that of the file."""
-    width = listing.sparkSession.sparkContext.defaultParallelism * 4
+    `content` keeps the file's bytes, so its sha256 is that of the file. There are as many tasks as the listed
+    bytes fill, and at least four per core."""
+    total = listing.agg(F.sum("size")).first()[0] or 0
+    width = max(listing.sparkSession.sparkContext.defaultParallelism * 4, -(-total // TASK_BYTES))
     schema = "file_path string, mtime bigint, bytes binary, read_error string"
     return listing.repartition(width, "file_path").mapInArrow(_read_files, schema).select(
         F.lit(sid).alias("sid"), "file_path", "mtime", F.col("bytes").cast("string").alias("content"), "read_error")
 
 
+def _write_files(root):
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            paths = batch.column("file_path").to_pylist()
+            for path, content, mtime in zip(paths, batch.column("content").to_pylist(), batch.column("mtime").to_pylist()):
+                system, inner = _file_system(f"{root}/{path.lstrip('/')}")
+                system.create_dir(os.path.dirname(inner), recursive=True)
+                with system.open_output_stream(inner) as out:
+                    out.write(content)
+                if mtime is not None and isinstance(system, fs.LocalFileSystem):
+                    os.utime(inner, (mtime, mtime))
+            yield pa.RecordBatch.from_arrays([pa.array([len(paths)], pa.int64())], names=["written"])
+
+    return run
+
+
+def write_tree(files: DataFrame, root: str) -> int:
+    """Write files (file_path below `root`, content, mtime) as a folder tree; returns how many.
+
+    A row without content makes no file; a repeated task writes the same files again. Times are kept where the
+    file system can set them."""
+    rows = files.where("file_path is not null and content is not null").select(
+        "file_path", F.col("content").cast("binary").alias("content"), F.col("mtime").cast("long").alias("mtime"))
+    written = rows.mapInArrow(_write_files(root.rstrip("/")), "written long")
+    return written.agg(F.coalesce(F.sum("written"), F.lit(0)).alias("n")).first()["n"]
+
+
 def read_tree(spark: SparkSession, root: str, sid: str = DEFAULT_SID) -> DataFrame:
     """Every source file below `root`, hidden names left out at any level."""
     return read_listed(list_tree(spark, root).where(is_source_file(F.col("file_path"))), sid)

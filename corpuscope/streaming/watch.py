@@ -34,12 +34,15 @@ class FolderScans(DataSource):
         return SCANS
 
     def streamReader(self, schema):
-        return _FolderScanReader(self.options["path"].split(","))
+        return _FolderScanReader(self.options["path"].split(","), int(self.options.get("parts", "1")))
 
 
 class _FolderScanReader(DataSourceStreamReader):
-    def __init__(self, folders):
-        self.folders = folders
+    """Each folder is listed by `parts` tasks: all see its names, each asks for the state of its own and
+    returns them as Arrow batches."""
+
+    def __init__(self, folders, parts=1):
+        self.folders, self.parts = folders, parts
 
     def initialOffset(self):
         return {"scan_no": 0}
@@ -49,16 +52,49 @@ class _FolderScanReader(DataSourceStreamReader):
         return {"scan_no": time.time_ns() // 1_000_000}
 
     def partitions(self, start, end):
-        return [InputPartition((end["scan_no"], folder)) for folder in self.folders]
+        return [InputPartition((end["scan_no"], folder, part, self.parts)) for folder in self.folders for part in range(self.parts)]
 
     def read(self, partition):
         import pyarrow as pa
 
-        scan_no, folder = partition.value
-        for entries in _list_folders([pa.RecordBatch.from_pydict({"file_path": [folder]})]):
-            for row in entries.to_pylist():
-                if not row["is_dir"]:
-                    yield scan_no, row["file_path"], row["mtime"]
+        scan_no, folder, part, parts = partition.value
+        names = [f.name for f in SCANS]
+        for paths, mtimes in _children(folder, part, parts):
+            yield pa.RecordBatch.from_arrays([pa.array([scan_no] * len(paths), pa.int64()), pa.array(paths, pa.string()), pa.array(mtimes, pa.int64())], names)
+
+
+def _children(folder: str, part: int, parts: int):
+    """Paths and times of the files of a folder that fall to one of its parts, up to 50,000 at a time; hidden names are left out."""
+    import itertools
+    import os
+    import zlib
+
+    import pyarrow as pa
+
+    own = lambda name: not name.startswith(".") and zlib.crc32(name.encode("utf-8", "surrogateescape")) % parts == part
+
+    def local():
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                if not own(entry.name):
+                    continue
+                try:
+                    if entry.is_file():
+                        yield f"{folder.rstrip('/')}/{entry.name}", int(entry.stat().st_mtime_ns // 10**9)
+                except OSError:  # went while it was listed
+                    pass
+
+    def remote():
+        for batch in _list_folders([pa.RecordBatch.from_pydict({"file_path": [folder]})]):
+            for row in batch.to_pylist():
+                if not row["is_dir"] and own(row["file_path"].rsplit("/", 1)[-1]):
+                    yield row["file_path"], row["mtime"]
+
+    if "://" not in folder and not os.path.isdir(folder):
+        return
+    found = remote() if "://" in folder else local()
+    while some := list(itertools.islice(found, 50_000)):
+        yield [p for p, _ in some], [m for _, m in some]
 
 
 def _finished(spark: SparkSession, state_dir: str):
@@ -117,10 +153,11 @@ def watch(scans: DataFrame, on_changes, checkpoint: str, emit_new: bool = False,
             .option("checkpointLocation", f"{checkpoint}/stream").trigger(**trigger).start())
 
 
-def folder_scans(spark: SparkSession, *folders: str) -> DataFrame:
-    """Stream of scan rows over direct children of the folders: source files, no hidden names."""
+def folder_scans(spark: SparkSession, *folders: str, parts: int = 1) -> DataFrame:
+    """Stream of scan rows over direct children of the folders: source files, no hidden names. Folders of very
+    many files are listed in `parts`."""
     spark.dataSource.register(FolderScans)
-    stream = spark.readStream.format("folder_scans").option("path", ",".join(folders)).load()
+    stream = spark.readStream.format("folder_scans").option("path", ",".join(folders)).option("parts", str(parts)).load()
     name = F.substring_index("file_path", "/", -1)
     return stream.where(is_source_file(F.col("file_path")) & ~is_hidden(name))
 
