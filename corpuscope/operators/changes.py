@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from corpuscope.session import staged
+
 
 def changed_files(scans: DataFrame, emit_new: bool = False, baseline_done: bool = False) -> DataFrame:
     """(scan_no, file_path, mtime, previous_mtime) where the mtime differs from the last one seen.
@@ -27,3 +29,29 @@ def snapshot_diff(old: DataFrame, new: DataFrame, value: str = "content_hash") -
               .when(~F.col("before").eqNullSafe(F.col("after")), "changed"))
     return before.join(after, "file_path", "full_outer").select("file_path", change.alias("change")).where(
         F.col("change").isNotNull())
+
+
+def folder_hashes(snapshot: DataFrame, value: str = "content_hash") -> DataFrame:
+    """(folder, n, first, second): of each folder the number of its own files and two sums over their names and values.
+
+    Sums do not depend on any order and are added up before the shuffle. 128 bits tell folders apart."""
+    folder = F.regexp_replace("file_path", r"[^/]*\z", "")
+    return snapshot.groupBy(folder.alias("folder")).agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("file_path", value)).alias("first"),
+        F.bit_xor(F.xxhash64(F.lit(1), value, "file_path")).alias("second"))
+
+
+def snapshot_diff_by_folder(old: DataFrame, new: DataFrame, value: str = "content_hash") -> DataFrame:
+    """`snapshot_diff` of trees of which most is unchanged: only files of folders with different hashes meet.
+
+    A row per folder is compared first. The folders that differ follow the changes, so the files that
+    are shuffled by path do too; with stored hashes the others need not be read at all."""
+    before, after = folder_hashes(old, value), folder_hashes(new, value)
+    other = after.withColumnsRenamed({c: f"_{c}" for c in after.columns})
+    same = F.lit(True)
+    for c in ("n", "first", "second"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    differ = staged(before.join(other, F.col("folder") == F.col("_folder"), "full_outer").where(~same)
+                    .select(F.coalesce("folder", "_folder").alias("folder")), "changed-folders")
+    of = lambda rows: rows.withColumn("folder", F.regexp_replace("file_path", r"[^/]*\z", "")).join(differ, "folder", "left_semi")
+    return snapshot_diff(of(old), of(new), value)

@@ -1,9 +1,17 @@
 """Rule-driven regex extraction with line numbers."""
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from corpuscope.functions.text import language, let, newlines
 from corpuscope.schemas import DEFAULT_SID, PATTERNS
+from corpuscope.session import staged
+
+# Rules that are broadcast together.
+RULE_BLOCK = 2_000
+REFUSED = "not a regular expression of Java"
 
 
 def matches_with_steps(content: Column, regex: Column) -> Column:
@@ -42,29 +50,92 @@ def matches_with_steps(content: Column, regex: Column) -> Column:
 def checked_rules(rules: DataFrame):
     """(usable, refused): rules whose regex Java compiles, and the others with a `reason`.
 
-    Rules come from hand-written files; they are brought to the driver to be compiled."""
-    spark, usable, refused = rules.sparkSession, [], []
-    for rule in rules.collect():
-        try:
-            spark._jvm.java.util.regex.Pattern.compile(rule["regex"] or "")
-            usable.append(tuple(rule))
-        except Exception as problem:
-            refused.append((*rule, str(problem).split("\n")[0]))
-    return (spark.createDataFrame(usable, rules.schema),
-            spark.createDataFrame(refused, T.StructType([*rules.schema, T.StructField("reason", T.StringType())])))
-
-
-def applicable_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Files joined with the rules of their language and the rules for any language.
+    The regexes are compiled where the rules lie; none comes to the driver."""
+    compiles = F.call_function("try_reflect", F.lit("java.util.regex.Pattern"), F.lit("compile"), F.coalesce("regex", F.lit(""))).isNotNull()
+    checked = rules.withColumn("_compiles", compiles)
+    return (checked.where("_compiles").drop("_compiles"),
+            checked.where("not _compiles").drop("_compiles").withColumn("reason", F.lit(REFUSED)))
+
+
+def required_literal(regex: str) -> str:
+    """The longest run of letters, digits, blanks and underlines that every match of a regex must contain, or ''.
+
+    Only what is certain counts: nothing within groups or classes, no character that a quantifier may
+    leave out, and nothing at all where alternatives or flags stand outside of groups."""
+    if not regex or "\\Q" in regex or re.search(r"\(\?[a-zA-Z^-]", regex):
+        return ""
+    runs, run, depth, at = [], "", 0, 0
+    while at < len(regex):
+        c = regex[at]
+        if c == "\\":
+            at += 2  # an escape ends a run, whatever it stands for
+            c = ""
+        elif c == "[":
+            at = _after_class(regex, at)
+            c = ""
+        else:
+            at += 1
+        if depth == 0 and c == "|":
+            return ""
+        if depth == 0 and c and (c.isascii() and c.isalnum() or c in "_ "):
+            run += c
+            continue
+        if c in ("?", "*", "{") and depth == 0:
+            run = run[:-1]
+        runs.append(run)
+        run = ""
+        depth += (c == "(") - (c == ")")
+        if c == "{":  # the numbers of a quantifier
+            at = max(at, regex.find("}", at) + 1)
+    return max([*runs, run], key=len)
+
+
+def _after_class(regex: str, at: int) -> int:
+    """The place after a class that begins at `at`; classes may hold classes."""
+    depth = 0
+    while at < len(regex):
+        if regex[at] == "\\":
+            at += 1
+        elif regex[at] == "[":
+            depth += 1
+            at += 2 if regex[at + 1:at + 2] == "^" else 1
+            if regex[at:at + 1] == "]":  # the first bracket of a class stands for itself
+                at += 1
+            continue
+        elif regex[at] == "]":
+            depth -= 1
+            if not depth:
+                return at + 1
+        at += 1
+    return at
+
+
+@F.pandas_udf(T.StringType())
+def _literals(regex: pd.Series) -> pd.Series:
+    return regex.map(required_literal)
+
+
+def applicable_rules(files: DataFrame, rules: DataFrame, block: int = RULE_BLOCK) -> DataFrame:
+    """Files joined with the rules of their language and the rules for any language whose literal they hold.
 
     A file looks up two keys, its language and '' (where there are rules for any), so the "equal or
-    any" condition is an equi-join. The rules have been through the driver, and so can be broadcast."""
+    any" condition is an equi-join. Rules are counted first and broadcast in parts of about `block`, so that
+    no contents are shuffled however many rules there are. The literal that each match of a rule must hold is
+    looked for first: a plain search costs little beside a regex."""
     known = rules.where((F.col("regex") != "") & F.col("regex").isNotNull()).select(
         F.coalesce("language", F.lit("")).alias("rule_language"),
-        "pattern_name", "action", "log_key", "regex", F.xxhash64(*rules.columns).alias("rule_no"))
-    any_rules = not known.where("rule_language = ''").isEmpty()
-    keys = F.array("language", F.lit("")) if any_rules else F.array("language")
-    return files.withColumn("rule_language", F.explode(keys)).join(F.broadcast(known), "rule_language")
+        "pattern_name", "action", "log_key", "regex", F.xxhash64(*rules.columns).alias("rule_no"), _literals("regex").alias("literal"))
+    known = staged(known, "rules")
+    counted = known.agg(F.count("*").alias("n"), F.count_if(F.col("rule_language") == "").alias("for_any")).first()
+    keys = F.array("language", F.lit("")) if counted["for_any"] else F.array("language")
+    asking = files.withColumn("rule_language", F.explode(keys))
+    parts = max(1, -(-counted["n"] // block))
+    found = None
+    for part in range(parts):
+        some = known if parts == 1 else known.where(F.pmod("rule_no", F.lit(parts)) == part)
+        met = asking.join(F.broadcast(some), "rule_language").where((F.col("literal") == "") | F.contains("content", F.col("literal"))).drop("literal")
+        found = met if found is None else found.unionAll(met)
+    return found
 
 
 def extract_patterns(files: DataFrame, rules: DataFrame, now: int) -> DataFrame:

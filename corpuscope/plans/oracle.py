@@ -215,6 +215,11 @@ where exists (select 1 from postings p where p.file_path = f.file_path and (star
   and exists (select 1 from postings p where p.file_path = f.file_path and p.token = 'the')"""
 _CLAUSES_SQL = _with(*_CLAUSE_CTES, then=_CLAUSE_HITS)
 
+_DIFF_SQL = _with(*_fixture("scans"), then="""
+select file_path, case when a.mtime is null then 'added' when b.mtime is null then 'removed' else 'changed' end as change
+from (select * from scans where scan_no = 1) a full outer join (select * from scans where scan_no = 3) b using (file_path)
+where a.mtime is distinct from b.mtime""")
+
 SQL = {
     "snapshot_files": _with(*_SNAPSHOTS, then="select * exclude (content) from snapshots"),
     "language_counts": _with(*_SNAPSHOTS, then="select sid, language, count(*) as files, cast(sum(lines_of_code) as bigint) as lines_of_code from snapshots group by sid, language"),
@@ -385,8 +390,13 @@ select {_NODE}, *, cast(1 as int) from (select sid, 'sid_import' as action, name
     "changed_files_stream": _CHANGED_SQL,
     "changed_files_stream_with_new": _with(*_CHANGED, then="select scan_no, file_path, mtime, coalesce(previous_mtime, -1) as previous_mtime from seen where mtime <> previous_mtime or previous_mtime is null"),
     "changed_files_with_new": _with(*_CHANGED, then="select scan_no, file_path, mtime, coalesce(previous_mtime, -1) as previous_mtime from seen where mtime <> previous_mtime or (previous_mtime is null and scan_no > 1)"),
-    "snapshot_diff": _with(*_fixture("scans"), then="""
-select file_path, case when a.mtime is null then 'added' when b.mtime is null then 'removed' else 'changed' end as change
-from (select * from scans where scan_no = 1) a full outer join (select * from scans where scan_no = 3) b using (file_path)
-where a.mtime is distinct from b.mtime"""),
+    "snapshot_diff": _DIFF_SQL,
+    "snapshot_diff_folders": _DIFF_SQL,
+    "pattern_many_rules": _with(*_FILES, ("rules", """
+select concat('p', item_id) as pattern_name, concat(substr(text, 1, 40), '[a-z]*') as rx from benchmark
+where length(text) >= 40 and regexp_full_match(substr(text, 1, 40), '[A-Za-z ]+')"""),
+        ("lines", """select sid, file_path, unnest(string_split(content, chr(10))) as line,
+  generate_subscripts(string_split(content, chr(10)), 1) as line_number from files"""), then="""
+select sid, file_path, pattern_name, unnest(regexp_extract_all(line, rx, 0)) as matched_text, line_number, 'passage.found' as log_key
+from lines join rules on contains(line, substr(rx, 1, 40))"""),
 }

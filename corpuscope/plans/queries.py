@@ -629,6 +629,24 @@ def snapshot_diff(spark, sf):
     return changes.snapshot_diff(scans.where("scan_no = 1"), scans.where("scan_no = 3"), "mtime")
 
 
+@query
+def snapshot_diff_folders(spark, sf):
+    """The same comparison, of the files of changed folders only."""
+    scans = staged(fixtures.scans(spark, sf), "scans")
+    return changes.snapshot_diff_by_folder(scans.where("scan_no = 1"), scans.where("scan_no = 3"), "mtime")
+
+
+@query
+def pattern_many_rules(spark, sf):
+    """A rule for each benchmark passage, found by its first words in files of any language."""
+    passages = fixtures.table(spark, sf, "benchmark").where("length(text) >= 40")
+    words = F.substring("text", 1, 40)
+    plain = passages.where(words.rlike("^[A-Za-z ]+$")).select(
+        F.concat(F.lit("p"), "item_id").alias("pattern_name"), F.lit("").alias("language"), F.lit("report").alias("action"),
+        F.lit("passage.found").alias("log_key"), F.concat(words, F.lit("[a-z]*")).alias("regex"))
+    return _pattern_columns(patterns.extract_patterns(_files(spark, sf), plain, NOW))
+
+
 @query
 def changed_files_stream(spark, sf):
     """The change feed as a stream: each scan arrives as new files, then a trigger runs."""
