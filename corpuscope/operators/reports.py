@@ -55,7 +55,22 @@ def session_metrics(snapshots: DataFrame, patterns: DataFrame, errors: DataFrame
 
 def session_report(snapshots: DataFrame, patterns: DataFrame, errors: DataFrame, now: int) -> DataFrame:
     """Report rows (report_id, sid, generated_at, report_text, metrics as JSON and as columns)."""
-    counts = session_metrics(snapshots, patterns, errors)
+    return report_rows(session_metrics(snapshots, patterns, errors), now)
+
+
+def metrics_of_counts(snapshots: DataFrame, patterns: DataFrame, errors: DataFrame) -> DataFrame:
+    """`session_metrics` from kept counts (sid, key, n) of the three tables; the key of patterns is their log key."""
+    rows = [snapshots.select("sid", F.lit("files").alias("metric"), "n"), errors.select("sid", F.lit("errors").alias("metric"), "n")]
+    names = {key: m for m, key in PATTERN_METRICS.items()}
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    # a session with other patterns only is reported too
+    rows.append(patterns.select("sid", F.coalesce(F.try_element_at(known, F.col("key")), F.lit("other")).alias("metric"), "n"))
+    return reduce(DataFrame.unionByName, rows).groupBy("sid").agg(*[
+        F.sum(F.when(F.col("metric") == m, F.col("n")).otherwise(0)).alias(m) for m in METRICS])
+
+
+def report_rows(counts: DataFrame, now: int) -> DataFrame:
+    """The report of each session from its five counts."""
     return counts.select(
         F.sha2(F.concat_ws("_", "sid", F.lit(str(now))), 256).alias("report_id"), "sid",
         F.lit(now).cast("long").alias("generated_at"),
@@ -68,6 +83,10 @@ def session_report(snapshots: DataFrame, patterns: DataFrame, errors: DataFrame,
 
 def status(**tables: DataFrame) -> DataFrame:
     """(metric, n) per table; each count needs no column but the row number."""
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("metric"), "n")
-              for name, df in tables.items()]
+    return totals(**{name: df.agg(F.count("*").alias("n")) for name, df in tables.items()})
+
+
+def totals(**counts: DataFrame) -> DataFrame:
+    """(metric, n) of one-row tables (n)."""
+    counts = [df.select(F.lit(name).alias("metric"), "n") for name, df in counts.items()]
     return reduce(DataFrame.unionByName, counts)

@@ -33,6 +33,9 @@ TABLES = {
 }
 
 
+# table -> what its kept counts are by, beside the session
+COUNT_KEYS = {"patterns": "log_key"}
+
 # tables in buckets; the others are only appended to
 VERSIONED = (*KEYS, "patterns")
 
@@ -102,6 +105,10 @@ class Workspace:
                     if buckets.get(bucket) != version:
                         path, system = self._folder(name, f"version={version}", f"bucket={bucket}")
                         gone += bool(system.delete(path, True))
+            for version in self._names(r"version=(\d+)", "counts", name):
+                if version not in buckets.values():
+                    path, system = self._folder("counts", name, f"version={version}")
+                    system.delete(path, True)
             for old in self._names(r"(\d+)\.json", name, "_published"):
                 if old < number:
                     path, system = self._folder(name, "_published", f"{old}.json")
@@ -147,9 +154,29 @@ class Workspace:
         spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "bucket"]), F.lit(8))
         (rows.repartition("bucket", spread).sortWithinPartitions("bucket", "sid")
          .write.partitionBy("bucket").parquet(f"{self.path(name)}/version={version}"))
+        self._keep_counts(name, version)
         kept = {b: v for b, v in buckets.items() if b not in set(touched)}
         self._publish(name, number, kept | {b: version for b in self._names(r"bucket=(\d+)", name, f"version={version}")})
 
+    def _keep_counts(self, name: str, version: int) -> None:
+        """Rows per bucket, session and key of the buckets that a write made: they count when the write does."""
+        schema = T.StructType(TABLES[name].fields + [T.StructField("bucket", T.IntegerType())])
+        written = self.spark.read.schema(schema).parquet(f"{self.path(name)}/version={version}")
+        key = F.col(COUNT_KEYS[name]) if name in COUNT_KEYS else F.lit(None).cast("string")
+        (written.groupBy("bucket", "sid", key.alias("key")).agg(F.count("*").alias("n")).withColumn("version", F.lit(version))
+         .write.mode("overwrite").parquet(f"{self.root}/counts/{name}/version={version}"))
+
+    def counts(self, name: str) -> DataFrame:
+        """(sid, key, n) of a table, from what each write counted in its own buckets; no row of the table is read."""
+        _, buckets = self._pointer(name)
+        if not buckets:
+            return self.spark.createDataFrame([], "sid string, key string, n long")
+        # one row per bucket
+        pointed = self.spark.createDataFrame(sorted(buckets.items()), "bucket int, version int")
+        kept = self.spark.read.schema("bucket int, sid string, key string, n long, version int").parquet(
+            *[f"{self.root}/counts/{name}/version={v}" for v in sorted(set(buckets.values()))])
+        return kept.join(F.broadcast(pointed), ["bucket", "version"]).groupBy("sid", "key").agg(F.sum("n").alias("n"))
+
     def write_keyed(self, name: str, incoming: DataFrame, ignore_existing: bool = False) -> None:
         """Insert-or-replace, or insert-or-ignore, by the key of the table."""
         keys, order = KEYS[name]
@@ -251,11 +278,13 @@ class Workspace:
         return search.similar_files(self.read("snapshots"), self.postings, queries, **options)
 
     def report(self, now: int) -> DataFrame:
-        rows = staged(reports.session_report(
-            *(self.read(t) for t in ("snapshots", "patterns", "errors")), now=now), "reports")
+        """Reports of all sessions, from kept counts; stored, and returned."""
+        metrics = reports.metrics_of_counts(*(self.counts(t) for t in ("snapshots", "patterns", "errors")))
+        rows = staged(reports.report_rows(metrics, now), "reports")
         self.append("reports", rows.select(*schemas.REPORTS.names))
         return rows
 
     def status(self) -> DataFrame:
+        """Rows per table, from kept counts."""
         names = ["snapshots", "patterns", "decisions", "sessions", "errors", "packages"]
-        return reports.status(**{n: self.read(n) for n in names})
+        return reports.totals(**{n: self.counts(n).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n")) for n in names})

@@ -5,6 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from corpuscope.operators import reports
+from corpuscope.sources.texts import default_rules
 from corpuscope.sources.workspace import Workspace
 
 LOGGED = "sid string, key string, value string, rationale string, timestamp long"
@@ -93,3 +95,36 @@ def test_chunked_logs_are_stored_alike(spark, tmp_path):
     for name in ("errors", "decisions"):
         rows = lambda ws: sorted((tuple(r) for r in ws.read(name).drop("embedding").collect()), key=repr)
         assert rows(whole) == rows(parts)
+
+
+def recounted(ws):
+    names = ["snapshots", "patterns", "decisions", "sessions", "errors", "packages"]
+    tables = {n: ws.read(n) for n in names}
+    return ({r["metric"]: r["n"] for r in reports.status(**tables).collect()},
+            sorted(tuple(r) for r in reports.session_report(tables["snapshots"], tables["patterns"], tables["errors"], 7).collect()))
+
+
+def kept(ws):
+    return {r["metric"]: r["n"] for r in ws.status().collect()}, sorted(tuple(r) for r in ws.report(7).collect())
+
+
+def test_kept_counts_equal_a_recount(spark, tmp_path):
+    """After upsert, takeover by another session, files that lose their matches, deletion and a failed write."""
+    ws, rules = Workspace(spark, str(tmp_path / "ws"), buckets=3), default_rules(spark)
+    files = lambda rows: spark.createDataFrame([(s, f"/f{i}.c", 1, c) for s, i, c in rows], "sid string, file_path string, mtime long, content string")
+    assert kept(ws) == recounted(ws)
+    ws.index(files([("a" if i % 3 else "b", i, "int f(int a) {\nfetch(\n" * (i % 4)) for i in range(12)]), rules, 1)
+    assert kept(ws) == recounted(ws)
+    ws.index(files([("c", i, "int g(int b) {\n") for i in range(4)] + [("a", 7, "")]), rules, 2)
+    ws.log(logged(spark, "abc"))
+    ws.log(logged(spark, "bcd", at=5))
+    logs = [(s, f"$ make {i}\na.c:{i}:2: error: x\n", i) for i, s in enumerate("aabbd")]
+    for _ in range(2):
+        ws.parse(spark.createDataFrame(logs, "sid string, output string, timestamp long"))
+    assert kept(ws) == recounted(ws)
+    ws.clear_errors("a")
+    ws.resume(3)
+    got = kept(ws)
+    assert got == recounted(ws) and got[0]["errors"] == 3 and got[0]["snapshots"] == 12
+    ws.vacuum()
+    assert kept(ws) == got
