@@ -393,10 +393,10 @@ select {_NODE}, *, cast(1 as int) from (select sid, 'sid_import' as action, name
     "snapshot_diff": _DIFF_SQL,
     "snapshot_diff_folders": _DIFF_SQL,
     "pattern_many_rules": _with(*_FILES, ("rules", """
-select concat('p', item_id) as pattern_name, concat(substr(text, 1, 40), '[a-z]*') as rx from benchmark
-where length(text) >= 40 and regexp_full_match(substr(text, 1, 40), '[A-Za-z ]+')"""),
+select concat('p', item_id) as pattern_name, concat(lower(split_part(text, ' ', 1)), ' [a-z]+') as rx from benchmark
+where regexp_full_match(split_part(text, ' ', 1), '[A-Za-z]{4,}')"""),
         ("lines", """select sid, file_path, unnest(string_split(content, chr(10))) as line,
   generate_subscripts(string_split(content, chr(10)), 1) as line_number from files"""), then="""
-select sid, file_path, pattern_name, unnest(regexp_extract_all(line, rx, 0)) as matched_text, line_number, 'passage.found' as log_key
-from lines join rules on contains(line, substr(rx, 1, 40))"""),
+select sid, file_path, pattern_name, unnest(regexp_extract_all(line, rx, 0)) as matched_text, line_number, 'word.found' as log_key
+from lines join rules on contains(line, replace(rx, '[a-z]+', ''))"""),
 }

@@ -638,12 +638,11 @@ def snapshot_diff_folders(spark, sf):
 
 @query
 def pattern_many_rules(spark, sf):
-    """A rule for each benchmark passage, found by its first words in files of any language."""
-    passages = fixtures.table(spark, sf, "benchmark").where("length(text) >= 40")
-    words = F.substring("text", 1, 40)
-    plain = passages.where(words.rlike("^[A-Za-z ]+$")).select(
+    """A rule for each benchmark passage: its first word, in lower case, and the word that follows, in files of any language."""
+    word = F.substring_index("text", " ", 1)
+    plain = fixtures.table(spark, sf, "benchmark").where(word.rlike("^[A-Za-z]{4,}$")).select(
         F.concat(F.lit("p"), "item_id").alias("pattern_name"), F.lit("").alias("language"), F.lit("report").alias("action"),
-        F.lit("passage.found").alias("log_key"), F.concat(words, F.lit("[a-z]*")).alias("regex"))
+        F.lit("word.found").alias("log_key"), F.concat(F.lower(word), F.lit(" [a-z]+")).alias("regex"))
     return _pattern_columns(patterns.extract_patterns(_files(spark, sf), plain, NOW))
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpuscope import schemas
 from corpuscope.functions import text
 from corpuscope.functions.vectors import cosine, embed_text, embed_text_native
 from corpuscope.operators import changes, ledger, packages, patterns, reports, search
@@ -257,3 +258,26 @@ def test_hot_session_join_is_split(spark):
     finally:
         for name in changed:
             spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("regex, literal", [
+    (r"^def\s+([a-z]+)", "def"), ("abc|def", ""), ("(abc|def)ghi jk", "ghi jk"), ("ab?cde{2,3}fgh", "fgh"), ("[abc]def[^]x]yz1", "def"),
+    ("(?i)abc", ""), (r"a\.bcd*", "bc"), ("x(?=abc)qrs", "qrs"), ("[a[bc]]long", "long"), ("a{3}bcd", "bcd"), (r"\Qa\E", ""), ("abc+d", "abc"), (None, "")])
+def test_required_literals(regex, literal):
+    assert patterns.required_literal(regex) == literal
+
+
+def test_a_thousand_rules_in_parts(spark):
+    """The same matches, however many parts the rules are broadcast in; only files with the literal are searched."""
+    rules = spark.createDataFrame([(f"r{i}", "" if i % 2 else "python", "log", "k", f"w{i} [0-9]+" if i % 3 else f"w{i}(?: [0-9]+)?") for i in range(1000)]
+                                  + [("bad", "", "log", "k", "("), ("none", "", "log", "k", "")], schemas.RULES)
+    files = spark.createDataFrame([("s", f"/f{i}.py" if i % 4 else f"/f{i}.c", " ".join(f"w{j} {i}" for j in range(i, 1000, 97))) for i in range(40)],
+                                  "sid string, file_path string, content string")
+    got = {(r.file_path, r.pattern_name, r.matched_text) for r in patterns.extract_patterns(files, rules, 1).collect()}
+    want = {(f"/f{i}.py" if i % 4 else f"/f{i}.c", f"r{j}", f"w{j} {i}") for i in range(40) for j in range(i, 1000, 97) if j % 2 or i % 4}
+    assert want <= got and all(m.startswith("w") for *_, m in got)
+    with_language = files.withColumn("language", F.lit("python"))
+    usable, refused = patterns.checked_rules(rules)
+    assert [r.pattern_name for r in refused.collect()] == ["bad"]
+    pairs = [sorted(map(tuple, patterns.applicable_rules(with_language, usable, block=b).select("file_path", "rule_no").collect())) for b in (100, 5000)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) < 40 * 1000 / 10
