@@ -4,10 +4,11 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from corpuscope.functions.text import is_hidden, is_source_file
 from corpuscope.operators import ledger
+from corpuscope.operators.changes import changed_files
 from corpuscope.session import staged
 from corpuscope.sources.tree import _list_folders, read_listed
 
@@ -96,61 +97,61 @@ def _children(folder: str, part: int, parts: int):
         yield [p for p, _ in some], [m for _, m in some]
 
 
-SEEN = T.StructType(SCANS.fields + [T.StructField("previous_mtime", T.LongType())])
-# Keyed state of any size lives on disk, beside the executors, and its changes in the checkpoint.
-_STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+# Changes of so many micro-batches are read side by side; then a batch writes the whole state once.
+DELTAS = 16
 
 
-class _LastSeen(StatefulProcessor):
-    """Per path the time it was last seen with: (mtime,). Written only when it changes, so that a scan of an unchanged
-    tree adds nothing to the state's log."""
+def _kept(spark: SparkSession, state_dir: str, batch_id: int):
+    """(number, whole) of the complete states of earlier micro-batches, ascending."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(state_dir)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    done = [f.getPath().getName() for f in system.listStatus(folder)
+            if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    found = [(int(n.removesuffix("-whole")), n.endswith("-whole")) for n in done]
+    return sorted(x for x in found if x[0] < batch_id)
 
-    def init(self, handle):
-        self.seen = handle.getValueState("last_seen", T.StructType([T.StructField("mtime", T.LongType())]))
 
-    def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
+def _state_path(state_dir: str, number: int, whole: bool) -> str:
+    return f"{state_dir}/{number}{'-whole' if whole else ''}"
 
-        known = self.seen.get()
-        last = before = None if known is None else int(known[0])
-        out = []
-        scans = pd.concat(list(rows)).sort_values("scan_no")
-        for scan_no, mtime in zip(scans["scan_no"].tolist(), scans["mtime"].tolist()):
-            if mtime != last:
-                out.append((scan_no, key[0], mtime, last))
-                last = mtime
-        if last != before:
-            self.seen.update((last,))
-        if out:
-            found = pd.DataFrame(out, columns=[f.name for f in SEEN])
-            found["previous_mtime"] = found["previous_mtime"].astype("Int64")
-            yield found
 
-    def close(self):
-        pass
+def _forget(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-class _Baseline:
-    """The first scan of a feed, kept as a small file: what it shows is registered, not new."""
+def compare_batch(state_dir: str, on_changes, emit_new: bool = False):
+    """The `foreachBatch` function of a change feed: `on_changes(changes, batch_id)`.
 
-    def __init__(self, spark: SparkSession, checkpoint: str):
-        self.spark = spark
-        self.path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/baseline")
-        self.system = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def of(self, first_scan):
-        """The number of the last scan of the first micro-batch; `first_scan` gives it when none is kept yet."""
-        if not self.system.exists(self.path):
-            draft = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}.draft")
-            stream = self.system.create(draft, True)
-            stream.write(bytearray(str(first_scan()).encode()))
-            stream.close()
-            self.system.rename(draft, self.path)
-        stream = self.system.open(self.path)
-        try:
-            return int(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+    State is the last mtime of every path, as tables of what each micro-batch changed; after `DELTAS` of them
+    one holds the whole. So what is written follows the changes and not the tree, and the comparison stays in Spark's own
+    operators; state in Spark's state store would call Python once per path and scan. A batch reads only
+    the state of earlier batches, and state is dropped only when a later whole one was complete before the
+    batch began: the same rows give the same changes when a batch is run again. A first scan
+    without files is a baseline too."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        scans = staged(batch.select(*[F.col(f.name).cast(f.dataType) for f in SCANS]), "scan")
+        earlier = _kept(spark, state_dir, batch_id)
+        start = max((k for k, (_, whole) in enumerate(earlier) if whole), default=0)
+        history = scans
+        # the state's rows stand before all scans, in the order of their batches
+        for k, (number, whole) in enumerate(earlier[start:]):
+            known = spark.read.schema("file_path string, mtime long").parquet(_state_path(state_dir, number, whole))
+            history = history.unionByName(known.withColumn("scan_no", F.lit(k - DELTAS * 4).cast("long")))
+        # rows of the state are what new rows are compared with, not changes themselves
+        seen_now = lambda emit: changed_files(history, emit, baseline_done=bool(earlier)).where("scan_no >= 0")
+        on_changes(seen_now(emit_new), batch_id)
+        whole = len(earlier) - start >= DELTAS
+        new = history if whole or not earlier else seen_now(True)
+        last = ledger.latest(new, ["file_path"], ["scan_no"]).select("file_path", "mtime")
+        last.write.mode("overwrite").parquet(_state_path(state_dir, batch_id, whole))
+        for number, was_whole in earlier[:start]:
+            _forget(spark, _state_path(state_dir, number, was_whole))
+
+    return step
 
 
 def watch(scans: DataFrame, on_changes, checkpoint: str, emit_new: bool = False, **trigger) -> StreamingQuery:
@@ -158,35 +159,9 @@ def watch(scans: DataFrame, on_changes, checkpoint: str, emit_new: bool = False,
 
     The changes are those of `operators.changes.changed_files` over all scans so far: the
     first batch registers, deletions are never emitted. With `emit_new`, paths first seen
-    after the first scan count as changed.
-
-    The last time of each path is keyed state in Spark's state store: a micro-batch reads the state of the paths it
-    shows and writes what changed, not the tree. State and offsets are committed together, so a batch
-    that is run again shows the same changes."""
-    spark = scans.sparkSession
-    rows = scans.select(*[F.col(f.name).cast(f.dataType) for f in SCANS]).where("file_path is not null and mtime is not null")
-    seen = rows.groupBy("file_path").transformWithStateInPandas(
-        statefulProcessor=_LastSeen(), outputStructType=SEEN, outputMode="Update", timeMode="None")
-    baseline = _Baseline(spark, checkpoint)
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        # the first batch shows every path of the first scan as new; an empty one is a baseline too
-        first = lambda: batch.agg(F.coalesce(F.min("scan_no"), F.lit(-1))).first()[0]
-        start = baseline.of(first)
-        known = F.col("previous_mtime").isNotNull()
-        on_changes(batch.where(known | (F.col("scan_no") > start) if emit_new else known), batch_id)
-
-    name, value = _STATE_STORE
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, value)
-    try:
-        return (seen.writeStream.foreachBatch(step).outputMode("update")
-                .option("checkpointLocation", f"{checkpoint}/stream").trigger(**trigger).start())
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+    after the first scan count as changed."""
+    return (scans.writeStream.foreachBatch(compare_batch(f"{checkpoint}/last-seen", on_changes, emit_new))
+            .option("checkpointLocation", f"{checkpoint}/stream").trigger(**trigger).start())
 
 
 def folder_scans(spark: SparkSession, *folders: str, parts: int = 1) -> DataFrame:
