@@ -1,10 +1,10 @@
 """Exact dedup: tree-merge of sorted digest runs.
 
-Rows are dealt to slots by a hash of their id; each slot makes one sorted run of (digest,
-smallest id, rows). Runs are then exchanged in rounds: a slot is a number of `rounds` digits in
-base `FAN`, and in round r an entry moves to the slot whose r-th digit is the r-th digit of its
-digest. Each slot merges the `FAN` sorted runs it receives and keeps one verified entry per
-digest. After the last round every digest has one owner, no slot ever held more than its share,
+Rows are dealt to slots by a hash of their id; each slot makes one run of (digest, smallest id,
+rows). Runs are then exchanged in rounds: a slot is a number of `rounds` digits in base `FAN`, and
+in round r an entry moves to the slot whose r-th digit is the r-th digit of its digest. Each slot
+brings the `FAN` runs it receives into one order and reads them through once: the first entry of a
+digest has its smallest id and takes the rows of the few others. After the last round every digest has one owner, no slot ever held more than its share,
 and a text that a third of all rows repeat is one entry per run from the first level on.
 The answers go back the same way: first to the runs, then to the rows of each run."""
 
@@ -32,12 +32,15 @@ def tree_merge(runs: DataFrame, rounds: int) -> DataFrame:
 
     `head` is 64 bits of the digest: it orders and routes; the whole digest verifies, so two
     texts with equal heads stay apart. The smallest id wins at every level; a null id only if
-    there is no other."""
+    there is no other. A digest has at most `FAN` entries in a slot, one of each run, so the
+    window over them is never large; shuffles keep no order, so each round sorts what it received."""
+    entries = Window.partitionBy("slot", "head", "digest")
+    place = F.row_number().over(entries.orderBy(F.col("doc_id").asc_nulls_last()))
     for r in range(rounds):
         slot = F.col("slot") + (_digit(F.col("head"), r) - _digit(F.col("slot"), r)) * (FAN ** r)
-        runs = (runs.withColumn("slot", slot)
-                .repartition(FAN ** rounds, "slot").sortWithinPartitions("slot", "head", "digest")
-                .groupBy("slot", "head", "digest").agg(F.min("doc_id").alias("doc_id"), F.sum("rows").alias("rows")))
+        received = runs.withColumn("slot", slot).repartition(FAN ** rounds, "slot")
+        runs = (received.withColumn("place", place).withColumn("rows", F.sum("rows").over(entries))
+                .filter("place = 1").drop("place"))
     return runs
 
 
