@@ -67,13 +67,15 @@ def _symbols(data):
     return (hashes % np.uint64(BUCKETS)).astype(np.int64), BUCKETS + shape
 
 
-def _accumulate(words, shapes, index, sums, counts):
-    """Add the contexts of a run of words (texts set apart by the row of zeros)."""
-    own = index[words] + index[shapes]
+def _accumulate(words, shapes, begin, end, index, sums, counts):
+    """Add the contexts of words `begin` to `end` (texts set apart by the row of zeros); neighbours may lie beyond."""
+    low, high = max(begin - REACH, 0), min(end + REACH, len(words))
+    own = index[words[low:high]] + index[shapes[low:high]]
     context = np.zeros_like(own)
     for step in range(1, REACH + 1):
         context[step:] += own[:-step]
         context[:-step] += own[step:]
+    words, shapes, context = words[begin:end], shapes[begin:end], context[begin - low: end - low]
     inside = words < SYMBOLS
     for ids, add in ((words[inside], context[inside] + index[shapes[inside]]), (shapes[inside], context[inside])):
         counts += np.bincount(ids, minlength=SYMBOLS)
@@ -89,8 +91,7 @@ def _vectors(batches):
     def flush():
         words, shapes = (np.concatenate(x) for x in zip(*held))
         for at in range(0, len(words), WORDS):
-            # neighbours across the cut of one long text are left out
-            _accumulate(words[at: at + WORDS], shapes[at: at + WORDS], index, sums, counts)
+            _accumulate(words, shapes, at, min(at + WORDS, len(words)), index, sums, counts)
 
     for batch in batches:
         for text in batch.column("data").to_pylist():
