@@ -3,9 +3,10 @@
 Each source's documents are laid end to end in a pseudorandom order and cut into blocks of
 `BLOCK` words. Every output shard draws how many of its slots go to each source; the draws are
 multinomial counts conditioned on the totals: all slots of all sources, each source's number
-fixed by its target, are dealt to the shards by one pseudorandom permutation. A source's total is
-so within one block of its target. Slot q of a source takes block perm(q mod blocks) with a
-permutation of the source's and round's own, and joins it by index."""
+fixed by its target, are dealt to the shards by one pseudorandom permutation, and the table of
+counts (shard, source) is what the mix is made from. A source's total is so within one block of its
+target. A source's slots are numbered through the shards; slot q takes block perm(q mod blocks) with
+a permutation of the source's and round's own, and joins it by index."""
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -85,20 +86,47 @@ def plan(sources: DataFrame) -> DataFrame:
             .withColumn("all_slots", F.sum("n_slots").over(Window.partitionBy())))
 
 
-def slots(planned: DataFrame, shard_slots: int = SHARD) -> DataFrame:
-    """The mix: one row per slot with number (of the source), block, shard and place in the shard."""
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows that each stand for many are dealt to all tasks before they are written out."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def shard_counts(planned: DataFrame, shard_slots: int = SHARD) -> DataFrame:
+    """shard, number, drawn: how many slots of an output shard go to each source that has any there.
+
+    Every slot of every source is dealt to a place of the output by one permutation, so a shard's
+    counts are a multinomial draw given all totals, and each shard but the last has `shard_slots`."""
     parts = (planned.filter("n_slots > 0")
-             .select("number", "n_blocks", "n_slots", "first_slot", "all_slots",
+             .select("number", "n_slots", "first_slot", "all_slots",
                      F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(shard_slots).cast("long"))).alias("from")))
-    # a row stands for `shard_slots` slots: spread them before they are written out
-    width = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = parts.repartition(width, "number", "from")
-    rows = spread.withColumn("q", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + shard_slots, F.col("n_slots")) - 1)))
+    dealt = _spread(parts, "number", "from").select("number", "all_slots", F.explode(F.sequence(
+        F.col("first_slot") + F.col("from"), F.col("first_slot") + F.least(F.col("from") + shard_slots, F.col("n_slots")) - 1)).alias("slot"))
+    place = permuted(F.col("slot"), F.col("all_slots"), F.lit(SEED).cast("long"))
+    return (dealt.select("number", F.floor(place / shard_slots).cast("long").alias("shard"))
+            .groupBy("shard", "number").agg(F.count("*").alias("drawn")))
+
+
+def counted_on(counts: DataFrame) -> DataFrame:
+    """`counts` with first: the slots of the source in all shards before. Sums within ranges of shards and over the
+    ranges, as a source may be in more shards than one task should order."""
+    reach = F.floor(F.col("shard") / BUCKETS).alias("reach")
+    ranges = counts.groupBy("number", reach).agg(F.sum("drawn").alias("in_reach"))
+    before = lambda *keys: Window.partitionBy("number", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("number", "reach", F.coalesce(F.sum("in_reach").over(before("reach")), F.lit(0)).alias("start"))
+    within = counts.withColumn("reach", reach).withColumn("within", F.coalesce(F.sum("drawn").over(before("reach", "shard")), F.lit(0)))
+    return within.join(starts, ["number", "reach"]).withColumn("first", F.col("start") + F.col("within")).drop("reach", "start", "within")
+
+
+def slots(planned: DataFrame, counts: DataFrame) -> DataFrame:
+    """The mix: one row per slot with shard, number (of the source), and block, from the sources and the counts per shard.
+
+    A source's slots are numbered through the shards; slot q has the block that the permutation of its round gives."""
+    known = planned.select(F.col("number").alias("_number"), "n_blocks")
+    rows = _spread(counted_on(counts), "shard", "number").join(known, F.col("number") == F.col("_number"))
+    rows = rows.withColumn("q", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("drawn") - 1)))
     turn, within = F.floor(F.try_divide("q", "n_blocks")).cast("long"), F.pmod(F.col("q"), F.col("n_blocks"))
-    rows = rows.withColumn("block", permuted(within, F.col("n_blocks"), F.xxhash64(F.lit(SEED), "number", turn)))
-    rows = rows.withColumn("dealt", permuted(F.col("first_slot") + F.col("q"), F.col("all_slots"), F.lit(SEED).cast("long")))
-    return rows.select("number", "block", F.floor(F.col("dealt") / shard_slots).cast("long").alias("shard"),
-                       F.pmod(F.col("dealt"), F.lit(shard_slots)).alias("place"))
+    block = permuted(within, F.col("n_blocks"), F.xxhash64(F.lit(SEED), "number", turn))
+    return rows.select("shard", "number", block.alias("block"))
 
 
 def laid_out(sizes: DataFrame, sources: DataFrame, *ties: str) -> DataFrame:
@@ -116,10 +144,10 @@ def laid_out(sizes: DataFrame, sources: DataFrame, *ties: str) -> DataFrame:
             .withColumn("start", F.col("bucket_start") + F.col("before")).drop("bucket", "bucket_start", "before"))
 
 
-def drawn(placed: DataFrame, planned: DataFrame) -> DataFrame:
+def drawn(placed: DataFrame, planned: DataFrame, counts: DataFrame) -> DataFrame:
     """`placed`, a row for each block that holds words of the document: block, offset (the document's words
     before them), share (their number) and times (the slots of the block)."""
-    times = slots(planned).groupBy("number", "block").agg(F.count("*").alias("times"))
+    times = slots(planned, counts).groupBy("number", "block").agg(F.count("*").alias("times"))
     end = F.col("start") + F.col("size")
     pieces = placed.filter("size > 0").withColumn(
         "block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK).cast("long"), F.floor((end - 1) / BLOCK).cast("long"))))
@@ -137,9 +165,10 @@ def mixed(docs: DataFrame, tables: Staged) -> DataFrame:
     last. Rows that repeat a doc_id stand one after the other. Other columns are not looked at."""
     sizes = tables.write(sized(docs), "sizes")
     planned = tables.write(plan(targets(sizes)), "sources")
+    counts = tables.write(shard_counts(planned), "shards")
     placed = laid_out(sizes, planned)
     keys = ["doc_id", "source", "size", "source_size", "target", "number", "start", "draw"]
-    taken = drawn(placed, planned).groupBy(*keys).agg(F.sum(F.col("share") * F.col("times")).cast("long").alias("taken"))
+    taken = drawn(placed, planned, counts).groupBy(*keys).agg(F.sum(F.col("share") * F.col("times")).cast("long").alias("taken"))
     empty = placed.filter("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(empty).drop("number", "start")
 
@@ -184,7 +213,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     kept = tables.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     sizes = tables.write(sized(kept, row), "sizes")
     planned = tables.write(plan(targets(sizes)), "sources")
-    lists = (drawn(laid_out(sizes, planned, row), planned).filter("times > 0")
+    counts = tables.write(shard_counts(planned), "shards")
+    lists = (drawn(laid_out(sizes, planned, row), planned, counts).filter("times > 0")
              .groupBy(row).agg(F.array_sort(F.collect_list(F.struct("offset", "share", "times"))).alias(pieces)))
     out = kept.join(lists, row).withColumn("text", F.explode(drawn_texts(F.col("text"), F.col(pieces))))
     if "n_chars" in docs.columns:

@@ -140,6 +140,29 @@ def test_no_task_holds_all_contexts_of_a_hot_trigger(spark, monkeypatch, module,
     same(operator(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=size), columns, contract(rows))
 
 
+def test_entries_of_a_digest_meet_in_order(spark):
+    """Each round sorts what a slot received and reads it once: no hash aggregation may take the place of that."""
+    rows = [(s, h, bytes([h]) * 32, 100 * h + s if s else None, 1) for s in range(16) for h in range(40)]
+    runs = spark.createDataFrame(rows, "slot long, head long, digest binary, doc_id long, rows long")
+    merged = exact_dedup.tree_merge(runs, 2)
+    found = {r["digest"][0]: (r["doc_id"], r["rows"], r["slot"]) for r in merged.collect()}
+    assert found == {h: (100 * h + 1, 16, h % 16) for h in range(40)}
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [slot") >= 2 and "HashAggregate" not in plan
+
+
+def test_neighbours_across_a_cut_count(monkeypatch):
+    rng = np.random.default_rng(8)
+    words, shapes = rng.integers(0, quality.BUCKETS, 500), quality.BUCKETS + rng.integers(0, quality.SHAPES, 500)
+    index = quality.index_vectors()
+    tables_ = [(np.zeros((quality.SYMBOLS, quality.WIDTH)), np.zeros(quality.SYMBOLS)) for _ in range(2)]
+    quality._accumulate(words, shapes, 0, 500, index, *tables_[0])
+    for at in range(0, 500, 7):
+        quality._accumulate(words, shapes, at, min(at + 7, 500), index, *tables_[1])
+    for whole, cut in zip(*tables_):
+        assert np.allclose(whole, cut)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)]
@@ -241,6 +264,16 @@ def check_packing(df, docs):
     assert len(bins) <= -(-sum(w[3] for w in want) // 4096) * 1.02 + 1
 
 
+def test_surplus_bins_of_groups_meet(spark):
+    """Pieces that fit in pairs only, none well filled: what is left over in one group finds its like in others."""
+    rng = random.Random(4)
+    lengths = [2100] * 3000 + [1900] * 3000
+    rng.shuffle(lengths)
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "pid long, length int")
+    rows = packing.pack(pieces, tables.Staged(spark)).collect()
+    assert len(rows) == 6000 and len({r["sequence_id"] for r in rows}) == 3000
+
+
 def test_packing(spark, hard, empty, given):
     import public_tokenizers
 
@@ -307,11 +340,41 @@ def test_mixing(spark, hard, empty):
     mix = lambda d: mixing.mixed(d, tables.Staged(spark))
     check_mixing(mix(hard), [(r["doc_id"], r["source"], r["text"]) for r in hard.collect()])
     assert mix(empty).collect() == []
+
+
+def test_the_mix_is_made_from_the_counts_of_its_shards(spark, hard, monkeypatch):
     planned = mixing.plan(mixing.targets(mixing.sized(hard)))
-    slots = mixing.slots(planned, 64).collect()
-    assert len({(r["shard"], r["place"]) for r in slots}) == len(slots)
-    uses = Counter((r["number"], r["block"]) for r in slots)
-    assert max(uses.values()) <= 2
+    counts = mixing.shard_counts(planned, 64)
+    drawn = {(r["shard"], r["number"]): r["drawn"] for r in counts.collect()}
+    slots = mixing.slots(planned, counts).collect()
+    assert Counter((r["shard"], r["number"]) for r in slots) == drawn
+    # all shards but the last are full, every source has all its slots, and the shards' draws differ
+    size, total = Counter(), Counter()
+    for (shard, number), n in drawn.items():
+        size[shard] += n
+        total[number] += n
+    sources = planned.collect()
+    assert [size[k] for k in sorted(size)][:-1] == [64] * (len(size) - 1) and len(size) > 4
+    assert total == {r["number"]: r["n_slots"] for r in sources if r["n_slots"]}
+    largest = max(total, key=total.get)
+    shares = [drawn.get((k, largest), 0) for k in sorted(size)[:-1]]
+    mean = 64 * total[largest] / sum(total.values())
+    assert len(set(shares)) > 1 and all(abs(n - mean) < 6 * 4 for n in shares)
+    # a source's slots go through all its blocks before one comes again
+    blocks = {r["number"]: r["n_blocks"] for r in sources}
+    for number, n in total.items():
+        uses = Counter(r["block"] for r in slots if r["number"] == number)
+        assert set(uses) <= set(range(blocks[number])) and max(uses.values()) - (min(uses.values()) if len(uses) == blocks[number] else 0) <= 1
+    # without counts nothing is mixed
+    monkeypatch.setattr(mixing, "shard_counts", lambda planned: counts.filter("false"))
+    assert {r["taken"] for r in mixing.mixed(hard, tables.Staged(spark)).collect()} == {0}
+
+
+def test_counts_go_on_from_range_to_range(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKETS", 3)
+    rows = [(s, n, (s * 7 + n) % 5 + 1) for s in range(20) for n in (1, 2) if (s + n) % 4]
+    found = {(r["shard"], r["number"]): r["first"] for r in mixing.counted_on(spark.createDataFrame(rows, "shard long, number int, drawn long")).collect()}
+    assert found == {(s, n): sum(d for t, m, d in rows if m == n and t < s) for s, n, _ in rows}
 
 
 def test_each_source_has_its_target_in_the_mix(spark):
