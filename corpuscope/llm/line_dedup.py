@@ -2,9 +2,11 @@
 
 Documents come in batches, largest ids first. Each batch is sorted into a run of its own keys,
 which is merge-anti-joined with the runs so far: a key that none of them holds is new, and the
-batch's largest document becomes its keeper; a key that one holds has its keeper already and only
-adds to the count. The batch then adds its run. Runs of one level are merged into one run of the
-next as soon as there are `FANOUT` of them, so a key is rewritten a logarithmic number of times."""
+batch's largest document becomes its keeper; a key that one holds has its keeper already, so its
+entry has none and only adds to the count. The batch then adds its run. Runs of one level are merged
+into one run of the next as soon as there are `FANOUT` of them, so a key is rewritten a logarithmic
+number of times. Runs are stored in buckets by key, each bucket sorted, so runs meet without an
+exchange."""
 
 from functools import reduce
 
@@ -43,31 +45,42 @@ def line_rows(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
     return long.select(batch.alias("batch"), "doc_id", hashed(F.col("line")).alias("key")).distinct()
 
 
-def _merged(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+def _merged(older: DataFrame, newer: DataFrame) -> DataFrame:
+    """Two runs as one. A key has its keeper in one run only, as the anti-join left it."""
+    newer = newer.select("a", "b", F.col("n_docs").alias("more"), F.col("keeper").alias("own"))
+    return older.join(newer.hint("merge"), ["a", "b"], "full").select(
+        "a", "b", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"), F.coalesce("own", "keeper").alias("keeper"))
+
+
+def run_of(counts: DataFrame, held: list[DataFrame]) -> DataFrame:
+    """The run of a batch from its `counts` (a, b, n_docs, keeper): no keeper where a run of `held` has the key."""
+    new = counts.select("a", "b", "keeper")
+    for run in held:
+        new = new.join(run.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+    return counts.drop("keeper").join(new.hint("merge"), ["a", "b"], "left") if held else counts
 
 
 def line_runs(lines: DataFrame, tables: Staged, batches: int = BATCHES) -> DataFrame:
     """(key, n_docs, keeper) of all lines, from levelled runs. Batches share no document, so counts add up."""
     levels: list[list[DataFrame]] = [[]]
     for batch in range(batches):
-        own = (lines.filter(F.col("batch") == batch)
-               .groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")))
+        counts = tables.write_sorted(
+            lines.filter(F.col("batch") == batch).groupBy(F.col("key.a").alias("a"), F.col("key.b").alias("b"))
+            .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")), f"counts-{batch}", "a", "b")
         held = [run for level in levels for run in level]
-        if held:
-            known = reduce(DataFrame.unionAll, held).select("key").distinct().withColumn("known", F.lit(True))
-            own = own.join(known, "key", "left").select(
-                "key", "n_docs", F.when(F.col("known").isNull(), F.col("keeper")).alias("keeper"))
-        levels[0].append(tables.write(own, f"run-0-{batch}"))
+        # the first batch's counts are its run
+        levels[0].append(tables.write_sorted(run_of(counts, held), f"run-0-{batch}", "a", "b") if held else counts)
         for level in range(len(levels)):
             if len(levels[level]) < FANOUT:
                 break
-            merged = tables.write(_merged(reduce(DataFrame.unionAll, levels[level])), f"run-{level + 1}-{batch}")
+            merged = tables.write_sorted(reduce(_merged, levels[level]), f"run-{level + 1}-{batch}", "a", "b")
             levels[level] = []
             if level + 1 == len(levels):
                 levels.append([])
             levels[level + 1].append(merged)
-    return _merged(reduce(DataFrame.unionAll, [run for level in levels for run in level]))
+    # older runs are on higher levels
+    runs = reduce(_merged, [run for level in reversed(levels) for run in level])
+    return runs.select(F.struct("a", "b").alias("key"), "n_docs", "keeper")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:

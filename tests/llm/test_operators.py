@@ -151,6 +151,33 @@ def test_entries_of_a_digest_meet_in_order(spark):
     assert plan.count("Sort [slot") >= 2 and "HashAggregate" not in plan
 
 
+def test_the_anti_join_tells_new_lines(spark):
+    """A key that an older run holds gets no keeper; runs meet without an exchange, and nothing else decides."""
+    staged = tables.Staged(spark)
+    run = lambda name, rows: staged.write_sorted(spark.createDataFrame(rows, "a long, b long, n_docs long, keeper long"), name, "a", "b")
+    oldest, older = run("x", [(1, 1, 2, 90), (2, 2, 1, 95)]), run("y", [(3, 3, 4, 80), (2, 2, 1, None)])
+    newest = line_dedup.run_of(run("z", [(1, 1, 1, 40), (1, 2, 5, 41), (3, 3, 1, 42), (2, 2, 1, 43)]), [older, oldest])
+    same(newest, ["a", "b", "n_docs", "keeper"], [(1, 1, 1, None), (1, 2, 5, 41), (3, 3, 1, None), (2, 2, 1, None)])
+    both = line_dedup._merged(oldest, older)
+    same(both, ["a", "b", "n_docs", "keeper"], [(1, 1, 2, 90), (2, 2, 2, 95), (3, 3, 4, 80)])
+    for df in (newest, both):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    # were a known key given a keeper of its own, it would count
+    wrong = run("w", [(1, 1, 1, 40)])
+    assert line_dedup._merged(oldest, wrong).filter("a = 1").first()["keeper"] == 40
+    assert not [t for t in spark.catalog.listTables() if not t.isTemporary]
+
+
+@pytest.mark.parametrize("batches", [1, 3, 5, 7])
+def test_runs_of_any_number_of_batches(spark, batches):
+    rng = random.Random(batches)
+    rows = {(rng.randrange(60), (k, -k)) for k in range(30) for _ in range(rng.randrange(1, 12))}
+    lines = spark.createDataFrame([(batches - 1 - d * batches // 60, d, k) for d, k in rows], "batch int, doc_id long, key struct<a: long, b: long>")
+    found = {tuple(r["key"]): (r["n_docs"], r["keeper"]) for r in line_dedup.line_runs(lines, tables.Staged(spark), batches).collect()}
+    assert found == {key: (sum(k == key for _, k in rows), max(d for d, k in rows if k == key)) for key in {k for _, k in rows}}
+
+
 def test_neighbours_across_a_cut_count(monkeypatch):
     rng = np.random.default_rng(8)
     words, shapes = rng.integers(0, quality.BUCKETS, 500), quality.BUCKETS + rng.integers(0, quality.SHAPES, 500)
