@@ -15,6 +15,8 @@ DECISION_THRESHOLD = 0.1
 TEXT_HIT_SCORE = 0.99
 # A query batch up to this size is broadcast as one matrix (4 MB); more go through a metric index.
 MAX_BROADCAST_QUERIES = 4096
+# Rows, and queries, whose matrix of scores a task holds at a time (4 MB, and as much again for each step).
+SCORED_ROWS, SCORED_QUERIES = 2048, 256
 
 
 # --- inverted index ----------------------------------------------------------------------
@@ -131,12 +133,13 @@ def text_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
     and only for them are the other words looked up. A word of several tokens (`a_b`) has to
     appear as a phrase. Queries that are not plain word lists hit nothing, as they would be
     rejected (see `query_words`)."""
-    tokens = _query_tokens(queries)
+    # stored, so that its size is known: the asked tokens go to the postings, not the postings to them
+    tokens = staged(_query_tokens(queries), "asked-tokens")
     held = staged(postings.join(tokens.select("token").distinct(), "token", "left_semi"), "asked-postings")
     rarest = _rarest(tokens, held.groupBy("token").agg(F.count("*").alias("n")))
     candidates = held.join(rarest, "token").where(_in_session()).select("query_id", "file_path", "sid").distinct()
     # one query may ask several sessions, in a row for each
-    wanted = candidates.join(tokens.drop("query_sid").distinct(), "query_id")
+    wanted = staged(candidates.join(tokens.drop("query_sid").distinct(), "query_id"), "wanted")
     return _holding_all(wanted, held, "file_path")
 
 
@@ -145,13 +148,13 @@ def stored_text_hits(index, queries: DataFrame) -> DataFrame:
 
     Of the asked tokens' buckets, the sizes of blocks say which token of a query is rarest. Only its
     blocks are opened for candidates; of the other tokens, only the blocks with a candidate's number."""
-    tokens = _query_tokens(queries)
+    tokens = staged(_query_tokens(queries), "asked-tokens")
     held = index.blocks(tokens.select("token"))
     rarest = _rarest(tokens, held.groupBy("token").agg(F.sum("n_occurrences").alias("n")))
     of_rarest = opened(held.join(rarest, "token"), "query_id", "query_sid")
     candidates = staged(of_rarest.select("query_id", "query_sid", "file_no").distinct().join(index.files(), "file_no")
                         .where(_in_session()).select("query_id", "file_no", "file_path", "sid").distinct(), "candidates")
-    wanted = candidates.drop("file_path").join(tokens.drop("query_sid").distinct(), "query_id")
+    wanted = staged(candidates.drop("file_path").join(tokens.drop("query_sid").distinct(), "query_id"), "wanted")
     asked = wanted.select("token", F.shiftright("file_no", BLOCK_BITS).alias("block")).distinct()
     hits = _holding_all(wanted, opened(held.join(asked, ["token", "block"], "left_semi")), "file_no")
     return hits.drop("sid").join(candidates, ["query_id", "file_no"]).select("query_id", "file_path", "sid").distinct()
@@ -183,28 +186,44 @@ def clause_hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
     (`not`). A clause with a `field` looks only there. Tokens are as `search_tokens` makes them. A
     query of `not` clauses alone hits nothing. With a `sid` only files of that session are hit; a
     query may have a row for each of several sessions, with the same clauses."""
-    asked_once = queries.select("query_id", "clauses").distinct()
-    clauses, asked = _asked_clauses(asked_once)
-    prefixes = asked.where("op = 'prefix'").select(F.left("token", F.lit(1)).alias("letter")).distinct()
-    # only tokens that begin like a prefix are gathered
-    alike = postings.select("token").withColumn("letter", F.left("token", F.lit(1))).join(prefixes, "letter", "left_semi")
-    return _clauses_in(postings, clauses, _grown(asked, alike.select("token").distinct()), queries)
+    clauses, asked = _stored_clauses(queries)
+    held = staged(_asked_postings(postings, asked), "asked-postings")
+    return _clauses_in(held, clauses, staged(_grown(asked, held.select("token").distinct()), "grown-clauses"), queries)
+
+
+def _stored_clauses(queries: DataFrame):
+    """`_asked_clauses` of a stored table of the queries: its size then says how they meet the postings."""
+    return _asked_clauses(staged(queries.select("query_id", "clauses").distinct(), "asked-clauses"))
+
+
+def _asked_postings(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """Postings of asked tokens and of those that begin with an asked prefix, in one pass."""
+    plain = asked.where("op <> 'prefix'").select("token").distinct().withColumn("is_asked", F.lit(True))
+    begins = asked.where("op = 'prefix'").groupBy(F.left("token", F.lit(1)).alias("letter")).agg(F.collect_set("token").alias("prefixes"))
+    met = postings.withColumn("letter", F.left("token", F.lit(1))).join(plain, "token", "left").join(begins, "letter", "left")
+    like = F.exists("prefixes", lambda p: F.startswith(F.col("token"), p))
+    return met.where(F.coalesce("is_asked", like, F.lit(False))).select(*postings.columns)
 
 
 def stored_clause_hits(index, queries: DataFrame) -> DataFrame:
     """`clause_hits` from a stored index: only the buckets of the asked tokens are opened, and the
     vocabulary, without any entry, where there are prefixes."""
-    clauses, asked = _asked_clauses(queries.select("query_id", "clauses").distinct())
+    clauses, asked = _stored_clauses(queries)
     tokens = staged(_grown(asked, index.vocabulary().select("token")), "asked-clauses")
-    return _clauses_in(index.postings(index.blocks(tokens.select("token"))), clauses, tokens, queries)
+    held = staged(index.postings(index.blocks(tokens.select("token"))), "asked-postings")
+    return _clauses_in(held, clauses, tokens, queries)
 
 
 def _clauses_in(postings: DataFrame, clauses: DataFrame, asked: DataFrame, queries: DataFrame) -> DataFrame:
-    found = postings.join(asked, "token").where(F.col("in_field").isNull() | (F.col("in_field") == F.col("field")))
+    in_field = F.col("in_field").isNull() | (F.col("in_field") == F.col("field"))
+    # only phrases ask where in a file a token stands
+    in_files = postings.select("token", "file_path", "field", "sid").distinct()
+    in_files = in_files.join(asked.where("op <> 'phrase'"), "token").where(in_field)
+    found = postings.join(asked.where("op = 'phrase'"), "token").where(in_field)
     key = ["query_id", "clause", "op", "n", "file_path", "sid"]
-    loose = found.where("op <> 'phrase'").groupBy(*key).agg(F.count_distinct("token_no").alias("have"))
+    loose = in_files.groupBy(*key).agg(F.count_distinct("token_no").alias("have"))
     loose = loose.where("op <> 'all' or have = n").select(*key)
-    starts = found.where("op = 'phrase'").groupBy(*key, "field", (F.col("pos") - F.col("token_no")).alias("start")).count()
+    starts = found.groupBy(*key, "field", (F.col("pos") - F.col("token_no")).alias("start")).count()
     phrases = starts.where("count = n").select(*key).distinct()
     wanted = clauses.groupBy("query_id").agg(F.count_if(F.col("op") != "not").alias("wanted"))
     per_file = loose.unionByName(phrases).groupBy("query_id", "file_path", "sid").agg(
@@ -259,8 +278,8 @@ def _batch_top_k(table, q_ids, q_sids, q_vectors, tie, k, threshold):
     asked = np.array([names.get(s, -1) for s in q_sids])
     own = np.array([names.get(s, -2) for s in table.column("sid").to_pylist()])
     rows, queries, scores = [], [], []
-    for q0 in range(0, len(q_ids), 512):  # bounds the matrix of scores
-        part = slice(q0, q0 + 512)
+    for q0 in range(0, len(q_ids), SCORED_QUERIES):
+        part = slice(q0, q0 + SCORED_QUERIES)
         sims = vectors @ q_vectors[part].T / (np.outer(norms, q_norms[part]) + 1e-8)
         takes = (sims > threshold) & ((asked[part] == -1) | (asked[part] == own[:, None]))
         rounded = np.where(takes, np.round(sims, SCORE_DIGITS), -np.inf)
@@ -322,9 +341,10 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, tie: str, k: int, thresh
             ids, sids, vectors = packed.value
             ids = pa.array(ids, id_type)
             for batch in batches:
-                best = _batch_top_k(pa.Table.from_batches([batch]), ids, sids, vectors, tie, k, threshold)
-                if best is not None:
-                    yield from best.select(schema.names).to_batches()
+                for begin in range(0, batch.num_rows, SCORED_ROWS):
+                    best = _batch_top_k(pa.Table.from_batches([batch.slice(begin, SCORED_ROWS)]), ids, sids, vectors, tie, k, threshold)
+                    if best is not None:
+                        yield from best.select(schema.names).to_batches()
 
         return _ranked(corpus.mapInArrow(score, schema), tie, k)
 

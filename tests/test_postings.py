@@ -138,3 +138,21 @@ def test_blocks_take_less_room_than_rows(spark, tmp_path):
     search.write_postings(rows, str(tmp_path / "rows"))
     size = sum(f.stat().st_size for f in (tmp_path / "rows").rglob("*.parquet")) / rows.count()
     assert index.bytes_per_occurrence() < size, (index.bytes_per_occurrence(), size)
+
+
+def test_clauses_and_words_keep_the_asked_postings_in_one_pass(spark, monkeypatch):
+    kept, stage = {}, search.staged
+    monkeypatch.setattr(search, "staged", lambda df, name: kept.setdefault(name, stage(df, name)))
+    files = spark.createDataFrame([(f"/a/f{i}.py", "s", f"alpha alpine w{i} beta" + " gamma" * (i % 2)) for i in range(40)], "file_path string, sid string, content string")
+    asked = spark.createDataFrame([(1, [("prefix", None, ["alp"]), ("not", "content", ["gamma"])])],
+                                  "query_id long, clauses array<struct<op string, field string, tokens array<string>>>")
+    assert search.clause_hits(search.build_postings(files), asked).count() == 20
+    assert {r["token"] for r in kept["asked-postings"].select("token").distinct().collect()} == {"alpha", "alpine", "gamma"}
+    clauses, tokens = search._stored_clauses(asked)
+    plan = search._asked_postings(search.build_postings(files), tokens)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Generate inline(") == 1
+    kept.clear()
+    words = spark.createDataFrame([(1, "w3 alpha", None)], "query_id long, query_text string, sid string")
+    assert [r["file_path"] for r in search.text_hits(search.build_postings(files), words).collect()] == ["/a/f3.py"]
+    # other words are looked up in the files of the rarest only
+    assert kept["near-occurrences"].select("file_path").distinct().count() == 1
