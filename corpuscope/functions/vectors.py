@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from corpuscope.functions.text import EMBED_DELIMITERS, embed_tokens
 from corpuscope.schemas import EMBEDDING_DIM
 
-# A worker remembers this many tokens before it starts over.
-_CACHE_TOKENS = 500_000
+# A worker remembers this many tokens (15 MB) before it starts over.
+_CACHE_TOKENS = 100_000
 
 
 class _TokenBytes(dict):
