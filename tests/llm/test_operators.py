@@ -509,3 +509,37 @@ def test_pipeline(spark, given):
     left = {d for d, n, c in brute.jaccard(unique) if d == c}
     assert {r["doc_id"] for r in rows} <= left
     assert len({r["doc_id"] for r in rows}) > 0.4 * len(left)
+
+
+class Counted(tables.Staged):
+    """Counts the rows of each table as it is written."""
+
+    def __init__(self, spark):
+        super().__init__(spark)
+        self.rows = {}
+
+    def write(self, df, name):
+        found = super().write(df, name)
+        self.rows[name] = found.count()
+        return found
+
+
+def test_texts_of_one_template_make_few_pairs(spark):
+    """Edits of one text, many of them not similar to any other; some of these again with one more word changed."""
+    rng = random.Random(11)
+    base, texts = [f"w{rng.randrange(5000)}" for _ in range(150)], []
+    for k in range(240):
+        text = list(base)
+        for _ in range(rng.randrange(1, 10)):
+            text[rng.randrange(150)] = f"edit{rng.randrange(10**6)}"
+        texts.append(text)
+        if k % 12 == 0:
+            texts.append([*text[:70], f"more{k}", *text[71:]])
+    rng.shuffle(texts)
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    staged = Counted(spark)
+    got = jaccard_join.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"), staged)
+    want = brute.jaccard(docs)
+    assert 20 < len({c for _, _, c in want}) < 200
+    same(got, ["doc_id", "n_shingles", "component_id"], want)
+    assert staged.rows["rest-pairs"] < 3 * len(docs)
