@@ -130,10 +130,11 @@ def contexts_of(window, gram):
     return run
 
 
-def trigger_place(words, gram):
-    """Where the leftmost smallest hash of `gram` words is, as `anchored` chooses it."""
-    grams = Rolling(words).grams(gram)
-    return int((grams & ~np.uint64((1 << 20) - 1) | np.arange(len(grams), dtype=np.uint64)).argmin())
+def trigger_places(words, firsts, window, gram):
+    """Where in each window that starts at `firsts` the leftmost smallest hash of `gram` words is, as `anchored` chooses it."""
+    within = np.arange(window - gram + 1)
+    grams = Rolling(words).grams(gram)[firsts[:, None] + within]
+    return (grams & ~np.uint64((1 << 20) - 1) | within.astype(np.uint64)).argmin(axis=1)
 
 
 def fetch(window, gram):
@@ -144,8 +145,8 @@ def fetch(window, gram):
             rows = []
             for text, wanted in zip(batch.column("data").to_pylist(), batch.column("wanted").to_pylist()):
                 words = word_hashes(text)
-                for w in wanted:
-                    far = trigger_place(words[w["first"]: w["first"] + window], gram)
+                places = trigger_places(words, np.array([w["first"] for w in wanted]), window, gram).tolist()
+                for w, far in zip(wanted, places):
                     rows.append((w["trigger"], w["digest"], w["doc"], far - w["last"] + w["first"], far, words[w["first"]: w["last"] + window].tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(),) * 5 + (pa.binary(),))],

@@ -6,12 +6,14 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpuscope.llm import (components, exact_dedup, fingerprints, fm_dedup, jaccard_join, line_dedup, mixing, packing, quality,
                             queries, suffix_dedup, tables, toxicity, training)
+from corpuscope.llm.rolling import Rolling
 import brute
 
 SF = "/root/testdata/sf0.001"
@@ -543,3 +545,31 @@ def test_texts_of_one_template_make_few_pairs(spark):
     assert 20 < len({c for _, _, c in want}) < 200
     same(got, ["doc_id", "n_shingles", "component_id"], want)
     assert staged.rows["rest-pairs"] < 3 * len(docs)
+
+
+def test_triggers_of_a_text_are_found_in_one_pass(monkeypatch):
+    """Every asked context of a text, from hashes that are summed once per text."""
+    rng, rows = random.Random(3), []
+    window, gram = fm_dedup.WINDOW, fm_dedup.GRAM
+    for key in range(3):
+        text = words(rng, 400, 50).encode()
+        hashes = fm_dedup.word_hashes(text)
+        found = zip(*(x.tolist() for x in fm_dedup.anchored(hashes, window, gram)))
+        rows.append({"data": text, "wanted": [{"trigger": np.uint64(t).astype(np.int64).item(), "digest": k, "doc": key, "first": a, "last": b}
+                                              for k, (t, _, a, b) in enumerate(found)]})
+    sums = []
+
+    class Summed(fm_dedup.Rolling):
+        def __init__(self, values):
+            super().__init__(values)
+            sums.append(len(values))
+
+    monkeypatch.setattr(fm_dedup, "Rolling", Summed)
+    batch = pa.RecordBatch.from_pylist(rows)
+    [out] = fm_dedup.fetch(window, gram)([batch])
+    got = out.to_pylist()
+    assert len(sums) == len(rows) and len(got) == sum(len(r["wanted"]) for r in rows)
+    for r in got:
+        context = np.frombuffer(r["context"], np.uint64)
+        grams = Rolling(context[:window]).grams(gram)
+        assert grams[r["far"]] == np.int64(r["trigger"]).astype(np.uint64) and len(context) == r["far"] - r["near"] + window
