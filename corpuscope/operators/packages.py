@@ -6,6 +6,7 @@ from corpuscope.functions.text import unwrapped_base64
 from corpuscope.operators.numbering import numbered
 from corpuscope.operators.reports import of_sessions
 from corpuscope.schemas import DEFAULT_SID, PACKAGE_BODY, PACKAGE_VERSION
+from corpuscope.session import staged
 
 # Entries of one package text. A session with more is written as several, numbered from 0, so that
 # no row grows with a session and nothing is left out.
@@ -36,11 +37,15 @@ def _distinct_errors(errors: DataFrame, sessions: DataFrame | None) -> DataFrame
 
 def recent_distinct_errors(errors: DataFrame, sessions: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Per session the distinct (type, message, file, line), newest first; all unless limited."""
-    return _numbered(_distinct_errors(errors, sessions), [F.desc("timestamp"), *_ERROR], limit)
+    return _recent(_distinct_errors(errors, sessions), limit)
 
 
-def package_assumptions(decisions: DataFrame, snapshots: DataFrame, limit: int | None = None) -> DataFrame:
-    """(sid, position, name, value, constraint): newest decisions first, then files; all unless limited."""
+def _recent(distinct: DataFrame, limit: int | None) -> DataFrame:
+    return _numbered(distinct, [F.desc("timestamp"), *_ERROR], limit)
+
+
+def _entries(decisions: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Decisions (kind 0) and files (kind 1) as assumptions without a position."""
     from_decisions = decisions.select(
         "sid", F.lit(0).alias("kind"), (-F.col("timestamp")).alias("age"), F.col("node_id").alias("tie"),
         F.coalesce("key", F.lit("")).alias("name"), F.coalesce("value", F.lit("")).alias("value"),
@@ -52,14 +57,26 @@ def package_assumptions(decisions: DataFrame, snapshots: DataFrame, limit: int |
                     F.coalesce("lines_of_code", F.lit(0)).cast("string"),
                     F.coalesce("language", F.lit("?"))).alias("value"),
         F.lit("").alias("constraint"))
-    return _numbered(from_decisions.unionByName(from_files), ["kind", "age", "tie"], limit).select(
-        "sid", "position", "kind", "name", "value", "constraint")
+    return from_decisions.unionByName(from_files)
+
+
+def _assumptions(entries: DataFrame, limit: int | None) -> DataFrame:
+    return _numbered(entries, ["kind", "age", "tie"], limit).select("sid", "position", "kind", "name", "value", "constraint")
+
+
+def package_assumptions(decisions: DataFrame, snapshots: DataFrame, limit: int | None = None) -> DataFrame:
+    """(sid, position, name, value, constraint): newest decisions first, then files; all unless limited."""
+    return _assumptions(_entries(decisions, snapshots), limit)
 
 
 def package_invariants(errors: DataFrame, sessions: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """(sid, position, name, condition): what has to be fixed."""
+    return _invariants(recent_distinct_errors(errors, sessions, limit))
+
+
+def _invariants(recent: DataFrame) -> DataFrame:
     kind = F.col("error_type")
-    return recent_distinct_errors(errors, sessions, limit).select(
+    return recent.select(
         "sid", "position",
         F.concat(F.lit("fix_"), F.coalesce(kind, F.lit("unknown"))).alias("name"),
         F.concat(F.coalesce(kind, F.lit("?")), F.lit(" at "), F.coalesce("file_path", F.lit("?")), F.lit(":"),
@@ -73,6 +90,7 @@ def build_package(decisions: DataFrame, errors: DataFrame, snapshots: DataFrame,
     """One package per session, or several parts of at most `part_entries` assumptions and as many
     invariants: arrays, preamble, `SID:` text and the full export text.
 
+    Decisions, errors and files are made once and written: numbering reads its rows twice, totals once more.
     Totals count the whole session. The preamble lists the entries of its part, or the first
     `shown` of each kind."""
     part = F.floor((F.col("position") - 1) / part_entries).cast("int").alias("part")
@@ -83,14 +101,13 @@ def build_package(decisions: DataFrame, errors: DataFrame, snapshots: DataFrame,
             F.sort_array(F.collect_list(F.struct("position", *fields))),
             lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias(name))
 
-    def counted(rows, name):
-        return rows.groupBy("sid").agg(F.count("*").alias(name))
-
-    assumptions = collected(package_assumptions(decisions, snapshots, limit), ["name", "value", "constraint"], "assumptions")
-    invariants = package_invariants(errors, sessions, limit)
+    entries = staged(_entries(decisions, snapshots), "entries")
+    distinct = staged(_distinct_errors(errors, sessions), "distinct-errors")
+    assumptions = collected(_assumptions(entries, limit), ["name", "value", "constraint"], "assumptions")
+    invariants = _invariants(_recent(distinct, limit))
     body = assumptions.join(collected(invariants, ["name", "condition"], "invariants"), ["sid", "part"], "full_outer")
-    totals = (counted(decisions, "n_decisions").join(counted(snapshots, "n_files"), "sid", "full_outer")
-              .join(counted(_distinct_errors(errors, sessions), "n_errors"), "sid", "full_outer"))
+    totals = entries.groupBy("sid").agg(F.count_if(F.col("kind") == 0).alias("n_decisions"), F.count_if(F.col("kind") == 1).alias("n_files")).join(
+        distinct.groupBy("sid").agg(F.count("*").alias("n_errors")), "sid", "full_outer")
     sid = F.col("sid")
     # the first part has no number, so a session of one part reads as it always did
     number = F.when(F.col("part") > 0, F.col("part"))

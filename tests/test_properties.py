@@ -210,6 +210,28 @@ def test_package_round_trip(spark):
     assert imported.where("rationale = 'Imported from SID: r'").first().value == long_text
 
 
+def test_packages_make_their_inputs_once(spark):
+    """Errors and decisions, which may take a whole parse to make, are made once: for positions, parts and totals."""
+    made = {"errors": spark.sparkContext.accumulator(0), "decisions": spark.sparkContext.accumulator(0)}
+
+    def counted(rows, name):
+        def passed(batches):
+            for batch in batches:
+                made[name].add(len(batch))
+                yield batch
+        return rows.mapInArrow(passed, rows.schema)
+
+    errors = spark.createDataFrame([(f"s{i % 3}", "E", f"m{i}", "f", i, i) for i in range(60)],
+                                   "sid string, error_type string, message string, file_path string, line_number int, timestamp long")
+    decisions = spark.createDataFrame([(f"s{i % 4}", f"n{i}", f"k{i}", "v", "r", i) for i in range(80)],
+                                      "sid string, node_id string, key string, value string, rationale string, timestamp long")
+    snaps = spark.createDataFrame([("s1", "/a.c", "h", 1, "c")], "sid string, file_path string, content_hash string, lines_of_code int, language string")
+    built = packages.build_package(counted(decisions, "decisions"), counted(errors, "errors"), snaps, 5, part_entries=10).collect()
+    assert sum(len(p.assumptions) for p in built) == 81 and sum(len(p.invariants) for p in built) == 60
+    assert all("Decisions: 20  |  Errors: 20  |  Files: 1" in p.preamble for p in built if p.sid == "s1")
+    assert (made["errors"].value, made["decisions"].value) == (60, 80)
+
+
 def test_hot_session_in_reports(spark):
     errors = spark.createDataFrame([("i1", "a", i) for i in range(500)] + [("i2", "b", 1), ("i3", "a", 1)], "session_id string, sid string, ordinal int")
     snaps = spark.createDataFrame([("a",), ("c",)], "sid string")
