@@ -12,11 +12,14 @@ half-way leaves the index as it was."""
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from corpuscope.functions.text import search_tokens
 from corpuscope.schemas import DEFAULT_SID
-from corpuscope.session import staged
+from corpuscope.session import spread, staged
 
 FIELDS = ("file_path", "content", "sid")
 # Files of one block, and positions of one segment: together with the field, 26 bits of an entry.
@@ -24,6 +27,8 @@ BLOCK_BITS, SEGMENT_BITS = 10, 14
 BLOCK_FILES, SEGMENT = 1 << BLOCK_BITS, 1 << SEGMENT_BITS
 # A file's number: generation, task that read it, place in the task.
 GENERATION_SHIFT, TASK_SHIFT = 48, 28
+# Tokens that are gathered at a time, or those of one file.
+GATHERED = 1 << 21
 # Differences between sorted numbers, and tokens without their common beginnings.
 _WRITE = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "compression": "zstd"}
 
@@ -53,29 +58,73 @@ def numbered_files(files: DataFrame, generation: int) -> DataFrame:
     return files.withColumn("file_no", F.lit(generation << GENERATION_SHIFT).cast("long") + F.shiftleft(task, TASK_SHIFT) + place)
 
 
-def block_rows(files: DataFrame) -> DataFrame:
+def _gathered(batches):
+    """Arrow batches (file_no and the tokens of each field) to pieces of blocks (token, block, segment, n_files, entries)."""
+    for batch in batches:
+        lengths = [pc.fill_null(pc.list_value_length(batch.column(name)), 0).to_numpy().astype(np.int64) for name in FIELDS]
+        so_far, begin = np.cumsum(sum(lengths)), 0
+        while begin < len(batch):
+            before = so_far[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(so_far, before + GATHERED, "right")))
+            if so_far[end - 1] > before:
+                yield _pieces(batch.slice(begin, end - begin), [n[begin:end] for n in lengths])
+            begin = end
+
+
+def _pieces(files, lengths):
+    numbers = files.column("file_no").to_numpy()
+    tokens = pa.chunked_array([files.column(name).flatten() for name in FIELDS]).combine_chunks().dictionary_encode()
+    row = np.concatenate([np.repeat(np.arange(len(files)), n) for n in lengths])
+    pos = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in lengths])
+    field = np.repeat(np.arange(len(FIELDS)), [n.sum() for n in lengths])
+    entry = (((numbers & (BLOCK_FILES - 1)) << (SEGMENT_BITS + 2))[row] + (field << SEGMENT_BITS) + (pos & (SEGMENT - 1))).astype(np.int32)
+    blocks, block = np.unique(numbers >> BLOCK_BITS, return_inverse=True)
+    segments = int(pos.max() >> SEGMENT_BITS) + 1
+    cell = (tokens.indices.to_numpy().astype(np.int64) * len(blocks) + block[row]) * segments + (pos >> SEGMENT_BITS)
+    order = np.lexsort((entry, cell))
+    cell, entry = cell[order], entry[order]
+    starts = np.flatnonzero(np.diff(cell, prepend=-1))
+    new_file = np.diff(entry >> (SEGMENT_BITS + 2), prepend=-1) != 0
+    new_file[starts] = True
+    cell = cell[starts]
+    return pa.RecordBatch.from_arrays(
+        [tokens.dictionary.take(pa.array(cell // (len(blocks) * segments))), pa.array(blocks[cell // segments % len(blocks)]),
+         pa.array((cell % segments).astype(np.int32)), pa.array(np.add.reduceat(new_file.astype(np.int32), starts, dtype=np.int32)),
+         pa.ListArray.from_arrays(pa.array(np.append(starts, len(entry)).astype(np.int32)), pa.array(entry))],
+        names=["token", "block", "segment", "n_files", "entries"])
+
+
+def block_rows(files: DataFrame, dealt_by: dict[str, Column] | None = None) -> DataFrame:
     """Blocks of numbered files (file_no, file_path, sid, content).
 
-    A block's files were read by one task, so most of a group is gathered before the shuffle. A group has at
-    most `BLOCK_FILES * SEGMENT` entries, however frequent the token."""
-    fields = F.array(*[F.struct(F.lit(i).alias("field"), search_tokens(F.col(name)).alias("tokens")) for i, name in enumerate(FIELDS)])
-    found = files.select("file_no", F.inline(fields)).select("file_no", "field", F.posexplode("tokens").alias("pos", "token"))
-    entry = (F.shiftleft(F.col("file_no").bitwiseAND(F.lit(BLOCK_FILES - 1)).cast("int"), SEGMENT_BITS + 2)
-             + F.shiftleft(F.col("field"), SEGMENT_BITS) + F.col("pos").bitwiseAND(F.lit(SEGMENT - 1)))
-    found = found.select("token", F.shiftright("file_no", BLOCK_BITS).alias("block"),
-                         F.shiftright("pos", SEGMENT_BITS).alias("segment"), entry.alias("entry"))
-    held = found.groupBy("token", "block", "segment").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
-    in_files = F.array_distinct(F.transform("entries", lambda e: F.shiftright(e, SEGMENT_BITS + 2)))
-    return held.select("token", "block", "segment", F.size(in_files).alias("n_files"), F.size("entries").alias("n_occurrences"), "entries")
+    A block's files were read by one task, one after the other, so its rows are gathered from the tokens of whole batches
+    of files and only the pieces at borders of batches meet after the shuffle. `dealt_by` are columns made of token and block:
+    blocks are dealt to tasks by them and keep them. A group has at most `BLOCK_FILES * SEGMENT` entries, however frequent the token."""
+    tokens = files.select("file_no", *[search_tokens(F.col(name)).alias(name) for name in FIELDS])
+    pieces = tokens.mapInArrow(_gathered, "token string, block long, segment int, n_files int, entries array<int>")
+    by = dealt_by or {}
+    if by:
+        pieces = pieces.withColumns(by).repartition(*by)
+    # the pieces of a row hold different files
+    held = pieces.groupBy(*by, "token", "block", "segment").agg(
+        F.sum("n_files").cast("int").alias("n_files"), F.sort_array(F.flatten(F.collect_list("entries"))).alias("entries"))
+    return held.select(*by, "token", "block", "segment", "n_files", F.size("entries").alias("n_occurrences"), "entries")
+
+
+def _place() -> Column:
+    """The place in its block of the file of an entry."""
+    return F.shiftright("e", SEGMENT_BITS + 2)
+
+
+def _field_and_pos():
+    name = F.element_at(F.array(*map(F.lit, FIELDS)), F.shiftright("e", SEGMENT_BITS).bitwiseAND(F.lit(3)) + 1)
+    return name.alias("field"), (F.shiftleft("segment", SEGMENT_BITS) + F.col("e").bitwiseAND(F.lit(SEGMENT - 1))).alias("pos")
 
 
 def opened(blocks: DataFrame, *keep: str) -> DataFrame:
     """The occurrences of blocks: `keep`, token, file_no, field, pos."""
     rows = blocks.select(*keep, "token", "block", "segment", F.explode("entries").alias("e"))
-    name = F.element_at(F.array(*map(F.lit, FIELDS)), F.shiftright("e", SEGMENT_BITS).bitwiseAND(F.lit(3)) + 1)
-    return rows.select(
-        *keep, "token", (F.shiftleft("block", BLOCK_BITS) + F.shiftright("e", SEGMENT_BITS + 2)).alias("file_no"),
-        name.alias("field"), (F.shiftleft("segment", SEGMENT_BITS) + F.col("e").bitwiseAND(F.lit(SEGMENT - 1))).alias("pos"))
+    return rows.select(*keep, "token", (F.shiftleft("block", BLOCK_BITS) + _place()).alias("file_no"), *_field_and_pos())
 
 
 class StoredPostings:
@@ -120,10 +169,8 @@ class StoredPostings:
         rows = files.select("file_path", F.coalesce("sid", F.lit(DEFAULT_SID)).alias("sid"), "content")
         rows = staged(numbered_files(rows, generation), "numbered-files")
         folder = lambda name: f"{self.root}/{name}/generation={generation}"
-        # the second term splits a bucket over tasks; the bucket alone would be one task
-        spread = F.pmod(F.xxhash64("token", "block"), F.lit(8))
-        (block_rows(rows).withColumn("bucket", self.bucket_of(F.col("token")))
-         .repartition("bucket", spread).sortWithinPartitions("bucket", "token", "block", "segment")
+        dealt_by = {"bucket": self.bucket_of(F.col("token")), "spread": spread(self.spark, self.buckets, "token", "block")}
+        (block_rows(rows, dealt_by).drop("spread").sortWithinPartitions("bucket", "token", "block", "segment")
          .write.options(**_WRITE).partitionBy("bucket").parquet(folder("blocks")))
         replaced = self.files().join(rows.select("file_path"), "file_path", "left_semi").select("file_no")
         replaced.write.parquet(folder("dead"))
@@ -154,8 +201,21 @@ class StoredPostings:
 
     def postings(self, blocks: DataFrame | None = None) -> DataFrame:
         """(token, file_path, field, pos, sid): the rows of `search.build_postings`, of all blocks or those given."""
-        rows = opened(self.blocks() if blocks is None else blocks)
-        return rows.join(self.files(), "file_no").select("token", "file_path", "field", "pos", "sid")
+        rows = (self.blocks() if blocks is None else blocks).join(self._files_by_block(), "block")
+        rows = rows.select("token", "segment", "files", F.explode("entries").alias("e"))
+        rows = rows.select("token", "segment", "e", F.get("files", _place()).alias("file")).where("file is not null")
+        return rows.select("token", "file.file_path", *_field_and_pos(), "file.sid")
+
+    def _files_by_block(self) -> DataFrame:
+        """(block, files): (file_path, sid) of a block's files at their places, null for those that no longer count.
+
+        At most `BLOCK_FILES` a row; blocks meet these rows, so that no occurrence has to be shuffled to its file."""
+        dead = self._table("dead", DEAD).select("file_no").distinct().withColumn("is_dead", F.lit(True))
+        numbers = self._table("files", FILE_NUMBERS).join(dead, "file_no", "left")
+        file = F.when(F.col("is_dead").isNull(), F.struct("file_path", "sid"))
+        rows = numbers.groupBy(F.shiftright("file_no", BLOCK_BITS).alias("block")).agg(
+            F.sort_array(F.collect_list(F.struct("file_no", file.alias("file")))).alias("files"))
+        return rows.select("block", F.transform("files", lambda f: f["file"]).alias("files"))
 
     def vocabulary(self) -> DataFrame:
         """(token, n_files, n_occurrences) from the sizes of the blocks; replaced files still count. No entry is read."""

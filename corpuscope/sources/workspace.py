@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corpuscope import schemas
 from corpuscope.operators import ledger, log_chunks, logs, packages, reports, search
-from corpuscope.session import staged
+from corpuscope.session import spread, staged
 from corpuscope.sources.postings import StoredPostings
 
 # table -> (key, order) of its keyed writes
@@ -150,9 +150,8 @@ class Workspace:
         counts has changed."""
         number, buckets = self._pointer(name)
         version = max([number, *self._names(r"version=(\d+)", name)]) + 1
-        # the second term splits a bucket over tasks; the bucket alone would be one task
-        spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "bucket"]), F.lit(8))
-        (rows.repartition("bucket", spread).sortWithinPartitions("bucket", "sid")
+        within = spread(self.spark, self.buckets, *[c for c in rows.columns if c != "bucket"])
+        (rows.repartition("bucket", within).sortWithinPartitions("bucket", "sid")
          .write.partitionBy("bucket").parquet(f"{self.path(name)}/version={version}"))
         self._keep_counts(name, version)
         kept = {b: v for b, v in buckets.items() if b not in set(touched)}

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscope.operators import search
+from corpuscope.session import spread
 from corpuscope.sources import postings as P
 from corpuscope.sources.postings import StoredPostings
 
@@ -155,3 +156,33 @@ def test_clauses_and_words_keep_the_asked_postings_in_one_pass(spark, monkeypatc
     words = spark.createDataFrame([(1, "w3 alpha", None)], "query_id long, query_text string, sid string")
     assert [r["file_path"] for r in search.text_hits(search.build_postings(files), words).collect()] == ["/a/f3.py"]
     assert {r["token"] for r in kept["asked-tokens"].select("token").collect()} == {"w3", "alpha"}
+
+
+def test_pieces_of_blocks_meet_in_one_row(spark, tmp_path, monkeypatch):
+    """Files are gathered a few tokens at a time, and what belongs to one block still is one row."""
+    rows, whole = some_files(300), P._gathered
+
+    def in_few_tokens(batches):
+        P.GATHERED = 40
+        return whole(batches)
+
+    monkeypatch.setattr(P, "_gathered", in_few_tokens)
+    index = StoredPostings(spark, str(tmp_path / "i"), buckets=2)
+    index.write(frame(spark, rows + rows[:3]))
+    index.write(frame(spark, some_files(60, seed=4, first=20)))
+    assert index.blocks().groupBy("token", "block", "segment").count().where("count > 1").isEmpty()
+    gone = {f"/src/f{i}.c" for i in range(20, 80)}
+    want = [r for r in rows + rows[:3] if r[1] not in gone] + some_files(60, seed=4, first=20)
+    assert rows_of(index.postings()) == rows_of(search.build_postings(frame(spark, want)))
+
+
+def test_files_are_joined_to_blocks_not_to_occurrences(spark, tmp_path):
+    index = StoredPostings(spark, str(tmp_path / "i"), buckets=2)
+    index.write(frame(spark, some_files(40)))
+    tree = index.postings()._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.index("explode(entries") < tree.index("Join Inner")  # the tree is printed from its last step down
+
+
+def test_few_buckets_are_spread_over_all_tasks(spark):
+    values = spark.range(5000).select(spread(spark, 1, "id").alias("s")).distinct().count()
+    assert values > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
