@@ -210,11 +210,13 @@ class StoredPostings:
         """(block, files): (file_path, sid) of a block's files at their places, null for those that no longer count.
 
         At most `BLOCK_FILES` a row; blocks meet these rows, so that no occurrence has to be shuffled to its file."""
-        dead = self._table("dead", DEAD).select("file_no").distinct().withColumn("is_dead", F.lit(True))
-        numbers = self._table("files", FILE_NUMBERS).join(dead, "file_no", "left")
-        file = F.when(F.col("is_dead").isNull(), F.struct("file_path", "sid"))
-        rows = numbers.groupBy(F.shiftright("file_no", BLOCK_BITS).alias("block")).agg(
-            F.sort_array(F.collect_list(F.struct("file_no", file.alias("file")))).alias("files"))
+        # no join: its size could not be told, and small tables have to be known as small
+        file = F.struct("file_path", "sid")
+        dead = self._table("dead", DEAD).select("file_no", F.lit(None).cast("struct<file_path:string,sid:string>").alias("file"), F.lit(True).alias("is_dead"))
+        numbers = self._table("files", FILE_NUMBERS).select("file_no", file.alias("file"), F.lit(False).alias("is_dead"))
+        known = numbers.unionAll(dead).groupBy("file_no").agg(F.max("file").alias("file"), F.bool_or("is_dead").alias("is_dead"))
+        rows = known.groupBy(F.shiftright("file_no", BLOCK_BITS).alias("block")).agg(
+            F.sort_array(F.collect_list(F.struct("file_no", F.when(~F.col("is_dead"), F.col("file")).alias("file")))).alias("files"))
         return rows.select("block", F.transform("files", lambda f: f["file"]).alias("files"))
 
     def vocabulary(self) -> DataFrame:
