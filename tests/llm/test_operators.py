@@ -573,3 +573,40 @@ def test_triggers_of_a_text_are_found_in_one_pass(monkeypatch):
         context = np.frombuffer(r["context"], np.uint64)
         grams = Rolling(context[:window]).grams(gram)
         assert grams[r["far"]] == np.int64(r["trigger"]).astype(np.uint64) and len(context) == r["far"] - r["near"] + window
+
+
+def test_differences_are_no_longer_than_prefixes(spark):
+    """Texts that have passages in common with many others and are similar to few: crowded buckets of sets far apart."""
+    rng = random.Random(17)
+    pool = [words(rng, 25) for _ in range(100)]
+    texts = [" ".join(rng.sample(pool, 10)) for _ in range(220)]
+    texts += [t.replace(" ", f" more{k} ", 1) for k, t in enumerate(texts[::10])]
+    docs = list(enumerate(texts))
+    staged = Counted(spark)
+    got = jaccard_join.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"), staged)
+    want = brute.jaccard(docs)
+    assert 20 <= sum(d != c for d, _, c in want) < 60
+    same(got, ["doc_id", "n_shingles", "component_id"], want)
+    n = sum(n for _, n, _ in want) / len(want)
+    assert staged.rows["groups"] > 100 and staged.rows["differences"] < n * staged.rows["groups"]
+
+
+def test_similar_sets_meet_in_their_own_first_tokens():
+    """Of two similar sets, one with many tokens that the pivot has not: what is made of both has a token of their own in common."""
+    rng = np.random.default_rng(5)
+    classes, every, met = rng.integers(0, 8, 1024).astype(np.uint8), np.unique(rng.integers(0, 1 << 60, 400, dtype=np.uint64)), 0
+    for _ in range(3000):
+        pivot = np.sort(rng.choice(every[:100], rng.integers(3, 60), replace=False))
+        a = np.unique(np.concatenate((rng.choice(pivot, len(pivot) // 2, replace=False), rng.choice(every, rng.integers(3, 40), replace=False))))
+        b = np.unique(np.concatenate((rng.permutation(a)[rng.integers(0, 3):], rng.choice(every, rng.integers(0, 4), replace=False))))
+        most = jaccard_join.prefix_length(len(a))
+        if not jaccard_join._similar(a.tobytes(), b.tobytes()) or len(np.setdiff1d(a, pivot)) < most:
+            continue
+        (own_a, lost_a, size_a, outside), (own_b, _, size_b, _) = (jaccard_join.difference(pivot, x, classes) for x in (a, b))
+        assert (size_a, size_b) == (len(np.setxor1d(a, pivot)), len(np.setxor1d(b, pivot)))
+        assert outside == (size_a > len(a)) and (not outside or (len(own_a), len(lost_a)) == (most, 0))
+        at_a, at_b = min((int(np.flatnonzero(own_a == t)[0]), int(np.flatnonzero(own_b == t)[0])) for t in np.intersect1d(own_a, own_b))
+        less = len(np.setdiff1d(a, pivot)) - len(np.setdiff1d(b, pivot))
+        assert 180 * (at_a + at_b + abs(less - at_a + at_b) + abs(less - len(a) + len(b))) <= 20 * (len(a) + len(b))
+        met += outside
+    assert met > 200
