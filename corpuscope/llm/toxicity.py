@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpuscope.llm.rolling import FOLDED_VALUES, word_hashes
 from corpuscope.llm.tables import Staged, documents, long_column
 from corpuscope.llm.training import SAMPLE, remainder, training_rows
+from corpuscope.llm.workers import tidy
 
 THRESHOLD = 0.3
 # Pseudo-count of the prior per token, on average and at least; log-odds of a token that is kept, and the
@@ -115,7 +116,7 @@ def _count(batches):
 
 def token_table(rows: DataFrame, tables: Staged) -> DataFrame:
     """(token, score, z): log-odds of the documents that hold a token, shrunk to a Dirichlet prior."""
-    counts = tables.write(rows.mapInArrow(_count, "token long, toxic long, clean long").groupBy("token").agg(
+    counts = tables.write(rows.mapInArrow(tidy(_count), "token long, toxic long, clean long").groupBy("token").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "token-counts")
     whole = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("kinds")).first()
     prior_all = whole["kinds"] * PRIOR
@@ -194,7 +195,7 @@ def _measured(rows: DataFrame, measure, models):
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.float64()))],
                                              names=["model", "label", "n", "value"])
 
-    return rows.mapInArrow(run, "model int, label int, n long, value double").toPandas()
+    return rows.mapInArrow(tidy(run), "model int, label int, n long, value double").toPandas()
 
 
 def _fit_laws(models, rows):
@@ -245,7 +246,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     significant one). Null and empty texts have no passage and the score of a text without any.
     Repeated rows are scored each. Other columns are not looked at."""
     return docs.select("doc_id", F.col("text").cast("binary").alias("data")).mapInArrow(
-        _score(model), "doc_id long, score double, passages array<struct<first:long,last:long,score:double,p:double>>")
+        tidy(_score(model)), "doc_id long, score double, passages array<struct<first:long,last:long,score:double,p:double>>")
 
 
 def training_model(spark, sf_dir) -> Model:
@@ -262,7 +263,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         for batch in batches:
             scores = [_probability(model, passages(model, tokens((t or "").encode()))) for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op4_toxicity(spark, sf_dir):
