@@ -269,6 +269,19 @@ def test_packing_islands():
     assert len(population[0][0]) <= len(packing.start(lengths, rng, 1)[0][0])
 
 
+def test_every_generation_runs_where_no_fewer_bins_are_possible(monkeypatch):
+    rng, bred = random.Random(14), []
+    lengths = [rng.randrange(100, 1500) for _ in range(200)]
+    population = packing.start(lengths, rng)
+    before = max(map(packing.fitness, population))
+    assert -before[0] == -(-sum(lengths) // packing.CAPACITY)
+    mutate = packing.mutate
+    monkeypatch.setattr(packing, "mutate", lambda *given: bred.append(1) or mutate(*given))
+    assert packing.fitness(packing.evolve(population, lengths, rng)[0]) > before
+    assert len(bred) == packing.GENERATIONS
+    assert packing.evolve(packing.start([5], rng), [5], rng)[0] == ([[0]], [packing.CAPACITY - 5])
+
+
 # --- operators without a plain result ------------------------------------------------------------
 
 def check_packing(df, docs):
