@@ -623,3 +623,22 @@ def test_similar_sets_meet_in_their_own_first_tokens():
         assert 180 * (at_a + at_b + abs(less - at_a + at_b) + abs(less - len(a) + len(b))) <= 20 * (len(a) + len(b))
         met += outside
     assert met > 200
+
+
+def test_values_of_pairs_are_stored_once(spark, monkeypatch):
+    """Whatever the bitmap lets through and however often a row is repeated."""
+    rng, stored = random.Random(5), {}
+    words = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    one = words()
+    docs = [(1, " ".join(one)), (2, " ".join(one[:-1] + ["other"]))] * 3 + [(k, " ".join(words())) for k in range(3, 40)]
+    for name in ("write", "write_sorted"):
+        def kept(self, df, called, *keys, write=getattr(tables.Staged, name)):
+            rows = write(self, df, called, *keys)
+            if called.endswith("-values"):
+                stored[called] = [r["node"] for r in rows.select("node").collect()]
+            return rows
+        monkeypatch.setattr(tables.Staged, name, kept)
+    monkeypatch.setattr(jaccard_join, "VALUE_BITS", 64, raising=False)
+    rows = jaccard_join.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"), tables.Staged(spark)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(1, 1)] * 3 + [(2, 1)] * 3 + [(k, k) for k in range(3, 40)]
+    assert len(stored["star-0-sets-values"]) == 2 and all(len(v) == len(set(v)) <= 2 for v in stored.values())

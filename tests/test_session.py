@@ -3,8 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpuscope import session
+from corpuscope.llm.tables import Staged
 
 
 class Stub:
@@ -37,6 +39,22 @@ def test_staged_and_cleared(spark):
     assert not os.path.exists(session._scratch_root(spark).removeprefix("file:"))
 
 
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    def shuffle_files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(blocks.apply(i).getName().startswith("shuffle_") for i in range(blocks.size()))
+
+    setting_name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    before, setting = shuffle_files(), spark.conf.get(setting_name)
+    stored, sorted_ = Staged(spark).write(rows, "sevenths"), Staged(spark).write_sorted(rows, "sorted-sevenths", "k")
+    assert shuffle_files() <= before and spark.conf.get(setting_name) == setting
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, sorted_.collect())) == sorted(map(tuple, rows.collect()))
+    with pytest.raises(Exception):
+        Staged(spark).write(spark.range(1).select(F.raise_error(F.lit("no"))), "none")
+    assert spark.conf.get(setting_name) == setting
+
+
 def test_rows_if_at_most(spark):
     assert len(session.rows_if_at_most(spark.range(5), 5)) == 5
     assert session.rows_if_at_most(spark.range(6), 5) is None
