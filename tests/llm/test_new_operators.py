@@ -1,15 +1,18 @@
 """Whitening, secret scans and alignment against plain Python and numpy."""
 
+import glob
 import math
 import random
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from corpuscope.llm import alignment, queries, secret_scan, whitening
+from corpuscope.llm.tables import Staged
 import brute
 from test_operators import SCHEMA, empty, given, hard, hard_documents, same, words  # noqa: F401
 
@@ -46,6 +49,26 @@ def test_alignment_in_small_batches(spark, hard, monkeypatch):
     same(alignment.align_documents(hard, *PATHS), ALIGNED, brute.alignment(hard_documents(), *PATHS))
 
 
+def test_few_batches_are_read_at_a_time(spark, monkeypatch):
+    """A row of the staged batches may have megabytes: a row group has few."""
+    docs, stored = [(k, f"some words of document {k}") for k in range(30)], []
+    write = Staged.write
+    def kept(self, df, name, **options):
+        rows = write(self, df, name, **options)
+        stored.append((name, self.paths[name].removeprefix("file:")))
+        return rows
+    monkeypatch.setattr(Staged, "write", kept)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        same(alignment.align_documents(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), *PATHS), ALIGNED, brute.alignment(docs, *PATHS))
+    finally:
+        spark.conf.set(key, before)
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(dict(stored)["aligned"] + "/*.parquet")]
+    assert sum(f.num_rows for f in files) > 30 and max(f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) <= 4
+
+
 def test_words_read_together_equal_whole_texts():
     """Also where the cache was cleared in between, and where a whole text is one word."""
     import pyarrow as pa
