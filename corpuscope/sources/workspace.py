@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corpuscope import schemas
 from corpuscope.operators import ledger, log_chunks, logs, packages, reports, search
-from corpuscope.session import spread, staged
+from corpuscope.session import WIDE_ROWS, spread, staged
 from corpuscope.sources.postings import StoredPostings
 
 # table -> (key, order) of its keyed writes
@@ -36,6 +36,9 @@ TABLES = {
 # table -> what its kept counts are by, beside the session
 COUNT_KEYS = {"patterns": "log_key"}
 
+# table -> how its files are written, where not as usual
+WRITE = {"packages": WIDE_ROWS}
+
 # tables in buckets; the others are only appended to
 VERSIONED = (*KEYS, "patterns")
 
@@ -152,7 +155,7 @@ class Workspace:
         version = max([number, *self._names(r"version=(\d+)", name)]) + 1
         within = spread(self.spark, self.buckets, *[c for c in rows.columns if c != "bucket"])
         (rows.repartition("bucket", within).sortWithinPartitions("bucket", "sid")
-         .write.partitionBy("bucket").parquet(f"{self.path(name)}/version={version}"))
+         .write.options(**WRITE.get(name, {})).partitionBy("bucket").parquet(f"{self.path(name)}/version={version}"))
         self._keep_counts(name, version)
         kept = {b: v for b, v in buckets.items() if b not in set(touched)}
         self._publish(name, number, kept | {b: version for b in self._names(r"bucket=(\d+)", name, f"version={version}")})
@@ -181,7 +184,7 @@ class Workspace:
         keys, order = KEYS[name]
         pick = ledger.earliest if ignore_existing else ledger.latest
         merge = ledger.insert_ignore if ignore_existing else ledger.replace_into
-        new = self._bucketed(name, staged(pick(incoming, keys, order), name), keys)
+        new = self._bucketed(name, staged(pick(incoming, keys, order), name, **WRITE.get(name, {})), keys)
         touched = self._buckets_of(new)
         old = self._stored(name).where(F.col("bucket").isin(touched))
         self._rewrite(name, merge(old, new, keys, order), touched)
@@ -261,13 +264,13 @@ class Workspace:
     def resume(self, now: int, sid: str | None = None) -> DataFrame:
         """Packages of all sessions, or one; stored, and returned."""
         tables = [self.read(t, sid) for t in ("decisions", "errors", "snapshots")]
-        built = staged(packages.build_package(*tables, now=now), "packages")
+        built = staged(packages.build_package(*tables, now=now), "packages", **WIDE_ROWS)
         self.write_keyed("packages", built)
         return built
 
     def import_packages(self, texts: DataFrame, now: int) -> DataFrame:
         """Decisions of package texts (sid, text); returns the texts that are no packages."""
-        parsed = staged(packages.parse_package(texts), "parsed")
+        parsed = staged(packages.parse_package(texts), "parsed", **WIDE_ROWS)
         self.write_keyed("decisions", ledger.with_decision_embedding(ledger.merge_decisions(
             ledger.import_decisions(parsed, now))))
         return parsed.where("problem is not null")

@@ -1,8 +1,11 @@
 """Sources, keyed tables on disk and the change feed, on real folders."""
 
+import glob
 import os
+import random
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +167,16 @@ def test_watch_reindexes_changed_files(spark, source, tmp_path):
     changed = ws.read("decisions").where("action = 'file_changed'").collect()
     assert {(r.key, r.value, r.rationale) for r in changed} == {
         ("file.modified", "m.c", "File m.c changed (2 lines)"), ("file.modified", "new.py", "File new.py changed (1 lines)")}
+
+
+def test_packages_lie_in_small_row_groups(spark, tmp_path):
+    """A package may have megabytes: a task holds few at a time, however many it writes."""
+    ws, rng = Workspace(spark, str(tmp_path / "ws"), buckets=1), random.Random(8)
+    rows = [(f"s{k}", "note", rng.randbytes(600_000).hex(), None, k) for k in range(12)]
+    ws.log(spark.createDataFrame(rows, "sid string, key string, value string, rationale string, timestamp long"))
+    built = ws.resume(100)
+    stored = ws.read("packages").select("sid", "package").collect()
+    assert sorted(stored) == sorted(built.select("sid", "package").collect()) and len(stored) == 12
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(str(tmp_path / "ws/packages/version=*/bucket=*/*.parquet"))]
+    assert max(f.num_rows for f in files) > 2
+    assert max(f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) <= 2
